@@ -218,7 +218,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return src.mapInArrow(run, "key long, n int, set_hash long, bands array<long>")
 
 
-def _compare(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """One pair of blocks (or a block with itself): links of each document and a spanning forest."""
     side = pdf.side.to_numpy()
     sets = [shingles(t) for t in pdf.text]
@@ -288,7 +288,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         "units",
     )
     texts = docs.select(row_key(id_col, text_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    needed = texts.join(clusters.select(F.col("id").alias("key")), "key", "left_semi").dropDuplicates(["key"])
+    # both sides grow with the corpus: never a broadcast, at any size
+    needed = texts.hint("merge").join(clusters.select(F.col("id").alias("key")), "key", "left_semi").dropDuplicates(["key"])
     work = units.join(needed, "key").select("component", "lo", "hi", "side", "key", "copies", "text")
     found = materialize(
         work.groupBy("component", "lo", "hi").applyInPandas(_compare, "key long, texts long, docs long, to long"), "links"
@@ -329,7 +330,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     low = found.groupBy("group_key").agg(F.min("key").alias("key")).select("key", F.lit(True).alias("stays"))
     row = docs.select(F.struct(*docs.columns).alias("__row"), row_key(id_col, text_col).alias("key"))
     drop = materialize(found.select("key").join(low, "key", "left").where("stays is null").select("key"), "dropped")
-    left = row.join(drop, "key", "left_anti")
+    left = row.hint("merge").join(drop, "key", "left_anti")
     wordless = ~F.coalesce(F.col(f"__row.{text_col}"), F.lit("")).rlike(r"[^ \t\n\x0B\f\r]")
     some = left.where(~wordless).groupBy("key").agg(F.first("__row").alias("__row"))
     return some.select("__row.*").unionByName(left.where(wordless).select("__row.*"))
