@@ -111,7 +111,7 @@ def normalize_records(records: DataFrame) -> DataFrame:
     return records.select(
         "key", X.blank_to_null(F.col("title")).alias("r_title"), X.blank_to_null(F.col("abstract")).alias("r_abstract"), X.blank_to_null(F.col("venue")).alias("r_venue"),
         F.col("year").alias("r_year"), F.col("citationCount").alias("r_citations"), F.col("influentialCitationCount").alias("r_influential"), tldr.alias("r_tldr"),
-        F.filter(F.transform("authors", lambda a: a.name), lambda n: X.blank_to_null(n).isNotNull()).alias("r_authors"),
+        F.filter(F.transform("authors", lambda a: a["name"]), lambda n: X.blank_to_null(n).isNotNull()).alias("r_authors"),
     )
 
 

@@ -107,7 +107,7 @@ def build_context(retrieved: DataFrame) -> DataFrame:
         e = X.blank_to_null(f.evidence)
         note = F.when(e.isNotNull(), F.concat(F.lit(' (evidence: "'), f.evidence, F.lit('")'))).otherwise("")
         src = F.when(F.size(f.source_paper_ids) > 0, F.concat(F.lit(" [source: "), F.array_join(f.source_paper_ids, ", "), F.lit("]"))).otherwise("")
-        return F.concat(F.lit("- "), F.coalesce(f.subject.name, F.lit("?")), F.lit(" "), F.coalesce(f.relation, F.lit("RELATED_TO")), F.lit(" "), F.coalesce(f.object.name, F.lit("?")), note, src)
+        return F.concat(F.lit("- "), F.coalesce(f.subject["name"], F.lit("?")), F.lit(" "), F.coalesce(f.relation, F.lit("RELATED_TO")), F.lit(" "), F.coalesce(f.object["name"], F.lit("?")), note, src)
 
     def line_of_hit(h: Column) -> Column:
         place = F.concat(F.coalesce(h.paper_id, F.lit("unknown")), F.when(X.blank_to_null(h.section).isNotNull(), F.concat(F.lit(" / "), h.section)).otherwise(""))
@@ -116,7 +116,7 @@ def build_context(retrieved: DataFrame) -> DataFrame:
     def line_of_path(p: Column) -> Column:
         return F.concat(F.lit("- "), F.array_join(p.path, " -> "), F.lit(" (depth "), p.depth.cast("string"), F.lit(", "), p.direction, F.lit(")"))
 
-    paper = lambda n: F.struct(n.paper_id.alias("id"), n.name.alias("t"))
+    paper = lambda n: F.struct(n.paper_id.alias("id"), n["name"].alias("t"))
     bare = lambda c: F.struct(c.alias("id"), F.lit(None).cast("string").alias("t"))
     named = F.concat(
         F.flatten(F.transform("facts", lambda f: F.concat(F.transform(F.filter(F.array(f.subject, f.object), lambda n: n.type == "Paper"), paper), F.transform(f.source_paper_ids, bare)))),

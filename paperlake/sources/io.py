@@ -42,7 +42,7 @@ def parse_atom(entries: DataFrame, col: str = "xml") -> DataFrame:
     doi = F.get(F.filter("e.link", lambda x: x["_title"] == "doi"), F.lit(0))["_href"]
     return d.select(
         F.regexp_replace(vid, r"v\d+$", "").alias("arxiv_id"), vid.alias("versioned_id"), X.collapse(F.col("e.title")).alias("title"), X.collapse(F.col("e.summary")).alias("abstract"),
-        F.transform("e.author", lambda a: X.collapse(a.name)).alias("authors"), F.transform("e.category", lambda c: c["_term"]).alias("categories"),
+        F.transform("e.author", lambda a: X.collapse(a["name"])).alias("authors"), F.transform("e.category", lambda c: c["_term"]).alias("categories"),
         F.regexp_replace(doi, r"^https?://(?:dx\.)?doi\.org/", "").alias("doi"), F.try_to_timestamp("e.published").alias("published"), F.try_to_timestamp("e.updated").alias("updated"),
         F.concat(F.lit("https://arxiv.org/pdf/"), vid, F.lit(".pdf")).alias("pdf_url"),
     ).where("title is not null and title <> '' and not lower(title) like 'error%'")
