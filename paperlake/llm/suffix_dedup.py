@@ -4,21 +4,21 @@ A byte goes if a string of ``length`` (200) bytes that covers it also starts
 anywhere else, in its own document or another.
 
 1. *Anchors.* Every 64-byte gram is hashed; the smallest of each 200-byte window
-   (all of them, if equal) is an anchor. Equal windows hold the same anchor at
-   the same offset, so a window whose anchors are all unique in the corpus is
+   (the last, if several are equal) is its anchor. Equal windows hold the same anchor at
+   the same offset, so a window whose anchor is unique in the corpus is
    unique: nothing is lost, and most text is left out of what follows. An
-   anchor carries the digest of its context, the bytes that its windows reach.
+   anchor carries the digest of its context, the bytes that its windows cover.
 2. *Counts.* Equal (anchor, context) pairs are combined in the scan first.
    A context that occurs twice is repeated as a whole. An anchor with several
    contexts goes on, one occurrence of each context.
 3. *Shards.* Contexts are dealt to shards by anchor; an anchor with more than
    ``HOT`` contexts is spread over several. Each shard sorts its suffixes by
-   Larsson-Sadakane refinement in numpy (ranks double their depth, only groups
+   Larsson-Sadakane refinement in numpy (ranks double or triple their depth, only groups
    that aren't settled are sorted again), takes common prefixes by Kasai's rule,
    and marks windows that start at the same offset of two contexts.
-4. *Merge.* What is left of spread anchors is merged across shards: their windows
-   as sorted digests, cut into ranges by binary search, and looked up in the
-   other shards' ranges by binary search.
+4. *Merge.* Spread anchors are merged across shards: their windows as sorted
+   digests, cut into ranges by binary search, and looked up in the ranges of all
+   shards by binary search.
 5. Marks return to the documents, and the union of marked windows is removed.
 
 Defined results: null and empty texts have no bytes; texts below 200 bytes stay;
@@ -42,14 +42,12 @@ from paperlake.llm.common import materialize, row_key
 
 LENGTH = 200
 GRAM = 64
-REACH = LENGTH - GRAM  # a window begins at most so far before its anchor
-CONTEXT = 2 * LENGTH - GRAM
-#: Contexts of one anchor, and of one shard.
-HOT = 4_096
-SHARD = 8_192
+#: Contexts of one anchor that one shard holds, and of one shard on average.
+HOT = 16_384
+SHARD = 4_096
 RANGES = 64
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_OCC = np.dtype([("key", "<i8"), ("pos", "<i4")])
+_OCC = np.dtype([("key", "<i8"), ("pos", "<i4"), ("lo", "<i2"), ("hi", "<i2")])
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -78,41 +76,63 @@ def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
     return x
 
 
-def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of grams that are the smallest of a window of ``length`` bytes."""
+def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Positions and hashes of grams that are the (last) smallest of a window of ``length`` bytes, and the stretch those windows cover.
+
+    A window belongs to one anchor. The anchors of successive windows never go
+    back, so each anchor's windows are successive too.
+    """
+    none = np.zeros(0, np.int64)
     if len(data) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return none, np.zeros(0, np.uint64), none, none
     h = gram_hashes(data, gram)
     w = length - gram + 1
     low = _sliding(h, w, np.minimum)
     # the largest of the minima of the windows that hold a gram equals it, if it is one of them
     padded = np.concatenate([np.zeros(w - 1, np.uint64), low, np.zeros(w - 1, np.uint64)])
     at = np.flatnonzero(_sliding(padded, w, np.maximum) == h)
-    return at, h[at]
-
 
-def context_bounds(pos: int, size: int) -> tuple[int, int]:
-    return max(0, pos - REACH), min(size, pos + LENGTH)
+    def owner(starts: np.ndarray) -> np.ndarray:
+        """Of windows, the place in ``at`` of the last gram that equals their minimum."""
+        k = np.searchsorted(at, starts + (w - 1), "right") - 1
+        while len(wrong := np.flatnonzero(h[at[k]] != low[starts])):
+            k[wrong] -= 1
+        return k
+
+    first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+    last = np.concatenate([first[1:] - 1, [len(low) - 1]])
+    k, end = owner(first), owner(last)
+    if len(mixed := np.flatnonzero(k != end)):  # one gram several times in a run of equal minima
+        more = np.concatenate([np.arange(first[i], last[i] + 1) for i in mixed.tolist()])
+        keep = np.setdiff1d(np.arange(len(first)), mixed)
+        k = np.concatenate([k[keep], owner(more)])
+        first, last = np.concatenate([first[keep], more]), np.concatenate([last[keep], more])
+        by = np.argsort(first)
+        k, first, last = k[by], first[by], last[by]
+    new = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    ends = np.concatenate([new[1:] - 1, [len(k) - 1]])
+    at = at[k[new]]
+    return at, h[at], first[new], last[ends] + length
 
 
 def suffix_order(data: np.ndarray) -> np.ndarray:
     """Suffixes in order, all of them settled (Kasai's rule needs that).
 
-    First by eight bytes at once; then ranks of suffixes ``h`` further on refine
-    the groups that aren't settled, and ``h`` doubles.
+    First by seven bytes at once; then ranks of suffixes ``h`` (and twice ``h``)
+    further on refine the groups that aren't settled, and ``h`` doubles (triples).
     """
     n = len(data)
     padded = np.concatenate([data.astype(np.uint64) + np.uint64(1), np.zeros(8, np.uint64)])
     key = np.zeros(n, np.uint64)
     for i in range(7):  # seven bytes in base 512 fill a word
         key = key << np.uint64(9) | padded[i : i + n]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     ordered = key[order]
     first = np.concatenate([[True], ordered[1:] != ordered[:-1]])
     heads = np.flatnonzero(first)
     rank = np.empty(n, np.int64)
     rank[order] = heads[np.cumsum(first) - 1]
-    h = 7
+    h, folds = 7, 3 if n + 2 < 1 << 21 else 2  # three ranks fit a word if the shard is small enough
     while True:
         sizes = np.diff(np.concatenate([heads, [n]]))
         open_heads, open_sizes = heads[sizes > 1], sizes[sizes > 1]
@@ -120,10 +140,11 @@ def suffix_order(data: np.ndarray) -> np.ndarray:
             break
         places = np.repeat(open_heads - np.cumsum(np.concatenate([[0], open_sizes[:-1]])), open_sizes) + np.arange(open_sizes.sum())
         suffix = order[places]
-        beyond = suffix + h
-        second = np.where(beyond < n, rank[np.minimum(beyond, n - 1)] + 1, 0)
-        pair = rank[suffix] * np.int64(n + 2) + second
-        by = np.argsort(pair, kind="stable")
+        pair = rank[suffix]
+        for k in range(1, folds):
+            beyond = suffix + k * h
+            pair = pair * np.int64(n + 2) + np.where(beyond < n, rank[np.minimum(beyond, n - 1)] + 1, 0)
+        by = np.argsort(pair)
         order[places] = suffix[by]
         pair = pair[by]
         new = np.concatenate([[True], pair[1:] != pair[:-1]])
@@ -131,11 +152,11 @@ def suffix_order(data: np.ndarray) -> np.ndarray:
         rank[order[places]] = fresh[np.cumsum(new) - 1]
         first[fresh] = True
         heads = np.flatnonzero(first)
-        h *= 2
+        h *= folds
     return order
 
 
-def common_prefixes(data: np.ndarray, order: np.ndarray, limit: int, lanes: int = 16) -> np.ndarray:
+def common_prefixes(data: np.ndarray, order: np.ndarray, limit: int, lanes: int = 64) -> np.ndarray:
     """For each place in ``order`` the prefix shared with the one before, up to ``limit``.
 
     Kasai's rule: a suffix shares at least one byte less with its predecessor
@@ -145,19 +166,24 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, limit: int, lanes: int
     n = len(data)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
-    shared = np.zeros(n, np.int32)
-    pad = np.concatenate([data.astype(np.int16), np.full(limit + 8, -1, np.int16)])
+    shared = np.zeros(n, np.int64)
+    # the end differs from every byte and from itself
+    pad = np.concatenate([data.astype(np.uint64) + np.uint64(1), np.zeros(limit + 16, np.uint64)])
+    seven = pad[: n + limit + 8].copy()
+    for i in range(1, 7):
+        seven = seven << np.uint64(9) | pad[i : i + n + limit + 8]
     for lane in range(lanes):
         at = np.arange(lane, n, lanes)
         at = at[before[at] >= 0]
-        got = np.maximum(shared[at - 1] - 1, 0) if lane else np.zeros(len(at), np.int32)
-        live = np.arange(len(at))
-        while len(live):
-            p, q = at[live] + got[live], before[at[live]] + got[live]
-            ok = (pad[p] == pad[q]) & (pad[p] >= 0) & (pad[q] >= 0) & (got[live] < limit)
-            live = live[ok]
-            got[live] += 1
-        shared[at] = got
+        got = np.maximum(shared[at - 1] - 1, 0) if lane else np.zeros(len(at), np.int64)
+        for width, words in ((7, seven), (1, pad)):  # seven bytes at a time, then what is left
+            live = np.flatnonzero(got < limit)
+            p, q, g = at[live], before[at[live]], got[live]
+            while len(live):
+                ok = (words[p + g] == words[q + g]) & (np.maximum(p, q) + g + width <= n) & (g < limit)
+                live, p, q, g = live[ok], p[ok], q[ok], g[ok] + width
+                got[live] = g
+        shared[at] = np.minimum(got, limit)
     return shared[order]
 
 
@@ -187,25 +213,23 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for i in range(0, whole.num_rows, 1024):
             batch = whole.slice(i, 1024)
-            grams, digests, keys, places = [], [], [], []
+            grams, digests, found = [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw = text.encode()
-                at, h = anchors(np.frombuffer(raw, np.uint8))
+                at, h, start, end = anchors(np.frombuffer(raw, np.uint8))
                 if not len(at):
                     continue
                 grams.append(h)
-                places.append(at)
-                keys.append(np.full(len(at), key, np.int64))
-                for p in at.tolist():
-                    a, b = context_bounds(p, len(raw))
-                    # the sides that a text's edge cuts short count too
+                occ = np.empty(len(at), _OCC)
+                occ["key"], occ["pos"], occ["lo"], occ["hi"] = key, at, at - start, end - at
+                found.append(occ)
+                for p, a, b in zip(at.tolist(), start.tolist(), end.tolist(), strict=True):
                     digests.append(hashlib.blake2b(raw[a:b], digest_size=8, salt=(p - a).to_bytes(2, "little")).digest())
             if not grams:
                 continue
             g = np.concatenate(grams).astype(np.int64)
             c = np.frombuffer(b"".join(digests), np.int64)
-            occ = np.empty(len(g), _OCC)
-            occ["key"], occ["pos"] = np.concatenate(keys), np.concatenate(places)
+            occ = np.concatenate(found)
             by = np.lexsort((c, g))
             g, c, packed = g[by], c[by], occ[by].tobytes()
             head = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (c[1:] != c[:-1])]))
@@ -224,7 +248,7 @@ def _occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = np.repeat(np.arange(len(b)), size)
         lead = np.zeros(len(occ), bool)
         lead[np.concatenate([[0], np.cumsum(size)[:-1]]).astype(int)] = b.lead.to_numpy()
-        yield pd.DataFrame({"key": occ["key"], "pos": occ["pos"], "g": b.g.to_numpy()[rows], "c": b.c.to_numpy()[rows], "whole": b.whole.to_numpy()[rows], "several": b.several.to_numpy()[rows], "lead": lead, "parts": b.parts.to_numpy()[rows]})
+        yield pd.DataFrame({"key": occ["key"], "pos": occ["pos"], "lo": occ["lo"].astype(np.int32), "hi": occ["hi"].astype(np.int32), "g": b.g.to_numpy()[rows], "c": b.c.to_numpy()[rows], "whole": b.whole.to_numpy()[rows], "several": b.several.to_numpy()[rows], "lead": lead, "parts": b.parts.to_numpy()[rows]})
 
 
 def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -234,34 +258,40 @@ def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for text, places in zip(b.text, b.places, strict=True):
             raw = text.encode()
             for x in places:
-                lo, hi = context_bounds(x["pos"], len(raw))
-                rows.append((x["g"], x["c"], x["parts"], x["pos"] - lo, raw[lo:hi]))
+                rows.append((x["g"], x["c"], x["parts"], x["lo"], raw[x["pos"] - x["lo"] : x["pos"] + x["hi"]]))
         yield pd.DataFrame(rows, columns=["g", "c", "parts", "at", "bytes"])
 
 
 def _shard(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Suffix array of a shard; repeated windows of each context as offsets from the anchor, and open ones of spread anchors."""
-    found = repeated_starts(list(pdf.bytes), list(pdf["at"]))
+    """Suffix array of a shard; repeated windows of each context as offsets from the anchor, and all windows of spread anchors."""
+    texts, anchor = list(pdf.bytes), pdf["at"].to_numpy()
+    found = repeated_starts(texts, anchor)
     rows = []
-    for g, c, parts, at, data, hit in zip(pdf.g, pdf.c, pdf.parts, pdf["at"], pdf.bytes, found, strict=True):
+    for g, c, parts, at, data, hit in zip(pdf.g, pdf.c, pdf.parts, anchor, texts, found, strict=True):
         left = b""
         if parts > 1:
-            starts = np.setdiff1d(np.arange(len(data) - LENGTH + 1), hit)
-            left = b"".join(hashlib.blake2b(data[s : s + LENGTH], digest_size=16, salt=(s - at + 512).to_bytes(2, "little")).digest() + (s - at + 512).to_bytes(2, "little") for s in starts.tolist())
+            raw = np.frombuffer(data, np.uint8)
+            starts = np.arange(len(raw) - LENGTH + 1)  # settled ones too: another shard may hold them once
+            rec = np.empty(len(starts), _OPEN)
+            rec["a"] = gram_hashes(raw, LENGTH)[starts]
+            rec["b"] = gram_hashes(raw[::-1], LENGTH)[::-1][starts]
+            rec["offset"] = starts - at
+            left = rec.tobytes()
         rows.append((g, c, (hit - at).astype(np.int16).tobytes(), left))
     return pd.DataFrame(rows, columns=["g", "c", "hits", "open"])
 
 
-_OPEN = np.dtype([("digest", "V16"), ("offset", "<u2")])
+#: A window by two 64-bit hashes (read forwards and backwards), and its offset from the anchor.
+_OPEN = np.dtype([("a", "<u8"), ("b", "<u8"), ("offset", "<i2")])
 
 
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Open windows of a shard's contexts, sorted by digest and cut into ranges by binary search; one row a range."""
+    """Windows of a shard's spread contexts, sorted by digest and cut into ranges by binary search; one row a range."""
     for b in batches:
         size = b.open.map(len).to_numpy() // _OPEN.itemsize
         rec = np.frombuffer(b"".join(b.open), _OPEN)
-        top = np.frombuffer(rec["digest"].tobytes(), ">u8")[::2]
-        by = np.argsort(top, kind="stable")
+        top = rec["a"]
+        by = np.argsort(top)
         owner = np.repeat(np.arange(len(b)), size)[by]
         edges = np.searchsorted(top[by], (np.arange(1, RANGES, dtype=np.uint64) << np.uint64(58)))
         cuts = np.concatenate([[0], edges, [len(rec)]])
@@ -273,18 +303,16 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Windows of one range that two or more shards hold: binary search in the sorted distinct digests."""
+    """Windows of one range that two or more shards hold: each shard's are looked up in the sorted ones of all."""
     rec = np.frombuffer(b"".join(pdf.open), _OPEN)
-    pair = np.frombuffer(rec["digest"].tobytes(), np.int64).reshape(-1, 2)
-    whole = np.rec.fromarrays([pair[:, 0], pair[:, 1]], names="a,b")
-    values, counts = np.unique(whole, return_counts=True)
-    twice = values[counts > 1]
-    at = np.minimum(np.searchsorted(twice, whole), max(len(twice) - 1, 0)) if len(twice) else np.zeros(0, int)
-    hit = twice[at] == whole if len(twice) else np.zeros(len(rec), bool)
+    key = _mix(rec["a"] + _mix(rec["b"] + rec["offset"].astype(np.uint64)))
+    ordered = np.sort(key)
+    hit = np.searchsorted(ordered, key, "right") - np.searchsorted(ordered, key, "left") > 1
     g, c = (np.frombuffer(b"".join(pdf[x]), np.int64)[hit] for x in ("g", "c"))
-    offset = rec["offset"][hit].astype(np.int64) - 512
-    out = pd.DataFrame({"g": g, "c": c, "o": offset}).groupby(["g", "c"])["o"].agg(lambda s: np.asarray(s, np.int16).tobytes()).reset_index()
-    return out.rename(columns={"o": "hits"})[["g", "c", "hits"]] if len(out) else pd.DataFrame({"g": np.zeros(0, np.int64), "c": np.zeros(0, np.int64), "hits": []})
+    by = np.lexsort((c, g))
+    g, c, offset = g[by], c[by], rec["offset"][hit][by]
+    head = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (c[1:] != c[:-1])])) if len(g) else np.zeros(0, int)
+    return pd.DataFrame({"g": g[head], "c": c[head], "hits": [x.tobytes() for x in np.split(offset, head[1:])] if len(g) else []})
 
 
 def _covered(size: int, places: list) -> np.ndarray:
@@ -295,10 +323,9 @@ def _covered(size: int, places: list) -> np.ndarray:
     for x in places:
         p = x["pos"]
         if x["whole"]:
-            lo, hi = context_bounds(p, size)
-            starts.append(np.array([lo]))
-            ends.append(np.array([hi]))
-        for hits in x["hits"] or ():
+            starts.append(np.array([p - x["lo"]]))
+            ends.append(np.array([p + x["hi"]]))
+        for hits in () if x["hits"] is None else x["hits"]:
             s = p + np.frombuffer(hits, np.int16).astype(np.int64)
             starts.append(s)
             ends.append(s + LENGTH)
@@ -346,9 +373,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         )
     )
     marks = materialize(
-        counted.mapInPandas(_occurrences, "key long, pos int, g long, c long, whole boolean, several boolean, lead boolean, parts int"), "marks"
+        counted.mapInPandas(_occurrences, "key long, pos int, lo int, hi int, g long, c long, whole boolean, several boolean, lead boolean, parts int"), "marks"
     )
-    leads = marks.where("lead").groupBy("key").agg(F.collect_list(F.struct("g", "c", "parts", "pos")).alias("places"))
+    leads = marks.where("lead").groupBy("key").agg(F.collect_list(F.struct("g", "c", "parts", "pos", "lo", "hi")).alias("places"))
     n_leads = marks.where("lead").count()
     body = texts.select("key", "text")
     contexts = body.join(leads, "key").dropDuplicates(["key"]).select("text", "places").mapInPandas(_contexts, "g long, c long, parts int, at int, bytes binary")
@@ -358,12 +385,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spread = sorted_shards.where(F.length("open") > 0).select("g", "c", "open")
     merged = spread.mapInPandas(_cut, "range int, g binary, c binary, open binary").groupBy("range").applyInPandas(_merge, "g long, c long, hits binary")
     hits = sorted_shards.select("g", "c", "hits").where(F.length("hits") > 0).unionByName(merged).groupBy("g", "c").agg(F.collect_list("hits").alias("hits"))
+    # a context that occurs twice is covered whole; only single ones need the shards' findings
+    rest = marks.where("several and not whole").join(hits, ["g", "c"])
+    cols = ["key", "pos", "lo", "hi", "whole"]
+    none = F.lit(None).cast("array<binary>").alias("hits")
     places = (
-        marks.where("whole or several")
-        .join(hits, ["g", "c"], "left")
-        .where("whole or hits is not null")
-        .groupBy("key")
-        .agg(F.collect_list(F.struct("pos", "whole", "hits")).alias("places"))
+        marks.where("whole").select(*cols, none).unionByName(rest.select(*cols, "hits")).groupBy("key").agg(F.collect_list(F.struct("pos", "lo", "hi", "whole", "hits")).alias("places"))
     )
     kind = docs.schema[id_col].dataType.simpleString()
     out = texts.join(places, "key", "left").select("id", "text", "places").mapInPandas(
