@@ -41,6 +41,7 @@ ROUNDS = 8
 MAX_REPETITION = 1.5
 BROADCAST_SOURCES = 10_000
 _TOP = 1 << 62
+OUT = ("mix_epoch", "mix_block", "mix_place", "mix_tokens", "mix_weight", "mix_epochs")
 
 
 def tokens(text_col: str) -> Column:
@@ -163,14 +164,14 @@ def mix(
     budget_tokens: float | None = None,
     seed: int = 7,
 ) -> DataFrame:
-    """Every drawn copy of a document: its columns and ``mix_epoch, mix_block, mix_place, mix_tokens, mix_weight, mix_epochs``.
+    """Every drawn copy of a document: its columns and ``mix_epoch, mix_block, mix_place, mix_tokens, mix_weight, mix_epochs`` (columns of those names are replaced).
 
     Reading by (mix_epoch, mix_place) gives the block permutation of each source.
     """
     per, small = plan(docs, source_col, text_col, id_col, target_entropy, max_repetition, budget_tokens, seed)
     per = per.drop("tokens")
     keyed = docs.select(
-        F.struct(*docs.columns).alias("__row"),
+        F.struct(*[c for c in docs.columns if c not in OUT]).alias("__row"),
         F.coalesce(F.col(source_col).cast("string"), F.lit("\x00null")).alias("__s"),
         F.pmod(row_key(id_col, text_col), F.lit(1 << 20)).alias("f"),
         tokens(text_col).alias("mix_tokens"),

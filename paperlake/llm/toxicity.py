@@ -165,13 +165,13 @@ def fit(
     return fit_pu(pos, unl, min(max(toxic / total, 1e-4), 0.9))
 
 
-def score(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``id_col, score`` and the ``keep`` columns of every row."""
+def score(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), out: str = "score") -> DataFrame:
+    """``id_col``, the ``keep`` columns and ``out`` (the score) of every row."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     names = [id_col, *keep]
     src = docs.select(*[F.col(c) for c in names], F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    schema = src.drop("__text").schema.add("score", "double")
+    schema = src.drop("__text").schema.add(out, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, memo = shared.value, {}
@@ -200,6 +200,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows that score below ``threshold``, with their columns."""
-    return score(docs, fit(docs, labels, id_col, text_col), id_col, text_col, tuple(c for c in docs.columns if c != id_col)).where(
-        F.col("score") < threshold
-    ).select(*docs.columns)
+    rest = tuple(c for c in docs.columns if c != id_col)
+    scored = score(docs, fit(docs, labels, id_col, text_col), id_col, text_col, rest, out="__score")
+    return scored.where(F.col("__score") < threshold).select(*docs.columns)
