@@ -43,7 +43,10 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TC.load(spark, sf_dir, "documents")
 
 
-D = F.col("doc_id")
+def doc_id() -> Column:
+    return F.col("doc_id")
+
+
 PID = "CAST(doc_id AS VARCHAR) AS paper_id"
 
 
@@ -65,8 +68,8 @@ def s4_valid_doc_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("SELECT '2101.' || lpad(CAST(doc_id % 100000 AS VARCHAR), 5, '0') AS arxiv_id, 'Title ' || CAST(doc_id AS VARCHAR) AS title, '10.1/' || CAST(doc_id AS VARCHAR) AS doi FROM documents WHERE doc_id % 5 <> 0")
 def s5_parse_atom(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = F.when(D % 5 == 0, F.lit("Error")).otherwise(say("Title\n  ", D))
-    xml = say("<entry><id>http://arxiv.org/abs/2101.", F.lpad(S(D % 100000), 5, "0"), "v1</id><title>", head, "</title><summary>s</summary><author><name>A</name></author><link title=\"doi\" href=\"http://dx.doi.org/10.1/", D, "\"/></entry>")
+    head = F.when(doc_id() % 5 == 0, F.lit("Error")).otherwise(say("Title\n  ", doc_id()))
+    xml = say("<entry><id>http://arxiv.org/abs/2101.", F.lpad(S(doc_id() % 100000), 5, "0"), "v1</id><title>", head, "</title><summary>s</summary><author><name>A</name></author><link title=\"doi\" href=\"http://dx.doi.org/10.1/", doc_id(), "\"/></entry>")
     return io.parse_atom(docs(spark, sf_dir).select(xml.alias("xml"))).select("arxiv_id", "title", "doi")
 
 
@@ -96,44 +99,44 @@ def c6_normalized_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(f"SELECT doc_id, {case(vocab.METHODS, 'doc_id')} || ',' || {case(vocab.DATASETS, 'doc_id')} AS found FROM documents")
 def e2_known_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = say("We ran ", TC.method(D), " on ", TC.dataset(D), ", nothing else.")
+    t = say("We ran ", TC.method(doc_id()), " on ", TC.dataset(doc_id()), ", nothing else.")
     return docs(spark, sf_dir).select("doc_id", F.array_join(F.concat(E.known_terms(t, vocab.METHODS), E.known_terms(t, vocab.DATASETS)), ",").alias("found"))
 
 
 @register("SELECT doc_id, 'Foo' || CAST(doc_id AS VARCHAR) AS name FROM documents")
 def e3_capture_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = say("here it runs with a Foo", D, " model.")
+    t = say("here it runs with a Foo", doc_id(), " model.")
     return docs(spark, sf_dir).select("doc_id", F.explode(E.capture_names(t, vocab.METHOD_CAPTURES)).alias("name"))
 
 
 @register("SELECT doc_id, doc_id % 2 = 0 AS claim, CASE doc_id % 3 WHEN 0 THEN 'Results ablation' WHEN 1 THEN 'Results benchmark' ELSE 'Results experiment' END AS experiment FROM documents")
 def e4_claims_experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = say(F.when(D % 2 == 0, "Results show that the ").otherwise("Here is the "), F.when(D % 3 == 0, "ablation").when(D % 3 == 1, "benchmark").otherwise("baseline"), " of today.")
+    t = say(F.when(doc_id() % 2 == 0, "Results show that the ").otherwise("Here is the "), F.when(doc_id() % 3 == 0, "ablation").when(doc_id() % 3 == 1, "benchmark").otherwise("baseline"), " of today.")
     return docs(spark, sf_dir).select("doc_id", X.any_match(t, vocab.CLAIMS).alias("claim"), E.experiment_name(t, F.lit("Results")).alias("experiment"))
 
 
 @register("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'Foo' || CAST(doc_id AS VARCHAR) WHEN 2 THEN 'Bar' || CAST(doc_id AS VARCHAR) ELSE NULL END AS name FROM documents")
 def e5_clean_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.when(D % 4 == 0, S(D)).when(D % 4 == 1, say(" (the  Foo", D, " model), ")).when(D % 4 == 2, say("Bar", D, ".")).otherwise("Method")
+    raw = F.when(doc_id() % 4 == 0, S(doc_id())).when(doc_id() % 4 == 1, say(" (the  Foo", doc_id(), " model), ")).when(doc_id() % 4 == 2, say("Bar", doc_id(), ".")).otherwise("Method")
     return docs(spark, sf_dir).select("doc_id", X.clean_name(raw).alias("name"))
 
 
 @register("SELECT doc_id, doc_id % 5 < 2 AS ok FROM documents")
 def e6_plausible_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = TC.pick(["Random Forest", "Mixture of Experts", "The Model", "BERT on SQuAD X", "This enables"], D)
+    raw = TC.pick(["Random Forest", "Mixture of Experts", "The Model", "BERT on SQuAD X", "This enables"], doc_id())
     return docs(spark, sf_dir).select("doc_id", X.plausible_name(raw).alias("ok"))
 
 
 @register("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'introduces' WHEN 1 THEN 'uses_method' WHEN 2 THEN 'uses_dataset' END AS role FROM documents")
 def e7_paper_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t, k = TC.pick(["We propose X.", "We adopt X.", "We train on X.", "X is here."], D), TC.pick(["Method", "Method", "Dataset", "Method"], D)
+    t, k = TC.pick(["We propose X.", "We adopt X.", "We train on X.", "X is here."], doc_id()), TC.pick(["Method", "Method", "Dataset", "Method"], doc_id())
     return docs(spark, sf_dir).select("doc_id", X.paper_role(t, k).alias("role"))
 
 
 def _pair_sentences(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     d = docs(spark, sf_dir)
-    s = d.select(S(D).alias("paper_id"), F.lit(0).alias("sec"), F.lit("x").alias("section"), F.lit(0).alias("sent"), say("Foo", D, " beats Bar", D, " on Foo", D, "z.").alias("sentence"))
-    e = d.select(S(D).alias("paper_id"), F.explode(F.array(F.struct(F.lit(0).alias("pos"), say("Foo", D).alias("name")), F.struct(F.lit(1).alias("pos"), say("Bar", D).alias("name")), F.struct(F.lit(2).alias("pos"), say("Baz", D).alias("name")))).alias("e"))
+    s = d.select(S(doc_id()).alias("paper_id"), F.lit(0).alias("sec"), F.lit("x").alias("section"), F.lit(0).alias("sent"), say("Foo", doc_id(), " beats Bar", doc_id(), " on Foo", doc_id(), "z.").alias("sentence"))
+    e = d.select(S(doc_id()).alias("paper_id"), F.explode(F.array(F.struct(F.lit(0).alias("pos"), say("Foo", doc_id()).alias("name")), F.struct(F.lit(1).alias("pos"), say("Bar", doc_id()).alias("name")), F.struct(F.lit(2).alias("pos"), say("Baz", doc_id()).alias("name")))).alias("e"))
     return s, e.select("paper_id", "e.pos", "e.name", F.lit("Method").alias("type"))
 
 
@@ -151,11 +154,11 @@ def r2_relation_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _responses(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    ev = say("We propose the Foo", D, " model in this very paper")
-    item = say('{"name": "Foo', D, '", "type": "Method", "evidence": "', ev, '", "confidence": ', D % 3, "}")
-    raw = F.when(D % 4 == 0, say("[", item, "]")).when(D % 4 == 1, say("Sure.\n```json\n[", item, "]\n```")).when(D % 4 == 2, item).otherwise("nothing to see")
+    ev = say("We propose the Foo", doc_id(), " model in this very paper")
+    item = say('{"name": "Foo', doc_id(), '", "type": "Method", "evidence": "', ev, '", "confidence": ', doc_id() % 3, "}")
+    raw = F.when(doc_id() % 4 == 0, say("[", item, "]")).when(doc_id() % 4 == 1, say("Sure.\n```json\n[", item, "]\n```")).when(doc_id() % 4 == 2, item).otherwise("nothing to see")
     d = docs(spark, sf_dir)
-    return d.select(S(D).alias("paper_id"), raw.alias("raw")), d.select(S(D).alias("paper_id"), say("Abstract. ", ev, ".").alias("text"))
+    return d.select(S(doc_id()).alias("paper_id"), raw.alias("raw")), d.select(S(doc_id()).alias("paper_id"), say("Abstract. ", ev, ".").alias("text"))
 
 
 @register(f"SELECT {PID}, CASE WHEN doc_id % 4 = 3 THEN 0 ELSE 1 END AS n FROM documents")
@@ -171,8 +174,8 @@ def l2_llm_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(f"SELECT {PID}, 'Foo' AS source, 'Bar' AS target, 'Method' AS source_type FROM documents WHERE doc_id % 3 <> 2")
 def l3_llm_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = "Foo outperforms Bar on every task we tried"
-    edge = F.when(D % 3 == 2, "CITES").otherwise("IMPROVES_UPON")
-    d = docs(spark, sf_dir).select(S(D).alias("paper_id"), say('[{"source": "foo", "target": "BAR", "relation": "', edge, '", "evidence": "', ev, '"}]').alias("raw"), F.lit(ev).alias("text"))
+    edge = F.when(doc_id() % 3 == 2, "CITES").otherwise("IMPROVES_UPON")
+    d = docs(spark, sf_dir).select(S(doc_id()).alias("paper_id"), say('[{"source": "foo", "target": "BAR", "relation": "', edge, '", "evidence": "', ev, '"}]').alias("raw"), F.lit(ev).alias("text"))
     e = d.select("paper_id", F.explode(F.array(F.lit("Foo"), F.lit("Bar"))).alias("name")).withColumn("type", F.lit("Method")).withColumn("pos", F.lit(0))
     return L.validate_llm_relations(d, d, e).select("paper_id", "source", "target", "source_type")
 
@@ -180,7 +183,7 @@ def l3_llm_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("SELECT doc_id, length(text) >= 60 AS grounded FROM documents WHERE doc_id % 10 = 0")
 def l4_grounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every tenth document: is an upper-case stretch of it, if long enough, found in it?"""
-    d = docs(spark, sf_dir).where(D % 10 == 0).where("text is not null")
+    d = docs(spark, sf_dir).where(doc_id() % 10 == 0).where("text is not null")
     stretch = F.when(F.length("text") >= 60, F.upper(F.substring("text", 11, 40))).otherwise("short")
     return d.select("doc_id", X.evidence_grounded(F.lower(stretch), F.lower("text")).alias("grounded"))
 
@@ -212,9 +215,9 @@ def m2_title_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("SELECT 'w' || CAST(doc_id AS VARCHAR) AS work_id, '10.1/a' || CAST(doc_id AS VARCHAR) AS doi, 'Ann' AS authors, 'Uni' || CAST(doc_id % 7 AS VARCHAR) AS institutions, 'alpha beta alpha d' || CAST(doc_id AS VARCHAR) AS abstract FROM documents")
 def m4_normalized_works(spark: SparkSession, sf_dir: str) -> DataFrame:
     who = lambda n, k: F.struct(F.struct(F.lit(n).cast("string").alias("display_name"), F.lit(None).cast("string").alias("orcid")).alias("author"), F.array_repeat(F.struct(say("Uni", k).alias("display_name")), 2).alias("institutions"))
-    index = F.create_map(F.lit("alpha"), F.array(F.lit(0), F.lit(2)), F.lit("beta"), F.array(F.lit(1)), say("d", D), F.array(F.lit(3)))
+    index = F.create_map(F.lit("alpha"), F.array(F.lit(0), F.lit(2)), F.lit("beta"), F.array(F.lit(1)), say("d", doc_id()), F.array(F.lit(3)))
     w = docs(spark, sf_dir).select(
-        say("w", D).alias("id"), F.lit("t").alias("title"), say("https://doi.org/10.1/A", D).alias("doi"), F.lit(2020).alias("publication_year"), F.array(who("Ann", D % 7), who(None, D % 7)).alias("authorships"),
+        say("w", doc_id()).alias("id"), F.lit("t").alias("title"), say("https://doi.org/10.1/A", doc_id()).alias("doi"), F.lit(2020).alias("publication_year"), F.array(who("Ann", doc_id() % 7), who(None, doc_id() % 7)).alias("authorships"),
         index.alias("abstract_inverted_index"), F.array().cast("array<struct<display_name:string>>").alias("concepts"), F.array().cast("array<string>").alias("referenced_works"),
     )
     return M.normalize_work(w).select("work_id", "doi", F.array_join("authors", ",").alias("authors"), F.array_join("institutions", ",").alias("institutions"), "abstract")
@@ -223,8 +226,8 @@ def m4_normalized_works(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("SELECT CAST(doc_id AS VARCHAR) AS paper_id, CASE WHEN doc_id % 3 = 0 THEN 'Catalogue' ELSE 'Own' END AS title, CASE WHEN doc_id % 3 = 0 THEN 2020 END AS year FROM documents")
 def m6_enriched_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("string")
-    p = docs(spark, sf_dir).select(S(D).alias("paper_id"), F.lit("Own").alias("title"), none.alias("abstract"), none.alias("doi"), none.alias("arxiv_id"))
-    w = docs(spark, sf_dir).where(D % 3 <= 1).select(S(D).alias("paper_id"), F.when(D % 3 == 0, "Catalogue").otherwise(" ").alias("w_title"), none.alias("w_abstract"), none.alias("w_doi"), F.when(D % 3 == 0, 2020).otherwise(0).alias("w_year"), F.array().cast("array<string>").alias("w_authors"))
+    p = docs(spark, sf_dir).select(S(doc_id()).alias("paper_id"), F.lit("Own").alias("title"), none.alias("abstract"), none.alias("doi"), none.alias("arxiv_id"))
+    w = docs(spark, sf_dir).where(doc_id() % 3 <= 1).select(S(doc_id()).alias("paper_id"), F.when(doc_id() % 3 == 0, "Catalogue").otherwise(" ").alias("w_title"), none.alias("w_abstract"), none.alias("w_doi"), F.when(doc_id() % 3 == 0, 2020).otherwise(0).alias("w_year"), F.array().cast("array<string>").alias("w_authors"))
     return M.enrich_papers(p, w).select("paper_id", "title", "year")
 
 
@@ -304,7 +307,7 @@ def q8_entities_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(f"SELECT CAST(doc_id AS VARCHAR) AS key_id, {_M2} AS name FROM documents")
 def q9_entities_for_paper(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = _entity_graph(spark, sf_dir)
-    keys = docs(spark, sf_dir).select(S(D).alias("paper_id"))
+    keys = docs(spark, sf_dir).select(S(doc_id()).alias("paper_id"))
     return Q.entities_for_paper(nodes, edges, keys).where("node_type = 'Method'").select("key_id", "name")
 
 
@@ -323,7 +326,7 @@ def q11_citation_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(f"WITH {REFS}, c AS (SELECT d, count(DISTINCT CASE way WHEN 2 THEN 'k' || CAST(k AS VARCHAR) ELSE CAST(way AS VARCHAR) || '-' || CAST(c AS VARCHAR) END) AS n FROM refs GROUP BY d) SELECT CAST(d AS VARCHAR) AS paper_id, 4 AS n_sections, 2 AS n_entities, n AS n_citations FROM c")
 def q12_paper_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = _entity_graph(spark, sf_dir)
-    return Q.paper_summary(nodes, edges, docs(spark, sf_dir).select(S(D).alias("paper_id"))).select("paper_id", "n_sections", "n_entities", F.col("n_citations").cast("long").alias("n_citations"))
+    return Q.paper_summary(nodes, edges, docs(spark, sf_dir).select(S(doc_id()).alias("paper_id"))).select("paper_id", "n_sections", "n_entities", F.col("n_citations").cast("long").alias("n_citations"))
 
 
 # --- chunks, vectors, retrieval ------------------------------------------------------------
@@ -339,10 +342,10 @@ def v1_structured_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(f"SELECT {PID}, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 3 END AS n FROM documents")
 def v3_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = docs(spark, sf_dir)
-    p = d.select(S(D).alias("paper_id"), F.lit("t").alias("title"), F.when(D % 2 == 0, "abs").alias("abstract"), F.array().cast("array<struct<idx:int,heading:string,text:string>>").alias("sections"))
+    p = d.select(S(doc_id()).alias("paper_id"), F.lit("t").alias("title"), F.when(doc_id() % 2 == 0, "abs").alias("abstract"), F.array().cast("array<struct<idx:int,heading:string,text:string>>").alias("sections"))
     none = F.lit(None).cast("string")
     e = p.where("false").select("paper_id", F.lit(0).alias("pos"), none.alias("name"), none.alias("type"), none.alias("source_section"), none.alias("evidence"))
-    w = V.word_window_chunks(d.select(S(D).alias("paper_id"), F.lit(1).alias("page_num"), F.lit("a b c").alias("text")), 2, 1)
+    w = V.word_window_chunks(d.select(S(doc_id()).alias("paper_id"), F.lit(1).alias("page_num"), F.lit("a b c").alias("text")), 2, 1)
     return V.chunks_with_fallback(V.structured_chunks(p, e), w).groupBy("paper_id").agg(F.count("*").cast("int").alias("n"))
 
 
@@ -405,11 +408,11 @@ def h7_build_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = docs(spark, sf_dir)
     text = lambda x: F.array(F.lit(x))
-    q = d.select(S(D).alias("id"), say("c", D % 3).alias("category"), text("FOO").alias("expected_entities"), F.when(D % 2 == 0, "CITES").alias("expected_relation"), F.when(D % 5 != 0, text("p1")).alias("expected_sources"))
+    q = d.select(S(doc_id()).alias("id"), say("c", doc_id() % 3).alias("category"), text("FOO").alias("expected_entities"), F.when(doc_id() % 2 == 0, "CITES").alias("expected_relation"), F.when(doc_id() % 5 != 0, text("p1")).alias("expected_sources"))
     none = F.lit(None).cast("string")
     place = F.struct(none.alias("name"), none.alias("type"), none.alias("paper_id"))
-    fact = F.struct(place.alias("subject"), F.when(D % 4 == 0, "CITES").otherwise("MENTIONS").alias("relation"), place.alias("object"), none.alias("evidence"), F.array().cast("array<string>").alias("source_paper_ids"))
-    r = d.select(S(D).alias("id"), F.lit("hybrid").alias("mode"), F.array(fact).alias("facts"), F.when(D % 3 == 0, text("p1")).otherwise(text("p2")).alias("source_paper_ids"), F.when(D % 7 != 0, "a foo b").otherwise("").alias("context_text"))
+    fact = F.struct(place.alias("subject"), F.when(doc_id() % 4 == 0, "CITES").otherwise("MENTIONS").alias("relation"), place.alias("object"), none.alias("evidence"), F.array().cast("array<string>").alias("source_paper_ids"))
+    r = d.select(S(doc_id()).alias("id"), F.lit("hybrid").alias("mode"), F.array(fact).alias("facts"), F.when(doc_id() % 3 == 0, text("p1")).otherwise(text("p2")).alias("source_paper_ids"), F.when(doc_id() % 7 != 0, "a foo b").otherwise("").alias("context_text"))
     return N.score_questions(q, r)
 
 
