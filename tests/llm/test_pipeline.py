@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import os
+from collections import Counter
 
 import pytest
 
 import corpus_pipeline as P
-from paperlake.llm import queries
+from paperlake.llm import queries, sentencepiece, toxicity
+from tests.llm.test_line_dedup import model as line_model
+from tests.llm.test_ngram_join import brute
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,15 +22,45 @@ def test_stages_are_named_in_order():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the given tables")
-def test_each_stage_keeps_the_columns_of_documents(spark):
+def test_each_stage_against_a_plain_version(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    columns = docs.columns
-    sizes = [docs.count()]
-    for _, stage in P.STAGES[:-1]:
-        docs = P.materialize(stage(spark, docs, SF), "test")
-        assert docs.columns == columns
-        sizes.append(docs.count())
-    assert sizes[1] <= sizes[0] and sizes[2] <= sizes[1] and sizes[3] <= sizes[2] and sizes[4] >= sizes[3]
-    out = P.STAGES[-1][1](spark, docs, SF)
-    assert out.count() == sizes[4]
-    assert out.where("parity").count() == sizes[4]
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    columns, stages = docs.columns, dict(P.STAGES)
+
+    def step(name, df):
+        out = P.materialize(stages[name](spark, df, SF), "test")
+        assert out.columns == columns
+        return out, {r.doc_id: r.text for r in out.collect()}
+
+    before = {r.doc_id: r.text for r in docs.collect()}
+    low = {r.doc_id for r in toxicity.toxicity(docs, labels).where("predicted = 0").collect()}
+    docs, now = step("toxicity", docs)
+    assert now == {i: before[i] for i in low} and len(now) < len(before)
+
+    before, (docs, now) = now, step("line dedup", docs)
+    may, _ = line_model(list(before.items()))
+    for i, t in before.items():
+        lines = t.split("\n")
+        removable = {j for j in range(len(lines)) if (i, j) in may}
+        if i not in now:
+            assert len(removable) == len(lines)
+            continue
+        assert len(lines) - len(now[i].split("\n")) <= len(removable)
+        assert all(x in lines for x in now[i].split("\n"))
+        if not removable:
+            assert now[i] == t
+
+    before, (docs, now) = now, step("near duplicates", docs)
+    _, groups = brute(list(before.items()))
+    assert all(before[i] == t for i, t in now.items())
+    assert sorted(groups[i] for i in now) == sorted(set(groups.values()))
+
+    before, (docs, now) = now, step("source mixing", docs)
+    assert now == before  # nothing is left out
+    times = Counter(r.doc_id for r in docs.collect())
+    assert set(times.values()) <= {1, 2}
+
+    out = stages["sentencepiece"](spark, docs, SF).collect()
+    assert Counter(r.doc_id for r in out) == times
+    sp = sentencepiece.codec(sentencepiece.default_path()).sp
+    assert all(list(r.input_ids) == sp.encode(now[r.doc_id]) and r.n_tokens == len(r.input_ids) for r in out)
