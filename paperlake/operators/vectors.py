@@ -13,6 +13,8 @@ DIM = 384
 METRICS = ("cosine", "euclid", "dot")
 #: Queries that one task holds at a time.
 QUERY_BLOCK = 1_024
+#: Chunks that one task compares with them at a time, on average.
+CHUNK_BLOCK = 4_096
 
 
 def hash_embedding(text: Column, dim: int = DIM) -> Column:
@@ -67,18 +69,19 @@ def vector_search(chunks: DataFrame, vector: list[float], k: int = 5, filters: d
 def batch_vector_search(queries: DataFrame, chunks: DataFrame, k: int = 5, metric: str = "cosine", id_col: str = "id", vector_col: str = "embedding", query_id: str = "query_id", query_col: str = "query_embedding") -> DataFrame:
     """``query_id, id, score, rank``: exact top k of every query by matrix products in Arrow batches.
 
-    Queries are packed into blocks of ``QUERY_BLOCK``; chunks meet each block
-    through an equi-join on the block's number, dealt over partitions by a salt,
+    Queries are packed into blocks of ``QUERY_BLOCK`` and chunks into groups of
+    about ``CHUNK_BLOCK``, however many there are; groups meet each block through an equi-join on the block's number, dealt over partitions by a salt,
     so the query side needn't fit a broadcast. A task keeps k rows per query of a
     batch; the last step ranks what is left.
     """
     spark = chunks.sparkSession
     n = max(1, -(-queries.count() // QUERY_BLOCK))
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    groups = max(1, -(-chunks.count() // CHUNK_BLOCK))
+    parts = min(groups, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     kinds = dict(queries.dtypes)[query_id], dict(chunks.dtypes)[id_col]
     q = queries.where(F.col(query_col).isNotNull()).select(F.pmod(F.xxhash64(query_id), F.lit(n)).alias("block"), F.col(query_id).alias("q"), F.col(query_col).cast("array<double>").alias("qv"))
     q = q.groupBy("block").agg(F.collect_list(F.struct("q", "qv")).alias("queries")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    c = chunks.where(F.col(vector_col).isNotNull()).select(F.pmod(F.xxhash64(id_col), F.lit(parts * 4)).alias("group"), F.col(id_col).alias("c"), F.col(vector_col).cast("array<double>").alias("cv"))
+    c = chunks.where(F.col(vector_col).isNotNull()).select(F.pmod(F.xxhash64(id_col), F.lit(groups)).alias("group"), F.col(id_col).alias("c"), F.col(vector_col).cast("array<double>").alias("cv"))
     c = c.groupBy("group").agg(F.collect_list(F.struct("c", "cv")).alias("chunks")).select("chunks", F.pmod("group", F.lit(parts)).cast("int").alias("salt"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"))
     pairs = c.withColumn("block", F.col("block").cast("long")).join(q, ["block", "salt"]).select("chunks", "queries")
 
