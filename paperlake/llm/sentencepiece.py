@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MARK = "▁"
-MEMO = 600_000
+MEMO = 200_000
 #: Texts handled at a time.
 BATCH = 1024
 #: Threads that encode a batch; as many as a task has cores.
@@ -181,7 +181,9 @@ class Codec:
         self.plain = plain and self.model.dummy_prefix
         crossing = any(re.search(f"[^{MARK}]{MARK}", p) for p, _, kind in self.model.pieces if kind in (_NORMAL, _USER))
         self.units = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+") if not crossing and self.model.dummy_prefix else None
-        self.memo: dict[str, tuple[bytes, bool, bool]] = {}
+        self.memo: dict[str, bytes] = {}
+        #: Parity and round trip of the few units that lack one.
+        self.flaws: dict[str, tuple[bool, bool]] = {}
 
     def normalize(self, text: str) -> str:
         if self.plain:  # what the rebuilt normaliser does with an identity rule, without its bookkeeping
@@ -206,21 +208,25 @@ class Codec:
             fine = [d == u.replace(MARK, " ") for u, d in zip(units, back, strict=True)]
         for u, i, r, d in zip(units, ids, right, fine, strict=True):
             same = i == r or u == MARK
-            self.memo[u] = (array("i", i if same else r).tobytes(), same, d)
+            self.memo[u] = array("i", i if same else r).tobytes()
+            if not (same and d):
+                self.flaws[u] = (same, d)
 
     def encode(self, texts: Sequence[str]) -> list[tuple[bytes, bool, bool]]:
         """For each text its ids as int32 bytes, parity with the library, and whether decoding gives the text."""
         if len(self.memo) > MEMO:
             self.memo.clear()
+            self.flaws.clear()
         normal = [self.normalize(t) for t in texts]
         cut = [self.split(t) for t in normal]
         if new := list({u for units in cut for u in units if u not in self.memo}):
             self.learn(new)
         out = []
         for text, norm, units in zip(texts, normal, cut, strict=True):
-            got = [self.memo[u] for u in units]
+            flaws = [self.flaws[u] for u in units if u in self.flaws] if self.flaws else []
             whole = norm.replace(MARK, " ")[1 if self.model.dummy_prefix else 0 :] == text
-            out.append((b"".join(x[0] for x in got), all(x[1] for x in got), whole and all(x[2] for x in got)))
+            ids = b"".join(map(self.memo.__getitem__, units))
+            out.append((ids, all(x[0] for x in flaws), whole and all(x[1] for x in flaws)))
         return out
 
     def decode(self, ids: Sequence[int]) -> str:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 CHUNK = 65_536
 OVERLAP = 512
 #: Distinct pieces that a worker remembers; beyond it starts anew.
-MEMO = 600_000
+MEMO = 250_000
 #: Texts handled at a time.
 BATCH = 1024
 _CUT = re.compile(r"(?<=\S) (?=\S)")

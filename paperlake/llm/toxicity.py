@@ -40,7 +40,7 @@ EPOCHS = 120
 #: Standard errors by which a feature's rate in P must differ from that in U.
 MIN_Z = 5.0
 #: Words that a worker remembers.
-MEMO = 400_000
+MEMO = 100_000
 _MARKS = str.maketrans(dict.fromkeys(".,;:!?|\"'()[]{}", " "))
 
 
