@@ -41,6 +41,8 @@ EPOCHS = 120
 MIN_Z = 5.0
 #: Words that a worker remembers.
 MEMO = 100_000
+#: Texts handled at a time.
+BATCH = 512
 _MARKS = str.maketrans(dict.fromkeys(".,;:!?|\"'()[]{}", " "))
 
 
@@ -110,9 +112,16 @@ def fit_pu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: floa
     return Classifier(weights, b)
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Few texts at a time as Python strings."""
+    for b in batches:
+        for i in range(0, b.num_rows, BATCH):
+            yield b.slice(i, BATCH)
+
+
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     memo: dict[str, list[int]] = {}
-    for b in batches:
+    for b in slices(batches):
         out = []
         for text in b.column(1).to_pylist():
             if len(memo) > MEMO:
@@ -175,7 +184,7 @@ def score(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, memo = shared.value, {}
-        for b in batches:
+        for b in slices(batches):
             z = []
             for text in b.column(b.num_columns - 1).to_pylist():
                 if len(memo) > MEMO:
