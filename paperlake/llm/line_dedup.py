@@ -5,8 +5,11 @@ of every window of ``w`` grams the (last) smallest is kept as a fingerprint, so
 any run of at least ``k + w - 1`` equal lines shares one. Positions are joined
 through three keys (the gram, the gram with the line before, with the line
 after): each later position meets the first one of its key, never all others.
-Matches are extended both ways along their diagonal, and runs of ``k`` or more
-equal lines are deleted from the later place.
+Every line and every gram of more than ``LONG`` words is a key of its own, so a
+repeated passage of whole lines and over ``LONG`` words always meets its first
+place, however few lines it has. Matches are extended both ways along their
+diagonal, and runs of ``k`` or more equal lines, and equal lines of more than
+``LONG`` words, are deleted from the later place.
 
 "Later" is by (id, row key, line number), null ids first. Lines are equal if
 their text is, byte for byte; a text of n line feeds has n + 1 lines.
@@ -25,6 +28,8 @@ from paperlake.llm.common import materialize, row_key, text_or_empty
 
 K = 2
 W = 2
+#: Lines and grams of more words (runs of characters that are no ASCII white space) need no fingerprint to be found.
+LONG = 50
 
 
 def lines(text_col: str) -> Column:
@@ -51,22 +56,29 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str, k: int = K, w: i
             F.col(id_col).alias("id"),
             row_key(id_col, text_col).alias("key"),
             F.transform(lines(text_col), lambda x: F.xxhash64(x)).alias("h"),
+            F.transform(lines(text_col), lambda x: F.regexp_count(x, F.lit(r"\S+"))).alias("m"),
         )
-        .where(F.size("h") >= k)
+        .where(F.size("h") > 0)
         .dropDuplicates(["key"]),
         "line-hashes",
     )
     grams = h.withColumn(
         "g",
-        F.transform(F.sequence(F.lit(0), F.size("h") - k), lambda i: F.xxhash64(*[F.get("h", i + j) for j in range(k)])),
-    )
-    spots = grams.select(
-        "id",
-        "key",
-        F.explode(F.transform(fingerprints(k, w), lambda i: F.struct(i.alias("i"), F.get("g", i).alias("g"), F.get("h", i - 1).alias("a"), F.get("h", i + k).alias("b")))).alias("x"),
+        F.when(F.size("h") >= k, F.transform(F.sequence(F.lit(0), F.greatest(F.size("h") - k, F.lit(0))), lambda i: F.xxhash64(*[F.get("h", i + j) for j in range(k)]))).otherwise(F.array().cast("array<bigint>")),
+    ).withColumn("p", fingerprints(k, w))
+    spot = lambda i, kind, g, a=F.lit(None).cast("long"), b=F.lit(None).cast("long"): F.struct(i.alias("i"), F.lit(kind).alias("kind"), g.alias("g"), a.alias("a"), b.alias("b"))
+    words = lambda i: sum((F.get("m", i + j) for j in range(1, k)), F.get("m", i))
+    numbers = lambda c: F.transform(c, lambda x, i: i)
+    long_grams = F.array_except(F.filter(numbers("g"), lambda i: words(i) > LONG), "p")
+    long_lines = F.filter(numbers("h"), lambda i: F.get("m", i) > LONG)
+    found = F.concat(
+        F.transform("p", lambda i: spot(i, 0, F.get("g", i), F.get("h", i - 1), F.get("h", i + k))),
+        F.transform(long_grams, lambda i: spot(i, 0, F.get("g", i))),
+        F.transform(long_lines, lambda i: spot(i, 3, F.get("h", i))),
     )
+    spots = grams.select("id", "key", F.explode(found).alias("x"))
     keys = F.array(
-        F.xxhash64(F.lit(0), F.col("x.g")),
+        F.xxhash64(F.col("x.kind"), F.col("x.g")),
         F.when(F.col("x.a").isNotNull(), F.xxhash64(F.lit(1), F.col("x.g"), F.col("x.a"))),
         F.when(F.col("x.b").isNotNull(), F.xxhash64(F.lit(2), F.col("x.g"), F.col("x.b"))),
     )
@@ -78,13 +90,12 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str, k: int = K, w: i
         .select("key", F.col("first.key").alias("key0"), (F.col("i") - F.col("first.i")).alias("diagonal"))
         .distinct()
     )
-    own = h.select("key", "h")
-    both = pairs.join(own, "key").join(own.select(F.col("key").alias("key0"), F.col("h").alias("h0")), "key0")
-    # equal lines along the diagonal, then those in runs of k
+    both = pairs.join(h.select("key", "h", "m"), "key").join(h.select(F.col("key").alias("key0"), F.col("h").alias("h0")), "key0")
+    # equal lines along the diagonal, then those in runs of k and the long ones
     same = F.transform("h", lambda x, i: F.when((i >= F.col("diagonal")) & (i - F.col("diagonal") < F.size("h0")), x == F.get("h0", i - F.col("diagonal"))).otherwise(False))
     both = both.withColumn("same", same)
     in_run = lambda j: F.exists(F.sequence(F.greatest(j - (k - 1), F.lit(0)), j), lambda s: (s + k <= F.size("same")) & F.forall(F.slice("same", s + 1, F.lit(k)), lambda e: e))
-    gone = F.filter(F.transform("same", lambda e, j: F.when(e & in_run(j), j)), lambda j: j.isNotNull())
+    gone = F.filter(F.transform("same", lambda e, j: F.when(e & (in_run(j) | (F.get("m", j) > LONG)), j)), lambda j: j.isNotNull())
     return both.select("key", gone.alias("gone")).groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
 
 

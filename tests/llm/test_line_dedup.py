@@ -76,3 +76,23 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert (by[6].n_lines, by[6].n_removed) == (8, 4)
     assert L.drop_repeats(odd_docs).columns == odd_docs.columns
     assert L.digest(no_docs).count() == 0
+
+
+def test_long_passages_always_go(spark):
+    rng = random.Random(4)
+    long = lambda n, words: " ".join(f"{n}w{j}" for j in range(words))
+    pairs = [(long(f"a{n}", 30), long(f"b{n}", 30)) for n in range(12)]
+    singles = [long(f"s{n}", 51) for n in range(12)]
+    rows, must = [(0, "\n".join([x for p in pairs for x in (*p, "between")] + [x for s in singles for x in (s, "other")])), (1, long("t", 60)), (2, long("t", 60)), (3, long("u", 50)), (4, long("u", 50))], {(2, 0)}
+    for d in range(5, 60):
+        own = [f"own {d} {j}" for j in range(rng.randint(2, 9))]
+        at = rng.randint(0, len(own))
+        run = rng.choice(pairs) if d % 2 else (rng.choice(singles),)
+        must.update((d, at + j) for j in range(len(run)))
+        rows.append((d, "\n".join([*own[:at], *run, *own[at:]])))
+    out = {r.doc_id: r.text for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    for d, t in rows:
+        want = [x for j, x in enumerate(t.split("\n")) if (d, j) not in must]
+        if d:  # in the first document only later lines "between" and "other" could repeat, and each stands alone
+            assert out[d] == "\n".join(want), d
+    assert out[0] == rows[0][1]
