@@ -1,9 +1,10 @@
 """Operator 4, license scans by conditional compression.
 
-A candidate block begins at a line that holds a word every template has one of
-(``TRIGGER``), and reaches over following lines as far as the longest template.
-The block is compressed alone and with each template as a zstandard raw
-dictionary; templates are ranked by the bytes saved. The best ones are
+Every template has words of ``TRIGGER``; they are sought in the whole text, with
+white space (line feeds too) as one space, so notices may be wrapped anywhere.
+The surroundings of each trigger are compressed alone and with each template as
+a zstandard raw dictionary; templates are ranked by the bytes saved. The best
+ones are laid over the text so that a trigger of theirs meets the one found, and
 confirmed by their exact differences in wording: words of the template that are
 missing, and words between its first and last matching word that it hasn't.
 Placeholders (year, holder) are free; a difference in a number rejects.
@@ -19,6 +20,7 @@ table gives an empty result.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -27,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TRIGGER = r"(?i)licen[sc]e|copyright|permission|redistribut|rights reserved|public domain|spdx"
-#: Templates that are confirmed for a block, the largest saving first.
+TRIGGER = r"(?i)licen[sc]e|copyright|permission|redistribut|rights\W+reserved|public\W+domain|spdx"
+#: Templates that are confirmed for a trigger, the largest saving first.
 RANKED = 4
 #: Share of a template's words that may differ; templates of under ten words must be met exactly.
 SLACK = 0.1
@@ -71,8 +73,11 @@ TEMPLATES = {
 }
 
 
+WORD = re.compile(r"<\w+>|[\w.+-]*\w")
+
+
 def words(text: str) -> list[str]:
-    return re.findall(r"<\w+>|[\w.+-]*\w", text.lower())
+    return WORD.findall(text.lower())
 
 
 def differences(template: list[str], block: list[str]) -> tuple[int, bool]:
@@ -80,6 +85,12 @@ def differences(template: list[str], block: list[str]) -> tuple[int, bool]:
     found = [m for m in SequenceMatcher(None, template, block, autojunk=False).get_matching_blocks() if m.size]
     if not found:
         return len(template), True
+    # a stray word beside the notice may match: the first and the last place are those that leave the least differences
+    each = [_differences(template, block, found[i:j]) for i in range(len(found)) for j in range(i + 1, len(found) + 1)]
+    return min(each, key=lambda x: (x[1], x[0]))
+
+
+def _differences(template: list[str], block: list[str], found: list) -> tuple[int, bool]:
     odd = template[: found[0].a] + template[found[-1].a + found[-1].size :]
     for x, y in zip(found, found[1:], strict=False):
         missing, extra = template[x.a + x.size : y.a], block[x.b + x.size : y.b]
@@ -95,54 +106,65 @@ class Scanner:
         import zstandard as zstd
 
         self.plain = zstd.ZstdCompressor(level=3)
+        self.trigger = re.compile(TRIGGER)
         self.templates = []
         for name, text in templates.items():
             raw = zstd.ZstdCompressionDict(text.encode(), dict_type=zstd.DICT_TYPE_RAWCONTENT)
-            self.templates.append((name, words(text), len(text.encode()), len(self.plain.compress(text.encode())), zstd.ZstdCompressor(level=3, dict_data=raw)))
+            want, anchors = self.tokens(text)
+            self.templates.append((name, want, anchors, len(text.encode()), len(self.plain.compress(text.encode())), zstd.ZstdCompressor(level=3, dict_data=raw)))
         self.reach = max(len(t[1]) for t in self.templates) * 5 // 4 + 20
-        self.trigger = re.compile(TRIGGER)
-        self.memo: dict[str, list[tuple[str, int, int]]] = {}
-
-    def blocks(self, text: str) -> Iterator[str]:
-        lines = text.split("\n")
-        for i, line in enumerate(lines):
-            if self.trigger.search(line):
-                block, n = line, len(words(line))
-                for more in lines[i + 1 :]:
-                    if n >= self.reach:
-                        break
-                    block, n = f"{block}\n{more}", n + len(words(more))
-                yield block
-
-    def match(self, block: str) -> list[tuple[str, int, int]]:
-        """Confirmed templates: name, bytes saved, words that differ."""
-        if block in self.memo:
-            return self.memo[block]
-        own, ranked = words(block), []
-        hits = [m.start() for m in self.trigger.finditer(block)]
-        for name, want, size, alone, packer in self.templates:
-            # the surroundings of each trigger, as wide as the template: a long block must not hide a short saving
-            gain = 0
-            for at in hits:
-                part = block[max(0, at - size) : at + size].encode()
-                gain = max(gain, len(self.plain.compress(part)) - len(packer.compress(part)))
+        self.memo: dict[tuple[str, int], list[tuple[str, int, int]]] = {}
+
+    def tokens(self, text: str) -> tuple[list[str], list[int]]:
+        """Words, and which of them the triggers begin in."""
+        found = list(WORD.finditer(text))
+        starts = [m.start() for m in found]
+        return [m.group().lower() for m in found], [bisect_right(starts, m.start()) - 1 for m in self.trigger.finditer(text)]
+
+    def blocks(self, text: str) -> Iterator[tuple[str, int]]:
+        """The surroundings of each trigger, and its place in them."""
+        text = " ".join(text.split())
+        found = list(WORD.finditer(text))
+        starts = [m.start() for m in found]
+        wide, size = 2 * self.reach, max(t[3] for t in self.templates)
+        for m in self.trigger.finditer(text):
+            at, i = m.start(), bisect_right(starts, m.start()) - 1
+            first, last = starts[max(0, i - wide)], found[min(len(found) - 1, i + wide)].end()
+            first, last = min(first, max(0, at - size)), max(last, at + size)
+            yield text[first:last], at - first
+
+    def match(self, block: str, at: int) -> list[tuple[str, int, int]]:
+        """Confirmed templates of the trigger at ``at``: name, bytes saved, words that differ."""
+        if (block, at) in self.memo:
+            return self.memo[block, at]
+        ranked = []
+        for name, want, anchors, size, alone, packer in self.templates:
+            # as wide as the template: a long block must not hide a short saving
+            part = block[max(0, at - size) : at + size].encode()
+            gain = len(self.plain.compress(part)) - len(packer.compress(part))
             if gain >= LEAST_GAIN * alone:
-                ranked.append((gain, name, want))
+                ranked.append((gain, name, want, anchors))
         ranked.sort(key=lambda x: (-x[0], x[1]))
         out = []
-        for gain, name, want in ranked[:RANKED]:
-            n, numbers = differences(want, own)
-            if not numbers and n <= (int(SLACK * len(want)) if len(want) >= 10 else 0):
-                out.append((name, gain, n))
-        if len(self.memo) > 20_000:
+        if ranked:
+            found = list(WORD.finditer(block))
+            own, i = [m.group().lower() for m in found], bisect_right([m.start() for m in found], at) - 1
+        for gain, name, want, anchors in ranked[:RANKED]:
+            most = int(SLACK * len(want)) if len(want) >= 10 else 0
+            free = lambda part: self.reach if any(w.startswith("<") for w in part) else most  # noqa: B023, E731
+            each = [differences(want, own[max(0, i - k - free(want[:k])) : i + len(want) - k + free(want[k:])]) for k in anchors]
+            fits = [n for n, numbers in each if not numbers and n <= most]
+            if fits:
+                out.append((name, gain, min(fits)))
+        if len(self.memo) > 5_000:
             self.memo.clear()
-        self.memo[block] = out
+        self.memo[block, at] = out
         return out
 
     def scan(self, text: str) -> list[dict]:
         best: dict[str, tuple[int, int]] = {}
-        for block in self.blocks(text):
-            for name, gain, n in self.match(block):
+        for block, at in self.blocks(text):
+            for name, gain, n in self.match(block, at):
                 best[name] = max(best.get(name, (gain, -n)), (gain, -n))
         return [{"license": k, "saved": g, "differing_words": -n} for k, (g, n) in sorted(best.items())]
 

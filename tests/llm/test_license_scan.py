@@ -33,3 +33,16 @@ def test_operator(spark, odd_docs, no_docs):
     df = spark.createDataFrame([(1, "Released under the MIT License.\nAll rights reserved."), (None, "All rights reserved.")], "doc_id long, text string")
     assert {r.doc_id: r.licenses for r in S.digest(df).collect()} == {1: "MIT,Proprietary", None: "Proprietary"}
     assert S.digest(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(S.TEMPLATES))
+def test_notices_may_be_wrapped_anywhere(spark, name):
+    notice = S.TEMPLATES[name].replace("<year>", "2019").replace("<holder>", "A. Person").split()
+    scan = S.Scanner(S.TEMPLATES).scan
+    texts = []
+    for i in range(1, len(notice)):
+        texts.append(f"{FILLER}\n{' '.join(notice[:i])}\n{' '.join(notice[i:])}\n{FILLER}")
+        assert name in [x["license"] for x in scan(texts[-1])], texts[-1]
+    texts.append("\n  ".join(notice))
+    rows = S.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert all(name in r.licenses.split(",") for r in rows)
