@@ -3,8 +3,8 @@
 Every template has words of ``TRIGGER``; they are sought in the whole text, with
 white space (line feeds too) as one space, so notices may be wrapped anywhere.
 The surroundings of each trigger are compressed alone and with each template as
-a zstandard raw dictionary; templates are ranked by the bytes saved. The best
-ones are laid over the text so that a trigger of theirs meets the one found, and
+a zstandard raw dictionary; templates that save too few bytes are out. All others
+are laid over the text so that a trigger of theirs meets the one found, and
 confirmed by their exact differences in wording: words of the template that are
 missing, and words between its first and last matching word that it hasn't.
 Placeholders (year, holder) are free; a difference in a number rejects.
@@ -30,8 +30,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TRIGGER = r"(?i)licen[sc]e|copyright|permission|redistribut|rights\W+reserved|public\W+domain|spdx"
-#: Templates that are confirmed for a trigger, the largest saving first.
-RANKED = 4
 #: Share of a template's words that may differ; templates of under ten words must be met exactly.
 SLACK = 0.1
 #: Share of a template's own compressed size that it must save.
@@ -137,19 +135,18 @@ class Scanner:
         """Confirmed templates of the trigger at ``at``: name, bytes saved, words that differ."""
         if (block, at) in self.memo:
             return self.memo[block, at]
-        ranked = []
+        likely = []
         for name, want, anchors, size, alone, packer in self.templates:
             # as wide as the template: a long block must not hide a short saving
             part = block[max(0, at - size) : at + size].encode()
             gain = len(self.plain.compress(part)) - len(packer.compress(part))
             if gain >= LEAST_GAIN * alone:
-                ranked.append((gain, name, want, anchors))
-        ranked.sort(key=lambda x: (-x[0], x[1]))
+                likely.append((gain, name, want, anchors))
         out = []
-        if ranked:
+        if likely:
             found = list(WORD.finditer(block))
             own, i = [m.group().lower() for m in found], bisect_right([m.start() for m in found], at) - 1
-        for gain, name, want, anchors in ranked[:RANKED]:
+        for gain, name, want, anchors in likely:
             most = int(SLACK * len(want)) if len(want) >= 10 else 0
             free = lambda part: self.reach if any(w.startswith("<") for w in part) else most  # noqa: B023, E731
             each = [differences(want, own[max(0, i - k - free(want[:k])) : i + len(want) - k + free(want[k:])]) for k in anchors]

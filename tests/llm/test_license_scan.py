@@ -46,3 +46,12 @@ def test_notices_may_be_wrapped_anywhere(spark, name):
     texts.append("\n  ".join(notice))
     rows = S.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert all(name in r.licenses.split(",") for r in rows)
+
+
+def test_all_notices_of_one_line_are_found():
+    names = sorted(S.TEMPLATES)
+    text = " ".join(S.TEMPLATES[n].replace("<year>", "2019").replace("<holder>", "A. Person") for n in names)
+    assert [x["license"] for x in S.Scanner(S.TEMPLATES).scan(text)] == names
+    # long relatives save more bytes around the same trigger
+    near = f"{S.TEMPLATES['GPL-3.0']} {S.TEMPLATES['GPL-2.0']} All rights reserved. {S.TEMPLATES['CC-BY-4.0-text']} {S.TEMPLATES['GPL-notice']}"
+    assert {"GPL-3.0", "GPL-2.0", "Proprietary", "CC-BY-4.0-text", "GPL-notice"} <= {x["license"] for x in S.Scanner(S.TEMPLATES).scan(near)}
