@@ -33,8 +33,6 @@ BLOCK = 576
 #: A row of a page: 192 pixels of three samples.
 WIDTH, SAMPLES = 192, 3
 PAGE_ROWS = 256
-#: Payloads up to this size take turns between the three codecs; larger ones are deflated.
-SMALL = 4 * BLOCK
 
 # Tags of the TIFF 6.0 format, and bytes of each field type.
 IMAGE_WIDTH, IMAGE_LENGTH, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
@@ -320,10 +318,10 @@ def payload(text: str) -> bytes:
 
 
 def to_tiff(data: bytes) -> bytes:
-    """The stored form of a payload; equal payloads give equal files."""
+    """The stored form of a payload; equal payloads give equal files. Its checksum chooses the codec, whatever its size."""
     rows = np.frombuffer(data, np.uint8).reshape(-1, WIDTH, SAMPLES)
     pages = [rows[i : i + PAGE_ROWS] for i in range(0, len(rows), PAGE_ROWS)]
-    codec = (DEFLATE, LZW, PACKBITS)[zlib.crc32(data) % 3] if len(data) <= SMALL else DEFLATE
+    codec = (DEFLATE, LZW, PACKBITS)[zlib.crc32(data) % 3]
     return write_tiff(pages, codec, predictor=codec != PACKBITS, tile=64 if len(rows) > 64 else None)
 
 

@@ -68,3 +68,17 @@ def test_one_row_per_page_and_faults(spark):
     assert [r.error is not None for r in rows if r.doc_id == 3] == [True]
     assert [r.error is not None for r in rows if r.doc_id == 4][-1]
     assert T.tiff_pages(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("rows", [1, 5, 63, 65, 300])
+def test_payloads_of_every_size_meet_every_codec(rows):
+    rng = random.Random(rows)
+    seen = set()
+    for _ in range(24):
+        data = T.payload("".join(rng.choices("etaoin shrdlu\n", k=rows * T.BLOCK - 7)))
+        media = T.to_tiff(data)
+        pages = list(T.read_pages(media))
+        assert len(pages) == -(-rows // T.PAGE_ROWS) and all(p.tiled == (rows > 64) for p in pages)
+        assert T.from_tiff(media)[0] == data and T.to_tiff(data) == media
+        seen |= {p.compression for p in pages}
+    assert seen == {T.DEFLATE, T.LZW, T.PACKBITS}
