@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of text that a Python worker handles at a time (one text, if it is longer).
+SLICE = 1 << 20
+#: Threads in which the tokenizer libraries encode a slice.
+THREADS = 2
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -17,10 +27,12 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``, which every executor sees.
 
     Only where the setting is absent (tests, one machine) a temporary folder is
-    made and recorded in the session.
+    made and recorded in the session; on a cluster the setting is required.
     """
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         place = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
@@ -48,3 +60,26 @@ def row_key(id_col: str, text_col: str) -> Column:
 
 def text_or_empty(text_col: str) -> Column:
     return F.coalesce(F.col(text_col), F.lit(""))
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: int = -1, size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Batches cut into slices of about ``size`` bytes of the column at ``text``, so that memory doesn't grow with texts.
+
+    Arrow's memory is handed back at the end: the next stage may reuse the worker.
+    """
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.columns[text]), 0).to_numpy(zero_copy_only=False))
+        at = done = 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(ends, done + size, side="right")))
+            yield batch.slice(at, stop - at)
+            at, done = stop, int(ends[stop - 1])
+    pa.default_memory_pool().release_unused()
+
+
+def library_threads() -> None:
+    """Call before a tokenizer library is first used; all operators say the same, since workers are reused."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "true"
+    os.environ["RAYON_NUM_THREADS"] = str(THREADS)

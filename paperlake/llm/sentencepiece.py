@@ -3,14 +3,17 @@
 The model file is read as a protobuf (wire format, no generated code). From it
 come the normaliser, the metaspace marker, the scores (unigram scores, or for
 BPE models merges ranked by the score of what they make) and byte fallback, and
-a ``tokenizers.Tokenizer`` with decoder is built. Encoding runs in batches of
-distinct units on several threads; every distinct unit is also encoded with the
-sentencepiece library. Where the two differ, the library's ids are returned and
-``parity`` is false for the row.
+a ``tokenizers.Tokenizer`` with decoder is built.
 
 Units: if no piece of the vocabulary has the marker behind another character,
 no token can reach across such a place, so a text is the concatenation of its
-units (marker run plus following characters). Otherwise a text is one unit.
+units (a marker run plus following characters). Units that a worker doesn't
+remember are strung together and encoded in batches on several threads, by the
+rebuilt tokenizer and by the sentencepiece library; so every distinct unit's
+parity is verified. Otherwise every text is encoded whole by both. Where the two
+differ, the library's ids are returned and ``parity`` is false for the row.
+
+Every row's ids are decoded again; ``round_trip`` says whether that gives the text.
 
 Defined results: null and empty texts give no ids and count as round trips;
 rows with null or repeated ids are treated like others; other columns are kept
@@ -20,10 +23,8 @@ by ``encode`` only when named in ``keep``; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 import struct
-from array import array
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -34,12 +35,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from paperlake.llm.common import THREADS, library_threads, slices
+
 MARK = "▁"
-MEMO = 200_000
-#: Texts handled at a time.
-BATCH = 1024
-#: Threads that encode a batch; as many as a task has cores.
-THREADS = 2
+#: Distinct units that a worker remembers; beyond it starts anew.
+MEMO = 100_000
+#: Units that are strung together for one call of the libraries.
+STRUNG = 200
+#: A unit in front of a lone one, since the library gives nothing for a lone marker.
+LEAD = MARK + "a"
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = range(1, 7)
 
 
@@ -167,10 +171,9 @@ class Codec:
     """Both backends for one model file, with a memory of distinct units."""
 
     def __init__(self, path: str):
+        library_threads()
         import sentencepiece
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "true"
-        os.environ["RAYON_NUM_THREADS"] = str(THREADS)
         with open(path, "rb") as f:
             data = f.read()
         self.model = Model.parse(data)
@@ -179,61 +182,83 @@ class Codec:
         self.normalizer, self.tok.normalizer = self.tok.normalizer, None
         plain = not self.model.charsmap and not self.model.remove_extra
         self.plain = plain and self.model.dummy_prefix
-        crossing = any(re.search(f"[^{MARK}]{MARK}", p) for p, _, kind in self.model.pieces if kind in (_NORMAL, _USER))
-        self.units = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+") if not crossing and self.model.dummy_prefix else None
+        known = [p for p, _, kind in self.model.pieces if kind in (_NORMAL, _USER)]
+        crossing = any(re.search(f"[^{MARK}]{MARK}", p) for p in known)
+        self.units = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+") if not crossing and self.model.dummy_prefix and MARK in known else None
+        self.begins = np.array([p.startswith(MARK) for p, _, _ in self.model.pieces])
+        self.bytes = [piece_bytes(p, kind) for p, _, kind in self.model.pieces]
         self.memo: dict[str, bytes] = {}
-        #: Parity and round trip of the few units that lack one.
-        self.flaws: dict[str, tuple[bool, bool]] = {}
+        #: The few units on which the two differ.
+        self.flaws: set[str] = set()
 
     def normalize(self, text: str) -> str:
         if self.plain:  # what the rebuilt normaliser does with an identity rule, without its bookkeeping
             return MARK + text.replace(" ", MARK) if text else ""
         return self.normalizer.normalize_str(text)
 
-    def split(self, normal: str) -> list[str]:
-        return self.units.findall(normal) if self.units else [normal] if normal else []
+    def both(self, normal: Sequence[str]) -> Iterator[tuple[list[int], list[int]]]:
+        """Ids of normalised strings by the rebuilt tokenizer and by the library, which puts its own marker in front."""
+        raw = [(x[1:] if self.model.dummy_prefix else x).replace(MARK, " ") for x in normal]
+        mine = self.tok.encode_batch_fast(list(normal), add_special_tokens=False)
+        return zip((e.ids for e in mine), self.sp.encode(raw, num_threads=THREADS), strict=True)
 
     def learn(self, units: Sequence[str]) -> None:
-        """Ids, parity and round trip of units that are new."""
-        found = self.tok.encode_batch(list(units), add_special_tokens=False)
-        # the library puts its own marker in front again
-        raw = [(u[1:] if self.model.dummy_prefix else u).replace(MARK, " ") for u in units]
-        right = self.sp.encode(raw, num_threads=THREADS)
-        ids = [e.ids for e in found]
-        # one call decodes all units; only if that differs, each is decoded by itself
-        if self.tok.decode([i for x in ids for i in x], skip_special_tokens=False) == "".join(units).replace(MARK, " "):
-            fine = [True] * len(ids)
-        else:
-            back = self.tok.decode_batch(ids, skip_special_tokens=False)
-            fine = [d == u.replace(MARK, " ") for u, d in zip(units, back, strict=True)]
-        for u, i, r, d in zip(units, ids, right, fine, strict=True):
-            same = i == r or u == MARK
-            self.memo[u] = array("i", i if same else r).tobytes()
-            if not (same and d):
-                self.flaws[u] = (same, d)
-
-    def encode(self, texts: Sequence[str]) -> list[tuple[bytes, bool, bool]]:
-        """For each text its ids as int32 bytes, parity with the library, and whether decoding gives the text."""
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-            self.flaws.clear()
+        """Ids and parity of units that are new."""
+        # a unit with a single marker begins at each piece with a marker, so its ids are found again in a string of units
+        simple, lone = [], []
+        for u in units:
+            (simple if len(u) > 1 and u[1] != MARK else lone).append(u)
+        strung = [simple[i : i + STRUNG] for i in range(0, len(simple), STRUNG)]
+        for part, (mine, right) in zip(strung, self.both(["".join(x) for x in strung]), strict=True):
+            ids = np.array(right, np.int32)
+            at = np.flatnonzero(self.begins[ids]) * 4
+            if mine != right or len(at) != len(part):
+                lone += part
+                continue
+            whole, ends = ids.tobytes(), [*at[1:].tolist(), len(ids) * 4]
+            for u, a, b in zip(part, at.tolist(), ends, strict=True):
+                self.memo[u] = whole[a:b]
+        if lone:
+            (mine_lead, right_lead), *found = self.both([LEAD, *(LEAD + u for u in lone)])
+            for u, (mine, right) in zip(lone, found, strict=True):
+                if mine[len(mine_lead) :] != right[len(right_lead) :]:
+                    self.flaws.add(u)
+                self.memo[u] = np.array(right[len(right_lead) :], np.int32).tobytes()
+
+    def encode(self, texts: Sequence[str]) -> list[tuple[bytes, bool]]:
+        """For each text its ids as int32 bytes, and parity with the library."""
         normal = [self.normalize(t) for t in texts]
-        cut = [self.split(t) for t in normal]
+        if self.units is None:
+            return [(np.array(right, np.int32).tobytes(), mine == right) for mine, right in self.both(normal)]
+        if len(self.memo) > MEMO:
+            self.forget()
+        cut = [self.units.findall(t) for t in normal]
         if new := list({u for units in cut for u in units if u not in self.memo}):
             self.learn(new)
-        out = []
-        for text, norm, units in zip(texts, normal, cut, strict=True):
-            flaws = [self.flaws[u] for u in units if u in self.flaws] if self.flaws else []
-            whole = norm.replace(MARK, " ")[1 if self.model.dummy_prefix else 0 :] == text
-            ids = b"".join(map(self.memo.__getitem__, units))
-            out.append((ids, all(x[0] for x in flaws), whole and all(x[1] for x in flaws)))
-        return out
+        return [(b"".join(map(self.memo.__getitem__, units)), not self.flaws or self.flaws.isdisjoint(units)) for units in cut]
+
+    def forget(self) -> None:
+        self.memo.clear()
+        self.flaws.clear()
 
     def decode(self, ids: Sequence[int]) -> str:
-        text = self.tok.decode([int(i) for i in ids], skip_special_tokens=True)
+        data = b"".join(map(self.bytes.__getitem__, ids))
+        try:
+            text = data.decode()
+        except UnicodeDecodeError:  # bytes that are no text: the decoder's own replacement
+            text = self.tok.decode(list(ids), skip_special_tokens=True)
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
 
+def piece_bytes(piece: str, kind: int) -> bytes:
+    """What a piece stands for in a decoded text: the decoder's steps, done once for each piece."""
+    if kind == _BYTE:
+        return bytes([int(piece[3:5], 16)])
+    if kind == _CONTROL:
+        return b""
+    return piece.replace(MARK, " ").encode() if kind != _UNKNOWN else " \u2047 ".encode()
+
+
 @lru_cache(maxsize=4)
 def codec(path: str) -> Codec:
     return Codec(path)
@@ -257,17 +282,17 @@ def encode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         backend = codec(path)
-        for whole in batches:
-            for i in range(0, whole.num_rows, BATCH):
-                batch = whole.slice(i, BATCH)
-                got = backend.encode(batch.column(batch.num_columns - 1).to_pylist())
-                sizes = np.array([len(x[0]) // 4 for x in got], np.int64)
-                ids = pa.ListArray.from_arrays(
-                    pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()),
-                    pa.array(np.frombuffer(b"".join(x[0] for x in got), np.int32)),
-                )
-                cols = [*batch.columns[:-1], ids, pa.array(sizes), pa.array([x[1] for x in got]), pa.array([x[2] for x in got])]
-                yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+        for batch in slices(batches):
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            got = backend.encode(texts)
+            sizes = np.array([len(x) // 4 for x, _ in got], np.int64)
+            ends = np.cumsum(sizes)
+            flat = np.frombuffer(b"".join(x for x, _ in got), np.int32)
+            back = [backend.decode(flat[e - n : e].tolist()) == t for n, e, t in zip(sizes, ends, texts, strict=True)]
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(flat))
+            cols = [*batch.columns[:-1], ids, pa.array(sizes), pa.array([x for _, x in got]), pa.array(back)]
+            yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+        backend.forget()
 
     return src.mapInArrow(run, schema)
 
@@ -281,7 +306,7 @@ def decode(encoded: DataFrame, ids_col: str = "input_ids", keep: Sequence[str] =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         backend = codec(path)
         for b in batches:
-            texts = [None if x is None else backend.decode(x) for x in b.column(b.num_columns - 1).to_pylist()]
+            texts = [backend.decode(x.as_py()) if x.is_valid else None for x in b.column(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], names=schema.names)
 
     return src.mapInArrow(run, schema)

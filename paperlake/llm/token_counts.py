@@ -1,17 +1,21 @@
 """Operator 1, token counts with overlap resynchronisation.
 
-A text of up to ``chunk`` characters is encoded in pieces that are cut at
-*proven stable* boundaries. A longer one is encoded as overlapping chunks with
-offsets; neighbouring encodings are spliced at a stable boundary on which both
-agree, and the overlap is doubled when there is none, until in the worst case
-(no white space at all) the chunks merge into one.
+A text of up to ``chunk`` bytes is one chunk. A longer one is encoded as
+overlapping chunks, with the offset of every token; neighbouring encodings are
+spliced at a stable boundary on which both agree, and the overlap is doubled
+when there is none, until in the worst case (no white space at all) the chunks
+merge into one.
+
+Offsets are in bytes: a byte-level vocabulary gives every token its number of
+bytes, and an encoding covers its chunk without gaps, so they are running sums.
 
 Why a boundary is stable: with the byte-level pre-tokenizer, a single space
 between two characters that aren't white space always begins a pre-token,
 whatever stands before or after, because no alternative of its pattern matches
 a space behind another character, and the pattern never looks back. So the
-tokens on each side don't depend on the other side. Special strings hold no
-space, and the check in ``_Backend`` makes sure of that.
+tokens on each side don't depend on the other side. Only spaces between visible
+ASCII characters are taken. Special strings hold no space, and the check in
+``Backend`` makes sure of that; files of another kind are encoded whole.
 
 Defined results: null and empty texts count 0 tokens and 0 bytes; rows with
 null or repeated ids are counted like any other; extra columns are left out,
@@ -20,9 +24,7 @@ so their names can't clash; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import os
-import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -30,16 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK = 65_536
-OVERLAP = 512
-#: Distinct pieces that a worker remembers; beyond it starts anew.
-MEMO = 250_000
-#: Texts handled at a time.
-BATCH = 1024
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-_RARE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-#: A piece that is one pre-token of Latin letters and perhaps one mark, also a pre-token.
-_WORD = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|]?)\Z")
+from paperlake.llm.common import library_threads, slices
+
+#: Bytes of a chunk, and by how many neighbours overlap at first.
+CHUNK = 4_096
+OVERLAP = 128
+#: Chunks that the library's threads encode together.
+GROUP = 64
 
 
 def default_path() -> str:
@@ -48,120 +47,104 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class _Backend:
+class Backend:
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        from tokenizers import Tokenizer, pre_tokenizers, processors
+        library_threads()
+        from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
         shape = str(self.tok.pre_tokenizer)
-        added = self.tok.get_added_tokens_decoder().values()
-        #: Cutting is proven for the byte-level pattern only; other files are encoded whole.
-        self.cuttable = (
+        added = {i: a.content for i, a in self.tok.get_added_tokens_decoder().items()}
+        #: Splicing is proven for the byte-level pattern only.
+        self.splices = (
             self.tok.normalizer is None
             and shape.startswith("ByteLevel(add_prefix_space=False")
             and "use_regex=True" in shape
-            and not any(a.lstrip or a.rstrip or a.single_word or any(c.isspace() for c in a.content) for a in added)
+            and not any(a.lstrip or a.rstrip or a.single_word for a in self.tok.get_added_tokens_decoder().values())
+            and not any(c.isspace() for text in added.values() for c in text)
         )
-        if self.cuttable:  # the same tokens, but offsets that keep a token's leading space
-            self.tok.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=False)
-            self.tok.post_processor = processors.ByteLevel(trim_offsets=False)
-        self.memo: dict[str, int] = {}
-        self.marks = {m: self.sizes([m])[0] for m in ("", *".,;:!?|")}
-        self.model = self.tok.model
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        hidden = [b for b in range(256) if b not in shown]
-        #: The printable character that stands for each byte in a byte-level vocabulary.
-        self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-
-    def sizes(self, texts: list[str]) -> list[int]:
-        return [len(e) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def starts(self, text: str) -> np.ndarray:
-        return np.array([a for a, _ in self.tok.encode(text, add_special_tokens=False).offsets], dtype=np.int64)
-
-    def short(self, texts: list[str]) -> list[int]:
-        """Counts of texts, each distinct piece between stable boundaries encoded once."""
-        if not self.cuttable:
-            return self.sizes(texts)
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        # the memory holds pieces without the space in front of them; a text's first piece has none
-        cut = [cut_stable(t) for t in texts]
-        new = list({x for pieces in cut for x in pieces[1:] if x not in memo})
-        memo.update(zip(new, self.pieces([" " + x for x in new]), strict=True))
-        first = self.pieces([pieces[0] for pieces in cut])
-        return [n + sum(map(memo.__getitem__, pieces[1:])) for n, pieces in zip(first, cut, strict=True)]
-
-    def pieces(self, pieces: list[str]) -> list[int]:
-        """Token counts: single words straight from the model, all else by the whole tokenizer."""
-        counts, rest = [0] * len(pieces), []
-        for i, x in enumerate(pieces):
-            if m := _WORD.match(x):
-                word = m[1].encode().decode("latin-1").translate(self.letters)
-                counts[i] = len(self.model.tokenize(word)) + self.marks[m[2]]
-            else:
-                rest.append(i)
-        for i, n in zip(rest, self.sizes([pieces[i] for i in rest]), strict=True):
-            counts[i] = n
-        return counts
-
-
-def cut_stable(text: str) -> list[str]:
-    """Pieces between proven stable boundaries, without the space that begins all but the first."""
-    odd = "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or _RARE.search(text)
-    return _CUT.split(text) if odd else text.split(" ")
+        vocabulary = self.tok.get_vocab()
+        self.splices &= sum(len(token) == 1 for token in vocabulary) >= 256  # every byte is a token: no gaps
+        #: Bytes of each token: its characters stand for one byte each, but for special strings.
+        self.bytes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.bytes[i] = len(added[i].encode()) if i in added else len(token)
+
+    def ids(self, texts: Sequence[str]) -> list[list[int]]:
+        return [e.ids for e in self.tok.encode_batch_fast(list(texts), add_special_tokens=False)]
+
+    def starts(self, data: bytes, spans: Sequence[tuple[int, int]]) -> Iterator[np.ndarray]:
+        """For each span of a text, the offsets at which its tokens begin."""
+        for i in range(0, len(spans), GROUP):
+            for x in self.ids([data[a:b].decode() for a, b in spans[i : i + GROUP]]):
+                n = self.bytes[np.array(x, np.int64)]
+                yield np.cumsum(n) - n
 
 
 @lru_cache(maxsize=4)
-def _backend(path: str) -> _Backend:
-    return _Backend(path)
+def backend(path: str) -> Backend:
+    return Backend(path)
 
 
-def stable_boundary(text: str, left: np.ndarray, a: int, right: np.ndarray, b: int, end: int) -> int | None:
+def character_start(data: bytes, at: int) -> int:
+    """The last position up to ``at`` where a character begins."""
+    while 0 < at < len(data) and data[at] & 0xC0 == 0x80:
+        at -= 1
+    return at
+
+
+def stable_boundary(data: bytes, left: np.ndarray, a: int, right: np.ndarray, b: int, end: int) -> int | None:
     """The last position before ``end`` that begins a token in both encodings and is proven stable.
 
     ``left`` and ``right`` hold token starts of the chunks that begin at ``a`` and ``b``.
     """
-    both = np.intersect1d(left + a, right + b)
+    both = np.intersect1d(left[np.searchsorted(left, b - a, side="right") :] + a, right[: np.searchsorted(right, end - b)] + b)
     for p in both[(both > b) & (both < end - 1)][::-1].tolist():
-        if text[p] == " " and not text[p - 1].isspace() and not text[p + 1].isspace():
+        if data[p] == 32 and 32 < data[p - 1] < 127 and 32 < data[p + 1] < 127:
             return p
     return None
 
 
-def count_long(backend: _Backend, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
+def count_long(tok: Backend, data: bytes, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
     """Tokens of one text by overlapping chunks."""
-    n, base, a, b = len(text), 0, 0, min(len(text), chunk)
-    starts, total = backend.starts(text[:b]), 0
-    while b < n:
-        width, p = overlap, None
-        while p is None:
-            c = max(base, b - width)
-            if c <= base:  # the overlap has reached the last splice: one larger chunk instead
-                b = min(n, b + max(chunk, b - base))
-                a, starts = base, backend.starts(text[base:b])
-                break
-            d = min(n, b + chunk)
-            further = backend.starts(text[c:d])
-            p = stable_boundary(text, starts, a, further, c, b)
+    spans, at = [], 0
+    while True:
+        end = character_start(data, min(len(data), at + max(chunk, 8)))
+        spans.append((at, end))
+        if end == len(data):
+            break
+        at = max(at + 1, character_start(data, end - min(overlap, max(chunk, 8) // 2)))
+        while at < len(data) and data[at] & 0xC0 == 0x80:
+            at += 1
+    others = tok.starts(data, spans)
+    (a, b), *rest = spans
+    starts, base, total = next(others), 0, 0
+    for (c, d), further in zip(rest, others, strict=True):
+        if d <= b:  # a merged chunk has covered it
+            continue
+        width, p = b - c, None
+        while (p := stable_boundary(data, starts, a, further, c, b) if c > base else None) is None:
             width *= 2
-        if p is not None:
-            total += int(np.searchsorted(starts, p - a) - np.searchsorted(starts, base - a))
-            base, a, b, starts = p, c, d, further
+            if b - width <= base:  # the overlap has reached the last splice: one larger chunk instead
+                break
+            c = character_start(data, b - width)
+            further = next(tok.starts(data, [(c, d)]))
+        if p is None:
+            a, b = base, max(d, character_start(data, min(len(data), 2 * b - base)))
+            starts = next(tok.starts(data, [(a, b)]))
+            continue
+        total += int(np.searchsorted(starts, p - a) - np.searchsorted(starts, base - a))
+        base, a, b, starts = p, c, d, further
     return total + int(len(starts) - np.searchsorted(starts, base - a))
 
 
-def count_batch(backend: _Backend, texts: list[str], chunk: int, overlap: int) -> list[int]:
-    long = backend.cuttable
-    counts = backend.short([t if not long or len(t) <= chunk else "" for t in texts])
-    for i, t in enumerate(texts):
-        if long and len(t) > chunk:
-            counts[i] = count_long(backend, t, chunk, overlap)
-    return counts
+def count_batch(tok: Backend, texts: Sequence[str], chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
+    data = [t.encode() for t in texts]
+    long = [tok.splices and len(x) > chunk for x in data]
+    short = iter(tok.ids([t for t, is_long in zip(texts, long, strict=True) if not is_long]))
+    return [count_long(tok, x, chunk, overlap) if is_long else len(next(short)) for x, is_long in zip(data, long, strict=True)]
 
 
 def count_tokens(
@@ -180,19 +163,12 @@ def count_tokens(
     schema = f"id {kind.simpleString()}, n_bytes long, n_tokens long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        backend = _backend(path)
-        for whole in batches:
-            for i in range(0, whole.num_rows, BATCH):
-                batch = whole.slice(i, BATCH)
-                texts = batch.column(1).to_pylist()
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0),
-                        pa.array([len(t.encode()) for t in texts], pa.int64()),
-                        pa.array(count_batch(backend, texts, chunk, overlap), pa.int64()),
-                    ],
-                    names=["id", "n_bytes", "n_tokens"],
-                )
+        tok = backend(path)
+        for batch in slices(batches):
+            texts = batch.column(1).to_pylist()
+            sizes = pa.array([len(t.encode()) for t in texts], pa.int64())
+            counts = pa.array(count_batch(tok, texts, chunk, overlap), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, counts], names=["id", "n_bytes", "n_tokens"])
 
     out = src.mapInArrow(run, schema)
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

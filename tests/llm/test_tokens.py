@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import struct
 
+import numpy as np
 import pytest
 
 from paperlake.llm import sentencepiece as S
@@ -28,16 +29,27 @@ def random_texts(n, seed):
 
 def test_counts_equal_library_for_odd_texts():
     texts = random_texts(200, 1) + ["", " ", "\n", "<|endoftext|>"]
-    b = T._Backend(T.default_path())
-    assert b.cuttable
-    assert T.count_batch(b, texts, 65_536, 512) == reference_counts(texts)
+    b = T.backend(T.default_path())
+    assert b.splices
+    assert T.count_batch(b, texts) == reference_counts(texts)
+    assert max(len(t.encode()) for t in texts) < T.CHUNK
+
+
+def test_every_text_over_a_chunk_is_spliced(monkeypatch):
+    texts = [" ".join(random_texts(12, seed)) for seed in range(6)]
+    b, seen = T.backend(T.default_path()), []
+    spliced = T.stable_boundary
+    monkeypatch.setattr(T, "stable_boundary", lambda *a: seen.append(spliced(*a)) or seen[-1])
+    assert min(len(t.encode()) for t in texts) > T.CHUNK
+    assert T.count_batch(b, texts) == reference_counts(texts)
+    assert sum(p is not None for p in seen) >= len(texts)
 
 
 @pytest.mark.parametrize("chunk,overlap", [(50, 8), (64, 20), (200, 1)])
 def test_overlap_resynchronisation_equals_whole_encoding(chunk, overlap):
-    b = T._Backend(T.default_path())
+    b = T.backend(T.default_path())
     texts = [t for t in random_texts(60, 2) + ["x" * 700, "ab " * 300, "漢" * 300 + " a b" * 30] if t]
-    assert [T.count_long(b, t, chunk, overlap) for t in texts] == reference_counts(texts)
+    assert [T.count_long(b, t.encode(), chunk, overlap) for t in texts] == reference_counts(texts)
 
 
 def test_count_tokens_operator(spark, odd_docs, no_docs):
@@ -51,14 +63,30 @@ def test_count_tokens_operator(spark, odd_docs, no_docs):
 
 def test_sentencepiece_parity_and_round_trip():
     c = S.codec(S.default_path())
-    texts = random_texts(150, 3) + ["", " ", "a▁b"]
+    texts = random_texts(150, 3) + ["", " ", "a▁b", "a ", "  ", " a", "a  b   c ▁▁"]
     got = c.encode(texts)
-    for t, (ids, parity, back) in zip(texts, got, strict=True):
+    for t, (ids, parity) in zip(texts, got, strict=True):
         ids = list(struct.unpack(f"<{len(ids) // 4}i", ids))
         assert ids == c.sp.encode(t), t
         assert parity
-        assert (c.decode(ids) == t) or "▁" in t
-        assert back == ("▁" not in t)
+        assert c.decode(ids) == c.sp.decode(ids) == c.tok.decode(ids)[1 if ids else 0 :]
+        assert (c.decode(ids) == t) == ("▁" not in t)
+
+
+def test_sentencepiece_ids_that_are_no_text():
+    c = S.codec(S.default_path())
+    ids = [c.sp.piece_to_id("<0xE6>"), c.sp.piece_to_id("▁the"), c.sp.piece_to_id("<0xFF>")]
+    assert c.decode(ids) == c.tok.decode(ids)
+
+
+def test_sentencepiece_disagreement_is_reported(monkeypatch):
+    """Where the rebuilt tokenizer differs, the library's ids come back and parity is false."""
+    c = S.Codec(S.default_path())
+    both = c.both
+    monkeypatch.setattr(c, "both", lambda normal: ((mine + [5] if "wrong" in x else mine, right) for x, (mine, right) in zip(normal, both(normal), strict=True)))
+    (a, good), (b, bad) = c.encode(["all is well", "this is wrong here"])
+    assert good and not bad
+    assert np.frombuffer(b, np.int32).tolist() == c.sp.encode("this is wrong here")
 
 
 def message(*pairs):
@@ -96,7 +124,7 @@ def test_unigram_model_written_by_hand(tmp_path, extra):
     c = S.Codec(str(path))
     assert c.model.kind == 1 and c.model.byte_fallback
     for t in ["abc", "ab abc", "aab  bc", "ü abc", " a ", ""]:
-        ids, parity, _ = c.encode([t])[0]
+        ids, parity = c.encode([t])[0]
         assert list(struct.unpack(f"<{len(ids) // 4}i", ids)) == c.sp.encode(t), t
         assert parity, t
 
