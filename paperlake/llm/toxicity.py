@@ -8,11 +8,12 @@ the share of toxic rows among the labelled training rows. Only rows outside the
 held-out fold (CRC-32 of the id as text, mod 3, equal to 1) give labels or texts
 to training.
 
-The fit takes at most ``max_positive`` and ``max_unlabelled`` rows, chosen by a
-hash of the id: that bound is what keeps the sample, its ids (joined as a
-broadcast of at most 80 kB) and the driver's matrix small. The trained weights
-have ``1 << HASH_BITS`` entries at most. Scoring reads every whole text in one
-narrow step.
+The fit takes at most ``max_positive`` and ``max_unlabelled`` different rows (id
+and text), chosen by a hash, and of a text with more than ``max_words`` distinct
+words those with the smallest hashes. These bounds keep the sample, its keys
+(joined as a broadcast of at most 160 kB) and the driver's matrix small, however
+often an id is repeated. The trained weights have ``1 << HASH_BITS`` entries at
+most. Scoring reads every whole text in one narrow step.
 
 Defined results: null and empty texts are scored from the bias alone; rows with
 a null id are in no fold (``held_out`` false) and never train; repeated labels
@@ -31,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperlake.llm.common import slices
+
 HASH_BITS = 18
 MAX_POSITIVE = 2_000
 MAX_UNLABELLED = 8_000
@@ -39,10 +42,10 @@ PREFIXES = (4, 5, 6)
 EPOCHS = 120
 #: Standard errors by which a feature's rate in P must differ from that in U.
 MIN_Z = 5.0
+#: Distinct words of one text that the fit takes at most.
+MAX_WORDS = 2_048
 #: Words that a worker remembers.
-MEMO = 100_000
-#: Texts handled at a time.
-BATCH = 512
+MEMO = 50_000
 _MARKS = str.maketrans(dict.fromkeys(".,;:!?|\"'()[]{}", " "))
 
 
@@ -112,27 +115,18 @@ def fit_pu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: floa
     return Classifier(weights, b)
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Few texts at a time as Python strings."""
-    for b in batches:
-        for i in range(0, b.num_rows, BATCH):
-            yield b.slice(i, BATCH)
-
+def _feature_rows(max_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            out = []
+            for text in b.column(1).to_pylist():
+                w = words(text)
+                if len(w) > max_words:
+                    w = sorted(w, key=lambda x: (zlib.crc32(x.encode()), x))[:max_words]
+                out.append(np.array([f for x in sorted(w) for f in features(x)], np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["positive", "slots"])
 
-def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    memo: dict[str, list[int]] = {}
-    for b in slices(batches):
-        out = []
-        for text in b.column(1).to_pylist():
-            if len(memo) > MEMO:
-                memo.clear()
-            slots: list[int] = []
-            for w in words(text):
-                if (f := memo.get(w)) is None:
-                    f = memo[w] = features(w)
-                slots += f
-            out.append(np.array(slots, np.int32).tobytes())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["positive", "slots"])
+    return run
 
 
 def fit(
@@ -143,8 +137,8 @@ def fit(
     label_col: str = "toxic",
     max_positive: int = MAX_POSITIVE,
     max_unlabelled: int = MAX_UNLABELLED,
+    max_words: int = MAX_WORDS,
 ) -> Classifier:
-    order = F.xxhash64("id")
     known = (
         labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y"))
         .where("id is not null and y is not null")
@@ -155,22 +149,16 @@ def fit(
     total, toxic = known.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not toxic:
         return fit_pu([], [], 0.5)
-    free = docs.select(F.col(id_col).alias("id")).where("id is not null").where(~held_out("id")).distinct()
-    chosen = (
-        known.where("y = 1")
-        .select("id")
-        .orderBy(order, "id")
-        .limit(max_positive)
-        .withColumn("positive", F.lit(True))
-        .unionByName(free.orderBy(order, "id").limit(max_unlabelled).withColumn("positive", F.lit(False)))
-    )
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    # at most max_positive + max_unlabelled ids are broadcast
-    sample = texts.join(F.broadcast(chosen), "id").select("positive", "text")
-    got = sample.mapInArrow(_feature_rows, "positive boolean, slots binary").toArrow().to_pydict()
-    rows = [np.frombuffer(x, np.int32) for x in got["slots"]]
-    pos = [r for r, y in zip(rows, got["positive"], strict=True) if y]
-    unl = [r for r, y in zip(rows, got["positive"], strict=True) if not y]
+    row = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("id", "text"))
+    free = row.where("id is not null").where(~held_out("id")).select("id", "h").distinct()
+    # rows and ids are told apart by hash only, so equal rows count once; a draw is the rows with the smallest hashes
+    draw = lambda rows, n, y: rows.select("h").orderBy("h").limit(n).withColumn("positive", F.lit(y))
+    chosen = draw(free.join(known.where("y = 1"), "id", "left_semi"), max_positive, True).unionByName(draw(free, max_unlabelled, False))
+    # at most max_positive + max_unlabelled hashes are broadcast
+    sample = row.join(F.broadcast(chosen), "h").groupBy("positive", "h").agg(F.first("text").alias("text"))
+    got = sample.select("positive", "text").mapInArrow(_feature_rows(max_words), "positive boolean, slots binary").toArrow().to_pydict()
+    rows = sorted(zip(got["positive"], got["slots"], strict=True))  # in one order, so that one sample gives one model
+    pos, unl = ([np.frombuffer(x, np.int32) for y, x in rows if y == kind] for kind in (True, False))
     return fit_pu(pos, unl, min(max(toxic / total, 1e-4), 0.9))
 
 

@@ -42,6 +42,41 @@ def test_held_out_accuracy(spark):
     assert kept.columns == docs.columns and 700 < kept.count() < 790
 
 
+def test_sample_is_bounded_by_rows_and_words(spark, monkeypatch):
+    """One id many times, with one text and with many, and texts of many words."""
+    rows = [(0, f"bad text {i}") for i in range(300)] + [(0, "the same")] * 300 + [(i, " ".join(f"w{i}x{j}" for j in range(400))) for i in range(1, 40)]
+    seen = []
+    monkeypatch.setattr(X, "fit_pu", lambda pos, unl, prior: seen.append((pos, unl, prior)))
+    X.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(0, 1), (2, 0)], "doc_id long, toxic int"), max_positive=5, max_unlabelled=7, max_words=50)
+    ((pos, unl, prior),) = seen
+    assert len(pos) == 5 and len(unl) == 7
+    assert max(map(len, pos + unl)) <= 50 * (1 + len(X.PREFIXES))
+
+
+def test_gradient_is_that_of_the_plain_risk():
+    """One step from the start goes against a risk gradient that finite differences give."""
+    rng = np.random.default_rng(3)
+    pos = [np.array([7, 8], np.int32)] * 60
+    unl = [np.array([7, 8] if rng.random() < 0.1 else [9, int(rng.integers(20, 30))], np.int32) for _ in range(200)]
+    prior = 0.3
+
+    def risk(w, b):
+        z = lambda rows: np.array([w[r].sum() for r in rows]) + b
+        loss = lambda v: np.logaddexp(0, -v)
+        return prior * loss(z(pos)).mean() + max(0.0, loss(-z(unl)).mean() - prior * loss(-z(pos)).mean())
+
+    m = X.fit_pu(pos, unl, prior)
+    start = np.zeros(1 << X.HASH_BITS)
+    assert risk(m.weights, m.bias) < risk(start, np.log(prior / (1 - prior)))
+    one = X.fit_pu(pos, unl, prior, epochs=1, decay=0.0)
+    for slot in np.flatnonzero(one.weights):
+        up, down = start.copy(), start.copy()
+        up[slot] += 1e-5
+        down[slot] -= 1e-5
+        b = float(np.log(prior / (1 - prior)))
+        assert np.sign(risk(up, b) - risk(down, b)) == -np.sign(one.weights[slot])
+
+
 def test_labels_of_the_held_out_fold_are_not_read(spark):
     docs, labels, _ = corpus(spark)
     from pyspark.sql import functions as F
