@@ -7,7 +7,9 @@ per directory; ``tiff_pages`` does so for a binary column, one row per page.
 stored bytes back, and computes a feature from what it read.
 
 Defined results: null media give no page row; a broken file gives one row with
-``error`` set and null samples, the pages before the fault stay; null texts are
+``error`` set and null samples, the pages before the fault stay (faults are also
+sizes of 0 or beyond what the stored bytes can make, samples of other than 8 or
+16 bits, the floating-point predictor); null texts are
 empty texts, whose payload is one block of bytes 255; null or repeated ids are
 carried through; other columns are kept only when named in ``keep``; an empty
 table gives an empty result. Each text is handled whole, by itself, without a
@@ -17,6 +19,7 @@ shuffle; a page holds at most ``PAGE_ROWS`` rows, so a long text has many pages.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator, Sequence
@@ -28,11 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from paperlake.llm.common import slices
+
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 BLOCK = 576
 #: A row of a page: 192 pixels of three samples.
 WIDTH, SAMPLES = 192, 3
 PAGE_ROWS = 256
+#: More bytes than this for each stored byte no codec gives.
+EXPANDS = 4096
 
 # Tags of the TIFF 6.0 format, and bytes of each field type.
 IMAGE_WIDTH, IMAGE_LENGTH, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
@@ -41,21 +48,24 @@ PLANAR, PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS = 284, 317
 TYPES = {1: "B", 3: "H", 4: "I"}
 
 
+_RUN = re.compile(rb"(.)\1{2,127}", re.DOTALL)
+
+
 def packbits_encode(data: bytes) -> bytes:
-    out, i, n = bytearray(), 0, len(data)
-    while i < n:
-        run = 1
-        while run < 128 and i + run < n and data[i + run] == data[i]:
-            run += 1
-        if run > 2:
-            out += bytes((257 - run, data[i]))
-            i += run
-            continue
-        start = i
-        while i < n and i - start < 128 and not (i + 2 < n and data[i] == data[i + 1] == data[i + 2]):
-            i += 1
-        out.append(i - start - 1)
-        out += data[start:i]
+    """Runs of 3 to 128 equal bytes, and literal stretches of up to 128 between them."""
+    out, done = bytearray(), 0
+
+    def literal(end: int) -> None:
+        for i in range(done, end, 128):
+            part = data[i : min(i + 128, end)]
+            out.append(len(part) - 1)
+            out.extend(part)
+
+    for run in _RUN.finditer(data):
+        literal(run.start())
+        done = run.end()
+        out.extend((257 - (done - run.start()), data[done - 1]))
+    literal(len(data))
     return bytes(out)
 
 
@@ -74,88 +84,108 @@ def packbits_decode(data: bytes) -> bytes:
     return bytes(out)
 
 
+#: Codes of LZW that clear the table and end the stream; the table is cleared once its codes reach ``_FULL``.
+_CLEAR, _END, _FULL = 256, 257, 4095
+
+
+def _widths(n: int) -> np.ndarray:
+    """Bits of the first n codes behind a clear code: from 9 to 12, one code earlier than needed."""
+    return np.minimum(np.searchsorted([512, 1024, 2048], np.arange(n) + 258, side="right") + 9, 12)
+
+
+_WIDTH = _widths(_FULL + 2)
+#: At which bit behind a clear code each code begins.
+_BIT = np.cumsum(_WIDTH) - _WIDTH
+
+
+def _pack(codes: list[int], width: np.ndarray) -> np.ndarray:
+    """The bits of codes, most significant first."""
+    bits = np.unpackbits(np.array(codes, ">u2").view(np.uint8).reshape(-1, 2), axis=1)
+    return bits[np.arange(16) >= 16 - width[:, None]]
+
+
 def lzw_encode(data: bytes) -> bytes:
-    """Codes from 9 to 12 bits, most significant first; 256 clears, 257 ends; widths grow one code early."""
-    acc = bits = 0
-    out = bytearray()
-
-    def put(code: int, width: int) -> None:
-        nonlocal acc, bits
-        acc, bits = acc << width | code, bits + width
-        while bits >= 8:
-            bits -= 8
-            out.append(acc >> bits & 255)
-        acc &= (1 << bits) - 1
-
-    table = {bytes((i,)): i for i in range(256)}
-    width, word = 9, b""
-    put(256, width)
-    for b in data:
-        longer = word + bytes((b,))
+    """Codes from 9 to 12 bits, most significant first; widths grow one code early."""
+    stretches, codes, word = [_pack([_CLEAR], _WIDTH[:1])], [], b""
+    table, code = {bytes((i,)): i for i in range(256)}, _END
+    for i in range(len(data)):
+        letter = data[i : i + 1]
+        longer = word + letter
         if longer in table:
             word = longer
             continue
-        put(table[word], width)
-        table[longer] = len(table) + 2
-        if len(table) + 2 == 4095:  # the last code is never used: start anew
-            put(256, width)
-            table, width = {bytes((i,)): i for i in range(256)}, 9
-        elif len(table) + 2 == (1 << width):
-            width += 1
-        word = bytes((b,))
-    if word:
-        put(table[word], width)
-        if len(table) + 3 == (1 << width):  # the decoder adds an entry for the last code too
-            width += 1
-    put(257, width)
-    if bits:
-        out.append(acc << (8 - bits) & 255)
-    return bytes(out)
-
-
-def lzw_decode(data: bytes) -> bytes:
+        codes.append(table[word])
+        code += 1
+        table[longer] = code
+        word = letter
+        if code == _FULL - 1:  # the last code is never used: start anew
+            codes.append(_CLEAR)
+            stretches.append(_pack(codes, _WIDTH[: len(codes)]))
+            table, codes, code = {bytes((i,)): i for i in range(256)}, [], _END
+    codes += [table[word], _END] if word else [_END]
+    stretches.append(_pack(codes, _WIDTH[: len(codes)]))
+    return np.packbits(np.concatenate(stretches)).tobytes()
+
+
+def lzw_decode(data: bytes, most: int | None = None) -> bytes:
+    """The bytes of a stream, or no more than about the first ``most`` of them."""
     first = [bytes((i,)) for i in range(256)] + [b"", b""]
-    table, width, last = list(first), 9, b""
-    acc = bits = 0
-    out = []
-    for b in data:
-        acc, bits = acc << 8 | b, bits + 8
-        if bits < width:
-            continue
-        bits -= width
-        code = acc >> bits
-        acc &= (1 << bits) - 1
-        if code == 257:
-            break
-        if code == 256:
-            table, width, last = list(first), 9, b""
-            continue
-        if not last:
-            if code > 255:
-                raise ValueError("LZW stream begins with a code that isn't a byte")
-            word = first[code]
+    padded = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.uint32)
+    at, end, size, out = 0, len(data) * 8, 0, []
+    while at + 9 <= end:
+        # all codes up to the next clear code, wherever that is
+        place = at + _BIT
+        n = int(np.searchsorted(place + _WIDTH, end, side="right"))
+        byte, width = place[:n] >> 3, _WIDTH[:n].astype(np.uint32)
+        bits = padded[byte] << 16 | padded[byte + 1] << 8 | padded[byte + 2]
+        codes = (bits >> (24 - width - (place[:n] & 7).astype(np.uint32)) & ((1 << width) - 1)).tolist()
+        table, last = list(first), b""
+        for k, code in enumerate(codes):
+            if code == _END or code == _CLEAR:
+                break
+            if not last:
+                if code > 255:
+                    raise ValueError("LZW stream begins with a code that isn't a byte")
+                word = first[code]
+            else:
+                known = 257 + k  # entries of the table by now
+                if code > known:
+                    raise ValueError("LZW code beyond the table")
+                word = table[code] if code < known else last + last[:1]
+                table.append(last + word[:1])
+            out.append(word)
+            size += len(word)
+            if most is not None and size >= most:
+                return b"".join(out)
+            last = word
         else:
-            if code > len(table):
-                raise ValueError("LZW code beyond the table")
-            word = table[code] if code < len(table) else last + last[:1]
-            table.append(last + word[:1])
-            if len(table) + 1 == (1 << width) and width < 12:
-                width += 1
-        out.append(word)
-        last = word
+            if n == len(_BIT):
+                raise ValueError("LZW table is never cleared")
+            break
+        if code == _END:
+            break
+        at = int(place[k] + _WIDTH[k])
     return b"".join(out)
 
 
+def inflate(data: bytes, most: int) -> bytes:
+    """At most ``most`` bytes of a deflate stream."""
+    return zlib.decompressobj().decompress(data, most)
+
+
 def compress(data: bytes, codec: int) -> bytes:
     return {NONE: bytes, LZW: lzw_encode, DEFLATE: zlib.compress, OLD_DEFLATE: zlib.compress, PACKBITS: packbits_encode}[codec](data)
 
 
-def decompress(data: bytes, codec: int) -> bytes:
-    try:
-        decoder = {NONE: bytes, LZW: lzw_decode, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress, PACKBITS: packbits_decode}[codec]
-    except KeyError:
-        raise ValueError(f"compression {codec}") from None
-    return decoder(data)
+def decompress(data: bytes, codec: int, most: int) -> bytes:
+    """The bytes of one strip or tile, which has ``most``; a stream that goes on for ever isn't followed."""
+    if codec in (DEFLATE, OLD_DEFLATE):
+        return inflate(data, most + 1)  # one more, so that the checksum is read
+    if codec == LZW:
+        return lzw_decode(data, most)
+    if codec in (NONE, PACKBITS):
+        return packbits_decode(data) if codec == PACKBITS else bytes(data)
+    raise ValueError(f"compression {codec}")
 
 
 def write_tiff(
@@ -227,7 +257,7 @@ def read_pages(data: bytes) -> Iterator[Page]:
         try:
             tags, at_next = directory(data, at, order)
             yield page(data, tags, number, order)
-        except (struct.error, zlib.error, KeyError, IndexError) as e:
+        except (struct.error, zlib.error, KeyError, IndexError, MemoryError) as e:
             raise ValueError(f"page {number}: {type(e).__name__} {e}") from e
         at, number = at_next, number + 1
 
@@ -249,7 +279,7 @@ def page(data: bytes, tags: dict[int, tuple[int, ...]], number: int, order: str)
     one = lambda tag, default=None: tags[tag][0] if default is None else tags.get(tag, (default,))[0]
     w, h, s = one(IMAGE_WIDTH), one(IMAGE_LENGTH), one(SAMPLES_PER_PIXEL, 1)
     codec, predictor, bits = one(COMPRESSION, 1), one(PREDICTOR, 1), one(BITS, 1)
-    if bits not in (8, 16) or predictor not in (1, 2):
+    if set(tags.get(BITS, (1,))) not in ({8}, {16}) or predictor not in (1, 2):
         raise ValueError(f"page {number}: {bits} bits, predictor {predictor}")
     kind = np.dtype(f"u{bits // 8}").newbyteorder(order)
     tiled = TILE_OFFSETS in tags
@@ -257,6 +287,10 @@ def page(data: bytes, tags: dict[int, tuple[int, ...]], number: int, order: str)
         cols, rows, offsets, sizes = one(TILE_WIDTH), one(TILE_LENGTH), tags[TILE_OFFSETS], tags[TILE_COUNTS]
     else:
         cols, rows, offsets, sizes = w, min(h, one(ROWS_PER_STRIP, h)), tags[STRIP_OFFSETS], tags[STRIP_COUNTS]
+    if not all((w, h, s, cols, rows)):
+        raise ValueError(f"page {number}: a size is 0")
+    if max(h * w * s, rows * cols) * kind.itemsize > EXPANDS * sum(sizes):
+        raise ValueError(f"page {number}: larger than its strips or tiles can make it")
     planes = s if one(PLANAR, 1) == 2 else 1
     depth = s // planes
     out = np.zeros((h, w, s), np.dtype(f"u{bits // 8}"))
@@ -267,7 +301,7 @@ def page(data: bytes, tags: dict[int, tuple[int, ...]], number: int, order: str)
         plane, place = divmod(i, across * down)
         y, x = place // across * rows, place % across * cols
         tall = rows if tiled else min(rows, h - y)
-        raw = decompress(data[offsets[i] : offsets[i] + sizes[i]], codec)
+        raw = decompress(data[offsets[i] : offsets[i] + sizes[i]], codec, tall * cols * depth * kind.itemsize)
         part = np.frombuffer(raw, kind, count=min(len(raw) // kind.itemsize, tall * cols * depth))
         if len(part) < tall * cols * depth:
             raise ValueError(f"page {number}: strip or tile {i} is short")
@@ -341,17 +375,17 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    names = ["id", *schema.replace(",", "").split()[2::2]]
+
+    def digests(text: str) -> tuple:
+        media = to_tiff(payload(text))
+        data, feature = from_tiff(media)
+        return len(text.encode()), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for i in range(0, whole.num_rows, 1024):
-                b = whole.slice(i, 1024)
-                rows = []
-                for t in b.column(1).to_pylist():
-                    media = to_tiff(payload(t))
-                    data, feature = from_tiff(media)
-                    rows.append((len(t.encode()), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature))
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-                cols = [pa.array(v, t) for v, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds]
-                yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["id", *schema.replace(",", "").split()[2::2]])
+        for b in slices(batches):
+            rows = zip(*map(digests, b.column(1).to_pylist()), strict=True)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(v, t) for v, t in zip(rows, kinds, strict=True))], names=names)
 
     return src.mapInArrow(run, schema).withColumnRenamed("id", id_col)

@@ -82,3 +82,39 @@ def test_payloads_of_every_size_meet_every_codec(rows):
         assert T.from_tiff(media)[0] == data and T.to_tiff(data) == media
         seen |= {p.compression for p in pages}
     assert seen == {T.DEFLATE, T.LZW, T.PACKBITS}
+
+
+def tagged(entries):
+    """A file of one directory without image data."""
+    import struct
+
+    out = b"II" + struct.pack("<HI", 42, 8) + struct.pack("<H", len(entries))
+    return out + b"".join(struct.pack("<HHII", t, 4, 1, v) for t, v in sorted(entries)) + b"\0" * 64
+
+
+def test_sizes_that_cannot_be_are_faults_not_crashes(spark):
+    good = {256: 4, 257: 4, 258: 8, 259: 1, 273: 100, 277: 1, 278: 4, 279: 16}
+    assert len(list(T.read_pages(tagged(good.items())))) == 1
+    bad = [{278: 0}, {256: 0}, {257: 0}, {277: 0}, {256: 2**32 - 1}, {257: 2**32 - 1}, {256: 2**32 - 1, 257: 2**32 - 1}, {258: 4}, {317: 3}, {279: 2**32 - 1, 256: 2**31}, {259: 7}]
+    rows = [(i, tagged((good | b).items())) for i, b in enumerate(bad)]
+    out = T.tiff_pages(spark.createDataFrame(rows, "doc_id int, media binary")).collect()
+    assert sorted(r.doc_id for r in out) == list(range(len(bad)))
+    assert all(r.error and r.payload is None for r in out)
+
+
+def test_a_stream_that_expands_for_ever_is_not_followed():
+    import zlib
+
+    assert len(T.decompress(zlib.compress(bytes(10**7)), T.DEFLATE, 1000)) <= 1001
+    assert len(T.decompress(T.lzw_encode(bytes(10**6)), T.LZW, 1000)) < 6000
+
+
+def test_every_codec_holds_texts_of_every_size():
+    seen = set()
+    for n in (1, 500, 3_000, 40_000, 300_000):
+        for i in range(12):
+            data = T.payload(f"{i} some words of text. " * (n // 20 + 1))
+            media = T.to_tiff(data)
+            assert T.from_tiff(media)[0] == data
+            seen.add((n, next(T.read_pages(media)).compression))
+    assert len(seen) == 15
