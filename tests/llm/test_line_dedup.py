@@ -3,25 +3,37 @@
 from __future__ import annotations
 
 import random
+import time
 
 from paperlake.llm import line_dedup as L
 
 
-def model(rows, k=2):
-    """Line numbers that may go: covered by a run of k lines that occurs earlier; and those that must: in runs of k + w - 1."""
-    docs = sorted(rows)
-    first, may, must = {}, set(), set()
-    for d, t in docs:
+def model(rows, k=L.K, w=L.W):
+    """Line numbers that may go: covered by a run of k lines, or a line or gram of over LONG words, that occurs earlier;
+    and those that must: in runs of k + w - 1, or passages of over LONG words, that occur earlier."""
+    first, may, must = set(), set(), set()
+    for d, t in sorted(rows):
         lines = t.split("\n") if t else []
-        for n in (k, k + L.W - 1):
+        for n in sorted({1, k, k + w - 1}):
             for i in range(len(lines) - n + 1):
                 g = (n, *lines[i : i + n])
+                covered = {(d, j) for j in range(i, i + n)}
                 if g in first:
-                    (may if n == k else must).update((d, j) for j in range(i, i + n))
-                first.setdefault(g, (d, i))
+                    long = len(" ".join(g[1:]).split()) > L.LONG
+                    if n >= k or long:
+                        may |= covered
+                    if n == k + w - 1 or (long and n <= k):
+                        must |= covered
+                first.add(g)
     return may, must
 
 
+def gone(spark, df):
+    """(document, line) of all lines to delete."""
+    keys = df.select("doc_id", L.row_key("doc_id", "text").alias("key"))
+    return {(r.doc_id, j) for r in L.repeated_runs(df, "doc_id", "text").join(keys, "key").collect() for j in range(r.a, r.b + 1)}
+
+
 def corpus():
     rng = random.Random(8)
     lines = ["line %d" % i for i in range(60)]
@@ -37,25 +49,29 @@ def corpus():
 
 def test_deletes_what_must_go_and_nothing_else(spark):
     rows = corpus()
-    out = {r.doc_id: r.text for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     may, must = model(rows)
+    went = gone(spark, df)
+    assert must <= went <= may and len(must) > 100
+    out = {r.doc_id: r.text for r in L.dedup_lines(df).collect()}
     for d, t in rows:
-        lines = t.split("\n")
-        left = out[d].split("\n") if out[d] else []
-        # what is left is a subsequence; find which lines went, last first so that ties fall late
-        gone, i = [], 0
-        for j, x in enumerate(lines):
-            if i < len(left) and x == left[i]:
-                i += 1
-            else:
-                gone.append(j)
-        assert i == len(left)
-        assert len(gone) <= sum((d, j) in may for j in range(len(lines))), d
-    # every long repeated run lost at least k lines, and an exact copy is empty
+        left = [x for j, x in enumerate(t.split("\n")) if (d, j) not in went]
+        assert out[d] == "\n".join(left), d
     assert out[60] == "" and out[62] == out[63] == "one line"
-    assert out[61] == "a"
-    shared = sum(out[d].count("shared") for d in range(30, 60))
-    assert shared < 30
+    by = {r.doc_id: r for r in L.digest(df).collect()}
+    for d, t in rows:
+        assert by[d].n_lines == len(t.split("\n")) and by[d].n_removed == sum(x == d for x, _ in went)
+
+
+def test_long_texts_take_linear_time(spark):
+    """60,000 lines over few distinct ones, and two copies of many lines: seconds, not minutes."""
+    rng = random.Random(2)
+    few = "\n".join(str(rng.randrange(8)) for _ in range(60_000))
+    many = "\n".join(f"line {j}" for j in range(60_000))
+    began = time.monotonic()
+    by = {r.doc_id: r for r in L.digest(spark.createDataFrame([(1, few), (2, many), (3, many), (4, "a\n" * 60_000)], "doc_id long, text string")).collect()}
+    assert by[1].n_removed > 59_000 and by[2].n_removed == 0 and by[3].n_removed == 60_000 and by[4].n_removed > 59_000
+    assert time.monotonic() - began < 90
 
 
 def test_native_plan(spark):
