@@ -64,6 +64,12 @@ def normalize_doi(c: Column) -> Column:
     return F.when(d.startswith("10."), d)
 
 
+def clean_doi(c: Column) -> Column:
+    """A citation's doi in lower case without white space; null unless it begins with 10. as it stands."""
+    d = F.lower(F.regexp_replace(c, r"\s+", ""))
+    return F.when(d.startswith("10."), d)
+
+
 def normalize_arxiv_id(c: Column) -> Column:
     """Identifier without prefix, address, file ending and version."""
     d = F.regexp_replace(F.trim(c), r"(?i)^(?:https?://)?(?:www\.)?arxiv\.org/(?:abs|pdf)/|^arxiv:\s*", "")

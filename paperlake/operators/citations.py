@@ -78,12 +78,16 @@ def parse_bibliography(sections: DataFrame) -> DataFrame:
     return parse_reference_entry(lines.withColumn("raw_text", X.strip(F.col("raw_text"))).where("raw_text <> ''"))
 
 
+#: Numbers of a range in one mention; a wider one is no mention, and would not fit a row.
+WIDEST_RANGE = 100_000
+
+
 def expand_numeric_group(c: Column) -> Column:
-    """'2, 3' to 2 and 3, '1-3' to 1, 2, 3; nothing for an inverted range."""
+    """'2, 3' to 2 and 3, '1-3' to 1, 2, 3; nothing for an inverted range, or one over ``WIDEST_RANGE``."""
 
     def ids(part: Column) -> Column:
         lo, hi = (F.regexp_extract(part, r"^(\d+)\s*-\s*(\d+)$", k).try_cast("long") for k in (1, 2))
-        span = F.when(lo <= hi, F.transform(F.sequence(lo, hi), lambda n: n.cast("string"))).otherwise(F.array().cast("array<string>"))
+        span = F.when((lo <= hi) & (hi - lo < WIDEST_RANGE), F.transform(F.sequence(lo, hi), lambda n: n.cast("string"))).otherwise(F.array().cast("array<string>"))
         return F.when(lo.isNotNull() & hi.isNotNull(), span).when(part.rlike(r"^\d+$"), F.array(part)).otherwise(F.array().cast("array<string>"))
 
     return F.flatten(F.transform(F.split(F.trim(c), r"\s*[,;]\s*"), ids))
@@ -120,7 +124,7 @@ def find_mentions(texts: DataFrame, raw_refs: DataFrame | None = None) -> DataFr
     """``paper_id, ref_id, text, start, end``; with references, numbers must be known ids of the paper.
 
     Papers without any reference keep all numbers; with references of which none
-    has an id, numbers are kept too.
+    has an id, no number is known.
     """
     d = texts.select("paper_id", F.explode(mention_spans(F.col("text"))).alias("m"))
     ids = F.when(F.col("m.group").isNull(), F.array(F.lit(None).cast("string"))).otherwise(expand_numeric_group(F.col("m.group")))
@@ -148,7 +152,7 @@ def normalize_citations(raw_refs: DataFrame) -> DataFrame:
         X.collapse(F.coalesce(pick("title", entry_title(raw)), F.lit(""))).alias("title"),
         names.alias("authors"),
         pick("year", X.year_of(raw)).alias("year"),
-        X.normalize_doi(pick("doi", X.capture(raw, DOI))).alias("doi"),
+        X.clean_doi(pick("doi", X.capture(raw, DOI))).alias("doi"),
         X.clean_arxiv(pick("arxiv_id", X.capture(raw, ARXIV))).alias("arxiv_id"),
         X.blank_to_null(F.col("ref_id")).alias("ref_id"),
     )

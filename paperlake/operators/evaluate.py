@@ -11,20 +11,22 @@ CHECKS = ["retrieval_hit", "source_correct", "citation_correct", "grounded"]
 
 
 def score_questions(questions: DataFrame, retrieved: DataFrame) -> DataFrame:
-    """Per question and mode. ``retrieved``: ``id, mode, facts, source_paper_ids, context_text``.
+    """Per question and mode. ``retrieved``: ``id, mode, facts, hits, source_paper_ids, context_text``.
 
-    retrieval_hit: all expected names occur in the context, whatever their case;
+    retrieval_hit: each expected name is, whatever its case, that of a fact's subject or
+    object or of a hit's node;
     source_correct: any expected source was found, null if none is expected;
     citation_correct: a fact has the expected relation, null if none is expected;
     grounded: there is context and a source paper.
     """
-    d = questions.join(retrieved, "id")
-    low = F.lower(F.coalesce("context_text", F.lit("")))
+    of_facts = F.flatten(F.transform("facts", lambda f: F.array(f.subject["name"], f.object["name"])))
+    retrieved_names = F.transform(F.array_compact(F.concat(of_facts, F.transform("hits", lambda h: h.node_name))), F.lower)
     names = F.coalesce("expected_entities", F.array().cast("array<string>"))
     sources = F.coalesce("expected_sources", F.array().cast("array<string>"))
+    d = questions.join(retrieved.withColumn("found", retrieved_names), "id")
     return d.select(
         "id", "category", "mode",
-        F.forall(names, lambda n: low.contains(F.lower(n))).alias("retrieval_hit"),
+        (F.size(F.array_except(F.transform(names, F.lower), F.col("found"))) == 0).alias("retrieval_hit"),
         F.when(F.size(sources) > 0, F.arrays_overlap(sources, "source_paper_ids")).alias("source_correct"),
         F.when(F.nullif("expected_relation", F.lit("")).isNotNull(), F.exists("facts", lambda f: f.relation == F.col("expected_relation"))).alias("citation_correct"),
         ((F.length(F.trim(F.coalesce("context_text", F.lit("")))) > 0) & (F.size("source_paper_ids") > 0)).alias("grounded"),

@@ -222,13 +222,14 @@ def curated_graph(drafts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     ``drafts``: id, paper_id, kind, resolved_by, and fields of the payload: name,
     type, role, evidence, confidence, source, source_type, relation, target,
-    target_type. Ids are those of the pipeline; ``curated`` is set.
+    target_type, perhaps source_section. Ids are those of the pipeline; ``curated``
+    is set. Rejected: unknown types, blank names and blank ends of a relation.
     """
     none = F.lit(None).cast("string")
     e = drafts.where("kind = 'entity'").withColumn("pos", F.col("id"))
     good = F.coalesce(F.col("type").isin(vocab.NODE_TYPES), F.lit(False)) & X.blank_to_null(F.col("name")).isNotNull()
     ids = e.where(good).withColumn("node_id", entity_node_id(F.col("paper_id"), F.col("type"), F.col("name")))
-    mark = properties(curated=F.lit("true"), curated_by=F.col("resolved_by"), evidence=X.blank_to_null(F.col("evidence")))
+    mark = properties(curated=F.lit("true"), curated_by=F.col("resolved_by"), evidence=X.blank_to_null(F.col("evidence")), source_section=X.blank_to_null(F.col("source_section")) if "source_section" in drafts.columns else none)
     paper = _node(ids, paper_node_id(F.col("paper_id")), "Paper", none, F.col("paper_id"), F.create_map().cast("map<string,string>"))
     ent = _node(ids, F.col("node_id"), F.col("type"), F.trim("name"), F.col("paper_id"), mark)
     o = F.broadcast(ontology(drafts.sparkSession))
@@ -240,10 +241,12 @@ def curated_graph(drafts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     pe = _edge(ok, paper_node_id(F.col("paper_id")), "Paper", F.when(F.col("ok"), F.col("wanted")).otherwise("MENTIONS"), F.col("node_id"), F.col("type"), X.blank_to_null(F.col("evidence")), props=properties(curated=F.lit("true"), confidence=conf))
     r = drafts.where("kind = 'relation'")
     allowed = o.select("source_type", F.col("edge_type").alias("relation"), "target_type")
-    fine = r.join(allowed, ["source_type", "relation", "target_type"], "left_semi")
+    named = X.blank_to_null(F.col("source")).isNotNull() & X.blank_to_null(F.col("target")).isNotNull()
+    r = r.withColumn("named", named).join(allowed.withColumn("known", F.lit(True)), ["source_type", "relation", "target_type"], "left")
+    fine = r.where("named and known")
     end = lambda s: _node(fine, entity_node_id(F.col("paper_id"), F.col(f"{s}_type"), F.col(s)), F.col(f"{s}_type"), F.trim(s), F.col("paper_id"), properties(curated=F.lit("true")))
-    re = _edge(fine, entity_node_id(F.col("paper_id"), F.col("source_type"), F.col("source")), F.col("source_type"), F.col("relation"), entity_node_id(F.col("paper_id"), F.col("target_type"), F.col("target")), F.col("target_type"), X.blank_to_null(F.col("evidence")), props=properties(curated=F.lit("true"), confidence=conf))
-    rejected = e.where(~good).select("id", "paper_id", "kind").unionByName(r.join(allowed, ["source_type", "relation", "target_type"], "left_anti").select("id", "paper_id", "kind"))
+    re = _edge(fine, entity_node_id(F.col("paper_id"), F.col("source_type"), F.col("source")), F.col("source_type"), F.col("relation"), entity_node_id(F.col("paper_id"), F.col("target_type"), F.col("target")), F.col("target_type"), X.blank_to_null(F.col("evidence")), props=properties(curated=F.lit("true"), confidence=conf, curated_by=X.blank_to_null(F.col("resolved_by"))))
+    rejected = e.where(~good).select("id", "paper_id", "kind").unionByName(r.where("not named or known is null").select("id", "paper_id", "kind"))
     nodes = reduce(DataFrame.unionByName, [paper, ent, end("source"), end("target")])
     return dedupe_nodes(nodes), dedupe_edges(pe.unionByName(re)), rejected
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from paperlake.functions import text as X
 from paperlake.operators.ontology import valid_edges
 
-ITEM = "name string, type string, section string, evidence string, confidence string, source string, relation string, target string"
+ITEM = "name string, type string, section string, evidence string, confidence string, source_section string, source string, relation string, target string"
 EXTRACTABLE = ["Method", "Dataset", "Task", "Metric", "Claim", "Experiment"]
 
 
@@ -36,16 +36,17 @@ def _items(responses: DataFrame, texts: DataFrame) -> DataFrame:
     return d.join(texts.select("paper_id", "text"), "paper_id").where(X.evidence_grounded(F.col("i.evidence"), F.col("text")))
 
 
-def validate_llm_entities(responses: DataFrame, texts: DataFrame) -> DataFrame:
+def validate_llm_entities(responses: DataFrame, texts: DataFrame, extracted_by: str = "llm") -> DataFrame:
+    """Items with a name, a known type and evidence that stands in the text; ``extracted_by`` names the model's version."""
     d = _items(responses, texts).where(F.col("i.type").isin(EXTRACTABLE) & X.blank_to_null(F.col("i.name")).isNotNull())
     return d.select(
         "paper_id", "pos", F.trim("i.name").alias("name"), F.col("i.type").alias("type"),
-        F.coalesce(X.blank_to_null(F.col("i.section")), F.lit("Unknown")).alias("source_section"), F.trim("i.evidence").alias("evidence"),
-        _confidence(F.col("i.confidence")).alias("confidence"), F.lit("llm").alias("extracted_by"),
+        F.coalesce(X.blank_to_null(F.trim("i.source_section")), F.lit("")).alias("source_section"), F.trim("i.evidence").alias("evidence"),
+        _confidence(F.col("i.confidence")).alias("confidence"), F.lit(extracted_by).alias("extracted_by"),
     )
 
 
-def validate_llm_relations(responses: DataFrame, texts: DataFrame, entities: DataFrame) -> DataFrame:
+def validate_llm_relations(responses: DataFrame, texts: DataFrame, entities: DataFrame, extracted_by: str = "llm") -> DataFrame:
     """Both ends must be entities of the paper (types are taken from there, the last of a name wins); no self relation."""
     known = entities.groupBy("paper_id", F.lower("name").alias("low")).agg(F.max_by(F.struct("name", "type"), "pos").alias("e"))
     end = lambda side: known.select("paper_id", F.col("low").alias(f"{side}_low"), F.col("e").alias(f"{side}_e"))
@@ -54,7 +55,7 @@ def validate_llm_relations(responses: DataFrame, texts: DataFrame, entities: Dat
     d = d.select(
         "paper_id", "pos", F.col("s_e.name").alias("source"), F.col("s_e.type").alias("source_type"), F.col("i.relation").alias("edge_type"),
         F.col("t_e.name").alias("target"), F.col("t_e.type").alias("target_type"), F.trim("i.evidence").alias("evidence"),
-        _confidence(F.col("i.confidence")).alias("confidence"), F.lit("llm").alias("extracted_by"),
+        _confidence(F.col("i.confidence")).alias("confidence"), F.lit(extracted_by).alias("extracted_by"),
     )
     return valid_edges(d).withColumnRenamed("edge_type", "relation")
 

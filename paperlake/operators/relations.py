@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+from itertools import product
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperlake.functions import text as X
@@ -20,15 +23,32 @@ def entities_in_sentences(sents: DataFrame, entities: DataFrame) -> DataFrame:
     e = e.where("pos = last").select("paper_id", "name", "type", "kind", F.col("first").alias("pos"), F.lower("name").alias("low"))
     s = sents.select("paper_id", "sec", "sent", "sentence", F.lower("sentence").alias("text"))
     found = s.join(e, "paper_id").where(F.col("text").contains(F.col("low")))
-    return found.where(F.rlike("text", F.concat(F.lit("\\b\\Q"), F.col("low"), F.lit("\\E\\b"))))
+    return found.where(_stands_alone(F.col("text"), F.col("low")))
+
+
+def _stands_alone(text: Column, name: Column) -> Column:
+    """Whether ``name`` stands in ``text`` between word boundaries: it is replaced by a mark, so that fixed patterns tell."""
+    marked = F.replace(text, name, F.lit("\x00"))
+    cases = []
+    for first, last in product((True, False), repeat=2):
+        begins, ends = name.rlike(r"(?U)^\w"), name.rlike(r"(?U)\w$")
+        before = r"(?<![\w\x00])" if first else r"(?<=[\w\x00])" if last else r"(?<=\w)"
+        after = r"(?![\w\x00])" if last else r"(?=[\w\x00])" if first else r"(?=\w)"
+        cases.append((begins if first else ~begins) & (ends if last else ~ends) & marked.rlike(f"(?U){before}\x00{after}"))
+    return reduce(Column.__or__, cases)
 
 
 def relation_candidates(found: DataFrame) -> DataFrame:
-    """Ordered pairs of one of the seven typed kinds with a pattern in the text strictly between the names."""
-    src = found.select("paper_id", "sec", "sent", "sentence", "text", *[F.col(c).alias(f"{c}_a") for c in ("name", "type", "kind", "pos", "low")])
-    tgt = found.select("paper_id", "sec", "sent", *[F.col(c).alias(f"{c}_b") for c in ("name", "type", "kind", "pos", "low")])
-    typed = F.concat_ws(">", "type_a", "type_b").isin([f"{a}>{b}" for a, b in vocab.RELATIONS])
-    pairs = src.join(tgt, ["paper_id", "sec", "sent"]).where(typed & ((F.col("type_a") != F.col("type_b")) | (F.col("low_a") != F.col("low_b"))))
+    """Ordered pairs of one of the seven typed kinds with a pattern in the text strictly between the names.
+
+    A sentence and its entities are one row, so pairs are made in the row.
+    """
+    names = ("name", "type", "kind", "pos", "low")
+    one = found.groupBy("paper_id", "sec", "sent").agg(F.first("sentence").alias("sentence"), F.first("text").alias("text"), F.collect_list(F.struct(*names)).alias("found"))
+    typed = lambda a, b: F.concat_ws(">", a.type, b.type).isin([f"{x}>{y}" for x, y in vocab.RELATIONS]) & ((a.type != b.type) | (a.low != b.low))
+    pair = lambda a, b: F.struct(*[a[c].alias(f"{c}_a") for c in names], *[b[c].alias(f"{c}_b") for c in names])
+    pairs = F.flatten(F.transform("found", lambda a: F.transform(F.filter("found", lambda b: typed(a, b)), lambda b: pair(a, b))))
+    pairs = one.select("paper_id", "sec", "sent", "sentence", "text", F.inline(pairs))
     i, j = F.instr("text", F.col("low_a")), F.instr("text", F.col("low_b"))
     between = F.when(i < j, F.substring("text", i + F.length("low_a"), F.greatest(j - i - F.length("low_a"), F.lit(0)))).otherwise(
         F.substring("text", j + F.length("low_b"), F.greatest(i - j - F.length("low_b"), F.lit(0)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from paperlake.operators import entities as E
 from paperlake.operators.graph import paper_node_id
 from paperlake.operators.graph_query import cited_papers, citing_papers, entities_for_paper, entity_relations
 from paperlake.operators.traverse import expand_citations
-from paperlake.operators.vectors import batch_vector_search
+from paperlake.operators.vectors import batch_vector_search, similarity
 
 PLACE = "struct<name:string,type:string,paper_id:string>"
 FACT = f"struct<subject:{PLACE},relation:string,object:{PLACE},evidence:string,source_paper_ids:array<string>>"
@@ -19,11 +21,11 @@ SNIPPET = 100
 
 
 def route_queries(queries: DataFrame, force_mode: str | None = None) -> DataFrame:
-    """Adds ``query_type, use_graph, use_vector``; ``force_mode`` (graph, vector, hybrid) overrides the flags."""
+    """Adds ``query_type, use_graph, use_vector``; ``force_mode`` graph, vector or both overrides the flags, any other leaves them to the query's class."""
     d = queries.withColumn("query_type", X.classify_query(F.coalesce("query", F.lit(""))))
     graph, vector = F.col("query_type").isin(vocab.WANTS_GRAPH), F.col("query_type").isin(vocab.WANTS_VECTOR)
-    if force_mode is not None:
-        graph, vector = F.lit(force_mode in ("graph", "hybrid")), F.lit(force_mode in ("vector", "hybrid"))
+    if force_mode in ("graph", "vector", "both"):
+        graph, vector = F.lit(force_mode != "vector"), F.lit(force_mode != "graph")
     return d.withColumn("use_graph", graph).withColumn("use_vector", vector)
 
 
@@ -75,10 +77,24 @@ def citation_path_facts(paths: DataFrame, nodes: DataFrame) -> DataFrame:
     return d.select("query_id", F.struct(F.when(ahead, prev).otherwise(last).alias("subject"), F.lit("CITES").alias("relation"), F.when(ahead, last).otherwise(prev).alias("object"), F.lit(None).cast("string").alias("evidence"), ids.alias("source_paper_ids")).cast(FACT).alias("fact"))
 
 
-def vector_hits(routed: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
-    """``query_id, rank, score`` and the chunk's paper, section and text; queries carry ``query_embedding``."""
-    hits = batch_vector_search(routed.where("use_vector"), chunks, k)
-    return hits.join(chunks.select("id", "paper_id", "section", "text"), "id")
+def vector_hits(routed: DataFrame, chunks: DataFrame, k: int = 5, node_type: str | None = None) -> DataFrame:
+    """``query_id, rank, score`` and the chunk's paper, section, text and node; queries carry ``query_embedding``.
+
+    A query with a paper is answered from that paper's chunks only: those are few,
+    so they meet the query by an equi-join on the paper. ``node_type`` limits both kinds.
+    """
+    more = [F.col(c) if c in chunks.columns else F.lit(None).cast("string").alias(c) for c in ("node_name", "node_type")]
+    chunks = chunks.select("id", "paper_id", "section", "text", "embedding", *more)
+    if node_type is not None:
+        chunks = chunks.where(F.col("node_type") == node_type)
+    asked = routed.where("use_vector")
+    anywhere = batch_vector_search(asked.where("paper_id is null"), chunks, k)
+    own = asked.where("paper_id is not null").select("query_id", "paper_id", "query_embedding").join(chunks.select("id", "paper_id", "embedding"), "paper_id")
+    own = own.withColumn("score", similarity(F.col("embedding"), F.col("query_embedding"))).where("score is not null")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    own = own.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    hits = anywhere.unionByName(own.select(*anywhere.columns))
+    return hits.join(chunks.select("id", "paper_id", "section", "text", "node_name"), "id")
 
 
 def hybrid_retrieve(queries: DataFrame, nodes: DataFrame, edges: DataFrame, chunks: DataFrame, k: int = 5, force_mode: str | None = None) -> DataFrame:
@@ -87,12 +103,12 @@ def hybrid_retrieve(queries: DataFrame, nodes: DataFrame, edges: DataFrame, chun
     paths = citation_paths(routed, nodes, edges)
     facts = query_entity_facts(routed, nodes, edges).unionByName(paper_facts(routed, nodes, edges)).unionByName(citation_path_facts(paths, nodes))
     f = facts.distinct().groupBy("query_id").agg(F.array_sort(F.collect_list("fact")).alias("facts"))
-    h = vector_hits(routed, chunks, k).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "score", "paper_id", "section", "text"))).alias("hits"))
+    h = vector_hits(routed, chunks, k).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "score", "paper_id", "section", "text", "node_name"))).alias("hits"))
     p = paths.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("depth", "paper_id", "title", "path", "direction"))).alias("paths"))
     d = routed.drop("query_embedding")
     for part in (f, h, p):
         d = d.join(part, "query_id", "left")
-    hit = "struct<rank:int,score:double,paper_id:string,section:string,text:string>"
+    hit = "struct<rank:int,score:double,paper_id:string,section:string,text:string,node_name:string>"
     walk = "struct<depth:int,paper_id:string,title:string,path:array<string>,direction:string>"
     for c, t in (("facts", FACT), ("hits", hit), ("paths", walk)):
         d = d.withColumn(c, F.coalesce(c, F.array().cast(f"array<{t}>")))
@@ -100,6 +116,16 @@ def hybrid_retrieve(queries: DataFrame, nodes: DataFrame, edges: DataFrame, chun
     return d.withColumn("source_paper_ids", F.array_sort(F.array_distinct(F.filter(ids, lambda x: X.blank_to_null(x).isNotNull()))))
 
 
+#: Evaluation's names of the modes; hybrid leaves the choice to the query's class.
+MODES = {"graph_only": "graph", "vector_only": "vector", "hybrid": None}
+
+
+def retrieve_modes(queries: DataFrame, nodes: DataFrame, edges: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
+    """Every query in every mode, with context, as ``score_questions`` takes it (``id`` is the query's)."""
+    parts = [build_context(hybrid_retrieve(queries, nodes, edges, chunks, k, force)).withColumn("mode", F.lit(mode)) for mode, force in MODES.items()]
+    return reduce(DataFrame.unionByName, parts).withColumnRenamed("query_id", "id")
+
+
 def build_context(retrieved: DataFrame) -> DataFrame:
     """Rendered blocks in a fixed order, and source papers sorted by id with their first title that isn't null."""
 

@@ -1,10 +1,15 @@
-"""Bounded breadth-first walks over citations, for many seeds at once."""
+"""Bounded breadth-first walks over citations, for many seeds at once.
+
+Each round is written down, so that plans don't multiply with the hops.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperlake.sources.shared import written
+
 
 def _neighbours(edges: DataFrame, direction: str) -> DataFrame:
     """``node, next, way``: 0 forward, 1 backward."""
@@ -16,11 +21,11 @@ def _neighbours(edges: DataFrame, direction: str) -> DataFrame:
 
 def citation_neighbors(edges: DataFrame, seeds: DataFrame, direction: str = "both", depth: int = 1) -> DataFrame:
     """Distinct ``seed, node`` within 1 to ``depth`` (clamped to 1..5) hops, without the seed itself; seeds are node ids."""
-    hops = _neighbours(edges, direction).select("node", "next").distinct()
+    hops = written(_neighbours(edges, direction).select("node", "next").distinct(), "hops")
     seen = frontier = seeds.select(F.col("node_id").alias("seed"), F.col("node_id").alias("node")).distinct()
     for _ in range(max(1, min(5, depth))):
         found = frontier.join(hops, "node").select("seed", F.col("next").alias("node")).distinct()
-        frontier = found.join(seen, ["seed", "node"], "left_anti")
+        frontier = written(found.join(seen, ["seed", "node"], "left_anti"), "frontier")
         seen = seen.unionByName(frontier)
     return seen.where("seed <> node")
 
@@ -32,7 +37,7 @@ def expand_citations(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, direc
     backward, then by node id. Ranks are per seed and hop, so the cap cuts the
     frontier each round.
     """
-    hops = _neighbours(edges, direction)
+    hops = written(_neighbours(edges, direction), "hops")
     start = seeds.select(F.col("node_id").alias("seed"), F.col("node_id").alias("node")).distinct()
     frontier = start.select("seed", "node", F.array("node").alias("path"), F.lit(0).cast("long").alias("rank"))
     seen, found = start, None
@@ -47,6 +52,7 @@ def expand_citations(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, direc
             "seed", "node", F.concat("b.path", F.array("node")).alias("path"), F.col("nth").alias("rank"), F.lit(depth).alias("depth"),
             F.when(F.col("b.way") == 0, "forward").otherwise("backward").alias("direction"),
         )
+        new = written(new, "walk")
         found = new if found is None else found.unionByName(new)
         seen = seen.unionByName(new.select("seed", "node"))
         counts = seen.groupBy("seed").agg((F.count("*") - 1).alias("n"))

@@ -41,9 +41,9 @@ def _dot(a: Column, b: Column) -> Column:
 
 
 def similarity(a: Column, b: Column, metric: str = "cosine") -> Column:
-    """One minus the distance: cosine; one minus squared distance; one plus the inner product."""
+    """One minus the distance: cosine; one minus squared distance; one plus the inner product. The cosine of a zero vector is null."""
     if metric == "cosine":
-        return _dot(a, b) / (F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b)))
+        return F.try_divide(_dot(a, b), F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b)))
     if metric == "euclid":
         gap = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
         return 1.0 - F.aggregate(gap, F.lit(0.0), lambda s, x: s + x)
@@ -72,16 +72,18 @@ def batch_vector_search(queries: DataFrame, chunks: DataFrame, k: int = 5, metri
     Queries are packed into blocks of ``QUERY_BLOCK`` and chunks into groups of
     about ``CHUNK_BLOCK``, however many there are; groups meet each block through an equi-join on the block's number, dealt over partitions by a salt,
     so the query side needn't fit a broadcast. A task keeps k rows per query of a
-    batch; the last step ranks what is left.
+    batch; the last step ranks what is left. Pairs without a score (the cosine of
+    a zero vector) take no rank.
     """
     spark = chunks.sparkSession
     n = max(1, -(-queries.count() // QUERY_BLOCK))
     groups = max(1, -(-chunks.count() // CHUNK_BLOCK))
     parts = min(groups, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     kinds = dict(queries.dtypes)[query_id], dict(chunks.dtypes)[id_col]
-    q = queries.where(F.col(query_col).isNotNull()).select(F.pmod(F.xxhash64(query_id), F.lit(n)).alias("block"), F.col(query_id).alias("q"), F.col(query_col).cast("array<double>").alias("qv"))
+    scored = lambda c: (F.exists(c, lambda x: x != 0) if metric == "cosine" else F.col(c).isNotNull())
+    q = queries.where(scored(query_col)).select(F.pmod(F.xxhash64(query_id), F.lit(n)).alias("block"), F.col(query_id).alias("q"), F.col(query_col).cast("array<double>").alias("qv"))
     q = q.groupBy("block").agg(F.collect_list(F.struct("q", "qv")).alias("queries")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    c = chunks.where(F.col(vector_col).isNotNull()).select(F.pmod(F.xxhash64(id_col), F.lit(groups)).alias("group"), F.col(id_col).alias("c"), F.col(vector_col).cast("array<double>").alias("cv"))
+    c = chunks.where(scored(vector_col)).select(F.pmod(F.xxhash64(id_col), F.lit(groups)).alias("group"), F.col(id_col).alias("c"), F.col(vector_col).cast("array<double>").alias("cv"))
     c = c.groupBy("group").agg(F.collect_list(F.struct("c", "cv")).alias("chunks")).select("chunks", F.pmod("group", F.lit(parts)).cast("int").alias("salt"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"))
     pairs = c.withColumn("block", F.col("block").cast("long")).join(q, ["block", "salt"]).select("chunks", "queries")
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,9 +26,10 @@ from paperlake.operators import retrieve as H
 from paperlake.operators import routing as T
 from paperlake.operators import vectors as VX
 from paperlake.plans import workloads
-from paperlake.plans.queries import _COS, _LINES, _ROUTE, _SCORE, _STEPS, REFS, _entity_graph, _points, _routed, case, citations, drafts, line_graph, pages, parsed, register, title, votes
+from paperlake.plans.queries import _COS, _LINES, _RESOLVED, _ROUTE, _SCORE, _STEPS, REFS, _entity_graph, _points, _routed, case, citations, drafts, line_graph, pages, parsed, register, title, votes
 from paperlake.sources import io
 from paperlake.sources import testcorpus as TC
+from paperlake.sources.shared import shared_dir
 from paperlake.streaming import streams
 
 S = lambda c: c.cast("string")
@@ -180,12 +180,13 @@ def l3_llm_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.validate_llm_relations(d, d, e).select("paper_id", "source", "target", "source_type")
 
 
-@register("SELECT doc_id, length(text) >= 60 AS grounded FROM documents WHERE doc_id % 10 = 0")
+@register("SELECT doc_id, text IS NOT NULL AND length(text) >= 60 AND doc_id % 4 <> 3 AS grounded FROM documents")
 def l4_grounded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of every tenth document: is an upper-case stretch of it, if long enough, found in it?"""
-    d = docs(spark, sf_dir).where(doc_id() % 10 == 0).where("text is not null")
-    stretch = F.when(F.length("text") >= 60, F.upper(F.substring("text", 11, 40))).otherwise("short")
-    return d.select("doc_id", X.evidence_grounded(F.lower(stretch), F.lower("text")).alias("grounded"))
+    """Of every document: is a stretch of 40 characters from a place that varies found in it? Each fourth one is altered."""
+    at = F.pmod(doc_id() * 7919, F.greatest(F.length("text") - 40, F.lit(1))).cast("int") + 1
+    stretch = F.when(F.length("text") >= 60, F.substring("text", at, F.lit(40))).otherwise("short")
+    evidence = F.when(doc_id() % 4 == 3, say(stretch, " \u0001 of no text at all")).otherwise(stretch)
+    return docs(spark, sf_dir).select("doc_id", F.coalesce(X.evidence_grounded(evidence, F.col("text")), F.lit(False)).alias("grounded"))
 
 
 @register(f"WITH {_SCORE}, r AS (SELECT {_ROUTE} AS routing FROM scored) SELECT count(*) FILTER (WHERE routing = 'auto_insert') AS to_graph, count(*) FILTER (WHERE routing IN ('draft', 'manual')) AS to_queue FROM r")
@@ -263,14 +264,19 @@ def g3_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.join(n, "node_id")
 
 
-@register("WITH e AS (SELECT l_orderkey % 500 AS a, l_partkey % 500 AS b, l_orderkey * 10 + l_linenumber AS seq FROM lineitem WHERE l_orderkey % 500 <> l_partkey % 500) SELECT 'paper_' || CAST(a AS VARCHAR) AS source_id, 'paper_' || CAST(b AS VARCHAR) AS target_id, CAST(max(seq) AS VARCHAR) AS evidence FROM e WHERE b % 2 = 0 GROUP BY a, b")
+@register("""WITH e AS (SELECT l_orderkey AS a, l_partkey AS b, l_orderkey * 10 + l_linenumber AS seq FROM lineitem WHERE l_orderkey <> l_partkey),
+old AS (SELECT DISTINCT a, b FROM e WHERE a % 4 = 0), n AS (SELECT a, b, max(CASE WHEN a % 8 <> 0 THEN seq END) AS seq FROM e GROUP BY a, b),
+p AS (SELECT o_orderkey AS x FROM orders UNION SELECT p_partkey FROM part WHERE p_partkey % 2 = 0)
+SELECT 'paper_' || CAST(n.a AS VARCHAR) AS source_id, 'paper_' || CAST(n.b AS VARCHAR) AS target_id, coalesce(CAST(n.seq AS VARCHAR), CASE WHEN old.a IS NOT NULL THEN 'old' END) AS evidence
+FROM n LEFT JOIN old ON n.a = old.a AND n.b = old.b WHERE n.a IN (SELECT x FROM p) AND n.b IN (SELECT x FROM p)""")
 def g9_merge_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = TC.load(spark, sf_dir, "lineitem").withColumns({"a": F.col("l_orderkey") % 500, "b": F.col("l_partkey") % 500, "seq": F.col("l_orderkey") * 10 + F.col("l_linenumber")}).where("a <> b")
+    """Edges of each fourth paper exist already; new evidence replaces the old, absent evidence doesn't; odd parts have no node."""
+    li = TC.load(spark, sf_dir, "lineitem").withColumns({"a": F.col("l_orderkey"), "b": F.col("l_partkey"), "seq": F.col("l_orderkey") * 10 + F.col("l_linenumber")}).where("a <> b")
     node = lambda c: say("paper_", F.col(c))
-    new = li.select(node("a").alias("source_id"), F.lit("Paper").alias("source_type"), F.lit("CITES").alias("edge_type"), node("b").alias("target_id"), F.lit("Paper").alias("target_type"), S(F.col("seq")).alias("evidence"), F.lit(0.9).alias("confidence"), F.create_map().cast("map<string,string>").alias("properties"), "seq")
-    ids = spark.range(500).select(say("paper_", F.col("id")).alias("node_id"), "id")
-    even = G.merge_edges(new.drop("seq").where("false"), new, ids)
-    return even.join(ids.where("id % 2 = 0").select(F.col("node_id").alias("target_id")), "target_id", "left_semi").select("source_id", "target_id", "evidence")
+    new = li.select(node("a").alias("source_id"), F.lit("Paper").alias("source_type"), F.lit("CITES").alias("edge_type"), node("b").alias("target_id"), F.lit("Paper").alias("target_type"), F.when(F.col("a") % 8 != 0, S(F.col("seq"))).alias("evidence"), F.lit(0.9).alias("confidence"), F.create_map().cast("map<string,string>").alias("properties"), "seq", "a")
+    old = new.where("a % 4 = 0").withColumn("evidence", F.lit("old")).dropDuplicates(["source_id", "target_id"])
+    ids = TC.load(spark, sf_dir, "orders").select(node("o_orderkey").alias("node_id")).union(TC.load(spark, sf_dir, "part").where("p_partkey % 2 = 0").select(node("p_partkey").alias("node_id")))
+    return G.merge_edges(old, new, ids).select("source_id", "target_id", "evidence")
 
 
 @register("SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 3 = 2")
@@ -373,36 +379,47 @@ def v9_paper_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return VX.paper_search(_points(spark, sf_dir), _first_vector(spark, sf_dir), 5).select("paper_id", F.round("score", 6).alias("score"), "n_chunks")
 
 
-@register(f"WITH s AS (SELECT a.vec_id AS q, b.vec_id AS id, {_COS} AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS n FROM s) SELECT q AS query_id, string_agg('---' || chr(10) || 'chunk ' || CAST(id AS VARCHAR), chr(10) ORDER BY n) AS context FROM r WHERE n <= 3 GROUP BY q")
+@register(f"WITH s AS (SELECT a.vec_id AS q, b.vec_id AS id, {_COS} AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS n FROM s) SELECT q AS query_id, string_agg('---' || chr(10) || 'chunk ' || CAST(id AS VARCHAR), chr(10) ORDER BY n) AS context FROM r WHERE n <= 3 GROUP BY q")
 def v11_rag_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _points(spark, sf_dir)
-    q = p.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    q = p.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_embedding"))
     hits = VX.batch_vector_search(q, p, 5).join(p.select("id", "paper_id", "text"), "id")
     return H.rag_context(hits, 3).select("query_id", "context")
 
 
+_ASKED = ["Who cites paper ", "How did the field evolve since paper ", "How does it compare to paper "]
+
+
 def _retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Who cites whom, for every twentieth paper of the order lines' graph; without vectors."""
+    """Questions on every twentieth paper of the order lines' graph, of three kinds by turns, with the vectors as chunks."""
     nodes, edges = line_graph(spark, sf_dir)
-    q = nodes.where("cast(paper_id as long) % 20 = 0").select(F.col("paper_id").alias("query_id"), say("Who cites paper ", F.col("paper_id"), "?").alias("query"), "paper_id", F.array(F.lit(1.0).cast("float")).alias("query_embedding"))
-    none = F.lit(None).cast("string")
-    chunks = nodes.where("false").select(F.col("node_id").alias("id"), "paper_id", none.alias("section"), none.alias("text"), F.array(F.lit(1.0).cast("float")).alias("embedding"))
-    return H.hybrid_retrieve(q, nodes, edges, chunks)
+    points = _points(spark, sf_dir).withColumn("paper_id", say(F.col("id") % 400 * 20))
+    k = F.col("paper_id").cast("long")
+    asked = nodes.where(k % 20 == 0).join(points.select((F.col("id") % 20).alias("turn"), F.col("embedding").alias("query_embedding")).groupBy("turn").agg(F.min_by("query_embedding", F.xxhash64("query_embedding")).alias("query_embedding")), F.pmod(F.expr("cast(paper_id as long) div 20"), F.lit(20)) == F.col("turn"))
+    q = asked.select(F.col("paper_id").alias("query_id"), say(TC.pick(_ASKED, F.expr("cast(paper_id as long) div 20")), F.col("paper_id"), "?").alias("query"), "paper_id", "query_embedding")
+    return H.hybrid_retrieve(q, nodes, edges, points)
 
 
-_DEGREE = f"WITH {_LINES}, p AS (SELECT a AS x FROM e UNION SELECT b FROM e), k AS (SELECT x FROM p WHERE x % 20 = 0)"
+_DEGREE = f"""WITH {_LINES}, p AS (SELECT a AS x FROM e UNION SELECT b FROM e), k AS (SELECT x, (x // 20) % 3 AS kind FROM p WHERE x % 20 = 0),
+ahead AS (SELECT a AS x, count(*) AS n FROM e GROUP BY a), back AS (SELECT b AS x, count(*) AS n FROM e GROUP BY b),
+h AS (SELECT (vec_id % 400) * 20 AS x, least(count(*), 5) AS n FROM embeddings GROUP BY 1)"""
 
 
-@register(f"{_DEGREE} SELECT CAST(x AS VARCHAR) AS query_id, (SELECT count(*) FROM e WHERE a = x) + (SELECT count(*) FROM e WHERE b = x) AS n_facts, (SELECT count(*) FROM e WHERE b = x) + 1 AS n_sources FROM k")
+@register(f"""{_DEGREE} SELECT CAST(k.x AS VARCHAR) AS query_id, CASE WHEN kind = 1 THEN NULL ELSE coalesce(ahead.n, 0) + coalesce(back.n, 0) END AS n_facts, CASE WHEN kind = 2 THEN coalesce(h.n, 0) ELSE 0 END AS n_hits,
+kind = 1 AS walked FROM k LEFT JOIN ahead ON k.x = ahead.x LEFT JOIN back ON k.x = back.x LEFT JOIN h ON k.x = h.x""")
 def h6_hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _retrieved(spark, sf_dir).select("query_id", F.size("facts").cast("long").alias("n_facts"), F.size("source_paper_ids").cast("long").alias("n_sources"))
+    """Facts of citation and comparison questions, hits of the asked paper alone, paths of evolution questions only."""
+    walked = F.size("paths") > 0
+    facts = F.when(F.col("query_type") != "EVOLUTION", F.size("facts").cast("long"))
+    return _retrieved(spark, sf_dir).select("query_id", facts.alias("n_facts"), F.size("hits").cast("long").alias("n_hits"), walked.alias("walked"))
 
 
-@register(f"{_DEGREE} SELECT CAST(x AS VARCHAR) AS query_id, (SELECT count(*) FROM e WHERE a = x) + (SELECT count(*) FROM e WHERE b = x) AS n_fact_lines, true AS answerable, 0 AS n_notes FROM k")
+@register(f"""{_DEGREE} SELECT CAST(k.x AS VARCHAR) AS query_id, CASE WHEN kind = 1 THEN NULL ELSE coalesce(ahead.n, 0) + coalesce(back.n, 0) END AS n_fact_lines, CASE WHEN kind = 2 THEN coalesce(h.n, 0) ELSE 0 END AS n_hit_lines
+FROM k LEFT JOIN ahead ON k.x = ahead.x LEFT JOIN back ON k.x = back.x LEFT JOIN h ON k.x = h.x""")
 def h7_build_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = H.confidence_notes(H.build_context(_retrieved(spark, sf_dir)))
-    n = F.size(F.filter(F.split("context_text", "\n"), lambda x: x.contains(" CITES ")))
-    return c.select("query_id", n.cast("long").alias("n_fact_lines"), "answerable", F.size("confidence_notes").alias("n_notes"))
+    lines = lambda part: F.size(F.filter(F.split("context_text", "\n"), lambda x: x.contains(part))).cast("long")
+    return c.select("query_id", F.when(F.col("query_type") != "EVOLUTION", lines(" CITES ")).alias("n_fact_lines"), lines('"chunk ').alias("n_hit_lines"))
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -410,18 +427,18 @@ def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = lambda x: F.array(F.lit(x))
     q = d.select(S(doc_id()).alias("id"), say("c", doc_id() % 3).alias("category"), text("FOO").alias("expected_entities"), F.when(doc_id() % 2 == 0, "CITES").alias("expected_relation"), F.when(doc_id() % 5 != 0, text("p1")).alias("expected_sources"))
     none = F.lit(None).cast("string")
-    place = F.struct(none.alias("name"), none.alias("type"), none.alias("paper_id"))
-    fact = F.struct(place.alias("subject"), F.when(doc_id() % 4 == 0, "CITES").otherwise("MENTIONS").alias("relation"), place.alias("object"), none.alias("evidence"), F.array().cast("array<string>").alias("source_paper_ids"))
-    r = d.select(S(doc_id()).alias("id"), F.lit("hybrid").alias("mode"), F.array(fact).alias("facts"), F.when(doc_id() % 3 == 0, text("p1")).otherwise(text("p2")).alias("source_paper_ids"), F.when(doc_id() % 7 != 0, "a foo b").otherwise("").alias("context_text"))
+    place = lambda name: F.struct(name.alias("name"), none.alias("type"), none.alias("paper_id"))
+    fact = F.struct(place(F.when(doc_id() % 7 == 1, "foo")).alias("subject"), F.when(doc_id() % 4 == 0, "CITES").otherwise("MENTIONS").alias("relation"), place(F.when(doc_id() % 7 == 2, "Foo").otherwise("food")).alias("object"), none.alias("evidence"), F.array().cast("array<string>").alias("source_paper_ids"))
+    r = d.select(S(doc_id()).alias("id"), F.lit("hybrid").alias("mode"), F.array(fact).alias("facts"), F.array(F.struct(F.when(doc_id() % 7 == 3, "FOO").alias("node_name"))).alias("hits"), F.when(doc_id() % 3 == 0, text("p1")).otherwise(text("p2")).alias("source_paper_ids"), F.when(doc_id() % 7 != 0, "a foo b").otherwise("").alias("context_text"))
     return N.score_questions(q, r)
 
 
-@register("SELECT CAST(doc_id AS VARCHAR) AS id, doc_id % 7 <> 0 AS retrieval_hit, CASE WHEN doc_id % 5 <> 0 THEN doc_id % 3 = 0 END AS source_correct, CASE WHEN doc_id % 2 = 0 THEN doc_id % 4 = 0 END AS citation_correct, doc_id % 7 <> 0 AS grounded FROM documents")
+@register("SELECT CAST(doc_id AS VARCHAR) AS id, doc_id % 7 IN (1, 2, 3) AS retrieval_hit, CASE WHEN doc_id % 5 <> 0 THEN doc_id % 3 = 0 END AS source_correct, CASE WHEN doc_id % 2 = 0 THEN doc_id % 4 = 0 END AS citation_correct, doc_id % 7 <> 0 AS grounded FROM documents")
 def n1_score_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scores(spark, sf_dir).drop("category", "mode")
 
 
-@register("""SELECT 'hybrid' AS mode, 'c' || CAST(doc_id % 3 AS VARCHAR) AS category, count(*) AS n, round(avg(CASE WHEN doc_id % 7 <> 0 THEN 1.0 ELSE 0.0 END), 4) AS retrieval_hit_rate,
+@register("""SELECT 'hybrid' AS mode, 'c' || CAST(doc_id % 3 AS VARCHAR) AS category, count(*) AS n, round(avg(CASE WHEN doc_id % 7 IN (1, 2, 3) THEN 1.0 ELSE 0.0 END), 4) AS retrieval_hit_rate,
 round(avg(CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN 1.0 ELSE 0.0 END), 4) AS source_correct_rate, round(avg(CASE WHEN doc_id % 2 = 1 THEN NULL WHEN doc_id % 4 = 0 THEN 1.0 ELSE 0.0 END), 4) AS citation_correct_rate,
 round(avg(CASE WHEN doc_id % 7 <> 0 THEN 1.0 ELSE 0.0 END), 4) AS grounded_rate FROM documents GROUP BY doc_id % 3""")
 def n2_summarize_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -443,16 +460,16 @@ def u2_list_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.list_drafts(o, {"status": "F"}, 500, 10).select("id")
 
 
-_ACTIONS = "a AS (SELECT event_id % 500 AS draft_id, CASE WHEN event_type = 'error' THEN 'rejected' ELSE 'promoted' END AS wanted, ts, event_id FROM events WHERE event_type IN ('error', 'purchase')), f AS (SELECT draft_id, wanted, row_number() OVER (PARTITION BY draft_id ORDER BY ts, event_id) AS n FROM a)"
+_ACTIONS = "a AS (SELECT event_id // 20 AS draft_id, CASE WHEN event_type = 'error' THEN 'rejected' ELSE 'promoted' END AS wanted, ts, event_id FROM events WHERE event_type IN ('error', 'purchase')), f AS (SELECT draft_id, wanted, row_number() OVER (PARTITION BY draft_id ORDER BY ts, event_id) AS n FROM a)"
 
 
 def _manual(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     e = TC.load(spark, sf_dir, "events").where("event_type in ('error', 'purchase')")
-    a = e.select(F.col("event_id").alias("id"), (F.col("event_id") % 500).alias("draft_id"), F.when(F.col("event_type") == "error", "reject").otherwise("promote").alias("action"), "user_id", "ts")
+    a = e.select(F.col("event_id").alias("id"), F.expr("event_id div 20").alias("draft_id"), F.when(F.col("event_type") == "error", "reject").otherwise("promote").alias("action"), "user_id", "ts")
     return U.manual_resolution(drafts(spark, sf_dir), a)
 
 
-@register(f"WITH {_ACTIONS} SELECT d.id, coalesce(f.wanted, 'pending') AS status FROM (SELECT DISTINCT event_id % 500 AS id FROM events) d LEFT JOIN f ON d.id = f.draft_id AND f.n = 1")
+@register(f"WITH {_ACTIONS} SELECT d.id, coalesce(f.wanted, 'pending') AS status FROM (SELECT DISTINCT event_id // 20 AS id FROM events) d LEFT JOIN f ON d.id = f.draft_id AND f.n = 1")
 def u9_manual_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _manual(spark, sf_dir)[0].select("id", "status")
 
@@ -482,7 +499,7 @@ def u12_promoted_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.promoted_payloads(d).select("id", "name")
 
 
-@register("WITH v AS (SELECT DISTINCT event_id % 500 AS id, user_id FROM events WHERE event_type IN ('click', 'purchase', 'error')) SELECT d.id, count(v.user_id) AS n FROM (SELECT DISTINCT event_id % 500 AS id FROM events) d LEFT JOIN v ON d.id = v.id GROUP BY 1")
+@register("WITH v AS (SELECT DISTINCT event_id // 20 AS id, user_id FROM events WHERE event_type IN ('click', 'purchase', 'error')) SELECT d.id, count(v.user_id) AS n FROM (SELECT DISTINCT event_id // 20 AS id FROM events) d LEFT JOIN v ON d.id = v.id GROUP BY 1")
 def u13_draft_with_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.draft_with_votes(drafts(spark, sf_dir), votes(spark, sf_dir)).select("id", F.size("votes").cast("long").alias("n"))
 
@@ -496,9 +513,8 @@ def j2_run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that every executor sees: under ``spark.checkpoint.dir``, or a local one where that is unset."""
-    place = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{place.rstrip('/')}/paperlake/{name}-{uuid.uuid4().hex}"
+    """A new folder that every executor sees."""
+    return f"{shared_dir(spark)}/paperlake/{name}-{uuid.uuid4().hex}"
 
 
 @register(f"{_STEPS} SELECT draft_id, CASE WHEN score > 0 THEN 'promoted' ELSE 'rejected' END AS status, CAST(score AS BIGINT) AS score, user_id AS resolved_by, id AS resolved_vote FROM f")
@@ -513,27 +529,30 @@ def t2_vote_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("draft_id", "status", F.col("score").cast("long").alias("score"), "resolved_by", "resolved_vote")
 
 
-@register(f"SELECT {PID} FROM documents")
+@register(f"{_RESOLVED} SELECT 'paper_' || s AS source_id, 'paper_' || t AS target_id FROM e")
 def t1_ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The decorated corpus as page files through the streaming ingestion; papers that have chunks."""
+    """The decorated corpus as page files through the streaming ingestion; citations of papers that have chunks, resolved over all batches."""
     place = _scratch(spark, "ingest")
-    pages(spark, sf_dir).write.parquet(f"{place}/in")
-    streams.ingest_stream(spark, f"{place}/in", f"{place}/out", f"{place}/state").awaitTermination()
-    return streams.current_chunks(spark, f"{place}/out", "paper_id string, chunk_id string, text string").select("paper_id").distinct()
+    for turn in (0, 1):  # two batches: later papers cite earlier ones and the other way round
+        pages(spark, sf_dir).where(F.pmod(F.xxhash64("paper_id"), F.lit(2)) == turn).write.mode("append").parquet(f"{place}/in")
+        streams.ingest_stream(spark, f"{place}/in", f"{place}/out", f"{place}/state").awaitTermination()
+    have = streams.current_chunks(spark, f"{place}/out", "paper_id string, chunk_id string, text string").select(say("paper_", F.col("paper_id")).alias("source_id")).distinct()
+    edges = streams.current_graph(spark, f"{place}/out")[1].where("edge_type = 'CITES'")
+    return edges.join(have, "source_id", "left_semi").select("source_id", "target_id")
 
 
-@register("SELECT count(*) AS n FROM lineitem WHERE false")
+@register(f"""WITH {_LINES}, s AS (SELECT DISTINCT a, CASE WHEN b % 3 = 0 THEN a WHEN b % 3 = 1 THEN b END AS t, b FROM e)
+SELECT 'paper_' || CAST(a AS VARCHAR) AS source_id, 'paper_' || coalesce(CAST(t AS VARCHAR), 'doi_10.9/s' || CAST(b AS VARCHAR)) AS target_id FROM s WHERE t IS NULL OR t <> a GROUP BY 1, 2""")
 def g10_no_self_citation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Self loops after resolution: none."""
+    """Every citation goes to a placeholder: of the citing paper itself, of a paper that there is, or of none. Only the last two stay."""
     nodes, edges = line_graph(spark, sf_dir)
-    return G.resolve_stubs(nodes, edges)[1].where("source_id = target_id").agg(F.count("*").alias("n"))
-
-
-@register("SELECT rule FROM (VALUES " + ", ".join(f"('{s} {e} {'|'.join(sorted(t))}')" for s, e, t in vocab.ONTOLOGY) + ") AS o(rule) WHERE (SELECT count(*) FROM region) > 0")
-def g1_describe_ontology(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rules that edges drawn from all given regions may use: all of them."""
-    any_row = TC.load(spark, sf_dir, "region").limit(1).select(F.lit(1).alias("one"))
-    return O.describe_ontology(spark).join(any_row).select("rule")
+    a, b = F.substring("source_id", 7, 40), F.substring("target_id", 7, 40)
+    to = F.when(b.cast("long") % 3 == 0, a).when(b.cast("long") % 3 == 1, b)
+    doi = F.coalesce(say("10.9/p", to), say("10.9/s", b))
+    edges = edges.withColumn("target_id", say("paper_doi_", doi)).dropDuplicates(["source_id", "target_id"])
+    real = nodes.withColumn("properties", G.properties(is_stub=F.lit("false"), doi=say("10.9/p", F.col("paper_id"))))
+    stub = edges.select(F.col("target_id").alias("node_id"), F.lit("Paper").alias("node_type"), F.lit(None).cast("string").alias("name"), F.substring("target_id", 7, 40).alias("paper_id"), G.properties(is_stub=F.lit("true")).alias("properties")).dropDuplicates(["node_id"])
+    return G.resolve_stubs(real.unionByName(stub), edges)[1].select("source_id", "target_id")
 
 
 __all__ = ["citations", "workloads"]

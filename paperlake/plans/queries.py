@@ -30,6 +30,7 @@ from paperlake.operators import traverse as W
 from paperlake.operators import vectors as VX
 from paperlake.plans import workloads
 from paperlake.sources import testcorpus as TC
+from paperlake.sources.shared import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -72,7 +73,7 @@ refs AS (SELECT d.doc_id AS d, k, k % 3 AS way,
 """
 
 EVENTS_VOTES = """
-votes AS (SELECT event_id AS id, event_id % 500 AS draft_id, user_id, ts,
+votes AS (SELECT event_id AS id, event_id // 20 AS draft_id, user_id, ts,
   CASE WHEN event_type IN ('click', 'purchase') THEN 1 WHEN event_type = 'error' THEN -1 ELSE 0 END AS vote FROM events),
 good AS (SELECT * FROM votes WHERE vote <> 0)
 """
@@ -89,12 +90,12 @@ def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = TC.load(spark, sf_dir, "events")
     v = F.when(F.col("event_type").isin("click", "purchase"), 1).when(F.col("event_type") == "error", -1).otherwise(0)
-    return e.select(F.col("event_id").alias("id"), (F.col("event_id") % 500).alias("draft_id"), "user_id", "ts", v.alias("vote"))
+    return e.select(F.col("event_id").alias("id"), F.expr("event_id div 20").alias("draft_id"), "user_id", "ts", v.alias("vote"))
 
 
 def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """500 drafts or fewer, from the events' ids."""
-    e = TC.load(spark, sf_dir, "events").select((F.col("event_id") % 500).alias("id")).distinct()
+    """A draft for every twenty events."""
+    e = TC.load(spark, sf_dir, "events").select(F.expr("event_id div 20").alias("id")).distinct()
     return e.select("id", F.concat(F.lit("p"), (F.col("id") % 20).cast("string")).alias("paper_id"), F.lit("pending").alias("status"))
 
 
@@ -256,7 +257,7 @@ _M, _M2, _D = case(vocab.METHODS, "doc_id"), case(vocab.METHODS, "doc_id + 5"),
 UNION ALL SELECT CAST(doc_id AS VARCHAR), {_M2}, 'IMPROVES_UPON', {_M} FROM documents
 UNION ALL SELECT CAST(doc_id AS VARCHAR), {_M}, 'USES_DATASET', {_D} FROM documents""")
 def r3_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = E.sentences(parsed(spark, sf_dir))
+    s = written(E.sentences(parsed(spark, sf_dir)), "sentences")
     return R.extract_relations(s, E.extract_entities(s)).select("paper_id", "source", "relation", "target")
 
 
@@ -325,14 +326,17 @@ def m3_match_works(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- graph ----------------------------------------------------------------------------
 
 
-@register("SELECT s AS source_type, e AS edge_type, t AS target_type FROM (VALUES " + ", ".join(f"('{s}', '{e}', '{t}')" for s, e, ts in vocab.ONTOLOGY for t in ts) + ") AS o(s, e, t) WHERE (SELECT count(*) FROM lineitem) > 0")
+_EDGE_TYPES = sorted({e for _, e, _ in vocab.ONTOLOGY})
+
+
+@register(f"""WITH o(s, e, t) AS (VALUES {", ".join(f"('{s}', '{e}', '{t}')" for s, e, ts in vocab.ONTOLOGY for t in ts)}),
+d AS (SELECT l_orderkey, l_linenumber, {case(vocab.NODE_TYPES, 'l_orderkey')} AS s, {case(_EDGE_TYPES, 'l_partkey')} AS e, {case(vocab.NODE_TYPES, 'l_suppkey')} AS t FROM lineitem)
+SELECT l_orderkey, l_linenumber, s AS source_type, e AS edge_type, t AS target_type FROM d JOIN o USING (s, e, t)""")
 def g1_valid_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges with types drawn from order lines; those that the ontology allows, each once."""
-    li = TC.load(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 10).alias("a"), (F.col("l_partkey") % 20).alias("b"), (F.col("l_suppkey") % 10).alias("c")).distinct()
-    edges = sorted({e for _, e, _ in vocab.ONTOLOGY})
-    drawn = li.select(TC.pick(vocab.NODE_TYPES, F.col("a")).alias("source_type"), TC.pick(edges, F.col("b")).alias("edge_type"), TC.pick(vocab.NODE_TYPES, F.col("c")).alias("target_type"))
-    every = O.ontology(spark)
-    return O.valid_edges(drawn.unionByName(every)).distinct()
+    """Edges with types drawn from all order lines; those that the ontology allows."""
+    li = TC.load(spark, sf_dir, "lineitem")
+    kinds = TC.pick(vocab.NODE_TYPES, F.col("l_orderkey")).alias("source_type"), TC.pick(_EDGE_TYPES, F.col("l_partkey")).alias("edge_type"), TC.pick(vocab.NODE_TYPES, F.col("l_suppkey")).alias("target_type")
+    return O.valid_edges(li.select("l_orderkey", "l_linenumber", *kinds)).select("l_orderkey", "l_linenumber", "source_type", "edge_type", "target_type")
 
 
 @register(f"""WITH {REFS}, c AS (SELECT DISTINCT d, CASE way WHEN 0 THEN 'doi_10.1234/p' || CAST(c AS VARCHAR) WHEN 1 THEN 'arxiv_' || {arxiv('c')} ELSE 'ref_' || CAST(d AS VARCHAR) || '_' || CAST(k + 1 AS VARCHAR) END AS t FROM refs)
@@ -343,11 +347,11 @@ def g6_citation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _citation_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    x = parsed(spark, sf_dir)
+    x = written(parsed(spark, sf_dir), "parsed")
     papers = x.select("paper_id", "title", "abstract", F.array().cast("array<string>").alias("authors"), F.lit(None).cast("int").alias("year"), "arxiv_id", F.lower("doi").alias("doi"))
     c = C.merge_duplicate_citations(C.normalize_citations(C.extract_references(x.select("paper_id", "text"))))
     stubs, cites = G.citation_stubs(c)
-    return G.dedupe_nodes(G.paper_nodes(papers).unionByName(stubs)), G.dedupe_edges(cites)
+    return written(G.dedupe_nodes(G.paper_nodes(papers).unionByName(stubs)), "nodes"), written(G.dedupe_edges(cites), "edges")
 
 
 _RESOLVED = f"""WITH {REFS}, c AS (SELECT d, CASE WHEN (way = 0 AND c % 3 = 1) OR (way = 1 AND c % 3 = 0) THEN CAST(c AS VARCHAR)
@@ -365,6 +369,7 @@ def g10_resolved_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q14_most_cited(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: read, parse, split bibliographies, resolve placeholders, count citations of each paper."""
     nodes, edges = G.resolve_stubs(*_citation_parts(spark, sf_dir))
+    edges = written(edges, "resolved")  # counted at both ends
     return Q.citation_degree(nodes, edges).select("paper_id", "n_in", "n_out")
 
 
@@ -382,7 +387,7 @@ def g8_merge_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.merge_nodes(new.drop("seq").where("false"), new).select("node_id", "name", F.col("properties")["even"].alias("last_even"))
 
 
-_LINES = "e AS (SELECT DISTINCT l_orderkey % 2000 AS a, l_partkey % 2000 AS b FROM lineitem WHERE l_orderkey % 2000 <> l_partkey % 2000)"
+_LINES = "e AS (SELECT DISTINCT l_orderkey AS a, l_partkey AS b FROM lineitem WHERE l_orderkey <> l_partkey)"
 
 
 @register(f"WITH {_LINES}, p AS (SELECT a AS x FROM e UNION SELECT b FROM e) SELECT 'Paper' AS node_type, count(*) AS n FROM p")
@@ -406,22 +411,31 @@ def q2_cited_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.cited_papers(nodes, edges, _some_papers(nodes)).select("key_id", "paper_id")
 
 
-@register(f"""WITH {_LINES}, s AS (SELECT DISTINCT a AS x FROM e WHERE a % 100 = 0), one AS (SELECT x, b AS y FROM s JOIN e ON s.x = e.a),
+@register(f"""WITH {_LINES}, s AS (SELECT DISTINCT a AS x FROM e WHERE a % 20 = 0), one AS (SELECT x, b AS y FROM s JOIN e ON s.x = e.a),
 two AS (SELECT one.x, e.b AS y FROM one JOIN e ON one.y = e.a) SELECT 'paper_' || CAST(x AS VARCHAR) AS seed, 'paper_' || CAST(y AS VARCHAR) AS node FROM (SELECT * FROM one UNION SELECT * FROM two) u WHERE x <> y""")
 def q3_citation_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, edges = line_graph(spark, sf_dir)
-    seeds = edges.where("cast(substring(source_id, 7) as long) % 100 = 0").select(F.col("source_id").alias("node_id"))
+    seeds = edges.where("cast(substring(source_id, 7) as long) % 20 = 0").select(F.col("source_id").alias("node_id"))
     return W.citation_neighbors(edges, seeds, "forward", 2)
 
 
-@register(f"""WITH {_LINES}, s AS (SELECT DISTINCT a AS x FROM e WHERE a % 100 = 0), one AS (SELECT x, b AS y, row_number() OVER (PARTITION BY x ORDER BY 'paper_' || CAST(b AS VARCHAR)) AS r FROM s JOIN e ON s.x = e.a)
+@register(f"""WITH {_LINES}, s AS (SELECT DISTINCT a AS x FROM e WHERE a % 20 = 0), one AS (SELECT x, b AS y, row_number() OVER (PARTITION BY x ORDER BY 'paper_' || CAST(b AS VARCHAR)) AS r FROM s JOIN e ON s.x = e.a)
 SELECT 'paper_' || CAST(x AS VARCHAR) AS seed, 'paper_' || CAST(y AS VARCHAR) AS node, 1 AS depth FROM one WHERE r <= 20""")
 def q13_expand_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = line_graph(spark, sf_dir)
-    seeds = edges.where("cast(substring(source_id, 7) as long) % 100 = 0").select(F.col("source_id").alias("node_id")).distinct()
+    seeds = edges.where("cast(substring(source_id, 7) as long) % 20 = 0").select(F.col("source_id").alias("node_id")).distinct()
     return W.expand_citations(nodes, edges, seeds, "forward", 1, 20).select("seed", "node", "depth")
 
 
+@register()
+def q13_expand_both_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two hops in both directions with their paths; ``tests/test_graph.py`` compares with a plain walk."""
+    nodes, edges = line_graph(spark, sf_dir)
+    seeds = edges.where("cast(substring(source_id, 7) as long) % 20 = 0").select(F.col("source_id").alias("node_id")).distinct()
+    d = W.expand_citations(nodes, edges, seeds)
+    return d.select("seed", "node", "title", "depth", F.array_join("path", ">").alias("path"), "direction")
+
+
 @register(f"WITH {_LINES}, p AS (SELECT a AS x FROM e UNION SELECT b FROM e) SELECT CAST(x AS VARCHAR) AS paper_id, (SELECT count(*) FROM e WHERE b = x) AS n_in, (SELECT count(*) FROM e WHERE a = x) AS n_out FROM p")
 def q14_citation_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.citation_degree(*line_graph(spark, sf_dir)).select("paper_id", "n_in", "n_out")
@@ -473,11 +487,11 @@ _COS = """list_sum(list_transform(range(1, 65), lambda i: CAST(a.embedding[i] AS
 / (sqrt(list_sum(list_transform(a.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) * sqrt(list_sum(list_transform(b.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))))"""
 
 
-@register(f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, {_COS} AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0),
+@register(f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, {_COS} AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, id, rank, round(score, 6) AS score FROM r WHERE rank <= 5""")
 def v7_batch_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _points(spark, sf_dir)
-    q = p.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    q = p.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_embedding"))
     return VX.batch_vector_search(q, p, 5).withColumn("score", F.round("score", 6))
 
 
@@ -486,10 +500,12 @@ def v10_collection_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return VX.collection_stats(TC.load(spark, sf_dir, "embeddings"))
 
 
-@register("SELECT vec_id AS id FROM embeddings")
+@register("""SELECT vec_id AS id, 'old' AS text FROM embeddings WHERE vec_id % 37 NOT IN (1, 2) UNION ALL SELECT vec_id + 1000000, 'new' FROM embeddings WHERE vec_id % 37 IN (1, 2) AND vec_id % 2 = 0""")
 def s9_replace_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _points(spark, sf_dir)
-    return VX.replace_paper_vectors(p, p.where("paper_id in ('1', '2')")).select("id")
+    """Two papers are sent again with other points, half as many."""
+    old = _points(spark, sf_dir).withColumn("text", F.lit("old"))
+    new = old.where("paper_id in ('1', '2') and id % 2 = 0").withColumn("id", F.col("id") + 1_000_000).withColumn("text", F.lit("new"))
+    return VX.replace_paper_vectors(old, new).select("id", "text")
 
 
 _FORMS = ["Who cites paper ", "How did the field evolve since ", "How does it compare to ", "Give an overview of ", "What is ", "Why does it work in "]

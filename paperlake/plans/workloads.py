@@ -15,6 +15,7 @@ from paperlake.operators import parse as P
 from paperlake.operators import relations as R
 from paperlake.operators import routing as T
 from paperlake.operators import vectors
+from paperlake.sources.shared import written
 
 
 @dataclass
@@ -28,26 +29,26 @@ class Extracted:
 
 
 def extract(pages: DataFrame) -> Extracted:
-    """Everything that is read out of page text. The parsed papers feed four branches, so callers may persist ``parsed``."""
-    parsed = P.parse_papers(pages)
+    """Everything that is read out of page text. What feeds several branches is written down once: papers, sentences, entities."""
+    parsed = written(P.parse_papers(pages), "parsed")
     refs = C.extract_references(parsed.select("paper_id", "text"))
     citations = C.merge_duplicate_citations(C.normalize_citations(refs))
-    sents = E.sentences(parsed)
-    entities = E.extract_entities(sents)
+    sents = written(E.sentences(parsed), "sentences")
+    entities = written(E.extract_entities(sents), "entities")
     return Extracted(parsed, P.sections(parsed), citations, sents, entities, R.extract_relations(sents, entities))
 
 
-def corpus_to_graph(pages: DataFrame, resolve: bool = True) -> tuple[DataFrame, DataFrame]:
+def corpus_to_graph(pages: DataFrame, resolve: bool = True, extracted: Extracted | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of a corpus; placeholders of cited papers that are in the corpus are resolved."""
-    x = extract(pages)
+    x = extracted or extract(pages)
     papers = x.parsed.select("paper_id", "title", "abstract", F.array().cast("array<string>").alias("authors"), F.lit(None).cast("int").alias("year"), "arxiv_id", F.lower("doi").alias("doi"))
     nodes, edges = G.build_graph(papers, x.sections, x.entities, x.relations, x.citations)
-    return G.resolve_stubs(nodes, edges) if resolve else (nodes, edges)
+    return G.resolve_stubs(written(nodes, "nodes"), written(edges, "edges")) if resolve else (nodes, edges)
 
 
-def text_to_vectors(pages: DataFrame, dim: int = vectors.DIM) -> DataFrame:
+def text_to_vectors(pages: DataFrame, dim: int = vectors.DIM, extracted: Extracted | None = None) -> DataFrame:
     """Embedded chunks of a corpus, windows where a paper has no structure."""
-    x = extract(pages)
+    x = extracted or extract(pages)
     auto, _ = T.split_routed(T.route(x.entities))
     chunks = V.chunks_with_fallback(V.structured_chunks(x.parsed, auto), V.word_window_chunks(pages))
     return vectors.embed(V.chunk_ids(chunks), dim=dim)

@@ -49,9 +49,11 @@ def parse_atom(entries: DataFrame, col: str = "xml") -> DataFrame:
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Parquet, partitioned by node and edge type."""
-    nodes.repartition("node_type").write.mode(mode).partitionBy("node_type").parquet(f"{path}/nodes")
-    edges.repartition("edge_type").write.mode(mode).partitionBy("edge_type").parquet(f"{path}/edges")
+    """Parquet, partitioned by node and edge type; a type is dealt over as many tasks as a shuffle has."""
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bucket = lambda *ids: F.pmod(F.xxhash64(*ids), F.lit(n))
+    nodes.repartition("node_type", bucket("node_id")).write.mode(mode).partitionBy("node_type").parquet(f"{path}/nodes")
+    edges.repartition("edge_type", bucket("source_id", "target_id")).write.mode(mode).partitionBy("edge_type").parquet(f"{path}/edges")
 
 
 NODES = "node_id string, name string, paper_id string, properties map<string,string>, node_type string"

@@ -6,13 +6,16 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from paperlake.operators.curation import THRESHOLD, valid_votes
+from paperlake.operators.graph import merge_edges, merge_nodes, resolve_stubs
 from paperlake.operators.vectors import replace_paper_vectors
-from paperlake.plans.workloads import corpus_to_graph, text_to_vectors
-from paperlake.sources.io import PAGES
+from paperlake.plans.workloads import corpus_to_graph, extract, text_to_vectors
+from paperlake.sources.io import EDGES, NODES, PAGES
+from paperlake.sources.shared import written
 
 RESOLUTION = "draft_id long, status string, score int, resolved_by long, resolved_at timestamp, resolved_vote long"
 STATE = "users array<long>, votes array<int>, score int, status string"
@@ -22,25 +25,32 @@ def ingest_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: st
     """New page files go through the whole ingestion per micro-batch; a paper that is sent again replaces its chunks.
 
     Graph parts of a batch are written under its number, and so are chunks; a
-    batch that is run again after a failure overwrites its own part.
+    batch that is run again after a failure overwrites its own part. Placeholders
+    stay in the parts: ``current_graph`` merges all parts and resolves them, so it
+    doesn't matter whether the citing or the cited paper came first.
     """
     pages = spark.readStream.schema(PAGES).format(form).load(in_dir)
 
     def batch(df: DataFrame, number: int) -> None:
-        df = df.persist()
-        nodes, edges = corpus_to_graph(df)
+        read = extract(df)
+        nodes, edges = corpus_to_graph(df, resolve=False, extracted=read)
         nodes.write.mode("overwrite").parquet(f"{out_dir}/nodes/batch={number}")
         edges.write.mode("overwrite").parquet(f"{out_dir}/edges/batch={number}")
-        text_to_vectors(df, dim).write.mode("overwrite").parquet(f"{out_dir}/chunks/batch={number}")
-        df.unpersist()
+        text_to_vectors(df, dim, extracted=read).write.mode("overwrite").parquet(f"{out_dir}/chunks/batch={number}")
 
     return pages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def current_graph(spark: SparkSession, out_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of all batches, later ones over earlier ones, with placeholders resolved."""
+    part = lambda kind, schema: spark.read.schema(f"{schema}, batch long").parquet(f"{out_dir}/{kind}").withColumn("seq", F.col("batch") + 1)
+    nodes, edges = part("nodes", NODES), part("edges", EDGES)
+    merged = written(merge_nodes(nodes.where("false"), nodes), "nodes")
+    return resolve_stubs(merged, written(merge_edges(edges.where("false"), edges, merged), "edges"))
+
+
 def current_chunks(spark: SparkSession, out_dir: str, schema: str) -> DataFrame:
     """Chunks of the last batch that has each paper."""
-    from pyspark.sql import functions as F
-
     d = spark.read.schema(f"{schema}, batch long").parquet(f"{out_dir}/chunks")
     last = d.groupBy("paper_id").agg(F.max("batch").alias("batch"))
     return d.join(last, ["paper_id", "batch"], "left_semi")

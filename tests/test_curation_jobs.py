@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from paperlake.operators import curation as U
 from paperlake.operators import enrich as M
 from paperlake.operators import jobs as J
+from paperlake.plans.workloads import corpus_to_graph
 from paperlake.sources import io
 from paperlake.sources.testcorpus import pages
 from paperlake.streaming import streams as S
@@ -66,6 +67,11 @@ def test_ingest_stream(spark, tmp_path):
     now = S.current_chunks(spark, str(tmp_path / "out"), schema)
     assert {r.paper_id for r in now.select("paper_id").distinct().collect()} == {"0", "1", "2", "3"}
     assert now.groupBy("chunk_id").count().where("count > 1").count() == 0
+    nodes, edges = S.current_graph(spark, str(tmp_path / "out"))
+    n, e = corpus_to_graph(pages(docs, 4))
+    assert {r.node_id for r in nodes.collect()} == {r.node_id for r in n.collect()} and nodes.count() == n.count()
+    keys = lambda x: sorted((r.source_id, r.edge_type, r.target_id) for r in x.collect())
+    assert keys(edges) == keys(e)
 
 
 def test_queue_listing_and_manual_actions(spark):

@@ -111,6 +111,25 @@ def test_model_entities(spark):
     assert got == {"bare": 1.0, "fence": 0.5, "prose": 0.5, "single": 0.5}
 
 
+def test_model_entities_keep_their_section_and_model(spark):
+    item = '{"name": "Foo", "type": "Method", "evidence": "we propose the Foo model here"'
+    raw = spark.createDataFrame([("a", item + ', "source_section": " Intro ", "section": "no"}'), ("b", item + ', "section": "no"}')], "paper_id string, raw string")
+    texts = raw.select("paper_id", F.lit("In this paper we propose the Foo model here.").alias("text"))
+    got = {r.paper_id: (r.source_section.strip(), r.extracted_by) for r in L.validate_llm_entities(raw, texts, "model-7").collect()}
+    assert got == {"a": ("Intro", "model-7"), "b": ("", "model-7")}
+
+
+def test_names_stand_between_word_boundaries(spark):
+    import re
+
+    from pyspark.sql import functions as F
+
+    rows = [(t, n) for t in ["foo foobar", "foobar", "barfoo foo", "a.foo,b", "foofoo", "foo-foo", "c++ is", "c++x", "xc++", "(c++)", "naïve bayes", "naïvefoo", "éfoo", ".net core", "x.net"] for n in ["foo", "c++", "naïve", ".net"]]
+    d = spark.createDataFrame(rows, "t string, n string")
+    for r in d.select("t", "n", R._stands_alone(F.col("t"), F.col("n")).alias("ok")).collect():
+        assert r.ok == bool(re.search(rf"\b{re.escape(r.n)}\b", r.t)), r
+
+
 def test_model_relations(spark):
     ev = "Foo outperforms Bar by a large margin"
     item = lambda s, t, r="IMPROVES_UPON": f'{{"source": "{s}", "relation": "{r}", "target": "{t}", "evidence": "{ev}"}}'

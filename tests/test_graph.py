@@ -105,12 +105,13 @@ def test_merge_edges_needs_both_ends(graph):
 def test_curated_writes_use_the_same_ids(spark):
     s = "id long, paper_id string, kind string, resolved_by string, name string, type string, role string, evidence string, confidence double, source string, source_type string, relation string, target string, target_type string"
     d = spark.createDataFrame(
-        [(1, "a", "entity", "u", "BERT", "Method", "introduces", "e", 0.7, None, None, None, None, None), (2, "a", "entity", "u", "BLEU", "Metric", "introduces", None, None, None, None, None, None, None), (3, "a", "entity", "u", " ", "Method", None, None, None, None, None, None, None, None), (4, "a", "relation", "u", None, None, None, "e", None, "BERT", "Method", "EXTENDS", "GPT", "Method"), (5, "a", "relation", "u", None, None, None, "e", None, "BERT", "Method", "CITES", "GPT", "Method")], s
+        [(1, "a", "entity", "u", "BERT", "Method", "introduces", "e", 0.7, None, None, None, None, None), (2, "a", "entity", "u", "BLEU", "Metric", "introduces", None, None, None, None, None, None, None), (3, "a", "entity", "u", " ", "Method", None, None, None, None, None, None, None, None), (4, "a", "relation", "u", None, None, None, "e", None, "BERT", "Method", "EXTENDS", "GPT", "Method"), (5, "a", "relation", "u", None, None, None, "e", None, "BERT", "Method", "CITES", "GPT", "Method"), (6, "a", "relation", "u", None, None, None, "e", None, "", "Method", "EXTENDS", None, "Method"), (7, "a", "relation", "u", None, None, None, "e", None, "BERT", "Method", "EXTENDS", " ", "Method")], s
     )
     nodes, edges, rejected = G.curated_graph(d)
     t = triples(edges)
     assert t == {("paper_a", "INTRODUCES", f"method_{h('bert')}"), ("paper_a", "MENTIONS", f"metric_{h('bleu')}"), (f"method_{h('bert')}", "EXTENDS", f"method_{h('gpt')}")}
-    assert {r.id for r in rejected.collect()} == {3, 5}
+    assert {r.id for r in rejected.collect()} == {3, 5, 6, 7}
+    assert edges.where("edge_type = 'EXTENDS'").first().properties["curated_by"] == "u" and nodes.where("trim(name) = '' or node_id = 'method_'").count() == 0
     assert nodes.where(f"node_id = 'method_{h('bert')}'").first().properties["curated"] == "true"
 
 

@@ -119,3 +119,14 @@ def test_doi(spark, value, want):
 @pytest.mark.parametrize("value,want", [("arXiv:2101.00001v2", "2101.00001"), ("https://arxiv.org/pdf/2101.00001.pdf", "2101.00001"), ("hep-th/9901001", "hep-th/9901001"), ("nope", None)])
 def test_arxiv_ids(spark, value, want):
     assert spark.createDataFrame([(value,)], "v string").select(X.normalize_arxiv_id(F.col("v")).alias("x")).first().x == want
+
+
+def test_an_absurd_range_does_not_kill_the_job(spark):
+    t = spark.createDataFrame([("a", "See [1-9999999999] and [1-99999999], then [2-3] [99999999999999999999].")], "paper_id string, text string")
+    got = {r.ref_id for r in C.find_mentions(t).collect()}
+    assert {"2", "3"} <= got and len(got) < 10
+
+
+@pytest.mark.parametrize("doi,want", [("10.1/A b", "10.1/ab"), ("https://doi.org/10.1/a", None), ("doi:10.1/a", None), ("", None)])
+def test_a_citations_doi_stands_bare(spark, doi, want):
+    assert spark.range(1).select(X.clean_doi(F.lit(doi)).alias("d")).first().d == want

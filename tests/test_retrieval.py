@@ -123,8 +123,13 @@ def test_hybrid_retrieval_context_and_grades(spark):
     assert notes["q4"] == (2, False) and notes["q3"] == (0, True)
     forced = H.route_queries(qs, "vector").collect()
     assert all(r.use_vector and not r.use_graph for r in forced)
+    assert all(r.use_vector and r.use_graph for r in H.route_queries(qs, "both").collect())
+    assert H.route_queries(qs, "anything").collect() == H.route_queries(qs).collect()
+    both = {r.query_id: r for r in H.hybrid_retrieve(qs, nodes, edges, chunks, 5, "both").collect()}
+    assert [h.paper_id for h in both["q2"].hits] == ["a"] and both["q1"].hits == [] and len(both["q3"].hits) == 2
+    assert {r.mode for r in H.retrieve_modes(qs, nodes, edges, chunks).select("mode").distinct().collect()} == {"graph_only", "vector_only", "hybrid"}
     questions = spark.createDataFrame([("q1", "x", ["B"], "CITES", ["a"]), ("q3", "x", ["zeta"], None, []), ("q4", "y", [], "", ["z"])], "id string, category string, expected_entities array<string>, expected_relation string, expected_sources array<string>")
-    modes = H.build_context(H.hybrid_retrieve(qs, nodes, edges, chunks, 1)).select(F.col("query_id").alias("id"), F.lit("hybrid").alias("mode"), "facts", "source_paper_ids", "context_text")
+    modes = H.build_context(H.hybrid_retrieve(qs, nodes, edges, chunks, 1)).select(F.col("query_id").alias("id"), F.lit("hybrid").alias("mode"), "facts", "hits", "source_paper_ids", "context_text")
     scores = {r.id: r for r in N.score_questions(questions, modes).collect()}
     assert (scores["q1"].retrieval_hit, scores["q1"].source_correct, scores["q1"].citation_correct, scores["q1"].grounded) == (True, True, True, True)
     assert (scores["q3"].retrieval_hit, scores["q3"].source_correct, scores["q3"].citation_correct, scores["q3"].grounded) == (False, None, None, True)
@@ -133,6 +138,25 @@ def test_hybrid_retrieval_context_and_grades(spark):
     assert (total.n, total.retrieval_hit_rate, total.source_correct_rate, total.citation_correct_rate, total.grounded_rate) == (3, 0.6667, 0.5, 1.0, 0.6667)
 
 
+def test_expected_names_are_met_whole_not_as_parts_of_the_context(spark):
+    fact = "struct<subject:struct<name:string>,relation:string,object:struct<name:string>>"
+    r = spark.createDataFrame(
+        [("1", "hybrid", [((("Storage",), "USES", ("x",)))], [("RAG",)], [], "storage rag"), ("2", "hybrid", [((("Storage",), "USES", ("x",)))], [(None,)], [], "storage rag")],
+        f"id string, mode string, facts array<{fact}>, hits array<struct<node_name:string>>, source_paper_ids array<string>, context_text string",
+    )
+    q = spark.createDataFrame([("1", "c", ["rag", "storage"], None, []), ("2", "c", ["RAG"], None, [])], "id string, category string, expected_entities array<string>, expected_relation string, expected_sources array<string>")
+    assert {x.id: x.retrieval_hit for x in N.score_questions(q, r).collect()} == {"1": True, "2": False}
+
+
+def test_zero_vectors_take_no_rank(spark):
+    c = spark.createDataFrame([("a", "p", "s", "t", [0.0, 0.0]), ("b", "p", "s", "t", [1.0, 0.0]), ("c", "p", "s", "t", None)], "id string, paper_id string, section string, text string, embedding array<float>")
+    assert [r.id for r in VX.vector_search(c, [1.0, 0.0]).collect()] == ["b"] and VX.vector_search(c, [0.0, 0.0]).count() == 0
+    assert [r.paper_id for r in VX.paper_search(c, [1.0, 1.0]).collect()] == ["p"]
+    q = spark.createDataFrame([("q", [1.0, 1.0]), ("z", [0.0, 0.0])], "query_id string, query_embedding array<float>")
+    assert [(r.query_id, r.id, r["rank"]) for r in VX.batch_vector_search(q, c).collect()] == [("q", "b", 1)]
+    assert VX.batch_vector_search(q, c, metric="dot").count() == 4
+
+
 def test_rag_context(spark):
     hits = spark.createDataFrame([("q", 1, 0.9, "p", "x" * 200), ("q", 2, 0.8, "r", "second")], "query_id string, rank int, score double, paper_id string, text string")
     r = H.rag_context(hits).first()
