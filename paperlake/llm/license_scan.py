@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TRIGGER = r"(?i)licen[sc]e|copyright|permission|redistribut|rights\W+reserved|public\W+domain|spdx"
+TRIGGER = r"(?i)licen[sc]e|copyright|permission|redistribut|rights\W+reserved|public\W+domain|spdx|without\W+warranty"
 #: Share of a template's words that may differ; templates of under ten words must be met exactly.
 SLACK = 0.1
 #: Share of a template's own compressed size that it must save.
@@ -37,12 +37,37 @@ LEAST_GAIN = 0.25
 
 # Wordings of common license notices. A word in angle brackets is a placeholder.
 TEMPLATES = {
+    "SPDX-Apache-2.0": "SPDX-License-Identifier: Apache-2.0",
+    "SPDX-MIT": "SPDX-License-Identifier: MIT",
+    "SPDX-BSD-2-Clause": "SPDX-License-Identifier: BSD-2-Clause",
+    "SPDX-BSD-3-Clause": "SPDX-License-Identifier: BSD-3-Clause",
+    "SPDX-GPL-2.0": "SPDX-License-Identifier: GPL-2.0",
+    "SPDX-GPL-3.0": "SPDX-License-Identifier: GPL-3.0",
+    "SPDX-GPL-2.0-only": "SPDX-License-Identifier: GPL-2.0-only",
+    "SPDX-GPL-2.0-or-later": "SPDX-License-Identifier: GPL-2.0-or-later",
+    "SPDX-GPL-3.0-only": "SPDX-License-Identifier: GPL-3.0-only",
+    "SPDX-GPL-3.0-or-later": "SPDX-License-Identifier: GPL-3.0-or-later",
+    "SPDX-LGPL-2.1": "SPDX-License-Identifier: LGPL-2.1",
+    "SPDX-LGPL-3.0": "SPDX-License-Identifier: LGPL-3.0",
+    "SPDX-MPL-2.0": "SPDX-License-Identifier: MPL-2.0",
+    "SPDX-ISC": "SPDX-License-Identifier: ISC",
+    "SPDX-CC-BY-4.0": "SPDX-License-Identifier: CC-BY-4.0",
+    "SPDX-CC-BY-SA-4.0": "SPDX-License-Identifier: CC-BY-SA-4.0",
+    "SPDX-CC0-1.0": "SPDX-License-Identifier: CC0-1.0",
+    "SPDX-Unlicense": "SPDX-License-Identifier: Unlicense",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-notice": (
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"
     ),
     "MIT": "Released under the MIT License.",
+    "MIT-notice": "Licensed under the MIT license.",
+    "MIT-disclaimer": (
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF '
+        "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY "
+        "CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE "
+        "SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
     "MIT-text": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
         '(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, '
@@ -56,6 +81,9 @@ TEMPLATES = {
     "BSD-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "LGPL-3.0-heading": "GNU Lesser General Public License Version 3",
+    "LGPL-2.1-heading": "GNU Lesser General Public License Version 2.1",
+    "AGPL-3.0-heading": "GNU Affero General Public License Version 3",
     "GPL-notice": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
         "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
