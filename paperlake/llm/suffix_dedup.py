@@ -45,7 +45,6 @@ GRAM = 64
 #: Contexts of one anchor that one shard holds, and of one shard on average.
 HOT = 16_384
 SHARD = 4_096
-RANGES = 64
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _OCC = np.dtype([("key", "<i8"), ("pos", "<i4"), ("lo", "<i2"), ("hi", "<i2")])
 
@@ -285,18 +284,18 @@ def _shard(pdf: pd.DataFrame) -> pd.DataFrame:
 _OPEN = np.dtype([("a", "<u8"), ("b", "<u8"), ("offset", "<i2")])
 
 
-def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Windows of a shard's spread contexts, sorted by digest and cut into ranges by binary search; one row a range."""
+def _cut(batches: Iterator[pd.DataFrame], bits: int) -> Iterator[pd.DataFrame]:
+    """Windows of a shard's spread contexts, sorted by digest and cut into 2 ** bits ranges by binary search; one row a range."""
     for b in batches:
         size = b.open.map(len).to_numpy() // _OPEN.itemsize
         rec = np.frombuffer(b"".join(b.open), _OPEN)
         top = rec["a"]
         by = np.argsort(top)
         owner = np.repeat(np.arange(len(b)), size)[by]
-        edges = np.searchsorted(top[by], (np.arange(1, RANGES, dtype=np.uint64) << np.uint64(58)))
+        edges = np.searchsorted(top[by], (np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)))
         cuts = np.concatenate([[0], edges, [len(rec)]])
         g, c = b.g.to_numpy(), b.c.to_numpy()
-        for r in range(RANGES):
+        for r in range(1 << bits):
             s = slice(cuts[r], cuts[r + 1])
             if s.stop > s.start:
                 yield pd.DataFrame({"range": [r], "g": [g[owner[s]].astype(np.int64).tobytes()], "c": [c[owner[s]].astype(np.int64).tobytes()], "open": [rec[by][s].tobytes()]})
@@ -383,7 +382,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("g", F.pmod("c", F.col("parts"))), F.lit(shards))).otherwise(F.pmod(F.xxhash64("g"), F.lit(shards)))
     sorted_shards = materialize(contexts.withColumn("shard", part).groupBy("shard").applyInPandas(lambda pdf: _shard(pdf), "g long, c long, hits binary, open binary"), "shards")
     spread = sorted_shards.where(F.length("open") > 0).select("g", "c", "open")
-    merged = spread.mapInPandas(_cut, "range int, g binary, c binary, open binary").groupBy("range").applyInPandas(_merge, "g long, c long, hits binary")
+    bits = max(6, (shards - 1).bit_length())  # as many ranges as shards, so a range doesn't grow with the corpus
+    merged = spread.mapInPandas(lambda batches: _cut(batches, bits), "range int, g binary, c binary, open binary").groupBy("range").applyInPandas(_merge, "g long, c long, hits binary")
     hits = sorted_shards.select("g", "c", "hits").where(F.length("hits") > 0).unionByName(merged).groupBy("g", "c").agg(F.collect_list("hits").alias("hits"))
     # a context that occurs twice is covered whole; only single ones need the shards' findings
     rest = marks.where("several and not whole").join(hits, ["g", "c"])
