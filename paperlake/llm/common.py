@@ -62,6 +62,23 @@ def text_or_empty(text_col: str) -> Column:
     return F.coalesce(F.col(text_col), F.lit(""))
 
 
+#: A key is hot when it has more than this share of the rows, so there are at most 1 / HOT_SHARE hot keys.
+HOT_SHARE = 0.001
+
+
+def join_values(rows: DataFrame, values: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` with the columns of ``values`` (one row per ``key``; its ``c`` counts the key's rows, of ``total`` or fewer).
+
+    A key that may hold a third of all rows isn't gathered: values of hot keys,
+    1,000 at most by their definition, are broadcast; the others are joined by a shuffle.
+    """
+    names = [x for x in values.columns if x not in (key, "c")]
+    hot = values.where(F.col("c") > F.lit(total * HOT_SHARE)).select(key, F.struct(*names).alias("__hot"))
+    tagged = rows.join(F.broadcast(hot), key, "left")
+    cold = tagged.where("__hot is null").drop("__hot").hint("merge").join(values.where(F.col("c") <= F.lit(total * HOT_SHARE)).drop("c"), key)
+    return tagged.where("__hot is not null").select(*rows.columns, "__hot.*").unionByName(cold)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: int = -1, size: int = SLICE) -> Iterator[pa.RecordBatch]:
     """Batches cut into slices of about ``size`` bytes of the column at ``text``, so that memory doesn't grow with texts.
 

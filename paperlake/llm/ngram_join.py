@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperlake.llm.common import materialize, row_key
+from paperlake.llm.common import join_values, materialize, row_key, slices
 from paperlake.llm.components import components
 
 WORDS = 5
@@ -192,28 +192,26 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     src = docs.select(row_key(id_col, text_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for i in range(0, whole.num_rows, 256):
-                b = whole.slice(i, 256)
-                sets = [shingles(t) for t in b.column(1).to_pylist()]
-                some = [i for i, s in enumerate(sets) if len(s)]
-                if not some:
-                    continue
-                sets = [sets[i] for i in some]
-                sig = signatures(sets).astype(np.uint64).reshape(len(sets), BANDS, -1)
-                band = np.arange(BANDS, dtype=np.uint64)[None, :] * _BASE
-                for r in range(sig.shape[2]):
-                    band = mix(band + sig[:, :, r])
-                whole_set = [int(mix(np.array([s.sum(), len(s)], np.uint64).cumsum())[1].astype(np.int64)) for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column(0).take(pa.array(some)),
-                        pa.array([len(s) for s in sets], pa.int32()),
-                        pa.array(whole_set, pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(range(0, (len(sets) + 1) * BANDS, BANDS), pa.int32()), pa.array(band.astype(np.int64).ravel())),
-                    ],
-                    names=["key", "n", "set_hash", "bands"],
-                )
+        for b in slices(batches):
+            sets = [shingles(t) for t in b.column(1).to_pylist()]
+            some = [i for i, s in enumerate(sets) if len(s)]
+            if not some:
+                continue
+            sets = [sets[i] for i in some]
+            sig = signatures(sets).astype(np.uint64).reshape(len(sets), BANDS, -1)
+            band = np.arange(BANDS, dtype=np.uint64)[None, :] * _BASE
+            for r in range(sig.shape[2]):
+                band = mix(band + sig[:, :, r])
+            whole_set = [int(mix(np.array([s.sum(), len(s)], np.uint64).cumsum())[1].astype(np.int64)) for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column(0).take(pa.array(some)),
+                    pa.array([len(s) for s in sets], pa.int32()),
+                    pa.array(whole_set, pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(range(0, (len(sets) + 1) * BANDS, BANDS), pa.int32()), pa.array(band.astype(np.int64).ravel())),
+                ],
+                names=["key", "n", "set_hash", "bands"],
+            )
 
     return src.mapInArrow(run, "key long, n int, set_hash long, bands array<long>")
 
@@ -318,9 +316,10 @@ def with_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         "id", F.col("id").alias("class_id"), F.col("id").alias("group_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_text_links")
     )
     some = found.where("class_key is not null")
-    class_ids = some.groupBy("class_key").agg(F.min("id").alias("class_id"))
-    group_ids = some.groupBy("group_key").agg(F.min("id").alias("group_id"))
-    out = some.join(class_ids, "class_key").join(group_ids, "group_key").select("id", "class_id", "group_id", "n_links", "n_text_links")
+    total = some.count()
+    class_ids = some.groupBy("class_key").agg(F.min("id").alias("class_id"), F.count("*").alias("c"))
+    group_ids = some.groupBy("group_key").agg(F.min("id").alias("group_id"), F.count("*").alias("c"))
+    out = join_values(join_values(some, class_ids, "class_key", total), group_ids, "group_key", total).select("id", "class_id", "group_id", "n_links", "n_text_links")
     return out.unionByName(alone).withColumnRenamed("id", id_col)
 
 
