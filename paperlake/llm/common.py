@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +62,14 @@ def text_or_empty(text_col: str) -> Column:
     return F.coalesce(F.col(text_col), F.lit(""))
 
 
+def free_name(columns: Iterable[str], name: str) -> str:
+    """``name``, or a longer one that none of ``columns`` has."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 #: A key is hot when it has more than this share of the rows, so there are at most 1 / HOT_SHARE hot keys.
 HOT_SHARE = 0.001
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperlake.llm.common import THREADS, library_threads, slices
+from paperlake.llm.common import THREADS, free_name, library_threads, slices
 
 MARK = "▁"
 #: Distinct units that a worker remembers; beyond it starts anew.
@@ -269,7 +269,7 @@ def encode(
 ) -> DataFrame:
     """``keep`` columns, ``input_ids array<int>, n_tokens, parity, round_trip`` of every row."""
     path = path or default_path()
-    src = docs.select(*[F.col(c) for c in keep], F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    src = docs.select(*[F.col(c) for c in keep], F.coalesce(F.col(text_col), F.lit("")).alias(free_name(keep, "__text")))
     schema = T.StructType(
         [
             *src.schema.fields[:-1],
@@ -300,7 +300,7 @@ def encode(
 def decode(encoded: DataFrame, ids_col: str = "input_ids", keep: Sequence[str] = ("doc_id",), path: str | None = None) -> DataFrame:
     """``keep`` columns and ``text``; null ids give null."""
     path = path or default_path()
-    src = encoded.select(*[F.col(c) for c in keep], F.col(ids_col).alias("__ids"))
+    src = encoded.select(*[F.col(c) for c in keep], F.col(ids_col).alias(free_name(keep, "__ids")))
     schema = T.StructType([*src.schema.fields[:-1], T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperlake.llm.common import slices
+from paperlake.llm.common import free_name, slices
 
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 BLOCK = 576
@@ -318,7 +318,7 @@ PAGE_SCHEMA = "page int, width int, height int, samples int, bits int, compressi
 
 def tiff_pages(media: DataFrame, media_col: str = "media", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """One row per page: ``keep`` columns, the page's form, and its samples in ``payload``."""
-    src = media.select(*[F.col(c) for c in keep], F.col(media_col).alias("__media"))
+    src = media.select(*[F.col(c) for c in keep], F.col(media_col).alias(free_name(keep, "__media")))
     schema = T.StructType([*src.schema.fields[:-1], *T._parse_datatype_string(PAGE_SCHEMA).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperlake.llm.common import slices
+from paperlake.llm.common import free_name, slices
 
 HASH_BITS = 18
 MAX_POSITIVE = 2_000
@@ -168,7 +168,7 @@ def score(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     names = [id_col, *keep]
-    src = docs.select(*[F.col(c) for c in names], F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    src = docs.select(*[F.col(c) for c in names], F.coalesce(F.col(text_col), F.lit("")).alias(free_name(names, "__text")))
     schema = T.StructType([*src.schema.fields[:-1], T.StructField(out, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,6 +199,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def reject_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows that score below ``threshold``, with their columns."""
     rest = tuple(c for c in docs.columns if c != id_col)
-    name = max(docs.columns, key=len) + "__score"  # longer than any column's name
+    name = free_name(docs.columns, "__score")
     scored = score(docs, fit(docs, labels, id_col, text_col), id_col, text_col, rest, out=name)
     return scored.where(F.col(name) < threshold).select(*docs.columns)
