@@ -9,9 +9,9 @@ never all others. Every line and every gram of more than ``LONG`` words is a key
 of its own, so a repeated passage of whole lines and over ``LONG`` words always
 meets its first place, however few lines it has.
 
-A position carries the hashes of ``w + 1`` lines on either side, so a match is
-extended both ways in its own row. No match has to go further: within ``w``
-grams comes the next fingerprint, which has a match of its own. The lines of a
+A position carries the hashes of ``w - 1`` lines on either side, so a match is
+extended both ways in its own row. No match has to go further: behind at most
+``w - 1`` lines comes a fingerprint with a match of its own, or the run's end. The lines of a
 match, ``k`` or more or a single one of more than ``LONG`` words, are deleted from
 the later place.
 
@@ -69,7 +69,7 @@ def line_spots(docs: DataFrame, id_col: str, text_col: str, k: int = K, w: int =
     long_lines = F.filter(numbers("h"), lambda i: F.get("m", i) > LONG)
 
     def spot(i: Column, n: int, f: Column) -> Column:
-        near = F.transform(F.sequence(i - (w + 1), i + (n + w)), lambda j: F.get("h", j))
+        near = F.transform(F.sequence(i - (w - 1), i + (n + w - 2)), lambda j: F.get("h", j))
         return F.struct(f.alias("f"), i.alias("i"), F.lit(n).alias("n"), near.alias("near"))
 
     def keys(i: Column) -> Column:
@@ -101,8 +101,8 @@ def repeated_runs(docs: DataFrame, id_col: str, text_col: str, k: int = K, w: in
             out = out + so_far.cast("int")
         return out
 
-    left = equal_lines([F.lit(w - t) for t in range(w + 1)])
-    right = equal_lines([F.col("n") + (w + 1 + t) for t in range(w + 1)])
+    left = equal_lines([F.lit(w - 2 - t) for t in range(w - 1)])
+    right = equal_lines([F.col("n") + (w - 1 + t) for t in range(w - 1)])
     return later.select("key", (F.col("i") - left).alias("a"), (F.col("i") + F.col("n") - 1 + right).alias("b")).distinct()
 
 
