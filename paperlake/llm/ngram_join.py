@@ -265,8 +265,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     seen = materialize(sketch(docs, id_col, text_col), "sketches")
     rows = seen.groupBy("key").agg(F.first("n").alias("n"), F.first("set_hash").alias("set_hash"), F.first("bands").alias("bands"), F.count("*").alias("rows"))
     rows = materialize(rows, "rows")
-    classes = rows.groupBy("set_hash", "n").agg(F.min("key").alias("class_key"), F.sum("rows").alias("copies"))
-    members = materialize(rows.select("key", "set_hash", "n").join(classes, ["set_hash", "n"]).select("key", "class_key", "n", "copies"), "members")
+    same = rows.select("key", "n", "rows", F.struct("set_hash", "n").alias("same"))
+    classes = same.groupBy("same").agg(F.min("key").alias("class_key"), F.sum("rows").alias("copies"), F.count("*").alias("c"))
+    members = materialize(join_values(same, classes, "same", same.count()).select("key", "class_key", "n", "copies"), "members")
     reps = rows.join(members.where("key = class_key").select("key"), "key", "left_semi").select("key", F.explode("bands").alias("band"))
     postings = reps.repartition("band")
     star = postings.groupBy("band").agg(F.min("key").alias("low"), F.count("*").alias("c")).where("c > 1")
