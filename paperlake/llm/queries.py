@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperlake.llm import anisotropic_ann, license_scan, line_dedup, mixing, ngram_join, sentencepiece, suffix_dedup, tiff, token_counts, toxicity
+from paperlake.llm import anisotropic_ann, fill_in_middle, license_scan, line_dedup, mixing, ngram_join, sentencepiece, spelling, suffix_dedup, tiff, token_counts, toxicity, va_file
 from paperlake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return va_file.exact_top_k(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -66,8 +78,15 @@ QUERIES: dict[str, Query] = {
         op8_tiff_media,
         op9_suffix_dedup,
         op10_line_dedup,
+        op11_spelling_variants,
+        op12_fill_in_middle,
+        op13_exact_top_k,
     )
 }
 
 #: Equivalents in SQL, where there are any.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op11_spelling_variants": spelling.SQL,
+    "op12_fill_in_middle": fill_in_middle.SQL,
+    "op13_exact_top_k": va_file.SQL,
+}
