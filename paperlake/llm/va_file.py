@@ -1,9 +1,9 @@
 """Operator 13, exact top-k search by a vector-approximation file.
 
 Components are integers (``floor(256 x)``), nearness is the inner product. Each
-block of vectors is stored as its approximation: 16 cells a dimension, cut at
+block of vectors is stored as its approximation: 256 cells a dimension, cut at
 the block's own quantiles, with the least and largest value of each cell, and
-half a byte a component. The bounds of a cell and the sign of the query's
+a byte a component. The bounds of a cell and the sign of the query's
 component bound each product, so a block of codes and a block of queries give
 an upper and a lower bound of every score without any exact vector.
 
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from paperlake.llm.common import materialize
 
-CELLS = 16
+CELLS = 256
 BLOCK = 16_384
 QUERIES = 1_024
 #: Exact vectors that are read for a query at first.
@@ -62,18 +62,6 @@ def build(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, low, high
 
 
-def pack(codes: np.ndarray) -> np.ndarray:
-    """Two codes a byte."""
-    codes = np.pad(codes, ((0, 0), (0, codes.shape[1] % 2)))
-    return codes[:, ::2] | codes[:, 1::2] << 4
-
-
-def unpack(packed: np.ndarray, d: int) -> np.ndarray:
-    out = np.empty((len(packed), 2 * packed.shape[1]), np.uint8)
-    out[:, ::2], out[:, 1::2] = packed & 15, packed >> 4
-    return out[:, :d]
-
-
 def scan(queries: np.ndarray, codes: np.ndarray, low: np.ndarray, high: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """For each query: its number, places of the vectors that may be among the ``k`` best of the block, lower and upper bounds."""
     d = codes.shape[1]
@@ -142,7 +130,7 @@ def candidates(base: DataFrame, queries: DataFrame, k: int, n_base: int, n_queri
     def encode(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(pdf.v.to_numpy()).astype(np.float64)
         codes, low, high = build(x)
-        return pd.DataFrame({"d": [x.shape[1]], "b": [int(pdf.b.iloc[0])], "keys": [pdf.key.to_numpy(np.int64).tobytes()], "codes": [pack(codes).tobytes()], "low": [low.tobytes()], "high": [high.tobytes()]})
+        return pd.DataFrame({"d": [x.shape[1]], "b": [int(pdf.b.iloc[0])], "keys": [pdf.key.to_numpy(np.int64).tobytes()], "codes": [codes.tobytes()], "low": [low.tobytes()], "high": [high.tobytes()]})
 
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(pdf.v.to_numpy()).astype(np.float64)
@@ -158,7 +146,7 @@ def candidates(base: DataFrame, queries: DataFrame, k: int, n_base: int, n_queri
         for pdf in batches:
             for r in pdf.itertuples():
                 keys, qids = np.frombuffer(r.keys, np.int64), np.frombuffer(r.qids, np.int64)
-                codes = unpack(np.frombuffer(r.codes, np.uint8).reshape(len(keys), (r.d + 1) // 2), r.d)
+                codes = np.frombuffer(r.codes, np.uint8).reshape(len(keys), r.d)
                 low, high = (np.frombuffer(x, np.float64).reshape(r.d, CELLS) for x in (r.low, r.high))
                 found = list(scan(np.frombuffer(r.qs, np.float64).reshape(len(qids), r.d), codes, low, high, k))
                 at = [x[1] for x in found]

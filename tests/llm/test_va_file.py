@@ -34,14 +34,15 @@ def test_bounds_hold_every_score():
     x[:, 3] = 7  # a constant dimension
     q = np.floor(rng.normal(size=(70, 9)) * 256)
     codes, low, high = V.build(x)
-    assert (V.unpack(V.pack(codes), 9) == codes).all() and codes.max() < V.CELLS
+    at = np.arange(9)[None, :], codes
+    assert (low[at] <= x).all() and (x <= high[at]).all()
     seen = 0
     for i, at, lower, upper in V.scan(q, codes, low, high, 5):
         s = x @ q[i]
         assert (lower <= s[at]).all() and (s[at] <= upper).all()
         assert set(np.argsort(-s, kind="stable")[:5]) <= set(at)
         seen += len(at)
-    assert seen < 0.5 * 70 * 500
+    assert seen < 0.05 * 70 * 500
 
 
 @pytest.mark.parametrize("shape", ["plain", "small blocks", "clustered"])
