@@ -49,5 +49,5 @@ def chunks_with_fallback(structured: DataFrame, windows: DataFrame) -> DataFrame
 def chunk_ids(chunks: DataFrame) -> DataFrame:
     """``chunk_index`` by order within the paper, ``chunk_id`` and its version 5 UUID ``id``."""
     d = chunks.withColumn("chunk_index", F.row_number().over(Window.partitionBy("paper_id").orderBy("ord")) - 1)
-    d = d.withColumn("chunk_id", F.concat(F.col("paper_id"), F.lit("__chunk_"), F.lpad(F.col("chunk_index").cast("string"), 5, "0")))
+    d = d.withColumn("chunk_id", F.concat(F.col("paper_id"), F.lit("__chunk_"), F.format_string("%05d", "chunk_index")))
     return d.withColumn("id", X.uuid5(F.col("chunk_id"))).drop("ord")

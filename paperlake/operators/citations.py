@@ -78,7 +78,7 @@ def parse_bibliography(sections: DataFrame) -> DataFrame:
     return parse_reference_entry(lines.withColumn("raw_text", X.strip(F.col("raw_text"))).where("raw_text <> ''"))
 
 
-#: Numbers of a range in one mention; a wider one is no mention, and would not fit a row.
+#: Numbers of a range in a paper without references; a wider one is no mention there, since nothing says which of them are meant.
 WIDEST_RANGE = 100_000
 
 
@@ -93,6 +93,18 @@ def expand_numeric_group(c: Column) -> Column:
     return F.flatten(F.transform(F.split(F.trim(c), r"\s*[,;]\s*"), ids))
 
 
+def known_numbers(group: Column, ids: Column) -> Column:
+    """The members of ``ids`` that a numeric group names, one for each time it does; a range gives those that lie in it, whatever its width."""
+    plain = F.filter(ids, lambda i: i.rlike(r"^(?:0|[1-9]\d*)$") & i.try_cast("decimal(38,0)").isNotNull())
+
+    def named(part: Column) -> Column:
+        lo, hi = (F.regexp_extract(part, r"^(\d+)\s*-\s*(\d+)$", k).try_cast("decimal(38,0)") for k in (1, 2))
+        inside = F.filter(plain, lambda i: (i.cast("decimal(38,0)") >= lo) & (i.cast("decimal(38,0)") <= hi))
+        return F.when(lo <= hi, inside).when(F.array_contains(ids, part), F.array(part)).otherwise(F.array().cast("array<string>"))
+
+    return F.flatten(F.transform(F.split(F.trim(group), r"\s*[,;]\s*"), named))
+
+
 _NUMERIC = re.compile(NUMERIC_MENTION)
 _AUTHOR = [re.compile(p) for p in AUTHOR_YEAR_MENTIONS]
 
@@ -127,13 +139,14 @@ def find_mentions(texts: DataFrame, raw_refs: DataFrame | None = None) -> DataFr
     has an id, no number is known.
     """
     d = texts.select("paper_id", F.explode(mention_spans(F.col("text"))).alias("m"))
-    ids = F.when(F.col("m.group").isNull(), F.array(F.lit(None).cast("string"))).otherwise(expand_numeric_group(F.col("m.group")))
-    d = d.select("paper_id", F.explode(ids).alias("ref_id"), "m.text", "m.start", "m.end")
-    if raw_refs is None:
-        return d
-    known = raw_refs.where("ref_id is not null").select("paper_id", "ref_id").distinct().withColumn("known", F.lit(True))
-    having = raw_refs.select("paper_id").distinct().withColumn("having", F.lit(True))
-    return d.join(known, ["paper_id", "ref_id"], "left").join(having, "paper_id", "left").where("ref_id is null or known or having is null").select("paper_id", "ref_id", "text", "start", "end")
+    group = F.col("m.group")
+    free = expand_numeric_group(group)
+    if raw_refs is not None:
+        own = raw_refs.groupBy("paper_id").agg(F.collect_set("ref_id").alias("ids"))
+        d = d.join(own, "paper_id", "left")
+        free = F.when(F.col("ids").isNull(), free).otherwise(known_numbers(group, F.col("ids")))
+    ids = F.when(group.isNull(), F.array(F.lit(None).cast("string"))).otherwise(free)
+    return d.select("paper_id", F.explode(ids).alias("ref_id"), "m.text", "m.start", "m.end")
 
 
 def normalize_citations(raw_refs: DataFrame) -> DataFrame:

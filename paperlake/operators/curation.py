@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperlake.operators.graph import curated_graph, merge_edges, merge_nodes
+from paperlake.sources.shared import written
+
 THRESHOLD = 2
 STATUSES = ["pending", "promoted", "rejected"]
 
@@ -42,20 +45,43 @@ def attestation_scores(drafts: DataFrame, votes: DataFrame) -> DataFrame:
     return drafts.select(F.col("id").alias("draft_id")).join(s, "draft_id", "left").select("draft_id", F.coalesce("s", F.lit(0)).alias("score"))
 
 
-def vote_steps(votes: DataFrame) -> DataFrame:
-    """Votes in time order, each with the score after it; a second vote of a user moves the score by the difference."""
+def vote_deltas(votes: DataFrame) -> DataFrame:
+    """Votes with what each changes: a second vote of a user moves the score by the difference."""
     own = Window.partitionBy("draft_id", "user_id").orderBy("ts", "id")
-    run = Window.partitionBy("draft_id").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)
-    d = valid_votes(votes).withColumn("delta", F.col("vote") - F.coalesce(F.lag("vote").over(own), F.lit(0)))
-    return d.withColumn("score", F.sum("delta").over(run))
+    return valid_votes(votes).withColumn("delta", F.col("vote") - F.coalesce(F.lag("vote").over(own), F.lit(0)))
+
+
+def vote_slices(votes: DataFrame) -> DataFrame:
+    """``draft_id, slice, user_id, ts, id, delta, prefix``: votes in slices of time order, with the sum so far in the slice.
+
+    Slices are range partitions of (draft, time, id), so a draft with a third
+    of all votes has many. They are written down: their bounds are drawn once.
+    """
+    n = int(votes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = vote_deltas(votes).select("draft_id", "user_id", "ts", "id", "delta")
+    d = d.repartitionByRange(n, "draft_id", "ts", "id").withColumn("slice", F.spark_partition_id())
+    upto = Window.partitionBy("draft_id", "slice").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)
+    return written(d.withColumn("prefix", F.sum("delta").over(upto)), "vote-slices")
 
 
 def resolve_drafts(drafts: DataFrame, votes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """``draft_id, status, score, resolved_by, resolved_at, resolved_vote``: decided by the first vote that reaches the threshold; later ones are ignored."""
-    steps = vote_steps(votes)
-    hit = steps.where(F.abs("score") >= threshold).groupBy("draft_id").agg(F.min_by(F.struct("score", "user_id", "ts", "id"), F.struct("ts", "id")).alias("r"))
-    last = steps.groupBy("draft_id").agg(F.max_by("score", F.struct("ts", "id")).alias("open_score"))
-    d = drafts.select(F.col("id").alias("draft_id")).join(hit, "draft_id", "left").join(last, "draft_id", "left")
+    """``draft_id, status, score, resolved_by, resolved_at, resolved_vote``: decided by the first vote that reaches the threshold; later ones are ignored.
+
+    A prefix scan in two phases: each slice of a draft's votes gives its sum and
+    its least and greatest prefix, the sums are carried over the slices (no more
+    rows per draft than there are partitions), and only the first slice in which
+    the threshold is passed is opened.
+    """
+    slices = vote_slices(votes)
+    sums = slices.groupBy("draft_id", "slice").agg(F.sum("delta").alias("total"), F.min("prefix").alias("low"), F.max("prefix").alias("high"))
+    earlier = Window.partitionBy("draft_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = sums.withColumn("before", F.coalesce(F.sum("total").over(earlier), F.lit(0)))
+    passes = (F.col("before") + F.col("high") >= threshold) | (F.col("before") + F.col("low") <= -threshold)
+    per_draft = carried.groupBy("draft_id").agg(F.sum("total").alias("open_score"), F.min(F.when(passes, F.struct("slice", "before"))).alias("first"))
+    first = per_draft.where("first is not null").select("draft_id", "first.*")
+    opened = slices.join(first, ["draft_id", "slice"]).withColumn("score", F.col("before") + F.col("prefix")).where(F.abs("score") >= threshold)
+    hit = opened.groupBy("draft_id").agg(F.min_by(F.struct("score", "user_id", "ts", "id"), F.struct("ts", "id")).alias("r"))
+    d = drafts.select(F.col("id").alias("draft_id")).join(hit, "draft_id", "left").join(per_draft.select("draft_id", "open_score"), "draft_id", "left")
     status = F.when(F.col("r.score") >= threshold, "promoted").when(F.col("r.score") <= -threshold, "rejected").otherwise("pending")
     return d.select("draft_id", status.alias("status"), F.coalesce("r.score", "open_score", F.lit(0)).alias("score"), F.col("r.user_id").alias("resolved_by"), F.col("r.ts").alias("resolved_at"), F.col("r.id").alias("resolved_vote"))
 
@@ -104,7 +130,7 @@ def pending_graph_writes(drafts: DataFrame, audit: DataFrame, paper_id: str | No
     return (d if paper_id is None else d.where(F.col("paper_id") == paper_id)).join(written, "id", "left_anti")
 
 
-PAYLOAD = "name string, type string, role string, evidence string, confidence double, source string, source_type string, relation string, target string, target_type string"
+PAYLOAD = "name string, type string, role string, evidence string, confidence double, source string, source_type string, relation string, target string, target_type string, source_section string"
 
 
 def promoted_payloads(drafts: DataFrame) -> DataFrame:
@@ -114,6 +140,14 @@ def promoted_payloads(drafts: DataFrame) -> DataFrame:
     return d.select("id", "paper_id", "kind", by.alias("resolved_by"), F.from_json("payload", PAYLOAD).alias("p")).select("id", "paper_id", "kind", "resolved_by", "p.*")
 
 
+def promote_to_graph(nodes: DataFrame, edges: DataFrame, drafts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The graph with the payloads of promoted drafts merged into it, and the rejected drafts."""
+    new_nodes, new_edges, rejected = curated_graph(promoted_payloads(drafts))
+    late = lambda d: d.withColumn("seq", F.lit(1).cast("long"))
+    merged = written(merge_nodes(nodes, late(new_nodes)), "nodes")
+    return merged, merge_edges(edges, late(new_edges), merged), rejected
+
+
 def draft_with_votes(drafts: DataFrame, votes: DataFrame) -> DataFrame:
     v = current_votes(votes).groupBy("draft_id").agg(F.array_sort(F.collect_list(F.struct("user_id", "vote"))).alias("votes"))
     return drafts.join(v.withColumnRenamed("draft_id", "id"), "id", "left").withColumn("votes", F.coalesce("votes", F.array().cast("array<struct<user_id:bigint,vote:int>>")))

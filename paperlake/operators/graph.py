@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from paperlake.functions import text as X
 from paperlake.functions import vocab
 from paperlake.operators.ontology import ontology, valid_edges
+from paperlake.sources.shared import written
 
 SHARED = ["Method", "Dataset", "Task", "Metric"]
 NODE = ["node_id", "node_type", "name", "paper_id", "properties"]
@@ -184,30 +185,40 @@ def merge_nodes(existing: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
-def merge_edges(existing: DataFrame, new: DataFrame, nodes: DataFrame) -> DataFrame:
-    """As for nodes, by (source, type, target); both ends must exist."""
-    both = existing.select(*EDGE, F.lit(0).cast("long").alias("seq")).unionByName(new.select(*EDGE, F.col("seq").cast("long")))
+def merge_edge_rows(rows: DataFrame) -> DataFrame:
+    """One row per (source, type, target): each field and property by its last writer."""
     keys = ["source_id", "edge_type", "target_id"]
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c)
-    fields = both.groupBy(*keys).agg(*[last(c) for c in ("source_type", "target_type", "evidence", "confidence")])
-    merged = fields.join(_last_properties(both, keys), keys, "left").withColumn("properties", F.coalesce("properties", F.create_map().cast("map<string,string>")))
+    fields = rows.groupBy(*keys).agg(*[last(c) for c in ("source_type", "target_type", "evidence", "confidence")])
+    return fields.join(_last_properties(rows, keys), keys, "left").withColumn("properties", F.coalesce("properties", F.create_map().cast("map<string,string>")))
+
+
+def merge_edges(existing: DataFrame, new: DataFrame, nodes: DataFrame) -> DataFrame:
+    """As for nodes, by (source, type, target); both ends must exist."""
+    merged = merge_edge_rows(existing.select(*EDGE, F.lit(0).cast("long").alias("seq")).unionByName(new.select(*EDGE, F.col("seq").cast("long"))))
     have = lambda side: nodes.select(F.col("node_id").alias(side)).distinct()
     return merged.join(have("source_id"), "source_id", "left_semi").join(have("target_id"), "target_id", "left_semi").select(*EDGE)
 
 
-def resolve_stubs(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Stubs whose doi or arXiv id is a real paper's go, and their citations move there.
-
-    A moved edge that is new has no properties; an edge that exists keeps its
-    own; a paper never cites itself through a stub.
-    """
+def identities(nodes: DataFrame) -> DataFrame:
+    """``key, node_id, paper_id, is_stub``: the doi and arXiv keys that papers have and placeholders stand for."""
     p = nodes.where("node_type = 'Paper'")
     stub = F.coalesce(F.col("properties")["is_stub"], F.lit("false")) == "true"
     doi, arxiv = (F.lower(X.blank_to_null(F.col("properties")[k])) for k in ("doi", "arxiv_id"))
     keys = F.array_compact(F.array(F.concat(F.lit("doi_"), doi), F.concat(F.lit("arxiv_"), arxiv)))
-    real = p.where(~stub).select("node_id", "paper_id", F.explode(keys).alias("key")).groupBy("key").agg(F.min_by("node_id", "paper_id").alias("real_id"))
-    stubs = p.where(stub).select(F.col("node_id").alias("stub_id"), F.col("paper_id").alias("key")).where("key rlike '^(doi|arxiv)_'")
-    moves = stubs.join(real, "key").select("stub_id", "real_id")
+    wanted = F.when(F.col("paper_id").rlike("^(doi|arxiv)_"), F.array("paper_id")).otherwise(F.array().cast("array<string>"))
+    return p.select(F.explode(F.when(stub, wanted).otherwise(keys)).alias("key"), "node_id", "paper_id", stub.alias("is_stub"))
+
+
+def stub_moves(nodes: DataFrame) -> DataFrame:
+    """``stub_id, real_id``: placeholders whose doi or arXiv id is a real paper's; of several papers the smallest id."""
+    found = identities(nodes)
+    real = found.where("not is_stub").groupBy("key").agg(F.min_by("node_id", "paper_id").alias("real_id"))
+    return found.where("is_stub").select(F.col("node_id").alias("stub_id"), "key").join(real, "key").select("stub_id", "real_id")
+
+
+def apply_moves(nodes: DataFrame, edges: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The graph without the placeholders of ``moves`` (read three times: pass a written table); their citations go to the real papers."""
     tagged = edges.join(moves.withColumnRenamed("stub_id", "target_id"), "target_id", "left")
     kept = tagged.where("real_id is null").select(*EDGE)
     moved = tagged.where("real_id is not null and edge_type = 'CITES' and source_id <> real_id")
@@ -217,38 +228,51 @@ def resolve_stubs(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFr
     return nodes.join(moves.select(F.col("stub_id").alias("node_id")), "node_id", "left_anti").select(*NODE), out
 
 
+def resolve_stubs(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stubs whose doi or arXiv id is a real paper's go, and their citations move there.
+
+    A moved edge that is new has no properties; an edge that exists keeps its
+    own; a paper never cites itself through a stub.
+    """
+    return apply_moves(nodes, edges, written(stub_moves(nodes), "moves"))
+
+
 def curated_graph(drafts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nodes, edges and rejected rows of promoted drafts.
 
     ``drafts``: id, paper_id, kind, resolved_by, and fields of the payload: name,
     type, role, evidence, confidence, source, source_type, relation, target,
     target_type, perhaps source_section. Ids are those of the pipeline; ``curated``
-    is set. Rejected: unknown types, blank names and blank ends of a relation.
+    is set. Drafts that write the same node or edge do so in the order of their ids, the last
+one's values stay. Rejected: unknown kinds and types, blank names and blank ends of a relation.
     """
     none = F.lit(None).cast("string")
+    turn = F.coalesce(F.col("id").try_cast("long"), F.lit(1))
     e = drafts.where("kind = 'entity'").withColumn("pos", F.col("id"))
     good = F.coalesce(F.col("type").isin(vocab.NODE_TYPES), F.lit(False)) & X.blank_to_null(F.col("name")).isNotNull()
     ids = e.where(good).withColumn("node_id", entity_node_id(F.col("paper_id"), F.col("type"), F.col("name")))
     mark = properties(curated=F.lit("true"), curated_by=F.col("resolved_by"), evidence=X.blank_to_null(F.col("evidence")), source_section=X.blank_to_null(F.col("source_section")) if "source_section" in drafts.columns else none)
-    paper = _node(ids, paper_node_id(F.col("paper_id")), "Paper", none, F.col("paper_id"), F.create_map().cast("map<string,string>"))
-    ent = _node(ids, F.col("node_id"), F.col("type"), F.trim("name"), F.col("paper_id"), mark)
+    paper = _node(ids, paper_node_id(F.col("paper_id")), "Paper", none, F.col("paper_id"), F.create_map().cast("map<string,string>"), turn)
+    ent = _node(ids, F.col("node_id"), F.col("type"), F.trim("name"), F.col("paper_id"), mark, turn)
     o = F.broadcast(ontology(drafts.sparkSession))
     wanted = F.coalesce(*[F.when(F.col("role") == r, F.lit(x)) for r, x in vocab.ROLE_EDGES.items()], F.lit("MENTIONS"))
     ok = ids.withColumn("wanted", wanted).join(
         o.where("source_type = 'Paper'").select(F.col("edge_type").alias("wanted"), F.col("target_type").alias("type"), F.lit(True).alias("ok")), ["wanted", "type"], "left"
     )
     conf = F.coalesce(F.col("confidence"), F.lit(1.0))
-    pe = _edge(ok, paper_node_id(F.col("paper_id")), "Paper", F.when(F.col("ok"), F.col("wanted")).otherwise("MENTIONS"), F.col("node_id"), F.col("type"), X.blank_to_null(F.col("evidence")), props=properties(curated=F.lit("true"), confidence=conf))
+    pe = _edge(ok, paper_node_id(F.col("paper_id")), "Paper", F.when(F.col("ok"), F.col("wanted")).otherwise("MENTIONS"), F.col("node_id"), F.col("type"), X.blank_to_null(F.col("evidence")), props=properties(curated=F.lit("true"), confidence=conf), rank=turn)
     r = drafts.where("kind = 'relation'")
     allowed = o.select("source_type", F.col("edge_type").alias("relation"), "target_type")
     named = X.blank_to_null(F.col("source")).isNotNull() & X.blank_to_null(F.col("target")).isNotNull()
     r = r.withColumn("named", named).join(allowed.withColumn("known", F.lit(True)), ["source_type", "relation", "target_type"], "left")
     fine = r.where("named and known")
-    end = lambda s: _node(fine, entity_node_id(F.col("paper_id"), F.col(f"{s}_type"), F.col(s)), F.col(f"{s}_type"), F.trim(s), F.col("paper_id"), properties(curated=F.lit("true")))
-    re = _edge(fine, entity_node_id(F.col("paper_id"), F.col("source_type"), F.col("source")), F.col("source_type"), F.col("relation"), entity_node_id(F.col("paper_id"), F.col("target_type"), F.col("target")), F.col("target_type"), X.blank_to_null(F.col("evidence")), props=properties(curated=F.lit("true"), confidence=conf, curated_by=X.blank_to_null(F.col("resolved_by"))))
-    rejected = e.where(~good).select("id", "paper_id", "kind").unionByName(r.where("not named or known is null").select("id", "paper_id", "kind"))
-    nodes = reduce(DataFrame.unionByName, [paper, ent, end("source"), end("target")])
-    return dedupe_nodes(nodes), dedupe_edges(pe.unionByName(re)), rejected
+    end = lambda s: _node(fine, entity_node_id(F.col("paper_id"), F.col(f"{s}_type"), F.col(s)), F.col(f"{s}_type"), F.trim(s), F.col("paper_id"), properties(curated=F.lit("true")), turn)
+    re = _edge(fine, entity_node_id(F.col("paper_id"), F.col("source_type"), F.col("source")), F.col("source_type"), F.col("relation"), entity_node_id(F.col("paper_id"), F.col("target_type"), F.col("target")), F.col("target_type"), X.blank_to_null(F.col("evidence")), props=properties(curated=F.lit("true"), confidence=conf, curated_by=X.blank_to_null(F.col("resolved_by"))), rank=turn)
+    which = ["id", "paper_id", "kind"]
+    others = drafts.where("kind is null or kind not in ('entity', 'relation')").select(*which)
+    rejected = e.where(~good).select(*which).unionByName(r.where("not named or known is null").select(*which)).unionByName(others)
+    nodes, edges = reduce(DataFrame.unionByName, [paper, ent, end("source"), end("target")]), pe.unionByName(re)
+    return merge_nodes(nodes.where("false"), nodes.withColumnRenamed("rank", "seq")), merge_edge_rows(edges.withColumnRenamed("rank", "seq")).select(*EDGE), rejected
 
 
 def node_counts_by_label(nodes: DataFrame) -> DataFrame:

@@ -63,7 +63,7 @@ def vector_search(chunks: DataFrame, vector: list[float], k: int = 5, filters: d
     """The ``k`` best of one query; filters apply before scoring."""
     q = F.array(*[F.lit(float(x)) for x in vector])
     d = apply_filters(chunks, filters).withColumn("score", similarity(F.col(vector_col), q, metric))
-    return d.where("score is not null").orderBy(F.desc("score"), id_col).limit(k)
+    return d.where("score is not null and not isnan(score)").orderBy(F.desc("score"), id_col).limit(k)
 
 
 def batch_vector_search(queries: DataFrame, chunks: DataFrame, k: int = 5, metric: str = "cosine", id_col: str = "id", vector_col: str = "embedding", query_id: str = "query_id", query_col: str = "query_embedding") -> DataFrame:

@@ -29,7 +29,8 @@ from paperlake.plans import workloads
 from paperlake.plans.queries import _COS, _LINES, _RESOLVED, _ROUTE, _SCORE, _STEPS, REFS, _entity_graph, _points, _routed, case, citations, drafts, line_graph, pages, parsed, register, title, votes
 from paperlake.sources import io
 from paperlake.sources import testcorpus as TC
-from paperlake.sources.shared import shared_dir
+from paperlake.sources.graph_store import GraphStore
+from paperlake.sources.shared import shared_dir, written
 from paperlake.streaming import streams
 
 S = lambda c: c.cast("string")
@@ -88,6 +89,14 @@ def c5_numeric_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TC.load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(C.expand_numeric_group(say(n, "-", n + 2, ", 9; 5-1")), ",").alias("ids"))
 
 
+@register("SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS paper_id, CAST(l_linenumber AS VARCHAR) AS ref_id, 1 AS n FROM lineitem")
+def c5_wide_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order cites all its lines by one range of ten thousand million numbers; those that it has are found."""
+    li = TC.load(spark, sf_dir, "lineitem").select(S(F.col("l_orderkey")).alias("paper_id"), S(F.col("l_linenumber")).alias("ref_id"))
+    texts = li.select("paper_id").distinct().withColumn("text", F.lit("See [1-9999999999]."))
+    return C.find_mentions(texts, li).groupBy("paper_id", "ref_id").agg(F.count("*").alias("n"))
+
+
 @register(f"WITH {REFS} SELECT CAST(d AS VARCHAR) AS paper_id, k AS pos, CASE WHEN way = 0 THEN '10.1234/p' || CAST(c AS VARCHAR) END AS doi, CAST(k + 1 AS VARCHAR) AS ref_id, {title('c')} AS title FROM refs")
 def c6_normalized_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = C.normalize_citations(C.extract_references(P.full_text(pages(spark, sf_dir))))
@@ -154,30 +163,36 @@ def r2_relation_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _responses(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    ev = say("We propose the Foo", doc_id(), " model in this very paper")
-    item = say('{"name": "Foo', doc_id(), '", "type": "Method", "evidence": "', ev, '", "confidence": ', doc_id() % 3, "}")
-    raw = F.when(doc_id() % 4 == 0, say("[", item, "]")).when(doc_id() % 4 == 1, say("Sure.\n```json\n[", item, "]\n```")).when(doc_id() % 4 == 2, item).otherwise("nothing to see")
+    """Answers of every shape; names and evidence with white space of their own, and an item whose name is a number."""
+    ev = say("We propose the Foo", doc_id(), " Net model in this very paper")
+    item = say('{"name": " Foo', doc_id(), '\\n  Net ", "type": "Method", "evidence": "', F.regexp_replace(ev, " in ", r"  \\t in "), '", "confidence": ', doc_id() % 3, "}")
+    bad = say('{"name": ', doc_id(), ', "type": "Method", "evidence": "', ev, '"}')
+    raw = F.when(doc_id() % 4 == 0, say("[", item, ", ", bad, ", 5]")).when(doc_id() % 4 == 1, say("Sure.\n```json\n[", item, ", ", bad, "]\n```")).when(doc_id() % 4 == 2, item).otherwise("nothing to see")
     d = docs(spark, sf_dir)
-    return d.select(S(doc_id()).alias("paper_id"), raw.alias("raw")), d.select(S(doc_id()).alias("paper_id"), say("Abstract. ", ev, ".").alias("text"))
+    return d.select(S(doc_id()).alias("paper_id"), raw.alias("raw")), d.select(S(doc_id()).alias("paper_id"), say(F.coalesce("text", F.lit("")), "\n", ev, ".").alias("text"))
 
 
-@register(f"SELECT {PID}, CASE WHEN doc_id % 4 = 3 THEN 0 ELSE 1 END AS n FROM documents")
+@register(f"SELECT {PID}, CASE doc_id % 4 WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END AS n FROM documents")
 def l1_parse_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _responses(spark, sf_dir)[0].select("paper_id", F.size(L.parse_json_array(F.col("raw"))).alias("n"))
 
 
-@register(f"SELECT {PID}, 'Foo' || CAST(doc_id AS VARCHAR) AS name, CAST(least(1, doc_id % 3) AS DOUBLE) AS confidence FROM documents WHERE doc_id % 4 <> 3")
+@register(f"""SELECT {PID}, 'Foo' || CAST(doc_id AS VARCHAR) || ' Net' AS name, 'We propose the Foo' || CAST(doc_id AS VARCHAR) || ' Net model in this very paper' AS evidence,
+CAST(least(1, doc_id % 3) AS DOUBLE) AS confidence FROM documents WHERE doc_id % 4 <> 3""")
 def l2_llm_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.validate_llm_entities(*_responses(spark, sf_dir)).select("paper_id", "name", "confidence")
+    return L.validate_llm_entities(*_responses(spark, sf_dir)).select("paper_id", "name", "evidence", "confidence")
 
 
-@register(f"SELECT {PID}, 'Foo' AS source, 'Bar' AS target, 'Method' AS source_type FROM documents WHERE doc_id % 3 <> 2")
+@register(f"""SELECT {PID}, 'foo' || CAST(doc_id AS VARCHAR) || ' net' AS source, 'BAR' AS target, 'Method' AS source_type, 'Dataset' AS target_type, 'USES_DATASET' AS relation FROM documents WHERE doc_id % 3 <> 2""")
 def l3_llm_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = "Foo outperforms Bar on every task we tried"
-    edge = F.when(doc_id() % 3 == 2, "CITES").otherwise("IMPROVES_UPON")
-    d = docs(spark, sf_dir).select(S(doc_id()).alias("paper_id"), say('[{"source": "foo", "target": "BAR", "relation": "', edge, '", "evidence": "', ev, '"}]').alias("raw"), F.lit(ev).alias("text"))
-    e = d.select("paper_id", F.explode(F.array(F.lit("Foo"), F.lit("Bar"))).alias("name")).withColumn("type", F.lit("Method")).withColumn("pos", F.lit(0))
-    return L.validate_llm_relations(d, d, e).select("paper_id", "source", "target", "source_type")
+    """Relations that spell their ends in their own way; types come from the entities, and a third of the relations don't fit them."""
+    ev = say("Foo", doc_id(), " Net outperforms the rest on Bar")
+    edge = F.when(doc_id() % 3 == 2, "CITES").otherwise("USES_DATASET")
+    d = docs(spark, sf_dir).select(
+        S(doc_id()).alias("paper_id"), say('[{"source": "foo', doc_id(), '\\n net", "source_type": "Task", "target": "BAR ", "relation": "', edge, '", "evidence": "', ev, '"}]').alias("raw"), say(F.coalesce("text", F.lit("")), " ", ev).alias("text"), say("Foo", doc_id(), " Net").alias("foo")
+    )
+    e = d.select("paper_id", F.inline(F.array(F.struct(F.col("foo").alias("name"), F.lit("Method").alias("type")), F.struct(F.lit("Bar").alias("name"), F.lit("Dataset").alias("type"))))).withColumn("pos", F.lit(0))
+    return L.validate_llm_relations(d, d, e).select("paper_id", "source", "target", "source_type", "target_type", "relation")
 
 
 @register("SELECT doc_id, text IS NOT NULL AND length(text) >= 60 AND doc_id % 4 <> 3 AS grounded FROM documents")
@@ -492,11 +507,32 @@ def u11_pending_graph_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.pending_graph_writes(d, audit).select("id")
 
 
-@register(f"{_STEPS} SELECT draft_id AS id, 'M' || CAST(draft_id % 40 AS VARCHAR) AS name FROM f WHERE score > 0")
-def u12_promoted_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+@register(f"""{_STEPS}, p AS (SELECT draft_id AS id, 'p' || CAST(draft_id % 20 AS VARCHAR) AS pid, 'method_' || substr(md5('m' || CAST(draft_id % 40 AS VARCHAR)), 1, 12) AS m,
+'method_' || substr(md5('m' || CAST(draft_id % 7 AS VARCHAR)), 1, 12) AS m2, draft_id % 4 AS kind FROM f WHERE score > 0),
+old AS (SELECT DISTINCT 'p' || CAST(event_id // 20 % 20 AS VARCHAR) AS pid FROM events)
+SELECT 'node' AS kind, 'paper_' || pid AS source_id, NULL AS edge_type, NULL AS target_id, NULL AS curated, NULL AS section FROM old
+UNION ALL SELECT 'node', m, NULL, NULL, 'true', CASE WHEN bool_or(kind < 2) THEN 'Intro' END FROM (SELECT m, kind FROM p WHERE kind < 3 UNION ALL SELECT m2, kind FROM p WHERE kind = 2) GROUP BY m
+UNION ALL SELECT DISTINCT 'edge', 'paper_' || pid, CASE kind WHEN 0 THEN 'INTRODUCES' ELSE 'MENTIONS' END, m, 'true', NULL FROM p WHERE kind < 2
+UNION ALL SELECT DISTINCT 'edge', m, 'IMPROVES_UPON', m2, 'true', NULL FROM p WHERE kind = 2
+UNION ALL SELECT 'rejected', CAST(id AS VARCHAR), NULL, NULL, NULL, NULL FROM p WHERE kind = 3""")
+def u12_promote_to_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Promoted drafts merged into a graph of their papers: methods with and without role, relations, and drafts of a kind that there isn't."""
     r = U.resolve_drafts(drafts(spark, sf_dir), votes(spark, sf_dir))
-    d = r.select(F.col("draft_id").alias("id"), F.lit("p").alias("paper_id"), F.lit("entity").alias("kind"), "status", "resolved_by", F.to_json(F.struct(say("M", F.col("draft_id") % 40).alias("name"), F.lit("Method").alias("type"))).alias("payload"))
-    return U.promoted_payloads(d).select("id", "name")
+    n = F.col("draft_id")
+    payload = F.to_json(F.struct(
+        say("M", n % 40).alias("name"), F.lit("Method").alias("type"), F.when(n % 4 == 0, "introduces").alias("role"), F.lit("Intro").alias("source_section"), say("M", n % 40).alias("source"), say("m", n % 7).alias("target"),
+        F.lit("Method").alias("source_type"), F.lit("Method").alias("target_type"), F.lit("IMPROVES_UPON").alias("relation"),
+    ))
+    d = r.select(n.alias("id"), say("p", n % 20).alias("paper_id"), F.when(n % 4 < 2, "entity").when(n % 4 == 2, "relation").otherwise("note").alias("kind"), "status", "resolved_by", payload.alias("payload"))
+    none = F.lit(None).cast("string")
+    empty = F.create_map().cast("map<string,string>")
+    old = d.select("paper_id").distinct().select(say("paper_", F.col("paper_id")).alias("node_id"), F.lit("Paper").alias("node_type"), F.col("paper_id").alias("name"), "paper_id", empty.alias("properties"))
+    no_edges = old.where("false").select(*[none.alias(c) for c in ("source_id", "source_type", "edge_type", "target_id", "target_type", "evidence")], F.lit(None).cast("double").alias("confidence"), "properties")
+    nodes, edges, rejected = U.promote_to_graph(old, no_edges, d)
+    get = lambda k: F.col("properties")[k]
+    rows = nodes.select(F.lit("node").alias("kind"), F.col("node_id").alias("source_id"), none.alias("edge_type"), none.alias("target_id"), get("curated").alias("curated"), get("source_section").alias("section"))
+    rows = rows.unionByName(edges.select(F.lit("edge").alias("kind"), "source_id", "edge_type", "target_id", get("curated").alias("curated"), none.alias("section")))
+    return rows.unionByName(rejected.select(F.lit("rejected").alias("kind"), S(F.col("id")).alias("source_id"), *[none.alias(c) for c in ("edge_type", "target_id", "curated", "section")]))
 
 
 @register("WITH v AS (SELECT DISTINCT event_id // 20 AS id, user_id FROM events WHERE event_type IN ('click', 'purchase', 'error')) SELECT d.id, count(v.user_id) AS n FROM (SELECT DISTINCT event_id // 20 AS id FROM events) d LEFT JOIN v ON d.id = v.id GROUP BY 1")
@@ -529,16 +565,56 @@ def t2_vote_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("draft_id", "status", F.col("score").cast("long").alias("score"), "resolved_by", "resolved_vote")
 
 
-@register(f"{_RESOLVED} SELECT 'paper_' || s AS source_id, 'paper_' || t AS target_id FROM e")
-def t1_ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The decorated corpus as page files through the streaming ingestion; citations of papers that have chunks, resolved over all batches."""
+def _ingested(spark: SparkSession, sf_dir: str) -> str:
+    """The decorated corpus as page files through the streaming ingestion, in two batches: later papers cite earlier ones and the other way round."""
     place = _scratch(spark, "ingest")
-    for turn in (0, 1):  # two batches: later papers cite earlier ones and the other way round
+    for turn in (0, 1):
         pages(spark, sf_dir).where(F.pmod(F.xxhash64("paper_id"), F.lit(2)) == turn).write.mode("append").parquet(f"{place}/in")
-        streams.ingest_stream(spark, f"{place}/in", f"{place}/out", f"{place}/state").awaitTermination()
-    have = streams.current_chunks(spark, f"{place}/out", "paper_id string, chunk_id string, text string").select(say("paper_", F.col("paper_id")).alias("source_id")).distinct()
-    edges = streams.current_graph(spark, f"{place}/out")[1].where("edge_type = 'CITES'")
-    return edges.join(have, "source_id", "left_semi").select("source_id", "target_id")
+        streams.ingest_stream(spark, f"{place}/in", f"{place}/out", f"{place}/state", buckets=16).awaitTermination()
+        streams.resolve_stream(spark, f"{place}/out", f"{place}/resolved").awaitTermination()
+    return f"{place}/out"
+
+
+@register(f"""{_RESOLVED}, all_edges AS (SELECT 'CITES' AS edge_type, 'paper_' || s AS source_id, 'paper_' || t AS target_id FROM e
+UNION ALL SELECT DISTINCT 'IMPROVES_UPON', 'method_' || substr(md5(lower({_M})), 1, 12), 'method_' || substr(md5(lower({_M2})), 1, 12) FROM documents
+UNION SELECT DISTINCT 'IMPROVES_UPON', 'method_' || substr(md5(lower({_M2})), 1, 12), 'method_' || substr(md5(lower({_M})), 1, 12) FROM documents
+UNION ALL SELECT 'INTRODUCES', 'paper_' || CAST(doc_id AS VARCHAR), 'method_' || substr(md5(lower({_M})), 1, 12) FROM documents
+UNION ALL SELECT 'HAS_SECTION', 'paper_' || CAST(doc_id AS VARCHAR), 'section_' || CAST(doc_id AS VARCHAR) || '_' || substr(md5(h), 1, 12) FROM documents, (VALUES ('Abstract'), ('Introduction'), ('Experiments'), ('References')) s(h))
+SELECT * FROM all_edges""")
+def t1_ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of the stored graph after both batches, citations resolved in both orders; of papers that have chunks, too."""
+    out = _ingested(spark, sf_dir)
+    have = streams.current_chunks(spark, out, "paper_id string, chunk_id string, text string").select(say("paper_", F.col("paper_id")).alias("source_id")).distinct()
+    edges = streams.current_graph(spark, out)[1].where("edge_type in ('CITES', 'IMPROVES_UPON', 'INTRODUCES', 'HAS_SECTION')").select("edge_type", "source_id", "target_id")
+    return edges.where("edge_type = 'IMPROVES_UPON'").unionByName(edges.where("edge_type <> 'IMPROVES_UPON'").join(have, "source_id", "left_semi"))
+
+
+@register(f"""{_RESOLVED} SELECT 'paper_' || t AS node_id, starts_with(t, 'doi_') OR starts_with(t, 'arxiv_') OR starts_with(t, 'ref_') AS is_stub FROM (SELECT t FROM e UNION SELECT CAST(doc_id AS VARCHAR) FROM documents)""")
+def t1_ingested_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Papers and placeholders that are left in the stored graph after both batches."""
+    nodes, _ = streams.current_graph(spark, _ingested(spark, sf_dir))
+    return nodes.where("node_type = 'Paper'").select("node_id", (F.col("properties")["is_stub"] == "true").alias("is_stub"))
+
+
+@register("""WITH l AS (SELECT *, l_linenumber % 4 AS turn FROM lineitem WHERE l_orderkey <> l_partkey),
+n AS (SELECT l_orderkey AS p, turn, l_linenumber FROM l UNION ALL SELECT l_partkey, turn, l_linenumber FROM l),
+e AS (SELECT l_orderkey AS a, l_partkey AS b, max(turn) AS turn, count(DISTINCT turn) AS n FROM l GROUP BY 1, 2)
+SELECT 'node' AS kind, 'paper_' || CAST(p AS VARCHAR) AS source_id, NULL AS target_id, CAST(max(turn) AS VARCHAR) AS last, CAST(max(CASE WHEN turn % 2 = 0 THEN turn END) AS VARCHAR) AS last_even FROM n GROUP BY p
+UNION ALL SELECT 'edge', 'paper_' || CAST(a AS VARCHAR), 'paper_' || CAST(b AS VARCHAR), CAST(turn AS VARCHAR), NULL FROM e""")
+def s8_merge_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines in four commits to a stored graph; a fifth one repeats the last and changes nothing. Properties are the last writer's."""
+    store = GraphStore(spark, _scratch(spark, "graph"), buckets=8, most_parts=2)
+    li = TC.load(spark, sf_dir, "lineitem").withColumn("turn", F.col("l_linenumber") % 4)
+    for turn in (0, 1, 2, 3, 3):
+        nodes, edges = TC.citation_graph(li.where(F.col("turn") == turn))
+        mark = F.lit(turn).cast("string")
+        nodes = nodes.withColumn("properties", G.properties(last=mark, last_even=F.when(F.lit(turn % 2 == 0), mark)))
+        store.commit(turn, written(nodes, "nodes"), written(edges.withColumn("properties", G.properties(last=mark)), "edges"))
+    nodes, edges = store.read()
+    none = F.lit(None).cast("string")
+    return nodes.select(F.lit("node").alias("kind"), F.col("node_id").alias("source_id"), none.alias("target_id"), F.col("properties")["last"].alias("last"), F.col("properties")["last_even"].alias("last_even")).unionByName(
+        edges.select(F.lit("edge").alias("kind"), "source_id", "target_id", F.col("properties")["last"].alias("last"), none.alias("last_even"))
+    )
 
 
 @register(f"""WITH {_LINES}, s AS (SELECT DISTINCT a, CASE WHEN b % 3 = 0 THEN a WHEN b % 3 = 1 THEN b END AS t, b FROM e)

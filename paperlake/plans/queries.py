@@ -467,13 +467,17 @@ def v2_word_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.word_window_chunks(p).select(F.col("paper_id").cast("long").alias("doc_id"), F.col("ord.i").alias("first_word"), F.size(F.split("text", " ")).cast("long").alias("n_words"))
 
 
-@register()
+@register(f"""WITH w AS (SELECT doc_id, len(list_filter(string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' '), lambda x: x <> '')) AS n FROM documents),
+c AS (SELECT CAST(doc_id AS VARCHAR) AS paper_id, unnest(range(0, (n + 449) // 450)) AS chunk_index FROM w),
+i AS (SELECT *, paper_id || '__chunk_' || printf('%05d', chunk_index) AS chunk_id FROM c),
+h AS (SELECT *, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(chunk_id)) AS x FROM i)
+SELECT paper_id, chunk_index, chunk_id, x[1:8] || '-' || x[9:12] || '-5' || x[14:16] || '-' || substr('89ab', CAST(('0x' || x[17:17]) AS INT) % 4 + 1, 1) || x[18:20] || '-' || x[21:32] AS id FROM h""")
 def v4_chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = TC.load(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("paper_id"), F.lit(1).alias("page_num"), "text")
     return V.chunk_ids(V.word_window_chunks(p)).select("paper_id", "chunk_index", "chunk_id", "id")
 
 
-@register()
+@register("""SELECT doc_id, round(2 * list_sum(list_transform(range(0, 32), lambda i: CAST(CAST(CAST('0x' || substr(sha256(coalesce(text, '')), CAST(2 * i + 1 AS BIGINT), 2) AS INT) / 255.0 AS FLOAT) AS DOUBLE))), 4) AS total FROM documents""")
 def v5_hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return VX.embed(TC.load(spark, sf_dir, "documents").select("doc_id", "text"), dim=64).select("doc_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
 

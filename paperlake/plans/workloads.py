@@ -43,7 +43,8 @@ def corpus_to_graph(pages: DataFrame, resolve: bool = True, extracted: Extracted
     x = extracted or extract(pages)
     papers = x.parsed.select("paper_id", "title", "abstract", F.array().cast("array<string>").alias("authors"), F.lit(None).cast("int").alias("year"), "arxiv_id", F.lower("doi").alias("doi"))
     nodes, edges = G.build_graph(papers, x.sections, x.entities, x.relations, x.citations)
-    return G.resolve_stubs(written(nodes, "nodes"), written(edges, "edges")) if resolve else (nodes, edges)
+    nodes, edges = written(nodes, "nodes"), written(edges, "edges")  # asked more than once
+    return G.resolve_stubs(nodes, edges) if resolve else (nodes, edges)
 
 
 def text_to_vectors(pages: DataFrame, dim: int = vectors.DIM, extracted: Extracted | None = None) -> DataFrame:

@@ -55,6 +55,72 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == want and spark.table("resolutions").count() == len(want)
 
 
+def test_vote_stream_survives_a_restart(spark, tmp_path):
+    """Each batch is a query of its own that goes on from the last one's state; a draft is reopened only if its status is forgotten."""
+    rng = random.Random(6)
+    v = votes(spark, [(rng.randrange(8), rng.randrange(9), rng.choice([1, -1])) for _ in range(300)])
+    got = []
+    for k in range(3):
+        v.where((F.col("id") >= k * 100) & (F.col("id") < (k + 1) * 100)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(v.schema).parquet(str(tmp_path / "in"))
+        q = S.vote_stream(stream, 4).writeStream.foreachBatch(lambda df, n: got.extend(df.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(180)
+        assert q.exception() is None
+    want = U.resolve_drafts(drafts(spark, *range(8)), v, 4).where("status <> 'pending'").collect()
+    rows = lambda x: sorted((r.draft_id, r.status, r.score, r.resolved_by, r.resolved_vote) for r in x)
+    assert rows(got) == rows(want) and want
+
+
+def test_closed_drafts_are_forgotten_in_time(spark, tmp_path):
+    schema = votes(spark, []).schema
+    got = []
+    for k, rows in enumerate([[(1, 1, 1), (1, 2, 1)], [(2, 1, 1)], [(1, 3, 1), (1, 4, 1)]]):
+        votes(spark, rows).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        q = S.vote_stream(stream, 2, forget_after_ms=1).writeStream.foreachBatch(lambda df, n, k=k: got.extend((k, r.draft_id) for r in df.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(180)
+        assert q.exception() is None
+    assert got == [(0, 1), (2, 1)]
+
+
+def test_a_hot_draft_is_resolved_in_slices(spark):
+    """A third of all votes on one draft, in both directions for long; the first passage, found slice by slice, is the plain one."""
+    rng = random.Random(7)
+    rows = []
+    for _ in range(3000):
+        draft = 0 if rng.random() < 0.4 else rng.randrange(1, 60)
+        rows.append((draft, rng.randrange(400), rng.choice([1, -1, -1, 0]) if draft % 2 else rng.choice([1, -1])))
+    v = votes(spark, rows).repartition(3)
+    assert U.vote_slices(v).where("draft_id = 0").select("slice").distinct().count() > 1
+    for threshold in (2, 7):
+        want, score, cast = {}, dict.fromkeys(range(60), 0), {}
+        for k, (draft, user, vote) in enumerate(rows):
+            if vote and draft not in want:
+                score[draft] += vote - cast.get((draft, user), 0)
+                cast[draft, user] = vote
+                if abs(score[draft]) >= threshold:
+                    want[draft] = (score[draft], user, k)
+        for r in U.resolve_drafts(drafts(spark, *range(60)), v, threshold).collect():
+            assert (r.status == "pending") == (r.draft_id not in want)
+            assert (r.score, r.resolved_by, r.resolved_vote) == want.get(r.draft_id, (score[r.draft_id], None, None))
+
+
+def test_identities_meet_in_both_orders(spark, tmp_path):
+    """Placeholder first, paper first, both at once, and a paper with a smaller id later."""
+    batches = [
+        [("doi_a", "paper_doi_a", "doi_a", True), ("doi_b", "paper_p2", "p2", False), ("doi_c", "paper_doi_c", "doi_c", True), ("doi_c", "paper_p3", "p3", False)],
+        [("doi_a", "paper_p5", "p5", False), ("doi_b", "paper_doi_b", "doi_b", True), ("doi_c", "paper_doi_c", "doi_c", True)],
+        [("doi_a", "paper_p4", "p4", False), ("doi_b", "paper_p9", "p9", False), ("doi_d", "paper_doi_d", "doi_d", True)],
+    ]
+    got = []
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, S.IDENTITY).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q = S.identity_moves(spark.readStream.schema(S.IDENTITY).parquet(str(tmp_path / "in"))).writeStream.foreachBatch(lambda df, n, k=k: got.extend((k, *r) for r in df.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(180)
+        assert q.exception() is None
+    assert sorted(got) == [(0, "paper_doi_c", "paper_p3"), (1, "paper_doi_a", "paper_p5"), (1, "paper_doi_b", "paper_p2"), (2, "paper_doi_a", "paper_p4")]
+
+
 def test_ingest_stream(spark, tmp_path):
     docs = spark.createDataFrame([(i, f"Text {i}.") for i in range(4)], "doc_id long, text string")
     pages(docs, 4).where("paper_id < '3'").write.parquet(str(tmp_path / "in"))
@@ -62,6 +128,9 @@ def test_ingest_stream(spark, tmp_path):
         q = S.ingest_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"))
         q.awaitTermination(300)
         assert q.exception() is None
+        r = S.resolve_stream(spark, str(tmp_path / "out"), str(tmp_path / "resolved"))
+        r.awaitTermination(300)
+        assert r.exception() is None
         pages(docs, 4).where("paper_id >= '2'").write.mode("append").parquet(str(tmp_path / "in"))
     schema = "paper_id string, chunk_id string, text string"
     now = S.current_chunks(spark, str(tmp_path / "out"), schema)

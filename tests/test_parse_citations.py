@@ -79,6 +79,15 @@ def test_numeric_groups(spark, group, ids):
     assert spark.range(1).select(C.expand_numeric_group(F.lit(group)).alias("x")).first().x == ids
 
 
+def test_wide_ranges(spark):
+    """Against the paper's own numbers a range may have any width."""
+    t = spark.createDataFrame([("a", "See [1-9999999999] and [2-99999999999999999999], [03; 7, 7]."), ("b", "See [5-9004]."), ("c", "[7-9]")], "paper_id string, text string")
+    refs = spark.createDataFrame([("a", "3"), ("a", "7"), ("a", "x1"), ("a", "03"), ("c", None)], "paper_id string, ref_id string")
+    got = sorted((r.paper_id, r.ref_id, r.start) for r in C.find_mentions(t, refs).collect())
+    assert [x for x in got if x[0] != "b"] == [("a", "03", 49), ("a", "3", 4), ("a", "3", 23), ("a", "7", 4), ("a", "7", 23), ("a", "7", 49), ("a", "7", 49)]
+    assert sorted(int(x[1]) for x in got if x[0] == "b") == list(range(5, 9005))
+
+
 def test_mentions(spark):
     text = "See [1, 3] and [2-3]; also (Smith et al., 2020) and Doe (2019) é [9]."
     t = spark.createDataFrame([("a", text)], "paper_id string, text string")
