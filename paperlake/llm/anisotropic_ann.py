@@ -17,7 +17,10 @@ query, merged by a window over (blocks x k) rows of one query at most.
 
 Only training is sampled (``TRAIN`` vectors, by hash of the id, on the driver:
 5 MB at 64 dimensions); every row is indexed. Recall against brute force is
-measured in the tests.
+measured in the tests. Lengths are measured in the sample's median norm; vectors
+of more than ``FAR`` of it take no part in training, whose centres they would
+take, and aren't judged by their codes: each is measured exactly, and a query
+that is one is compared with all rows exactly. So one huge vector spoils nothing.
 
 Defined results: vectors that are null, of zero length or norm, or hold null or
 non-finite components take no part, nor do rows without id; rows of another
@@ -42,6 +45,19 @@ QUERIES = 1_024
 SALTS = 16
 CENTRES = 16
 RERANK = 128
+#: Median norms beyond which a vector is measured exactly.
+FAR = 16.0
+
+
+def norms(x: np.ndarray) -> np.ndarray:
+    """Euclidean norms of rows; by way of the largest component where squares leave the range of doubles."""
+    with np.errstate(over="ignore", under="ignore"):
+        out = np.sqrt((x**2).sum(1))
+        odd = ~np.isfinite(out) | (out < 1e-140)
+        if odd.any():
+            top = np.abs(x[odd]).max(1, initial=0, keepdims=True)
+            out[odd] = top[:, 0] * np.sqrt(((x[odd] / np.where(top > 0, top, 1)) ** 2).sum(1))
+    return out
 
 
 def extend(x: np.ndarray) -> np.ndarray:
@@ -54,6 +70,7 @@ def extend(x: np.ndarray) -> np.ndarray:
 class Quantiser:
     centres: np.ndarray  # subspaces, 16, 2
     eta: float
+    unit: float = 1.0  # the norm that counts as one
 
     def assign(self, x: np.ndarray, rounds: int = 3) -> np.ndarray:
         """Codes by coordinate descent on ``|r|^2 + (eta - 1) <r, x/|x|>^2``."""
@@ -116,7 +133,7 @@ def pack(codes: np.ndarray) -> np.ndarray:
 
 
 def scan(q: Quantiser, queries: np.ndarray, packed: np.ndarray) -> np.ndarray:
-    """Approximate inner products, queries by rows, from one table of 256 sums for every two subspaces."""
+    """Approximate inner products, queries by rows, from one table of 256 sums for every two subspaces. ``queries`` are in the model's unit."""
     m = len(q.centres)
     ext = np.concatenate([queries, np.ones((len(queries), 1))], axis=1)
     ext = np.pad(ext, ((0, 0), (0, ext.shape[1] % 2))).reshape(len(queries), m, 2)
@@ -142,14 +159,20 @@ def best(scores: np.ndarray, k: int) -> np.ndarray:
 def search_blocks(q: Quantiser, qid: np.ndarray, qv: np.ndarray, vid: np.ndarray, v: np.ndarray, packed: np.ndarray, k: int, rerank: int):
     """For each query its ``k`` nearest of the block, exactly measured: query ids, ids, distances."""
     ids, found, far = [], [], []
+    beyond = np.flatnonzero(norms(v) > FAR * q.unit)
+    lost = norms(qv) > FAR * q.unit
     for a in range(0, len(qid), 64):
-        approx = scan(q, qv[a : a + 64], packed)
+        approx = scan(q, np.where(lost[a : a + 64, None], 0, qv[a : a + 64]) / q.unit, packed)
         for i, row in enumerate(approx):
             own = qid[a + i]
-            row = np.where(vid == own, -np.inf, row)
-            c = best(row, min(rerank, len(row)))
+            if lost[a + i]:
+                c = np.arange(len(vid))
+            else:
+                row = np.where(vid == own, -np.inf, row)
+                row[beyond] = -np.inf
+                c = np.union1d(best(row, min(rerank, len(row))), beyond)
             c = c[vid[c] != own]
-            d = np.sqrt(((v[c] - qv[a + i]) ** 2).sum(1))
+            d = norms(v[c] - qv[a + i])
             o = np.lexsort((vid[c], d))[:k]
             ids.append(np.full(len(o), own))
             found.append(vid[c][o])
@@ -173,7 +196,10 @@ def nearest(
         return spark.createDataFrame([], empty)
     dim = int(sample.v.map(len).mode()[0])
     distinct = np.unique(np.stack(sample.v[sample.v.map(len) == dim].values), axis=0)  # copies would take the centres
-    model = train(extend(distinct))
+    size = norms(distinct)
+    unit = float(np.median(size))
+    model = train(extend(distinct[size <= FAR * unit] / unit))
+    model.unit = unit
     shared = spark.sparkContext.broadcast(model)
     clean = clean.where(F.size("v") == dim)
     counts = clean.agg(F.count("*").alias("n"), F.count_if("is_query").alias("q")).first()
@@ -182,7 +208,8 @@ def nearest(
     def encode(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", kind="stable")
         x = np.stack(pdf.v.values).astype(np.float64)
-        codes = pack(shared.value.assign(extend(x)))
+        near = np.where(norms(x)[:, None] > FAR * shared.value.unit, 0, x) / shared.value.unit
+        codes = pack(shared.value.assign(extend(near)))
         return pd.DataFrame({"b": [int(pdf.b.iloc[0])], "ids": [pdf.id.to_numpy(np.int64).tobytes()], "vs": [x.tobytes()], "codes": [codes.tobytes()]})
 
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:

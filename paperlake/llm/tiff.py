@@ -13,7 +13,7 @@ sizes of 0 or beyond what the stored bytes can make, samples of other than 8 or
 empty texts, whose payload is one block of bytes 255; null or repeated ids are
 carried through; other columns are kept only when named in ``keep``; an empty
 table gives an empty result. Each text is handled whole, by itself, without a
-shuffle; a page holds at most ``PAGE_ROWS`` rows, so a long text has many pages.
+shuffle; a page holds at most ``PAGE_ROWS`` or ``TILE`` rows, so a longer text has many pages.
 """
 
 from __future__ import annotations
@@ -37,7 +37,8 @@ NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 BLOCK = 576
 #: A row of a page: 192 pixels of three samples.
 WIDTH, SAMPLES = 192, 3
-PAGE_ROWS = 256
+#: Rows of a page in strips, and of a page in tiles, whose sides are as long.
+PAGE_ROWS, TILE = 4, 16
 #: More bytes than this for each stored byte no codec gives.
 EXPANDS = 4096
 
@@ -352,11 +353,14 @@ def payload(text: str) -> bytes:
 
 
 def to_tiff(data: bytes) -> bytes:
-    """The stored form of a payload; equal payloads give equal files. Its checksum chooses the codec, whatever its size."""
+    """The stored form of a payload; equal payloads give equal files. Its checksum chooses codec, and strips or tiles, whatever its size."""
     rows = np.frombuffer(data, np.uint8).reshape(-1, WIDTH, SAMPLES)
-    pages = [rows[i : i + PAGE_ROWS] for i in range(0, len(rows), PAGE_ROWS)]
-    codec = (DEFLATE, LZW, PACKBITS)[zlib.crc32(data) % 3]
-    return write_tiff(pages, codec, predictor=codec != PACKBITS, tile=64 if len(rows) > 64 else None)
+    choice = zlib.crc32(data)
+    codec = (DEFLATE, LZW, PACKBITS)[choice % 3]
+    tile = TILE if choice // 3 % 2 else None
+    height = tile or PAGE_ROWS
+    pages = [rows[i : i + height] for i in range(0, len(rows), height)]
+    return write_tiff(pages, codec, predictor=codec != PACKBITS, tile=tile, strip_rows=PAGE_ROWS)
 
 
 def from_tiff(media: bytes) -> tuple[bytes, str]:

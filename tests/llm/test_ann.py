@@ -54,6 +54,35 @@ def test_anisotropic_loss_lowers_the_parallel_error():
     assert parallel(codes) < parallel(plain)
 
 
+def test_huge_vectors_spoil_nothing(spark):
+    """Finite components take part, whatever their size; the few that dwarf the rest, queries among them, are measured exactly."""
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(900, 12))
+    x[7] *= 1e200
+    x[8] *= 1e160
+    x[300] *= 1e180  # a query
+    x[450] *= 1e-3
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in A.nearest(df).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    ids = np.arange(900)
+    hits = 0
+    for q in range(0, 900, 100):
+        d = A.norms(x - x[q])
+        want = [i for i in np.lexsort((ids, d)) if i != q][:10]
+        assert [r for r, *_ in sorted(got[q])] == list(range(1, 11)) and all(s == d[i] for _, i, s in got[q])
+        hits += len({i for _, i, _ in got[q]} & set(want))
+    assert hits >= 0.9 * 90
+    assert len({i for _, i, _ in got[300]}) == 10 and all(np.isfinite(s) for _, _, s in got[300])
+
+
+def test_norms_beyond_the_range_of_squares():
+    x = np.array([[3e200, 4e200], [3e-200, 4e-200], [3.0, 4.0], [0.0, 0.0]])
+    assert np.allclose(A.norms(x), [5e200, 5e-200, 5.0, 0.0], rtol=1e-12, atol=0)
+
+
 def test_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (100, [0.0, 1.0]), (1, None), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [1.0, None]), (5, [1.0, 1.0]), (5, [1.0, 1.0]), (None, [1.0, 1.0]), (6, []), (7, [1.0, 2.0, 3.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")

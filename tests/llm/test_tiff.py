@@ -78,10 +78,11 @@ def test_payloads_of_every_size_meet_every_codec(rows):
         data = T.payload("".join(rng.choices("etaoin shrdlu\n", k=rows * T.BLOCK - 7)))
         media = T.to_tiff(data)
         pages = list(T.read_pages(media))
-        assert len(pages) == -(-rows // T.PAGE_ROWS) and all(p.tiled == (rows > 64) for p in pages)
+        tiled = pages[0].tiled
+        assert len(pages) == -(-rows // (T.TILE if tiled else T.PAGE_ROWS)) and all(p.tiled == tiled for p in pages)
         assert T.from_tiff(media)[0] == data and T.to_tiff(data) == media
-        seen |= {p.compression for p in pages}
-    assert seen == {T.DEFLATE, T.LZW, T.PACKBITS}
+        seen |= {(p.compression, p.tiled) for p in pages}
+    assert {c for c, _ in seen} == {T.DEFLATE, T.LZW, T.PACKBITS} and {t for _, t in seen} == {True, False}
 
 
 def tagged(entries):
