@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
+from collections.abc import Callable
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -19,31 +21,101 @@ def clean_title(c: Column) -> Column:
     return X.collapse(F.regexp_replace(F.lower(c), "[^a-z0-9 ]", ""))
 
 
-def _ratio(a: str | None, b: str | None) -> float:
+def _ratio(a: str | None, b: str | None, least: float = 0.0) -> float:
+    """0 if it is below ``least``."""
     a, b = (re.sub("[^a-z0-9 ]", "", (x or "").lower()).strip() for x in (a, b))
-    return SequenceMatcher(None, a, b).ratio() if a and b else 0.0
+    if not a or not b:
+        return 0.0
+    m = SequenceMatcher(None, a, b)
+    return m.ratio() if m.real_quick_ratio() >= least and m.quick_ratio() >= least else 0.0
 
 
-def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([_ratio(x, y) for x, y in zip(a, b, strict=True)])
+def _ratios(a: pd.Series, b: pd.Series, least: float = 0.0) -> pd.Series:
+    return pd.Series([_ratio(x, y, least) for x, y in zip(a, b, strict=True)])
 
 
 def title_similarity(a: Column, b: Column) -> Column:
     """Ratcliff-Obershelp ratio of cleaned titles; 0 if one is empty."""
-    return F.pandas_udf(_ratios, "double")(a, b)
+    return F.pandas_udf(lambda x, y: _ratios(x, y), "double")(a, b)
 
 
-def title_blocks(c: Column) -> Column:
-    """Keys of which two titles with ratio of at least 0.9 share one, unless nearly every word differs: their words of four letters or more."""
-    return F.array_distinct(F.filter(F.split(clean_title(c), " "), lambda w: F.length(w) >= 4))
+#: Characters of a gram; of lower case letters, digits and spaces there are at most 37 ** GRAM of them.
+GRAM = 3
+#: Works that a task compares at a time where a gram is common.
+GRAM_BLOCK = 4_096
+
+
+def comparable(c: Column) -> Column:
+    """A title as ``title_similarity`` compares it."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9 ]", ""))
+
+
+def title_grams(c: Column) -> Column:
+    """Grams of a comparable title in order, repeated ones too."""
+    return F.when(F.length(c) >= GRAM, F.transform(F.sequence(F.lit(1), F.length(c) - (GRAM - 1)), lambda i: F.substr(c, i, F.lit(GRAM))))
+
+
+def least_common(length: int, threshold: float) -> int:
+    """Grams that a title of ``length`` shares at least with any title that is similar to it.
+
+    A ratio r of titles of a and b characters means matching blocks of M = r (a + b) / 2
+    characters, and D = a + b - 2 M characters outside. Between two blocks stands at least
+    one of those, so there are D + 1 blocks at most, and a block of m characters has m - 2
+    grams: they share M - 2 (D + 1) = (a + b) / 2 - 5 D / 2 - 2 at least. As r is the threshold
+    or more, D is at most (1 - threshold) (a + b), and b is at least a threshold / (2 - threshold).
+    """
+    return math.ceil(length * (1 + threshold / (2 - threshold)) * (0.5 - 2.5 * (1 - threshold)) - 2 - 1e-9)
+
+
+def _prefixes(known: dict[str, int], threshold: float) -> Callable[[pd.Series], pd.Series]:
+    def run(titles: pd.Series) -> pd.Series:
+        out = []
+        for t in titles:
+            seen: dict[str, int] = {}
+            grams = []
+            for g in (t[i : i + GRAM] for i in range(len(t) - GRAM + 1)):
+                seen[g] = seen.get(g, 0) + 1
+                grams.append((known.get(g, 0), g, seen[g]))
+            most = len(grams) - max(1, least_common(len(t), threshold)) + 1
+            out.append([f"{g}{n}" for df, g, n in sorted(grams)[: max(0, most)] if df])
+        return pd.Series(out)
+
+    return run
+
+
+def similar_titles(papers: DataFrame, works: DataFrame, threshold: float = TITLE_THRESHOLD) -> DataFrame:
+    """``paper_id, work_id, ratio``: every pair of titles whose ratio is ``threshold`` (over 0.85) or more.
+
+    Titles are sets of numbered grams, ordered by the number of works that have
+    them. Two similar titles share so many that each one's rarest, all but those
+    ``least_common`` less one, must have one in common: pairs come from a join on
+    those, and no other bound. A common gram's works are dealt to blocks. Counts
+    of grams are broadcast; there are 37 ** 3 grams at most.
+    """
+    if threshold <= 0.85:
+        raise ValueError("the bound on common grams needs a threshold over 0.85")
+    p = papers.select("paper_id", comparable(F.col("title")).alias("t")).where(F.length("t") >= LEAST_TITLE)
+    w = works.select("work_id", comparable(F.col("title")).alias("u")).where(F.length("u") >= math.floor(LEAST_TITLE * threshold / (2 - threshold)))
+    counts = w.select(F.explode(F.array_distinct(title_grams(F.col("u")))).alias("g")).groupBy("g").agg(F.count("*").alias("df"))
+    shared = papers.sparkSession.sparkContext.broadcast({r["g"]: r["df"] for r in counts.toLocalIterator()})
+    rarest = F.pandas_udf(lambda t: _prefixes(shared.value, threshold)(t), "array<string>")
+    pg = p.select("paper_id", F.length("t").alias("n"), F.explode(rarest("t")).alias("g"))
+    wg = w.select("work_id", F.length("u").alias("m"), F.explode(rarest("u")).alias("g"))
+    split = counts.where(F.col("df") > GRAM_BLOCK).select(F.col("g").alias("gram"), F.ceil(F.col("df") / GRAM_BLOCK).cast("int").alias("blocks"))
+    dealt = lambda d: d.join(F.broadcast(split), F.substring("g", 1, GRAM) == F.col("gram"), "left").drop("gram").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    pg = dealt(pg).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    wg = dealt(wg).withColumn("block", F.pmod(F.xxhash64("work_id"), F.col("blocks")).cast("int")).drop("blocks")
+    close = F.least("n", "m") / F.greatest("n", "m") >= threshold / (2 - threshold) - 1e-9
+    pairs = pg.join(wg, ["g", "block"]).where(close).select("paper_id", "work_id").distinct()
+    both = pairs.join(p, "paper_id").join(w, "work_id")
+    return both.withColumn("ratio", F.pandas_udf(lambda a, b: _ratios(a, b, threshold), "double")("t", "u")).where(F.col("ratio") >= threshold).select("paper_id", "work_id", "ratio")
 
 
 def match_works(papers: DataFrame, works: DataFrame, threshold: float = TITLE_THRESHOLD) -> DataFrame:
     """``paper_id, work_id, match_method, match_confidence``: by doi, else arXiv id, else best similar title.
 
-    Title candidates share a rare word: per paper the three of its words with
-    the fewest works; lengths must allow the ratio. Only papers left over by
-    the first two joins get there.
+    Only papers left over by the first two joins are compared by title, with
+    every work that ``similar_titles`` finds.
     """
     w = works.select("work_id", X.normalize_doi(F.col("doi")).alias("doi"), X.normalize_arxiv_id(F.col("arxiv_id")).alias("arxiv_id"), "title")
     p = papers.select("paper_id", X.normalize_doi(F.col("doi")).alias("doi"), X.normalize_arxiv_id(F.col("arxiv_id")).alias("arxiv_id"), "title")
@@ -56,14 +128,7 @@ def match_works(papers: DataFrame, works: DataFrame, threshold: float = TITLE_TH
     rest = p.join(d, "paper_id", "left_anti")
     a = by("arxiv_id", rest)
     rest = rest.join(a, "paper_id", "left_anti").where(F.length(clean_title(F.col("title"))) >= LEAST_TITLE)
-    words = w.where("title is not null").select("work_id", F.col("title").alias("work_title"), F.explode(title_blocks(F.col("title"))).alias("word"))
-    common = words.groupBy("word").agg(F.count("*").alias("df"))
-    rare = Window.partitionBy("paper_id").orderBy("df", "word")
-    mine = rest.select("paper_id", "title", F.explode(title_blocks(F.col("title"))).alias("word")).join(common, "word").withColumn("r", F.row_number().over(rare)).where("r <= 3")
-    pairs = mine.join(words, "word").select("paper_id", "title", "work_id", "work_title").distinct()
-    la, lb = F.length(clean_title(F.col("title"))), F.length(clean_title(F.col("work_title")))
-    pairs = pairs.where(F.least(la, lb) / F.greatest(la, lb) >= threshold / (2 - threshold))
-    pairs = pairs.withColumn("ratio", title_similarity(F.col("title"), F.col("work_title"))).where(F.col("ratio") >= threshold)
+    pairs = similar_titles(rest, w, threshold)
     best = Window.partitionBy("paper_id").orderBy(F.desc("ratio"), "work_id")
     t = pairs.withColumn("r", F.row_number().over(best)).where("r = 1").select("paper_id", "work_id", F.lit("title").alias("match_method"), F.round("ratio", 4).alias("match_confidence"))
     return d.unionByName(a).unionByName(t)

@@ -323,6 +323,19 @@ def m3_match_works(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where(F.concat(F.lit("w"), "paper_id") == F.col("work_id"))
 
 
+@register("""SELECT CAST(doc_id AS VARCHAR) AS paper_id, 'w' || CAST(doc_id AS VARCHAR) AS work_id, CASE doc_id % 3 WHEN 1 THEN 'doi' WHEN 0 THEN 'arxiv_id' ELSE 'title' END AS match_method,
+CASE WHEN doc_id % 3 = 2 THEN round(66.0 / 67, 4) ELSE 1.0 END AS match_confidence FROM documents WHERE doc_id % 7 = 0""")
+def m3_misspelt_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All matches of all papers: titles that lack a letter and have no long word, beside works that they don't mean."""
+    d = F.col("doc_id")
+    docs = TC.load(spark, sf_dir, "documents")
+    title = F.concat(F.lit("A "), F.md5(d.cast("string")))
+    own = lambda alias, t: docs.select(d.cast("string").alias(alias), F.when(d % 3 == 1, F.concat(F.lit("10.1234/P"), d)).alias("doi"), F.when(d % 3 == 0, TC.arxiv_of(d)).alias("arxiv_id"), t.alias("title"), d)
+    works = own("work_id", title).where(d % 7 == 0).withColumn("work_id", F.concat(F.lit("w"), "work_id"))
+    papers = own("paper_id", F.concat(F.substring(title, 1, 20), F.substring(title, 22, 40)))
+    return M.match_works(papers.drop("doc_id"), works.drop("doc_id"))
+
+
 # --- graph ----------------------------------------------------------------------------
 
 

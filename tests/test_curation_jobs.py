@@ -248,3 +248,26 @@ def test_catalogue_values_override(spark):
     got = {r.paper_id: r for r in M.enrich_papers(parsed, m).collect()}
     assert (got["p"].title, got["p"].abstract, got["p"].doi, got["p"].year, got["p"].authors) == ("Catalogue", "abs", "10.1/p", 2020, ["A"])
     assert (got["q"].title, got["q"].year, got["q"].authors) == ("Q", None, [])
+
+
+def test_similar_titles_equal_all_pairs(spark, monkeypatch):
+    """Typos, short words only, repeated grams, common grams in blocks: no pair of a ratio of 0.9 or more is lost."""
+    monkeypatch.setattr(M, "GRAM_BLOCK", 5)
+    rng = random.Random(3)
+    words = "a an of to in on is it we do go net set map tree deep graph model learning attention aaaa aaa".split()
+    titles = [" ".join(rng.choice(words) for _ in range(rng.randint(3, 14))) for _ in range(70)]
+
+    def typo(t):
+        for _ in range(rng.choice([1, 1, 2, 4, 7])):
+            i = rng.randrange(len(t))
+            t = rng.choice([t[:i] + t[i + 1 :], t[:i] + rng.choice("abcxyz ") + t[i:], t[:i] + rng.choice("abcxyz") + t[i + 1 :], t[i:] + t[:i] if rng.random() < 0.1 else t])
+        return t
+
+    papers = [(f"p{i}", t) for i, t in enumerate(titles)] + [("none", None), ("short", "a b")]
+    works = [(f"w{i}", typo(t).title()) for i, t in enumerate(titles * 2)] + [("x", None), ("y", "")]
+    schema = lambda i: f"{i} string, title string"
+    got = {(r.paper_id, r.work_id): r.ratio for r in M.similar_titles(spark.createDataFrame(papers, schema("paper_id")), spark.createDataFrame(works, schema("work_id"))).collect()}
+    clean = lambda t: "".join(c for c in (t or "").lower() if c in "abcdefghijklmnopqrstuvwxyz0123456789 ").strip()
+    want = {(p, w): M._ratio(a, b) for p, a in papers for w, b in works if len(clean(a)) >= 10 and M._ratio(a, b) >= 0.9}
+    assert got == want and len(want) > 60
+    assert any(r < 0.93 for r in want.values())
