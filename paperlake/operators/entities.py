@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +28,37 @@ def sentences(parsed: DataFrame) -> DataFrame:
     return d.select("paper_id", "sec", F.col("s.heading").alias("section"), F.posexplode(split_sentences(F.col("s.text"))).alias("sent", "sentence"))
 
 
+def words_of(c: Column) -> Column:
+    """Runs of ASCII letters and digits in lower case. Whatever stands between word boundaries begins and ends with whole ones."""
+    return F.split(F.lower(c), "[^a-z0-9]+")
+
+
+def first_words(terms: list[str]) -> list[str]:
+    return sorted({re.split("[^a-z0-9]+", t.lower())[0] for t in terms})
+
+
+#: Words without which no pattern of a group matches.
+CAPTURE_WORDS = {
+    "Method": ["model", "method", "architecture", "framework", "algorithm", "approach"],
+    "Dataset": ["dataset", "corpus", "benchmark"],
+    "Task": ["task", "problem"],
+    "Metric": ["score", "rate", "error"],
+}
+CLAIM_WORDS = [
+    "show", "demonstrate", "prove", "find", "observe", "claim", "conclude", "indicate", "suggest",
+    *(v + s for v in ("outperform", "improve", "achieve", "reduce", "increase") for s in ("", "s")), "art",
+]
+EXPERIMENT_WORDS = ["experiment", "experiments", "experimental", "evaluate", "evaluated", "evaluation", "evaluating", "ablation", "benchmark", "baseline", "baselines"]
+TERMS = {"Method": vocab.METHODS, "Dataset": vocab.DATASETS, "Task": vocab.TASKS, "Metric": vocab.METRICS}
+CAPTURES = {"Method": vocab.METHOD_CAPTURES, "Dataset": vocab.DATASET_CAPTURES, "Task": vocab.TASK_CAPTURES, "Metric": vocab.METRIC_CAPTURES}
+ANY_WORDS = sorted({w for t in TERMS.values() for w in first_words(t)} | {w for ws in CAPTURE_WORDS.values() for w in ws} | {*CLAIM_WORDS, *EXPERIMENT_WORDS})
+
+
+def has_word(words: Column, wanted: list[str]) -> Column:
+    """A look-up of each word in a fixed set."""
+    return F.exists(words, lambda w: w.isin(wanted))
+
+
 def known_terms(c: Column, terms: list[str], ignore_case: bool = False) -> Column:
     """Terms that occur between word boundaries, longer ones first."""
     flag = "(?i)" if ignore_case else ""
@@ -47,28 +80,27 @@ def experiment_name(c: Column, section: Column) -> Column:
     return F.concat_ws(" ", F.coalesce(X.clean_name(section), F.lit("Experiment")), kind)
 
 
-def candidates(c: Column, section: Column) -> Column:
-    """Names and types of one sentence, in the order of the rules."""
+def candidates(c: Column, section: Column, words: Column | None = None) -> Column:
+    """Names and types of one sentence, in the order of the rules. A group's patterns are only tried where ``words_of`` the sentence has a word of theirs."""
+    words = words_of(c) if words is None else words
+    none = F.array().cast("array<string>")
     typed = lambda names, kind: F.transform(names, lambda n: F.struct(n.alias("name"), F.lit(kind).alias("type")))
-    one = lambda cond, name, kind: typed(F.when(cond, F.array(name)).otherwise(F.array().cast("array<string>")), kind)
-    return F.concat(
-        typed(known_terms(c, vocab.METHODS), "Method"),
-        typed(capture_names(c, vocab.METHOD_CAPTURES), "Method"),
-        typed(known_terms(c, vocab.DATASETS), "Dataset"),
-        typed(capture_names(c, vocab.DATASET_CAPTURES), "Dataset"),
-        typed(known_terms(c, vocab.TASKS, True), "Task"),
-        typed(capture_names(c, vocab.TASK_CAPTURES), "Task"),
-        typed(known_terms(c, vocab.METRICS, True), "Metric"),
-        typed(capture_names(c, vocab.METRIC_CAPTURES), "Metric"),
-        one(X.any_match(c, vocab.CLAIMS), claim_name(c), "Claim"),
-        one(X.any_match(c, vocab.EXPERIMENTS), experiment_name(c, section), "Experiment"),
-    )
+    where = lambda wanted, names, kind: typed(F.when(has_word(words, wanted), names).otherwise(none), kind)
+    groups = []
+    for kind, terms in TERMS.items():
+        groups.append(where(first_words(terms), known_terms(c, terms, kind in ("Task", "Metric")), kind))
+        groups.append(where(CAPTURE_WORDS[kind], capture_names(c, CAPTURES[kind]), kind))
+    one = lambda cond, name: F.when(cond, F.array(name)).otherwise(none)
+    groups.append(where(CLAIM_WORDS, one(X.any_match(c, vocab.CLAIMS), claim_name(c)), "Claim"))
+    groups.append(where(EXPERIMENT_WORDS, one(X.any_match(c, vocab.EXPERIMENTS), experiment_name(c, section)), "Experiment"))
+    return F.concat(*groups)
 
 
 def extract_entities(sents: DataFrame) -> DataFrame:
     """One row per (paper, type, lower name), from its first occurrence: name, type, section, evidence, role, order."""
     s = F.col("sentence")
-    d = sents.select("paper_id", "sec", "sent", "section", "sentence", F.posexplode(candidates(s, F.col("section"))).alias("rule", "c"))
+    d = sents.select("paper_id", "sec", "sent", "section", "sentence", words_of(s).alias("words")).where(has_word(F.col("words"), ANY_WORDS))
+    d = d.select("paper_id", "sec", "sent", "section", "sentence", F.posexplode(candidates(s, F.col("section"), F.col("words"))).alias("rule", "c"))
     d = d.select(
         "paper_id", "sec", "sent", "rule", X.clean_name(F.col("c.name")).alias("name"), F.col("c.type").alias("type"),
         F.coalesce(X.clean_name(F.col("section")), F.lit("Unknown")).alias("source_section"), X.collapse(s).alias("evidence"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,6 +32,29 @@ def test_one_of_every_type(spark):
     assert ("Experiment", "Introduction ablation") in got and any(t == "Claim" for t, _ in got)
 
 
+def test_looking_words_up_first_loses_nothing(spark):
+    """Every pattern on every sentence, against only those of which a word is there."""
+    rng = random.Random(2)
+    nouns = [w for ws in E.CAPTURE_WORDS.values() for w in ws]
+    pool = vocab.METHODS + vocab.DATASETS + vocab.TASKS + vocab.METRICS + nouns + E.CLAIM_WORDS + E.EXPERIMENT_WORDS
+    pool += "we We the a of on for using propose Deep Net results state art reports achieves é_ BERT_x xBERT éBERT BERTé CIFAR-100s F1-scores state-of-the-art".split()
+    texts = ["".join(rng.choice(pool).replace("e", rng.choice("eeeeE")) + rng.choice([" ", " ", " ", ", ", "-", "_", "é", "’s ", "."]) for _ in range(rng.randint(1, 9))) for _ in range(600)]
+    texts += [w for p in pool for w in (p, p.upper(), f"We show {p}s")]
+    d = spark.createDataFrame([(t,) for t in texts], "s string")
+    c = F.col("s")
+    typed = lambda names, kind: F.transform(names, lambda n: F.concat(F.lit(f"{kind} "), n))
+    plain = F.array_sort(F.concat(
+        *[typed(E.known_terms(c, t, k in ("Task", "Metric")), k) for k, t in E.TERMS.items()],
+        *[typed(E.capture_names(c, p), k) for k, p in E.CAPTURES.items()],
+        F.when(X.any_match(c, vocab.CLAIMS), F.array(F.lit("Claim"))).otherwise(F.array().cast("array<string>")),
+        F.when(X.any_match(c, vocab.EXPERIMENTS), F.array(F.lit("Experiment"))).otherwise(F.array().cast("array<string>")),
+    ))
+    found = F.when(E.has_word(E.words_of(c), E.ANY_WORDS), E.candidates(c, F.lit("S")))
+    named = F.transform(F.coalesce(found, F.array().cast("array<struct<name:string,type:string>>")), lambda x: F.when(x["type"].isin("Claim", "Experiment"), x["type"]).otherwise(F.concat(x["type"], F.lit(" "), x["name"])))
+    rows = d.select("s", plain.alias("want"), F.array_sort(named).alias("got")).collect()
+    assert [r for r in rows if r.want != r.got] == [] and sum(bool(r.want) for r in rows) > 300
+
+
 @pytest.mark.parametrize("text", ["The model works.", "Our approach is good.", "This enables the method.", "All dataset items.", "We use the method."])
 def test_function_words_are_no_names(spark, text):
     assert [x for x in found(spark, text) if x[0] in ("Method", "Dataset")] == []
