@@ -161,7 +161,7 @@ def test_model_relations(spark):
     raw = spark.createDataFrame([("p", f"[{item('foo', 'Bar')}, {item('Foo', 'FOO')}, {item('Foo', 'Nix')}, {item('Foo', 'Bar', 'CITES')}]")], "paper_id string, raw string")
     texts = spark.createDataFrame([("p", f"{ev}.")], "paper_id string, text string")
     ents = spark.createDataFrame([("p", 0, "Foo", "Task"), ("p", 1, "Foo", "Method"), ("p", 2, "Bar", "Method")], "paper_id string, pos int, name string, type string")
-    assert [(r.source, r.relation, r.target) for r in L.validate_llm_relations(raw, texts, ents).collect()] == [("Foo", "IMPROVES_UPON", "Bar")]
+    assert [(r.source, r.relation, r.target) for r in L.validate_llm_relations(raw, texts, ents).collect()] == [("foo", "IMPROVES_UPON", "Bar")]
 
 
 LONG = "e" * 40
