@@ -13,7 +13,7 @@ sizes of 0 or beyond what the stored bytes can make, samples of other than 8 or
 empty texts, whose payload is one block of bytes 255; null or repeated ids are
 carried through; other columns are kept only when named in ``keep``; an empty
 table gives an empty result. Each text is handled whole, by itself, without a
-shuffle; a page holds at most ``PAGE_ROWS`` or ``TILE`` rows, so a longer text has many pages.
+shuffle; a page holds at most ``PAGE_ROWS`` rows, or a tile's, so a longer text has many pages.
 """
 
 from __future__ import annotations
@@ -37,8 +37,8 @@ NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 BLOCK = 576
 #: A row of a page: 192 pixels of three samples.
 WIDTH, SAMPLES = 192, 3
-#: Rows of a page in strips, and of a page in tiles, whose sides are as long.
-PAGE_ROWS, TILE = 4, 16
+#: Rows of a page in strips; rows of a page in tiles and of a tile, and columns of a tile.
+PAGE_ROWS, TILE = 8, (16, 96)
 #: More bytes than this for each stored byte no codec gives.
 EXPANDS = 4096
 
@@ -190,15 +190,16 @@ def decompress(data: bytes, codec: int, most: int) -> bytes:
 
 
 def write_tiff(
-    pages: Sequence[np.ndarray], codec: int = DEFLATE, predictor: bool = True, tile: int | None = None, strip_rows: int = 64, order: str = "<"
+    pages: Sequence[np.ndarray], codec: int = DEFLATE, predictor: bool = True, tile: int | tuple[int, int] | None = None, strip_rows: int = 64, order: str = "<"
 ) -> bytes:
-    """A file of pages (rows, width, samples) of 8 or 16 bits, in strips, or in square tiles of side ``tile``."""
+    """A file of pages (rows, width, samples) of 8 or 16 bits, in strips, or in tiles of side ``tile``, or of its rows and columns."""
     out = bytearray((b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, 0))
     link = 4
+    tile = (tile, tile) if isinstance(tile, int) else tile
     for page in pages:
         h, w, s = page.shape
         bits = page.dtype.itemsize * 8
-        rows, cols = (tile, tile) if tile else (strip_rows, w)
+        rows, cols = tile or (strip_rows, w)
         offsets, sizes = [], []
         for y in range(0, h, rows):
             for x in range(0, w, cols):
@@ -216,7 +217,7 @@ def write_tiff(
             (PHOTOMETRIC, 3, [2 if s >= 3 else 1]), (SAMPLES_PER_PIXEL, 3, [s]), (PLANAR, 3, [1]), (PREDICTOR, 3, [2 if predictor else 1]),
         ]
         if tile:
-            entries += [(TILE_WIDTH, 4, [tile]), (TILE_LENGTH, 4, [tile]), (TILE_OFFSETS, 4, offsets), (TILE_COUNTS, 4, sizes)]
+            entries += [(TILE_WIDTH, 4, [cols]), (TILE_LENGTH, 4, [rows]), (TILE_OFFSETS, 4, offsets), (TILE_COUNTS, 4, sizes)]
         else:
             entries += [(STRIP_OFFSETS, 4, offsets), (ROWS_PER_STRIP, 4, [strip_rows]), (STRIP_COUNTS, 4, sizes)]
         packed = []
@@ -358,7 +359,7 @@ def to_tiff(data: bytes) -> bytes:
     choice = zlib.crc32(data)
     codec = (DEFLATE, LZW, PACKBITS)[choice % 3]
     tile = TILE if choice // 3 % 2 else None
-    height = tile or PAGE_ROWS
+    height = tile[0] if tile else PAGE_ROWS
     pages = [rows[i : i + height] for i in range(0, len(rows), height)]
     return write_tiff(pages, codec, predictor=codec != PACKBITS, tile=tile, strip_rows=PAGE_ROWS)
 

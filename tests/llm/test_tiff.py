@@ -30,7 +30,7 @@ def test_known_streams():
 
 
 @pytest.mark.parametrize("codec", [T.NONE, T.LZW, T.DEFLATE, T.OLD_DEFLATE, T.PACKBITS])
-@pytest.mark.parametrize("tile", [None, 16])
+@pytest.mark.parametrize("tile", [None, 16, (16, 48)])
 @pytest.mark.parametrize("order", ["<", ">"])
 def test_files_round_trip(codec, tile, order):
     rng = np.random.default_rng(1)
@@ -79,7 +79,7 @@ def test_payloads_of_every_size_meet_every_codec(rows):
         media = T.to_tiff(data)
         pages = list(T.read_pages(media))
         tiled = pages[0].tiled
-        assert len(pages) == -(-rows // (T.TILE if tiled else T.PAGE_ROWS)) and all(p.tiled == tiled for p in pages)
+        assert len(pages) == -(-rows // (T.TILE[0] if tiled else T.PAGE_ROWS)) and all(p.tiled == tiled for p in pages)
         assert T.from_tiff(media)[0] == data and T.to_tiff(data) == media
         seen |= {(p.compression, p.tiled) for p in pages}
     assert {c for c, _ in seen} == {T.DEFLATE, T.LZW, T.PACKBITS} and {t for _, t in seen} == {True, False}
