@@ -60,7 +60,7 @@ def apply_filters(df: DataFrame, filters: dict[str, object] | None) -> DataFrame
 
 
 def vector_search(chunks: DataFrame, vector: list[float], k: int = 5, filters: dict[str, object] | None = None, metric: str = "cosine", id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
-    """The ``k`` best of one query; filters apply before scoring."""
+    """The ``k`` best of one query; filters apply before scoring; a score that is no number takes no rank."""
     q = F.array(*[F.lit(float(x)) for x in vector])
     d = apply_filters(chunks, filters).withColumn("score", similarity(F.col(vector_col), q, metric))
     return d.where("score is not null and not isnan(score)").orderBy(F.desc("score"), id_col).limit(k)
@@ -73,7 +73,7 @@ def batch_vector_search(queries: DataFrame, chunks: DataFrame, k: int = 5, metri
     about ``CHUNK_BLOCK``, however many there are; groups meet each block through an equi-join on the block's number, dealt over partitions by a salt,
     so the query side needn't fit a broadcast. A task keeps k rows per query of a
     batch; the last step ranks what is left. Pairs without a score (the cosine of
-    a zero vector) take no rank.
+    a zero vector, components that are no number) take no rank.
     """
     spark = chunks.sparkSession
     n = max(1, -(-queries.count() // QUERY_BLOCK))
@@ -100,9 +100,10 @@ def batch_vector_search(queries: DataFrame, chunks: DataFrame, k: int = 5, metri
                     s = 1 + v @ a.T
                 ids = np.array([x["c"] for x in r.chunks])
                 order = np.argsort(ids, kind="stable")
-                top = np.argsort(-s[:, order], axis=1, kind="stable")[:, :k]
+                top = np.argsort(np.where(np.isnan(s), np.inf, -s)[:, order], axis=1, kind="stable")[:, :k]
                 names = [x["q"] for x in r.queries]
-                yield pd.DataFrame({"q": np.repeat(names, top.shape[1]), "c": ids[order][top].ravel(), "score": np.take_along_axis(s[:, order], top, 1).ravel()})
+                best = pd.DataFrame({"q": np.repeat(names, top.shape[1]), "c": ids[order][top].ravel(), "score": np.take_along_axis(s[:, order], top, 1).ravel()})
+                yield best[best.score.notna()]
 
     out = pairs.mapInPandas(run, f"q {kinds[0]}, c {kinds[1]}, score double")
     rank = Window.partitionBy("q").orderBy(F.desc("score"), "c")

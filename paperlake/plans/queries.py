@@ -215,7 +215,10 @@ def c7_merged_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return citations(spark, sf_dir).select("paper_id", F.col("pos").cast("long").alias("pos"), F.size("ref_ids").cast("long").alias("n_refs"))
 
 
-@register()
+@register(f"""WITH {REFS}, keyed AS (SELECT d, k, c, way, 1 + CAST(k = 0 AS INT) AS n, CASE way WHEN 0 THEN 'd' || CAST(c AS VARCHAR) WHEN 1 THEN 'a' || {arxiv('c')} ELSE 'k' || CAST(k AS VARCHAR) END AS key FROM refs
+UNION ALL SELECT d, d % 5 + 1, c, 0, 1, 'd' || CAST(c AS VARCHAR) FROM refs WHERE k = 0 AND d % 4 = 0),
+first AS (SELECT d, min(k) AS pos, arg_min(c, k) AS c, arg_min(way, k) AS way, CAST(sum(n) AS BIGINT) AS n_mentions FROM keyed GROUP BY d, key)
+SELECT CAST(d AS VARCHAR) AS paper_id, pos, {title('c')} AS title, CASE WHEN way = 0 THEN '10.1234/p' || CAST(c AS VARCHAR) END AS doi, CASE WHEN way = 1 THEN {arxiv('c')} END AS arxiv_id, n_mentions FROM first""")
 def c8_citation_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = P.full_text(pages(spark, sf_dir))
     refs = C.extract_references(texts)

@@ -161,3 +161,19 @@ def test_rag_context(spark):
     hits = spark.createDataFrame([("q", 1, 0.9, "p", "x" * 200), ("q", 2, 0.8, "r", "second")], "query_id string, rank int, score double, paper_id string, text string")
     r = H.rag_context(hits).first()
     assert r.context == "---\n" + "x" * 200 + "\n---\nsecond" and len(r.citations[0].snippet) == 100
+
+
+def test_scores_that_are_no_number_take_no_rank(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, [1.0, 0.0]), (2, [nan, 1.0]), (3, [inf, 1.0]), (4, [0.0, 1.0]), (5, None), (6, [0.0, 0.0]), (7, [1.0, None])]
+    chunks = spark.createDataFrame(rows, "id long, embedding array<double>")
+    assert [r.id for r in VX.vector_search(chunks, [1.0, 0.1], 5).collect()] == [1, 4]
+    q = chunks.where("id in (1, 2, 4)").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    got = sorted((r.query_id, r["rank"], r.id) for r in VX.batch_vector_search(q, chunks, 5).collect())
+    assert got == [(1, 1, 1), (1, 2, 4), (4, 1, 4), (4, 2, 1)]
+
+
+def test_chunk_ids_keep_all_digits(spark):
+    d = spark.range(100_002).select(F.lit("p").alias("paper_id"), F.col("id").alias("ord"))
+    ids = V.chunk_ids(d).where("chunk_index in (7, 10000, 100001)").orderBy("chunk_index").collect()
+    assert [r.chunk_id for r in ids] == ["p__chunk_00007", "p__chunk_10000", "p__chunk_100001"]
