@@ -43,8 +43,8 @@ LEAST_LENGTH, LEAST_COUNT, RATIO = 7, 2, 10
 BITS, ROUND_BLOCKS, PACK = 16, 1 << 21, 4_096
 #: Words of this length or more share a filter.
 LAST = 64
-#: Hashes that a worker computes at a time.
-PROBES = 1 << 20
+#: Hashes that a worker computes at a time; words whose neighbours one task probes, about.
+PROBES, TASK_WORDS = 1 << 20, 1 << 15
 
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -214,7 +214,9 @@ def near_pairs(vocab: DataFrame, bits: int = BITS, round_blocks: int = ROUND_BLO
     """``word, n, near, near_n``: every pair of near words, once, from the side that generates the other. ``vocab`` is read several times: pass a written table."""
     spark = vocab.sparkSession
     shard = F.least(F.length("word"), F.lit(LAST)).alias("shard")
-    filters = Filters({r["shard"]: r["count"] for r in vocab.groupBy(shard).count().collect()}, bits)
+    counts = {r["shard"]: r["count"] for r in vocab.groupBy(shard).count().collect()}
+    filters = Filters(counts, bits)
+    dealt = vocab.select("word", "n").repartition(max(1, -(-sum(counts.values()) // TASK_WORDS)))  # a small table, but much work
     blocks = materialize(filter_blocks(vocab, filters), "bloom-blocks")
     round_blocks = max(1, round_blocks // PACK) * PACK
     claimed = None
@@ -226,7 +228,7 @@ def near_pairs(vocab: DataFrame, bits: int = BITS, round_blocks: int = ROUND_BLO
                 who, near = neighbours(b.word.tolist(), shared.value)
                 yield pd.DataFrame({"word": b.word.to_numpy()[who], "n": b.n.to_numpy()[who], "near": near})
 
-        found = vocab.select("word", "n").mapInPandas(probe, "word string, n long, near string")
+        found = dealt.mapInPandas(probe, "word string, n long, near string")
         if filters.total > round_blocks:  # one broadcast at a time
             found = materialize(found, "bloom-positives")
             shared.unpersist()
