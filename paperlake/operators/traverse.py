@@ -1,14 +1,20 @@
 """Bounded breadth-first walks over citations, for many seeds at once.
 
-Each round is written down, so that plans don't multiply with the hops.
+Each round is written down, so that plans don't multiply with the hops; edges
+lie in buckets, so that rounds don't shuffle them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperlake.sources.shared import written
+from paperlake.sources.shared import shared_dir, written
+
+#: Neighbours of a node that one slice holds, and salts by which hubs are looked up.
+HUB, SALTS = 100_000, 32
 
 
 def _neighbours(edges: DataFrame, direction: str) -> DataFrame:
@@ -19,12 +25,46 @@ def _neighbours(edges: DataFrame, direction: str) -> DataFrame:
     return {"forward": forward, "backward": backward, "both": forward.unionByName(backward)}[direction]
 
 
+class Adjacency:
+    """Neighbours written once, in buckets by ``node, slice``, so that a hop shuffles the frontier only.
+
+    A node of over ``HUB`` neighbours is dealt over slices of about that many; its
+    frontier rows are repeated for each. Hubs are few (one for each ``HUB`` edges) but
+    not broadcast: both sides meet them by node and one of ``SALTS`` salts.
+    """
+
+    def __init__(self, edges: DataFrame, direction: str):
+        spark = edges.sparkSession
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        hops = written(_neighbours(edges, direction), "hops")
+        parts = hops.groupBy("node", _salt("next")).agg(F.count("*").alias("n"))
+        hubs = parts.groupBy("node").agg(F.ceil(F.sum("n") / HUB).cast("int").alias("slices")).where("slices > 1")
+        self.hubs = written(hubs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), "hubs")
+        dealt = hops.withColumn("salt", _salt("next")).join(self.hubs, ["node", "salt"], "left")
+        dealt = dealt.select("node", F.coalesce(F.pmod(F.xxhash64("next"), F.col("slices")), F.lit(0)).cast("int").alias("slice"), "next", "way")
+        name = f"paperlake_hops_{uuid.uuid4().hex}"
+        path = f"{shared_dir(spark)}/paperlake/{name}"
+        dealt.repartition(n, "node", "slice").write.bucketBy(n, "node", "slice").sortBy("node", "slice").option("path", path).saveAsTable(name)
+        self.hops = spark.table(name)
+        spark.sql(f"DROP TABLE {name}")  # only its name in the catalogue: the files are external
+
+    def step(self, frontier: DataFrame) -> DataFrame:
+        """``frontier`` (``seed, node`` and more) with ``next, way`` of each hop."""
+        d = frontier.withColumn("salt", _salt("seed")).join(self.hubs, ["node", "salt"], "left")
+        d = d.withColumn("slice", F.explode(F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1))).drop("salt", "slices")
+        return d.join(self.hops, ["node", "slice"]).drop("slice")
+
+
+def _salt(c: str) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int").alias("salt")
+
+
 def citation_neighbors(edges: DataFrame, seeds: DataFrame, direction: str = "both", depth: int = 1) -> DataFrame:
     """Distinct ``seed, node`` within 1 to ``depth`` (clamped to 1..5) hops, without the seed itself; seeds are node ids."""
-    hops = written(_neighbours(edges, direction).select("node", "next").distinct(), "hops")
+    hops = Adjacency(edges, direction)
     seen = frontier = seeds.select(F.col("node_id").alias("seed"), F.col("node_id").alias("node")).distinct()
     for _ in range(max(1, min(5, depth))):
-        found = frontier.join(hops, "node").select("seed", F.col("next").alias("node")).distinct()
+        found = hops.step(frontier).select("seed", F.col("next").alias("node")).distinct()
         frontier = written(found.join(seen, ["seed", "node"], "left_anti"), "frontier")
         seen = seen.unionByName(frontier)
     return seen.where("seed <> node")
@@ -37,13 +77,13 @@ def expand_citations(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, direc
     backward, then by node id. Ranks are per seed and hop, so the cap cuts the
     frontier each round.
     """
-    hops = written(_neighbours(edges, direction), "hops")
+    hops = Adjacency(edges, direction)
     start = seeds.select(F.col("node_id").alias("seed"), F.col("node_id").alias("node")).distinct()
     frontier = start.select("seed", "node", F.array("node").alias("path"), F.lit(0).cast("long").alias("rank"))
     seen, found = start, None
     counts = start.select("seed", F.lit(0).cast("long").alias("n"))
     for depth in range(1, max(1, min(5, max_depth)) + 1):
-        step = frontier.join(hops, "node").select("seed", F.col("next").alias("node"), "path", "rank", "way")
+        step = hops.step(frontier).select("seed", F.col("next").alias("node"), "path", "rank", "way")
         step = step.join(seen, ["seed", "node"], "left_anti")
         best = step.groupBy("seed", "node").agg(F.min(F.struct("rank", "way", "path")).alias("b"))
         order = Window.partitionBy("seed").orderBy("b.rank", "b.way", "node")

@@ -169,3 +169,24 @@ def test_same_result_for_any_partitioning(spark):
         seen.append((sorted(map(str, nodes.withColumn("properties", F.to_json("properties")).collect())), sorted(triples(edges))))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert seen[0] == seen[1]
+
+
+def test_walks_over_hubs_shuffle_no_edges(spark, monkeypatch):
+    monkeypatch.setattr(W, "HUB", 3)
+    pairs = [("h", f"n{i}") for i in range(20)] + [("a", "h"), ("n3", "z"), ("n4", "z"), ("b", "c")]
+    n, e = chain(spark, pairs)
+    seeds = spark.createDataFrame([("paper_a",), ("paper_b",)], "node_id string")
+    got = {(r.seed[6:], r.node[6:]) for r in W.citation_neighbors(e, seeds, "forward", 3).collect()}
+    assert got == {("a", "h"), ("a", "z"), ("b", "c")} | {("a", f"n{i}") for i in range(20)}
+    assert W.expand_citations(n, e, seeds, "forward", 3).count() == 23
+    hops = W.Adjacency(e, "forward")
+    assert hops.hubs.where("node = 'paper_h'").agg({"slices": "max"}).first()[0] == 7
+    assert hops.hops.where("node = 'paper_h'").select("slice").distinct().count() > 2
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = hops.step(seeds.selectExpr("node_id as seed", "node_id as node"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    side = plan.rstrip().splitlines()[-3:]  # sort, filter and scan of the hops
+    assert "Bucketed: true" in side[-1] and "Sort" in side[0] and "Filter" in side[1], plan
