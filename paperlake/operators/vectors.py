@@ -20,7 +20,7 @@ CHUNK_BLOCK = 4_096
 #: Queries for each of which a round ships all chunks once.
 LANE = 65_536
 #: Pivots at most, chunks for each of them (on average) below that number, and shells around each.
-PIVOTS, PIVOT_ROWS, SHELLS = 2_048, 1_024, 8
+PIVOTS, PIVOT_ROWS, SHELLS = 2_048, 4_096, 4
 #: Shells that a query visits first, more if those hold fewer than k chunks.
 FIRST = 2
 
@@ -118,7 +118,7 @@ def _slices(batches: Iterator[pd.DataFrame], n: int) -> Iterator[pd.DataFrame]:
 
 
 def _best(pairs: DataFrame, k: int, metric: str, kinds: tuple[str, str]) -> DataFrame:
-    """``q, c, score``: the k best of each pair of a cell and a block of queries."""
+    """``q, c, score``: the k best of each pair of a cell and a block of queries, but those below what the query has (``least``)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -134,7 +134,8 @@ def _best(pairs: DataFrame, k: int, metric: str, kinds: tuple[str, str]) -> Data
                 top = np.argsort(np.where(np.isnan(s), np.inf, -s)[:, order], axis=1, kind="stable")[:, :k]
                 names = [x["q"] for x in r.queries]
                 best = pd.DataFrame({"q": np.repeat(names, top.shape[1]), "c": ids[order][top].ravel(), "score": np.take_along_axis(s[:, order], top, 1).ravel()})
-                yield best[best.score.notna()]
+                least = np.repeat(np.array([-np.inf if x["least"] is None else x["least"] for x in r.queries], float), top.shape[1])
+                yield best[best.score.notna() & ~(best.score < least - 1e-9 * (1 + np.abs(least)))]
 
     return pairs.mapInPandas(run, f"q {kinds[0]}, c {kinds[1]}, score double")
 
@@ -206,21 +207,21 @@ def batch_vector_search(queries: DataFrame, chunks: DataFrame, k: int = 5, metri
                 np.put_along_axis(go, order, (before < k) | (np.arange(len(held)) < FIRST), axis=1)
             to = [np.flatnonzero(x) for x in go]
             cells = [np.concatenate([np.arange(f, f + m) for f, m in zip(groups["first"].to_numpy()[g], groups.cells.to_numpy()[g], strict=True)] or [np.zeros(0, int)]) for g in to]
-            yield pd.DataFrame({"q": b.q, "qv": b.qv, "visited": to, "cells": cells})
+            yield pd.DataFrame({"q": b.q, "qv": b.qv, "least": b.get("least"), "visited": to, "cells": cells})
 
     def meet(asked: DataFrame) -> DataFrame:
         block = F.pmod(F.xxhash64("q"), F.lit(n))
-        x = asked.select("q", "qv", block.alias("block"), F.pmod(block, F.lit(lanes)).cast("int").alias("lane"), F.explode("cells").alias("cell"))
-        x = x.groupBy("cell", "lane", "block").agg(F.collect_list(F.struct("q", "qv")).alias("queries"))
+        x = asked.select("q", "qv", "least", block.alias("block"), F.pmod(block, F.lit(lanes)).cast("int").alias("lane"), F.explode("cells").alias("cell"))
+        x = x.groupBy("cell", "lane", "block").agg(F.collect_list(F.struct("q", "qv", "least")).alias("queries"))
         return _best(packed.join(x, ["cell", "lane"]).select("chunks", "queries"), k, metric, kinds)
 
-    form = f"q {kinds[0]}, qv {dict(q.dtypes)['qv']}, visited array<int>, cells array<long>"
+    form = f"q {kinds[0]}, qv {dict(q.dtypes)['qv']}, least double, visited array<int>, cells array<long>"
     first = written(q.mapInPandas(visits, form), "visits")
     rank = Window.partitionBy("q").orderBy(F.desc("score"), "c")
     best = lambda df: df.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
     near = written(best(meet(first)), "near")
     least = near.where(F.col("rank") == k).select("q", F.col("score").alias("least"))
-    second = first.join(least, "q", "left").select("q", "qv", "visited", "least").mapInPandas(visits, form)
+    second = first.drop("least").join(least, "q", "left").select("q", "qv", "visited", "least").mapInPandas(visits, form)
     out = best(near.drop("rank").unionByName(meet(second)))
     return out.select(F.col("q").alias(query_id), F.col("c").alias(id_col), "score", "rank")
 
