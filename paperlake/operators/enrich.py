@@ -147,6 +147,7 @@ def normalize_work(works: DataFrame) -> DataFrame:
         F.col("id").alias("work_id"),
         "title",
         X.normalize_doi(F.col("doi")).alias("doi"),
+        (F.col("arxiv_id") if "arxiv_id" in works.columns else F.lit(None).cast("string")).alias("arxiv_id"),
         F.col("publication_year").alias("year"),
         F.transform(people, lambda a: a.author.display_name).alias("authors"),
         F.array_distinct(F.filter(F.flatten(F.transform(people, lambda a: F.transform(a.institutions, lambda i: i.display_name))), lambda n: n.isNotNull())).alias("institutions"),

@@ -26,7 +26,7 @@ from paperlake.operators import retrieve as H
 from paperlake.operators import routing as T
 from paperlake.operators import vectors as VX
 from paperlake.plans import workloads
-from paperlake.plans.queries import _COS, _LINES, _RESOLVED, _ROUTE, _SCORE, _STEPS, REFS, _entity_graph, _points, _routed, case, citations, drafts, line_graph, pages, parsed, register, title, votes
+from paperlake.plans.queries import _COS, _LINES, _RESOLVED, _ROUTE, _SCORE, _STEPS, REFS, _entity_graph, _points, _routed, _some_papers, case, citations, drafts, line_graph, pages, parsed, register, title, votes
 from paperlake.sources import io
 from paperlake.sources import testcorpus as TC
 from paperlake.sources.graph_store import GraphStore
@@ -405,14 +405,14 @@ def v11_rag_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ASKED = ["Who cites paper ", "How did the field evolve since paper ", "How does it compare to paper "]
 
 
-def _retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _retrieved(spark: SparkSession, sf_dir: str, force_mode: str | None = None) -> DataFrame:
     """Questions on every twentieth paper of the order lines' graph, of three kinds by turns, with the vectors as chunks."""
     nodes, edges = line_graph(spark, sf_dir)
     points = _points(spark, sf_dir).withColumn("paper_id", say(F.col("id") % 400 * 20))
     k = F.col("paper_id").cast("long")
     asked = nodes.where(k % 20 == 0).join(points.select((F.col("id") % 20).alias("turn"), F.col("embedding").alias("query_embedding")).groupBy("turn").agg(F.min_by("query_embedding", F.xxhash64("query_embedding")).alias("query_embedding")), F.pmod(F.expr("cast(paper_id as long) div 20"), F.lit(20)) == F.col("turn"))
     q = asked.select(F.col("paper_id").alias("query_id"), say(TC.pick(_ASKED, F.expr("cast(paper_id as long) div 20")), F.col("paper_id"), "?").alias("query"), "paper_id", "query_embedding")
-    return H.hybrid_retrieve(q, nodes, edges, points)
+    return H.hybrid_retrieve(q, nodes, edges, points, force_mode=force_mode)
 
 
 _DEGREE = f"""WITH {_LINES}, p AS (SELECT a AS x FROM e UNION SELECT b FROM e), k AS (SELECT x, (x // 20) % 3 AS kind FROM p WHERE x % 20 = 0),
@@ -638,4 +638,124 @@ def g10_no_self_citation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.resolve_stubs(real.unionByName(stub), edges)[1].select("source_id", "target_id")
 
 
-__all__ = ["citations", "workloads"]
+# --- facts and notes ------------------------------------------------------------------
+
+
+@register(f"""WITH p AS (SELECT {case(vocab.METHODS, 'doc_id')} AS m, {case(vocab.METHODS, 'doc_id + 5')} AS m2, {title('doc_id')} AS t FROM documents),
+x AS (SELECT DISTINCT m, m2 FROM p), f AS (SELECT m AS query_id, t AS subject, 'INTRODUCES' AS relation, m AS object FROM p
+UNION SELECT m, m, 'IMPROVES_UPON', m2 FROM x UNION SELECT m2, m, 'IMPROVES_UPON', m2 FROM x UNION SELECT m, m2, 'IMPROVES_UPON', m FROM x UNION SELECT m2, m2, 'IMPROVES_UPON', m FROM x)
+SELECT f.* FROM f JOIN (SELECT DISTINCT m FROM p) q ON q.m = f.query_id""")
+def h3_entity_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question on every method that a document is about: who introduces it, what improves upon it and the other way round."""
+    nodes, edges = _entity_graph(spark, sf_dir)
+    m = docs(spark, sf_dir).select(TC.method(doc_id()).alias("m")).distinct()
+    asked = m.select(F.col("m").alias("query_id"), say("Who cites the work on ", F.col("m"), "?").alias("query"), F.lit(None).cast("string").alias("paper_id"))
+    facts = H.query_entity_facts(H.route_queries(asked), nodes, edges).where("fact.relation in ('INTRODUCES', 'IMPROVES_UPON')")
+    return facts.select("query_id", F.col("fact.subject.name").alias("subject"), "fact.relation", F.col("fact.object.name").alias("object"))
+
+
+@register(f"""WITH {_LINES}, s AS (SELECT DISTINCT a AS x FROM e WHERE a % 20 = 0), one AS (SELECT x, b AS y, row_number() OVER (PARTITION BY x ORDER BY 'paper_' || CAST(b AS VARCHAR)) AS r FROM s JOIN e ON s.x = e.a)
+SELECT CAST(x AS VARCHAR) AS query_id, 'Paper ' || CAST(x AS VARCHAR) AS subject, 'CITES' AS relation, 'Paper ' || CAST(y AS VARCHAR) AS object,
+least(CAST(x AS VARCHAR), CAST(y AS VARCHAR)) || ',' || greatest(CAST(x AS VARCHAR), CAST(y AS VARCHAR)) AS sources FROM one WHERE r <= 20""")
+def h5_citation_path_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = line_graph(spark, sf_dir)
+    asked = _some_papers(nodes).select(F.col("paper_id").alias("query_id"), F.lit("How did the field evolve?").alias("query"), "paper_id")
+    paths = H.citation_paths(H.route_queries(asked), nodes, edges, direction="forward", max_depth=1, max_papers=20)
+    f = H.citation_path_facts(paths, nodes)
+    return f.select("query_id", F.col("fact.subject.name").alias("subject"), "fact.relation", F.col("fact.object.name").alias("object"), F.array_join("fact.source_paper_ids", ",").alias("sources"))
+
+
+@register(f"""{_DEGREE} SELECT CAST(k.x AS VARCHAR) AS query_id, CASE WHEN h.n IS NULL THEN '{H.NO_SOURCES}|{H.NO_EVIDENCE}' ELSE '' END AS notes, h.n IS NOT NULL AS answerable FROM k LEFT JOIN h ON k.x = h.x""")
+def h8_confidence_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions answered from texts alone: papers without chunks get both notes."""
+    c = H.confidence_notes(H.build_context(_retrieved(spark, sf_dir, "vector")))
+    return c.select("query_id", F.array_join("confidence_notes", "|").alias("notes"), "answerable")
+
+
+# --- readers --------------------------------------------------------------------------
+
+
+def _cut(record: Column) -> Column:
+    """Every tenth record lacks its last character."""
+    return F.when(doc_id() % 10 == 3, F.substring(record, F.lit(1), F.length(record) - 1)).otherwise(record).alias("value")
+
+
+@register("SELECT CAST(doc_id AS VARCHAR) AS paper_id, 1 AS page_num, sha256(text) AS address FROM documents WHERE doc_id % 10 <> 3")
+def s1_read_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as page records on disk, read back as a stream of files; broken ones aren't pages."""
+    place = _scratch(spark, "pages")
+    docs(spark, sf_dir).select(_cut(F.to_json(F.struct(S(doc_id()).alias("paper_id"), F.lit(1).alias("page_num"), "text")))).write.text(f"{place}/in")
+    read = io.read_pages(spark, f"{place}/in", "json", stream=True).select("paper_id", "page_num", F.sha2("text", 256).alias("address"))
+    read.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("paper_id string, page_num int, address string").parquet(f"{place}/out")
+
+
+@register("SELECT CAST(doc_id AS VARCHAR) AS paper_id, false AS whole FROM documents WHERE doc_id % 10 = 3")
+def s1_broken_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = _scratch(spark, "pages")
+    docs(spark, sf_dir).select(_cut(F.to_json(F.struct(S(doc_id()).alias("paper_id"), F.lit(1).alias("page_num"), "text")))).write.text(place)
+    d = io.broken_records(spark, place, "pages")
+    return d.select(F.regexp_extract("record", r'^\{"paper_id":"(\d+)"', 1).alias("paper_id"), F.col("record").endswith("}").alias("whole"))
+
+
+def _works(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalogue record for every seventh document, by its doi or arXiv id, with a title of its own."""
+    who = F.struct(F.struct(say("Ann ", doc_id() % 50).alias("display_name"), F.lit(None).cast("string").alias("orcid")).alias("author"), F.array(F.struct(say("Uni", doc_id() % 7).alias("display_name"))).alias("institutions"))
+    return docs(spark, sf_dir).where(doc_id() % 7 == 0).select(
+        doc_id(), say("w", doc_id()).alias("id"), F.md5(S(doc_id())).alias("title"), say("https://doi.org/10.1234/P", doc_id()).alias("doi"), (F.lit(1990) + doc_id() % 30).cast("int").alias("publication_year"), F.array(who).alias("authorships"),
+        F.create_map(F.lit("alpha"), F.array(F.lit(0), F.lit(2)), F.lit("beta"), F.array(F.lit(1))).alias("abstract_inverted_index"), F.array().cast("array<struct<display_name:string>>").alias("concepts"), F.array(say("w", doc_id() + 1)).alias("referenced_works"),
+    )
+
+
+@register("SELECT 'w' || CAST(doc_id AS VARCHAR) AS work_id, md5(CAST(doc_id AS VARCHAR)) AS title, '10.1234/p' || CAST(doc_id AS VARCHAR) AS doi, 1990 + doc_id % 30 AS year, 'Ann ' || CAST(doc_id % 50 AS VARCHAR) AS authors, 'alpha beta alpha' AS abstract, 'w' || CAST(doc_id + 1 AS VARCHAR) AS referenced FROM documents WHERE doc_id % 7 = 0 AND doc_id % 10 <> 3")
+def s6_read_works(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = _scratch(spark, "works")
+    w = _works(spark, sf_dir)
+    w.select(_cut(F.to_json(F.struct(*[c for c in w.columns if c != "doc_id"])))).write.text(place)
+    n = M.normalize_work(io.read_works(spark, place))
+    return n.select("work_id", "title", "doi", F.col("year").cast("long").alias("year"), F.array_join("authors", ",").alias("authors"), "abstract", F.array_join("referenced_works", ",").alias("referenced"))
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs(spark, sf_dir).select(
+        doc_id(), say("doi:10.1234/p", doc_id()).alias("key"), say("Record ", doc_id()).alias("title"), F.when(doc_id() % 2 == 0, say("About ", doc_id())).otherwise("").alias("abstract"), (F.lit(1950) + doc_id() % 50).cast("int").alias("year"),
+        (doc_id() % 1000).cast("int").alias("citationCount"), F.array(F.struct(say("Bob ", doc_id() % 9).alias("name"), F.lit("b").alias("authorId"))).alias("authors"), F.struct(F.lit(None).cast("string").alias("model"), say("short ", doc_id()).alias("text")).alias("tldr"),
+    )
+
+
+@register("SELECT 'doi:10.1234/p' || CAST(doc_id AS VARCHAR) AS key, 'Record ' || CAST(doc_id AS VARCHAR) AS title, CASE WHEN doc_id % 2 = 0 THEN 'About ' || CAST(doc_id AS VARCHAR) END AS abstract, 1950 + doc_id % 50 AS year, doc_id % 1000 AS citations, 'Bob ' || CAST(doc_id % 9 AS VARCHAR) AS authors, 'short ' || CAST(doc_id AS VARCHAR) || '/unknown' AS tldr FROM documents WHERE doc_id % 10 <> 3")
+def s7_read_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = _scratch(spark, "records")
+    r = _records(spark, sf_dir)
+    r.select(_cut(F.to_json(F.struct(*[c for c in r.columns if c != "doc_id"])))).write.text(place)
+    n = M.normalize_records(io.read_citation_records(spark, place))
+    return n.select("key", F.col("r_title").alias("title"), F.col("r_abstract").alias("abstract"), F.col("r_year").cast("long").alias("year"), F.col("r_citations").cast("long").alias("citations"), F.array_join("r_authors", ",").alias("authors"), say(F.col("r_tldr.text"), "/", F.col("r_tldr.source")).alias("tldr"))
+
+
+@register("""SELECT '2101.' || lpad(CAST(doc_id % 100000 AS VARCHAR), 5, '0') AS arxiv_id, 'Title ' || CAST(doc_id AS VARCHAR) AS title, doc_id % 9 AS category FROM documents""")
+def s5_read_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Atom feeds on disk, many entries a file, line breaks inside them."""
+    place = _scratch(spark, "feeds")
+    entry = say("<entry>\n<id>http://arxiv.org/abs/2101.", F.lpad(S(doc_id() % 100000), 5, "0"), "v2</id>\n<title>Title\n  ", doc_id(), "</title><summary>s</summary>\n<category term=\"", doc_id() % 9, "\"/></entry>")
+    docs(spark, sf_dir).select(say("<feed><updated>x</updated>", entry, "</feed>").alias("value")).write.text(place)
+    return io.parse_atom(io.read_entries(spark, place)).select("arxiv_id", "title", F.col("categories")[0].cast("long").alias("category"))
+
+
+# --- the whole ingestion -----------------------------------------------------------------
+
+
+_PAPER = "'paper_' || CAST(doc_id AS VARCHAR)"
+
+
+@register(f"""SELECT 'WRITTEN_BY' AS edge_type, {_PAPER} AS source_id, 'author_' || substr(md5('Ann ' || CAST(doc_id % 50 AS VARCHAR)), 1, 12) AS target_id FROM documents WHERE doc_id % 7 = 0 AND doc_id % 3 < 2
+UNION ALL SELECT 'INTRODUCES', {_PAPER}, 'method_' || substr(md5(lower({case(vocab.METHODS, 'doc_id')})), 1, 12) FROM documents WHERE 27 + length({case(vocab.METHODS, 'doc_id')}) + length({case(vocab.TASKS, 'doc_id')}) >= 40""")
+def w1_ingested_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Authors come from the catalogue; methods whose evidence is short wait for a review instead."""
+    x = _ingest_all(spark, sf_dir)
+    return x.edges.where("edge_type in ('WRITTEN_BY', 'INTRODUCES')").select("edge_type", "source_id", "target_id")
+
+
+def _ingest_all(spark: SparkSession, sf_dir: str) -> workloads.Ingested:
+    works = _works(spark, sf_dir).withColumn("doi", F.when(doc_id() % 3 == 1, F.col("doi"))).withColumn("arxiv_id", F.when(doc_id() % 3 == 0, TC.arxiv_of(doc_id())))
+    records = _records(spark, sf_dir).withColumns({"venue": F.lit("V"), "influentialCitationCount": F.lit(None).cast("int")})
+    return workloads.ingest(pages(spark, sf_dir), works.drop("doc_id"), records.drop("doc_id"))

@@ -23,16 +23,57 @@ ENTRY = (
 )
 
 
-def read_pages(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame:
-    return spark.read.schema(PAGES).format(form).load(path)
+#: The column that holds the raw text of a record that couldn't be read.
+BROKEN = "_broken"
 
 
-def read_works(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(WORKS).json(path)
+def _load(spark: SparkSession, path: str, form: str, schema: str, stream: bool, **options: str) -> DataFrame:
+    return (spark.readStream if stream else spark.read).format(form).options(**options).schema(schema).load(path)
 
 
-def read_citation_records(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RECORDS).json(path)
+def _records(spark: SparkSession, path: str, schema: str, stream: bool) -> DataFrame:
+    """Whole records, one JSON object a line, with the raw text of those that can't be read or don't fit the schema.
+
+    Lines are parsed as text: a JSON scan would look at the selected columns only, and call
+    a record broken or not by what the query selects.
+    """
+    d = _load(spark, path, "text", "value string", stream).where("trim(value) <> ''")
+    r = F.from_json("value", f"{schema}, {BROKEN} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN})
+    return d.select(F.col("_metadata.file_path").alias("file"), r.alias("r"))
+
+
+def _good(records: DataFrame) -> DataFrame:
+    return records.where(f"r.{BROKEN} is null").select("r.*").drop(BROKEN)
+
+
+def read_pages(spark: SparkSession, path: str, form: str = "parquet", stream: bool = False) -> DataFrame:
+    """Pages of papers, as a table or as a stream of new files; of JSON without the records that ``broken_records`` gives."""
+    return _good(_records(spark, path, PAGES, stream)) if form == "json" else _load(spark, path, form, PAGES, stream)
+
+
+def read_works(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """Catalogue records, one JSON object a line; without broken ones."""
+    return _good(_records(spark, path, WORKS, stream))
+
+
+def read_citation_records(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """Records of cited papers, one JSON object a line; without broken ones."""
+    return _good(_records(spark, path, RECORDS, stream))
+
+
+def read_entries(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """Entries of Atom feeds, which are split at ``<entry>``, as text for ``parse_atom``."""
+    d = _load(spark, path, "text", "xml string", stream, lineSep="</entry>")
+    entry = F.regexp_extract("xml", r"(?s)<entry[ >].*$", 0)  # empty for what follows the last one
+    return d.where(F.length(entry) > 0).select(F.concat(entry, F.lit("</entry>")).alias("xml"))
+
+
+KINDS = {"pages": PAGES, "works": WORKS, "records": RECORDS}
+
+
+def broken_records(spark: SparkSession, path: str, kind: str, stream: bool = False) -> DataFrame:
+    """``file, record``: raw text of the JSON records of a kind that couldn't be read or don't fit its schema."""
+    return _records(spark, path, KINDS[kind], stream).where(f"r.{BROKEN} is not null").select("file", f"r.{BROKEN}").withColumnRenamed(BROKEN, "record")
 
 
 def parse_atom(entries: DataFrame, col: str = "xml") -> DataFrame:

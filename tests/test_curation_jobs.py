@@ -271,3 +271,19 @@ def test_similar_titles_equal_all_pairs(spark, monkeypatch):
     want = {(p, w): M._ratio(a, b) for p, a in papers for w, b in works if len(clean(a)) >= 10 and M._ratio(a, b) >= 0.9}
     assert got == want and len(want) > 60
     assert any(r < 0.93 for r in want.values())
+
+
+def test_broken_records_are_kept_apart_whatever_is_selected(spark, tmp_path):
+    lines = ['{"id": "w1", "title": "T", "publication_year": 2020}', "", '{"id": "w2", "publication_year": "no year"}', '{"id": "w3", "title": "cut', "not JSON", '{"id": "w4"}']
+    (tmp_path / "w.json").write_text("\n".join(lines))
+    works = io.read_works(spark, str(tmp_path))
+    assert {r.id for r in works.select("id").collect()} == {r.id for r in works.select("id", "publication_year").collect()} == {"w1", "w4"} and works.count() == 2
+    broken = io.broken_records(spark, str(tmp_path), "works").collect()
+    assert sorted(r.record for r in broken) == sorted(lines[2:5]) and all(r.file.endswith("w.json") for r in broken)
+
+
+def test_feeds_are_split_at_entries(spark, tmp_path):
+    (tmp_path / "a.xml").write_text(f"<feed><title>t</title>{ATOM}\n{ATOM}</feed>")
+    (tmp_path / "b.xml").write_text("<feed></feed>")
+    got = io.parse_atom(io.read_entries(spark, str(tmp_path))).collect()
+    assert [r.arxiv_id for r in got] == ["2101.00001"] * 2

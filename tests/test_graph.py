@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -190,3 +191,43 @@ def test_walks_over_hubs_shuffle_no_edges(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     side = plan.rstrip().splitlines()[-3:]  # sort, filter and scan of the hops
     assert "Bucketed: true" in side[-1] and "Sort" in side[0] and "Filter" in side[1], plan
+
+
+def test_ingestion_takes_catalogue_values_and_holds_back_the_unsure(spark):
+    from paperlake.plans import workloads
+    from paperlake.sources import io as readers
+    from paperlake.sources.testcorpus import pages
+
+    docs = spark.createDataFrame([(i, f"Some text {i}.") for i in range(6)], "doc_id long, text string")
+    work = ("w1", "Catalogue title", "https://doi.org/10.1234/P1", 2020, [(("Ann", None), [("U",)]), (("Bob", None), [])], None, [], [])
+    works = spark.createDataFrame([work], readers.WORKS)
+    records = spark.createDataFrame([("doi:10.1234/p0", None, "R", None, 1990, "V", 1, 0, [("Zoe", "z")], None, None)], readers.RECORDS)
+    none = spark.createDataFrame([], readers.WORKS), spark.createDataFrame([], readers.RECORDS)
+    x = workloads.ingest(pages(docs), works, records)
+    by = {(e.source_id, e.target_id) for e in x.edges.where("edge_type = 'WRITTEN_BY'").collect()}
+    names = {n.node_id: n for n in x.nodes.collect()}
+    assert {(s, names[t].name) for s, t in by} == {("paper_1", "Ann"), ("paper_1", "Bob")}
+    assert names["paper_1"].name == "Catalogue title" and names["paper_1"].properties["year"] == "2020" and names["paper_2"].name.startswith("Paper 2")
+    assert [(m.paper_id, m.work_id, m.match_method) for m in x.matched.collect()] == [("1", "w1", "doi")]
+    queue = x.queue.collect()
+    assert queue and {q.routing for q in queue} <= {"draft", "manual"} and all(len(json.loads(q.payload)["evidence"].strip()) < 40 for q in queue)
+    open_ = workloads.ingest(pages(docs), *none, has_queue=False)
+    assert open_.queue.count() == 0 and open_.edges.where("edge_type = 'WRITTEN_BY'").count() == 0
+    kinds = lambda e: e.where("edge_type in ('INTRODUCES', 'MENTIONS')").count()
+    assert kinds(open_.edges) > kinds(x.edges)
+
+
+def test_ingestion_merges_what_a_model_found(spark):
+    from paperlake.plans import workloads
+    from paperlake.sources import io as readers
+    from paperlake.sources.testcorpus import pages
+
+    docs = spark.createDataFrame([(0, "Nothing here.")], "doc_id long, text string")
+    none = spark.createDataFrame([], readers.WORKS), spark.createDataFrame([], readers.RECORDS)
+    read = workloads.extract(pages(docs))
+    found = spark.createDataFrame([("0", 99, "NovelNet", "Method", "a sentence that is certainly long enough to count", 0.95)], "paper_id string, pos int, name string, type string, evidence string, confidence double")
+    for c in read.entities.columns:
+        if c not in found.columns:
+            found = found.withColumn(c, F.lit(None).cast(read.entities.schema[c].dataType))
+    x = workloads.ingest(pages(docs), *none, llm_entities=found, extracted=read)
+    assert x.nodes.where("name = 'NovelNet' and node_type = 'Method'").count() == 1
