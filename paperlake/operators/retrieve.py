@@ -117,7 +117,7 @@ def hybrid_retrieve(queries: DataFrame, nodes: DataFrame, edges: DataFrame, chun
 
 
 #: Evaluation's names of the modes; hybrid leaves the choice to the query's class.
-MODES = {"graph_only": "graph", "vector_only": "vector", "hybrid": None}
+MODES = {"graph": "graph", "vector": "vector", "hybrid": None}
 
 
 def retrieve_modes(queries: DataFrame, nodes: DataFrame, edges: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:

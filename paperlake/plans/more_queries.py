@@ -405,14 +405,18 @@ def v11_rag_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ASKED = ["Who cites paper ", "How did the field evolve since paper ", "How does it compare to paper "]
 
 
-def _retrieved(spark: SparkSession, sf_dir: str, force_mode: str | None = None) -> DataFrame:
+def _asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Questions on every twentieth paper of the order lines' graph, of three kinds by turns, with the vectors as chunks."""
     nodes, edges = line_graph(spark, sf_dir)
     points = _points(spark, sf_dir).withColumn("paper_id", say(F.col("id") % 400 * 20))
     k = F.col("paper_id").cast("long")
     asked = nodes.where(k % 20 == 0).join(points.select((F.col("id") % 20).alias("turn"), F.col("embedding").alias("query_embedding")).groupBy("turn").agg(F.min_by("query_embedding", F.xxhash64("query_embedding")).alias("query_embedding")), F.pmod(F.expr("cast(paper_id as long) div 20"), F.lit(20)) == F.col("turn"))
     q = asked.select(F.col("paper_id").alias("query_id"), say(TC.pick(_ASKED, F.expr("cast(paper_id as long) div 20")), F.col("paper_id"), "?").alias("query"), "paper_id", "query_embedding")
-    return H.hybrid_retrieve(q, nodes, edges, points, force_mode=force_mode)
+    return q, nodes, edges, points
+
+
+def _retrieved(spark: SparkSession, sf_dir: str, force_mode: str | None = None) -> DataFrame:
+    return H.hybrid_retrieve(*_asked(spark, sf_dir), force_mode=force_mode)
 
 
 _DEGREE = f"""WITH {_LINES}, p AS (SELECT a AS x FROM e UNION SELECT b FROM e), k AS (SELECT x, (x // 20) % 3 AS kind FROM p WHERE x % 20 = 0),
@@ -672,6 +676,17 @@ def h8_confidence_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("query_id", F.array_join("confidence_notes", "|").alias("notes"), "answerable")
 
 
+@register(f"""{_DEGREE}, v AS (SELECT CASE WHEN h.n IS NULL THEN 0.0 ELSE 1.0 END AS hit FROM k LEFT JOIN h ON k.x = h.x), s AS (SELECT count(*) AS n, round(avg(hit), 4) AS rate FROM v)
+SELECT mode, n, CAST(retrieval AS DOUBLE) AS retrieval_hit_rate, CAST(coalesce(source, rate) AS DOUBLE) AS source_correct_rate, CAST(citation AS DOUBLE) AS citation_correct_rate, CAST(coalesce(source, rate) AS DOUBLE) AS grounded_rate
+FROM s, (VALUES ('graph', 1.0, 1.0, 1.0), ('vector', 0.0, NULL, 0.0), ('hybrid', 1.0, 1.0, 1.0)) m(mode, retrieval, source, citation)""")
+def n2_evaluated_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole evaluation: who cites a paper, asked of the graph, of the texts and of both; graded and summed up."""
+    q, nodes, edges, points = _asked(spark, sf_dir)
+    q = q.withColumn("query", say("Who cites paper ", F.col("paper_id"), "?"))
+    wanted = q.select(F.col("query_id").alias("id"), F.lit("citation").alias("category"), F.array(say("paper ", F.col("paper_id"))).alias("expected_entities"), F.lit("CITES").alias("expected_relation"), F.array("paper_id").alias("expected_sources"))
+    return N.summarize_eval(N.score_questions(wanted, H.retrieve_modes(q, nodes, edges, points)))
+
+
 # --- readers --------------------------------------------------------------------------
 
 

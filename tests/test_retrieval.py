@@ -127,7 +127,7 @@ def test_hybrid_retrieval_context_and_grades(spark):
     assert H.route_queries(qs, "anything").collect() == H.route_queries(qs).collect()
     both = {r.query_id: r for r in H.hybrid_retrieve(qs, nodes, edges, chunks, 5, "both").collect()}
     assert [h.paper_id for h in both["q2"].hits] == ["a"] and both["q1"].hits == [] and len(both["q3"].hits) == 2
-    assert {r.mode for r in H.retrieve_modes(qs, nodes, edges, chunks).select("mode").distinct().collect()} == {"graph_only", "vector_only", "hybrid"}
+    assert {r.mode for r in H.retrieve_modes(qs, nodes, edges, chunks).select("mode").distinct().collect()} == {"graph", "vector", "hybrid"}
     questions = spark.createDataFrame([("q1", "x", ["B"], "CITES", ["a"]), ("q3", "x", ["zeta"], None, []), ("q4", "y", [], "", ["z"])], "id string, category string, expected_entities array<string>, expected_relation string, expected_sources array<string>")
     modes = H.build_context(H.hybrid_retrieve(qs, nodes, edges, chunks, 1)).select(F.col("query_id").alias("id"), F.lit("hybrid").alias("mode"), "facts", "hits", "source_paper_ids", "context_text")
     scores = {r.id: r for r in N.score_questions(questions, modes).collect()}
