@@ -93,12 +93,10 @@ def evidence_grounded(evidence: Column, text: Column, least: int = 20) -> Column
 
 def clean_name(c: Column) -> Column:
     """Name without edge punctuation, leading article and trailing type noun; null if it can't be a name."""
-    edge = r"[ \t\r\n,;:.()\[\]{}]+"
-    d = F.regexp_replace(F.regexp_replace(c, r"(?U)\s+", " "), f"^{edge}|{edge}$", "")
-    d = F.regexp_replace(d, r"(?i)^(?:a|an|the)\s+", "")
-    d = F.regexp_replace(d, r"(?i)\s+(?:model|method|architecture|framework|algorithm|approach)$", "")
-    bad = F.lower(d).isin("method", "dataset", "task", "metric", "claim", "experiment") | d.rlike(r"^\d+(?:\.\d+)?$")
-    return F.when((F.length(d) >= 2) & (F.length(d) <= 120) & ~bad, d)
+    d = F.regexp_replace(F.regexp_replace(c, r"(?U)\s+", " "), vocab.NAME_EDGES, "")
+    d = F.regexp_replace(F.regexp_replace(d, vocab.NAME_ARTICLE, ""), vocab.NAME_NOUN, "")
+    bad = F.lower(d).isin(vocab.NO_NAMES) | d.rlike(vocab.NUMBER_NAME)
+    return F.when(F.length(d).between(*vocab.NAME_LENGTH) & ~bad, d)
 
 
 def plausible_name(c: Column) -> Column:

@@ -24,6 +24,13 @@ AUTHOR_YEAR_MENTIONS = [
 ]
 DOI = r"(?i)doi[\s:]*(10\.\d{4,}/\S+)"
 ARXIV = r"(?i)arXiv[\s.:]*(\d{4}\.\d{4,5})"
+QUOTED_TITLES = ['"([^"]+)"', "'([^']+)'"]
+TITLE_BEHIND_YEAR = r"(?:19|20)\d{2}[.,)\]]\s*(.+?)(?:\.\s|$)"
+TITLE_ENDS_AT = r"(?i)\s*(?:doi|arXiv|available|retrieved|http).*$"
+AUTHORS_BEFORE_YEAR = r"^(.*?)(?:19|20)\d{2}"
+AUTHOR_SEPARATOR = r"\s*[,;]\s*"
+AUTHOR_INDEX = r"^\[\d+\]\s*"
+AUTHOR_AND = r"\s*(?:and|&)\s*$"
 
 
 def is_entry(line: Column) -> Column:
@@ -31,15 +38,14 @@ def is_entry(line: Column) -> Column:
 
 
 def entry_title(c: Column) -> Column:
-    behind = X.strip(X.capture(c, r"(?:19|20)\d{2}[.,)\]]\s*(.+?)(?:\.\s|$)"))
-    behind = F.regexp_replace(behind, r"(?i)\s*(?:doi|arXiv|available|retrieved|http).*$", "")
+    behind = F.regexp_replace(X.strip(X.capture(c, TITLE_BEHIND_YEAR)), TITLE_ENDS_AT, "")
     behind = F.when((F.length(behind) > 5) & (F.length(behind) < 300), behind)
-    return F.coalesce(X.strip(X.capture(c, '"([^"]+)"')), X.strip(X.capture(c, "'([^']+)'")), behind)
+    return F.coalesce(*[X.strip(X.capture(c, p)) for p in QUOTED_TITLES], behind)
 
 
 def entry_authors(c: Column) -> Column:
-    before = F.regexp_extract(c, r"^(.*?)(?:19|20)\d{2}", 1)
-    parts = F.transform(F.split(before, r"\s*[,;]\s*"), lambda p: F.regexp_replace(F.regexp_replace(X.strip(p), r"^\[\d+\]\s*", ""), r"\s*(?:and|&)\s*$", ""))
+    before = F.regexp_extract(c, AUTHORS_BEFORE_YEAR, 1)
+    parts = F.transform(F.split(before, AUTHOR_SEPARATOR), lambda p: F.regexp_replace(F.regexp_replace(X.strip(p), AUTHOR_INDEX, ""), AUTHOR_AND, ""))
     return F.filter(parts, lambda p: (F.length(p) > 2) & (F.length(p) < 80) & ~p.rlike(r"^\d+$"))
 
 

@@ -13,17 +13,39 @@ from paperlake.functions import vocab
 from paperlake.operators.ontology import valid_edges
 
 
+WORD_GAPS = r"(?U)\W+"
+
+
+def index_word(low: Column) -> Column:
+    """The longest word of a name, the first of equal ones; empty where it has none.
+
+    A name between word boundaries begins and ends whole words, so each word of it is a word of the sentence.
+    """
+    words = F.split(low, WORD_GAPS)
+    return F.get(words, F.array_position(F.transform(words, F.length), F.array_max(F.transform(words, F.length))).cast("int") - 1)
+
+
+def sentence_index(sents: DataFrame) -> DataFrame:
+    """``paper_id, word, sec, sent``: the different words of each sentence, and the empty word for names without any."""
+    words = F.array_distinct(F.concat(F.split(F.lower("sentence"), WORD_GAPS), F.array(F.lit(""))))
+    return sents.select("paper_id", F.explode(words).alias("word"), "sec", "sent")
+
+
 def entities_in_sentences(sents: DataFrame, entities: DataFrame) -> DataFrame:
-    """Entities of a paper in each of its sentences, by lower name between word boundaries."""
+    """Entities of a paper in each of its sentences (``paper_id, sec, sent`` is their key), by lower name between word boundaries.
+
+    Names meet an index of the sentences' words under their longest word, so a long paper
+    isn't the product of its names and sentences, and its index is dealt over all tasks.
+    """
     last = Window.partitionBy("paper_id", "type", F.lower("name"))
     kinds = Window.partitionBy("paper_id", "type")
     e = entities.select("paper_id", "name", "type", F.min("pos").over(last).alias("first"), "pos", F.min("pos").over(kinds).alias("kind")).withColumn(
         "last", F.max("pos").over(last)
     )
     e = e.where("pos = last").select("paper_id", "name", "type", "kind", F.col("first").alias("pos"), F.lower("name").alias("low"))
+    hits = sentence_index(sents).join(e.withColumn("word", index_word(F.col("low"))), ["paper_id", "word"]).drop("word")
     s = sents.select("paper_id", "sec", "sent", "sentence", F.lower("sentence").alias("text"))
-    found = s.join(e, "paper_id").where(F.col("text").contains(F.col("low")))
-    return found.where(_stands_alone(F.col("text"), F.col("low")))
+    return s.join(hits, ["paper_id", "sec", "sent"]).where(_stands_alone(F.col("text"), F.col("low")))
 
 
 def _stands_alone(text: Column, name: Column) -> Column:

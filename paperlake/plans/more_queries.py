@@ -106,21 +106,44 @@ def c6_normalized_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- entities and relations -------------------------------------------------------
 
 
-@register(f"SELECT doc_id, {case(vocab.METHODS, 'doc_id')} || ',' || {case(vocab.DATASETS, 'doc_id')} AS found FROM documents")
+_EDGE = "[^\\pL\\pM\\p{Nd}\\p{Nl}\\p{Pc}]"  # SQL: no part of a word, of any script
+
+
+def _found(text: str, pattern: str) -> str:
+    """SQL: whether a pattern that begins and ends with a word boundary is found in a text."""
+    return f"regexp_matches({text}, '(?:^|{_EDGE}){pattern.removeprefix(chr(92) + 'b').removesuffix(chr(92) + 'b')}(?:$|{_EDGE})')"
+
+
+def _terms_in(text: str, terms: list[str]) -> str:
+    """SQL: the terms found between word boundaries, longer ones first."""
+    found = ", ".join(f"CASE WHEN {_found(text, t)} THEN '{t}' END" for t in sorted(terms, key=lambda t: (-len(t), t)))
+    return f"list_filter([{found}], lambda x: x IS NOT NULL)"
+
+
+@register(f"""WITH d AS (SELECT doc_id, coalesce(text, '') || ' We ran ' || {case(vocab.METHODS, 'doc_id')} || ' on ' || {case(vocab.DATASETS, 'doc_id')} || ', nothing else.' AS t FROM documents)
+SELECT doc_id, array_to_string(list_concat({_terms_in('t', vocab.METHODS)}, {_terms_in('t', vocab.DATASETS)}), ',') AS found FROM d""")
 def e2_known_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = say("We ran ", TC.method(doc_id()), " on ", TC.dataset(doc_id()), ", nothing else.")
+    """Terms of every whole text, to which a sentence is added that names two."""
+    t = say(F.coalesce("text", F.lit("")), " We ran ", TC.method(doc_id()), " on ", TC.dataset(doc_id()), ", nothing else.")
     return docs(spark, sf_dir).select("doc_id", F.array_join(F.concat(E.known_terms(t, vocab.METHODS), E.known_terms(t, vocab.DATASETS)), ",").alias("found"))
 
 
-@register("SELECT doc_id, 'Foo' || CAST(doc_id AS VARCHAR) AS name FROM documents")
+@register(
+    "WITH d AS (SELECT doc_id, coalesce(text, '') || ' here it runs with a Foo' || CAST(doc_id AS VARCHAR) || ' model on the Bar' || CAST(doc_id AS VARCHAR) || ' corpus for routing tasks, a routing problem, and reports a Baz score.' AS t FROM documents) "
+    + " UNION ALL ".join(f"SELECT doc_id, '{kind}' AS type, unnest(regexp_extract_all(t, '{p}', 1)) AS name FROM d" for kind, ps in E.CAPTURES.items() for p in ps)
+)
 def e3_capture_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = say("here it runs with a Foo", doc_id(), " model.")
-    return docs(spark, sf_dir).select("doc_id", F.explode(E.capture_names(t, vocab.METHOD_CAPTURES)).alias("name"))
+    """Names that the patterns of each type capture in every whole text, to which a sentence is added that has some."""
+    t = say(F.coalesce("text", F.lit("")), " here it runs with a Foo", doc_id(), " model on the Bar", doc_id(), " corpus for routing tasks, a routing problem, and reports a Baz score.")
+    found = F.array(*[F.struct(F.lit(kind).alias("type"), E.capture_names(t, ps).alias("names")) for kind, ps in E.CAPTURES.items()])
+    return docs(spark, sf_dir).select("doc_id", F.inline(found)).select("doc_id", "type", F.explode("names").alias("name"))
 
 
-@register("SELECT doc_id, doc_id % 2 = 0 AS claim, CASE doc_id % 3 WHEN 0 THEN 'Results ablation' WHEN 1 THEN 'Results benchmark' ELSE 'Results experiment' END AS experiment FROM documents")
+@register(f"""WITH d AS (SELECT doc_id, coalesce(text, '') || CASE WHEN doc_id % 2 = 0 THEN ' Results show that the ' ELSE ' Here is the ' END || CASE doc_id % 3 WHEN 0 THEN 'ablation' WHEN 1 THEN 'benchmark' ELSE 'baseline' END || ' of today.' AS t FROM documents)
+SELECT doc_id, ({' OR '.join(_found('lower(t)', p) for p in vocab.CLAIMS)}) AS claim, CASE WHEN regexp_matches(t, '(?i)\\bablation\\b') THEN 'Results ablation' WHEN regexp_matches(t, '(?i)\\bbenchmark\\b') THEN 'Results benchmark' ELSE 'Results experiment' END AS experiment FROM d""")
 def e4_claims_experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = say(F.when(doc_id() % 2 == 0, "Results show that the ").otherwise("Here is the "), F.when(doc_id() % 3 == 0, "ablation").when(doc_id() % 3 == 1, "benchmark").otherwise("baseline"), " of today.")
+    """Claims and experiments of every whole text, to which a sentence is added that has some."""
+    t = say(F.coalesce("text", F.lit("")), F.when(doc_id() % 2 == 0, " Results show that the ").otherwise(" Here is the "), F.when(doc_id() % 3 == 0, "ablation").when(doc_id() % 3 == 1, "benchmark").otherwise("baseline"), " of today.")
     return docs(spark, sf_dir).select("doc_id", X.any_match(t, vocab.CLAIMS).alias("claim"), E.experiment_name(t, F.lit("Results")).alias("experiment"))
 
 
@@ -136,20 +159,31 @@ def e6_plausible_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", X.plausible_name(raw).alias("ok"))
 
 
-@register("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'introduces' WHEN 1 THEN 'uses_method' WHEN 2 THEN 'uses_dataset' END AS role FROM documents")
+@register(
+    "WITH d AS (SELECT doc_id, coalesce(text, '') || CASE doc_id % 4 WHEN 0 THEN ' We propose X.' WHEN 1 THEN ' We adopt X.' WHEN 2 THEN ' We train on X.' ELSE ' X is here.' END AS t FROM documents) "
+    + " UNION ALL ".join(f"SELECT doc_id, '{kind}' AS type, CASE " + " ".join(f"WHEN {_found('t', p)} THEN '{v}'" for p, v in cases) + " END AS role FROM d" for kind, cases in vocab.ROLES.items())
+)
 def e7_paper_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t, k = TC.pick(["We propose X.", "We adopt X.", "We train on X.", "X is here."], doc_id()), TC.pick(["Method", "Method", "Dataset", "Method"], doc_id())
-    return docs(spark, sf_dir).select("doc_id", X.paper_role(t, k).alias("role"))
+    """The role that every whole text gives to an entity of each type."""
+    t = say(F.coalesce("text", F.lit("")), TC.pick([" We propose X.", " We adopt X.", " We train on X.", " X is here."], doc_id()))
+    kinds = F.array(*[F.lit(k) for k in vocab.ROLES])
+    return docs(spark, sf_dir).select("doc_id", t.alias("t"), F.explode(kinds).alias("type")).select("doc_id", "type", X.paper_role(F.col("t"), F.col("type")).alias("role"))
 
 
 def _pair_sentences(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All sentences of every whole text and one that names two methods; these, one that isn't there, and a word of the text."""
     d = docs(spark, sf_dir)
-    s = d.select(S(doc_id()).alias("paper_id"), F.lit(0).alias("sec"), F.lit("x").alias("section"), F.lit(0).alias("sent"), say("Foo", doc_id(), " beats Bar", doc_id(), " on Foo", doc_id(), "z.").alias("sentence"))
-    e = d.select(S(doc_id()).alias("paper_id"), F.explode(F.array(F.struct(F.lit(0).alias("pos"), say("Foo", doc_id()).alias("name")), F.struct(F.lit(1).alias("pos"), say("Bar", doc_id()).alias("name")), F.struct(F.lit(2).alias("pos"), say("Baz", doc_id()).alias("name")))).alias("e"))
-    return s, e.select("paper_id", "e.pos", "e.name", F.lit("Method").alias("type"))
+    text = say(F.coalesce("text", F.lit("")), ". Foo", doc_id(), " beats Bar", doc_id(), " on Foo", doc_id(), "z.")
+    s = d.select(S(doc_id()).alias("paper_id"), F.lit(0).alias("sec"), F.lit("x").alias("section"), F.posexplode(E.split_sentences(text)).alias("sent", "sentence"))
+    names = [(say("Foo", doc_id()), "Method"), (say("Bar", doc_id()), "Method"), (say("Baz", doc_id()), "Method"), (F.regexp_extract(F.coalesce("text", F.lit("")), "[A-Za-z]{4,}", 0), "Task")]
+    e = d.select(S(doc_id()).alias("paper_id"), F.inline(F.array(*[F.struct(F.lit(i).alias("pos"), n.alias("name"), F.lit(t).alias("type")) for i, (n, t) in enumerate(names)])))
+    return s, e.where("name <> ''")
 
 
-@register(f"SELECT {PID}, 'Foo' || CAST(doc_id AS VARCHAR) AS name FROM documents UNION ALL SELECT {PID}, 'Bar' || CAST(doc_id AS VARCHAR) FROM documents")
+@register(f"""WITH d AS (SELECT doc_id, coalesce(text, '') || '. Foo' || CAST(doc_id AS VARCHAR) || ' beats Bar' || CAST(doc_id AS VARCHAR) || ' on Foo' || CAST(doc_id AS VARCHAR) || 'z.' AS t, regexp_extract(coalesce(text, ''), '[A-Za-z]{{4,}}') AS w FROM documents),
+s AS (SELECT doc_id, w, unnest(string_split(regexp_replace(regexp_replace(trim(t), '\\s+', ' ', 'g'), '([.!?]) ', '\\1' || chr(1), 'g'), chr(1))) AS x FROM d)
+SELECT {PID}, w AS name FROM s WHERE w <> '' AND contains(' ' || regexp_replace(lower(x), '{_EDGE}+', ' ', 'g') || ' ', ' ' || lower(w) || ' ')
+UNION ALL SELECT {PID}, 'Foo' || CAST(doc_id AS VARCHAR) FROM documents UNION ALL SELECT {PID}, 'Bar' || CAST(doc_id AS VARCHAR) FROM documents""")
 def r1_entities_in_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.entities_in_sentences(*_pair_sentences(spark, sf_dir)).select("paper_id", "name")
 
@@ -360,14 +394,18 @@ def v1_structured_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.where("node_type in ('Paper', 'Section', 'Dataset', 'Method')").groupBy("node_type").agg(F.count("*").alias("n"))
 
 
-@register(f"SELECT {PID}, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 3 END AS n FROM documents")
+@register(f"""WITH w AS (SELECT doc_id, len(list_filter(string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' '), lambda x: x <> '')) AS n FROM documents)
+SELECT {PID}, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE (n + 449) // 450 END AS n, CASE WHEN doc_id % 2 = 0 THEN 3 ELSE list_sum(list_transform(range(0, n, 450), lambda i: least(500, n - i))) END AS n_words
+FROM w WHERE doc_id % 2 = 0 OR n > 0""")
 def v3_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Papers with an abstract are one chunk of it; the whole texts of the others become windows of words."""
     d = docs(spark, sf_dir)
-    p = d.select(S(doc_id()).alias("paper_id"), F.lit("t").alias("title"), F.when(doc_id() % 2 == 0, "abs").alias("abstract"), F.array().cast("array<struct<idx:int,heading:string,text:string>>").alias("sections"))
+    p = d.select(S(doc_id()).alias("paper_id"), F.lit("t").alias("title"), F.when(doc_id() % 2 == 0, "abs of it").alias("abstract"), F.array().cast("array<struct<idx:int,heading:string,text:string>>").alias("sections"))
     none = F.lit(None).cast("string")
     e = p.where("false").select("paper_id", F.lit(0).alias("pos"), none.alias("name"), none.alias("type"), none.alias("source_section"), none.alias("evidence"))
-    w = V.word_window_chunks(d.select(S(doc_id()).alias("paper_id"), F.lit(1).alias("page_num"), F.lit("a b c").alias("text")), 2, 1)
-    return V.chunks_with_fallback(V.structured_chunks(p, e), w).groupBy("paper_id").agg(F.count("*").cast("int").alias("n"))
+    w = V.word_window_chunks(d.select(S(doc_id()).alias("paper_id"), F.lit(1).alias("page_num"), "text"))
+    chunks = V.chunks_with_fallback(V.structured_chunks(p, e), w)
+    return chunks.groupBy("paper_id").agg(F.count("*").alias("n"), F.sum(F.size(F.split("text", " "))).alias("n_words"))
 
 
 def _first_vector(spark: SparkSession, sf_dir: str) -> list[float]:

@@ -108,6 +108,36 @@ def test_relation_text_must_be_between_the_names(spark):
     assert relations(spark, [("Foo", "Method"), ("Bar", "Method")], "It outperforms Foo and Bar.") == []
 
 
+def test_names_in_sentences_equal_every_pair(spark):
+    """The index of words gives what each name against each sentence gives, for names of any form."""
+    names = ["Foo", "foo bar", "F1-score", "C++", ".NET", "++", "Net", "\u03b1-Net", "d\u00e9j\u00e0 vu", "a b", "x_1", " ", "Q"]
+    texts = ["Foo bar and foo-bar", "C++ isn't xC++y or C++z", "the .NET and a.NET.", "++", "a++b", "\u0391-net, \u03b1-Net2", "D\u00e9j\u00e0 Vu again; d\u00e9j\u00e0 vus", "a b a b", "x_1 x_11", "", "f1-score F1 score", "Foo Foo Foo", "q. Q? qq"]
+    s = spark.createDataFrame([(p, 0, i, "S", t) for p in "pq" for i, t in enumerate([*texts, None])], "paper_id string, sec int, sent int, section string, sentence string")
+    e = spark.createDataFrame([("p", i, n, k) for i, (n, k) in enumerate((n, k) for n in names for k in ("Method", "Task"))] + [("q", 0, "Foo", "Method")], "paper_id string, pos int, name string, type string")
+    got = sorted((r.paper_id, r.sent, r.name, r.type) for r in R.entities_in_sentences(s, e).collect())
+
+    def edge(a, b):
+        word = lambda c: c.isalnum() or c == "_"
+        return word(a or " ") != word(b or " ")
+
+    def inside(name, text):
+        low, t = name.lower(), text.lower()
+        return any(t.startswith(low, i) and edge(t[i - 1 : i], low[0]) and edge(low[-1], t[i + len(low) : i + len(low) + 1]) for i in range(len(t)))
+
+    pairs = [("p", i, n, k) for n in names for k in ("Method", "Task") for i, t in enumerate(texts) if inside(n, t)]
+    assert got == sorted(pairs + [("q", i, "Foo", "Method") for i, t in enumerate(texts) if inside("Foo", t)])
+    assert {n for _, _, n, _ in got} >= {"Foo", "foo bar", "C++", ".NET", "++", "\u03b1-Net", "d\u00e9j\u00e0 vu"}
+
+
+def test_a_long_paper_is_no_product_of_names_and_sentences(spark):
+    """Names meet sentences under (paper, word): no join has the paper alone as its key."""
+    s = spark.createDataFrame([("p", 0, 0, "S", "Foo")], "paper_id string, sec int, sent int, section string, sentence string")
+    e = spark.createDataFrame([("p", 0, "Foo", "Method")], "paper_id string, pos int, name string, type string")
+    plan = R.entities_in_sentences(s, e)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line]
+    assert len(joins) == 2 and all(line.count(" = ") >= 2 for line in joins)
+
+
 def test_ontology(spark):
     assert O.ontology(spark).count() == 26
     df = spark.createDataFrame([("Paper", "CITES", "Paper"), ("Paper", "CITES", "Dataset")], "source_type string, edge_type string, target_type string")
