@@ -25,10 +25,29 @@ def index_word(low: Column) -> Column:
     return F.get(words, F.array_position(F.transform(words, F.length), F.array_max(F.transform(words, F.length))).cast("int") - 1)
 
 
-def sentence_index(sents: DataFrame) -> DataFrame:
-    """``paper_id, word, sec, sent``: the different words of each sentence, and the empty word for names without any."""
+LANES = 16  # of 64 bits: a paper's bitmap of name words
+
+
+def _lane(word: Column) -> Column:
+    return F.floor(F.pmod(F.xxhash64(word), F.lit(64 * LANES)) / 64).cast("int")
+
+
+def _bit(word: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(word), F.lit(64)).cast("int"))
+
+
+def sentence_index(sents: DataFrame, named: DataFrame) -> DataFrame:
+    """``paper_id, word, sec, sent``: the different words of each sentence (the empty word for names without any) that may be a name's.
+
+    ``named`` has ``paper_id, word``. A paper's bitmap of them, 1,024 bits whatever their number, leaves
+    out most other words before the shuffle; where many names fill it, the join tells.
+    """
+    lanes = [F.coalesce(F.bit_or(F.when(_lane(F.col("word")) == i, _bit(F.col("word")))), F.lit(0).cast("long")) for i in range(LANES)]
+    maps = named.groupBy("paper_id").agg(F.array(*lanes).alias("lanes"))
     words = F.array_distinct(F.concat(F.split(F.lower("sentence"), WORD_GAPS), F.array(F.lit(""))))
-    return sents.select("paper_id", F.explode(words).alias("word"), "sec", "sent")
+    d = sents.select("paper_id", "sec", "sent", "sentence").join(maps, "paper_id").select("paper_id", "lanes", F.explode(words).alias("word"), "sec", "sent")
+    w = F.col("word")
+    return d.where(F.get("lanes", _lane(w)).bitwiseAND(_bit(w)) != 0).drop("lanes")
 
 
 def entities_in_sentences(sents: DataFrame, entities: DataFrame) -> DataFrame:
@@ -43,9 +62,11 @@ def entities_in_sentences(sents: DataFrame, entities: DataFrame) -> DataFrame:
         "last", F.max("pos").over(last)
     )
     e = e.where("pos = last").select("paper_id", "name", "type", "kind", F.col("first").alias("pos"), F.lower("name").alias("low"))
-    hits = sentence_index(sents).join(e.withColumn("word", index_word(F.col("low"))), ["paper_id", "word"]).drop("word")
-    s = sents.select("paper_id", "sec", "sent", "sentence", F.lower("sentence").alias("text"))
-    return s.join(hits, ["paper_id", "sec", "sent"]).where(_stands_alone(F.col("text"), F.col("low")))
+    named = e.withColumn("word", index_word(F.col("low")))
+    hits = sentence_index(sents, named).join(named, ["paper_id", "word"]).drop("word")
+    found = sents.select("paper_id", "sec", "sent", "sentence").join(hits, ["paper_id", "sec", "sent"])
+    found = found.select("paper_id", "sec", "sent", "sentence", F.lower("sentence").alias("text"), "name", "type", "kind", "pos", "low")
+    return found.where(_stands_alone(F.col("text"), F.col("low")))
 
 
 def _stands_alone(text: Column, name: Column) -> Column:
