@@ -287,3 +287,32 @@ def test_feeds_are_split_at_entries(spark, tmp_path):
     (tmp_path / "b.xml").write_text("<feed></feed>")
     got = io.parse_atom(io.read_entries(spark, str(tmp_path))).collect()
     assert [r.arxiv_id for r in got] == ["2101.00001"] * 2
+
+
+def test_best_titles_equal_best_of_all_pairs(spark):
+    """Titles that are all alike: only numbers differ; some lack characters, some have more, some occur twice."""
+    rng = random.Random(5)
+    near = lambda: f"study{rng.randrange(3000)} concerning matters"
+    titles = [near() for _ in range(60)] + [near().replace("concern", rng.choice(["concrn", "conern", "xxconcern"])) for _ in range(30)]
+    titles += ["".join(rng.choice("ab ") for _ in range(rng.randrange(9, 14))) for _ in range(40)] + [f"on {rng.randrange(10**9)} and the long title of a work that has more than forty characters" for _ in range(20)]
+    papers = [(f"p{i}", t) for i, t in enumerate(titles[::2] + titles[:5])]
+    works = [(f"w{i:03d}", t) for i, t in enumerate(titles[1::2] + titles[:3] + titles[:2])]
+    want = {}
+    for p, a in papers:
+        pairs = [(-M._ratio(a, b), w) for w, b in works] if len(a.strip()) >= M.LEAST_TITLE else []
+        if pairs and -min(pairs)[0] >= 0.9:
+            want[p] = (min(pairs)[1], -min(pairs)[0])
+    got = M.best_titles(spark.createDataFrame(papers, "paper_id string, title string"), spark.createDataFrame(works, "work_id string, title string"))
+    assert {r.paper_id: (r.work_id, r.ratio) for r in got.collect()} == want and len(want) > 40
+
+
+def test_alike_titles_meet_by_near_spellings(spark, monkeypatch):
+    """Titles that differ in a digit never reach the comparison by common grams, which would be one of all pairs."""
+    seen = []
+    whole = M.similar_titles
+    monkeypatch.setattr(M, "similar_titles", lambda p, w, t: seen.append(p.count()) or whole(p, w, t))
+    title = F.concat(F.lit("Study"), F.col("id"), F.lit(" concerning matters"))
+    papers = spark.range(1000, 3000).select(F.col("id").cast("string").alias("paper_id"), title.alias("title"))
+    works = spark.range(1000, 3000).where("id % 7 = 0").select(F.col("id").cast("string").alias("work_id"), title.alias("title"))
+    got = M.best_titles(papers, works).collect()
+    assert len(got) == 2000 and seen == [0] and all(r.ratio == 1 for r in got if r.paper_id == r.work_id)
