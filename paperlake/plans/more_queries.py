@@ -26,7 +26,7 @@ from paperlake.operators import retrieve as H
 from paperlake.operators import routing as T
 from paperlake.operators import vectors as VX
 from paperlake.plans import workloads
-from paperlake.plans.queries import _COS, _LINES, _RESOLVED, _ROUTE, _SCORE, _STEPS, REFS, _entity_graph, _points, _routed, _some_papers, case, citations, drafts, line_graph, pages, parsed, register, title, votes
+from paperlake.plans.queries import _COS, _LINES, _RESOLVED, _ROUTE, _SCORE, _STEPS, REFS, _entity_graph, _points, _routed, _some_papers, case, citations, drafts, line_graph, own_pages, pages, parsed, register, title, votes
 from paperlake.sources import io
 from paperlake.sources import testcorpus as TC
 from paperlake.sources.graph_store import GraphStore
@@ -618,7 +618,7 @@ def _ingested(spark: SparkSession, sf_dir: str) -> str:
     """The decorated corpus as page files through the streaming ingestion, in two batches: later papers cite earlier ones and the other way round."""
     place = _scratch(spark, "ingest")
     for turn in (0, 1):
-        pages(spark, sf_dir).where(F.pmod(F.xxhash64("paper_id"), F.lit(2)) == turn).write.mode("append").parquet(f"{place}/in")
+        own_pages(spark, sf_dir).where(F.pmod(F.xxhash64("paper_id"), F.lit(2)) == turn).write.mode("append").parquet(f"{place}/in")
         streams.ingest_stream(spark, f"{place}/in", f"{place}/out", f"{place}/state", buckets=16).awaitTermination()
         streams.resolve_stream(spark, f"{place}/out", f"{place}/resolved").awaitTermination()
     return f"{place}/out"
@@ -809,6 +809,6 @@ def w1_ingested_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ingest_all(spark: SparkSession, sf_dir: str) -> workloads.Ingested:
-    works = _works(spark, sf_dir).withColumn("doi", F.when(doc_id() % 3 == 1, F.col("doi"))).withColumn("arxiv_id", F.when(doc_id() % 3 == 0, TC.arxiv_of(doc_id())))
+    works = _works(spark, sf_dir).withColumn("doi", F.when(doc_id() % 3 == 1, F.col("doi"))).withColumn("arxiv_id", F.when(doc_id() % 3 == 0, TC.own_arxiv_of(doc_id())))
     records = _records(spark, sf_dir).withColumns({"venue": F.lit("V"), "influentialCitationCount": F.lit(None).cast("int")})
-    return workloads.ingest(pages(spark, sf_dir), works.drop("doc_id"), records.drop("doc_id"))
+    return workloads.ingest(own_pages(spark, sf_dir), works.drop("doc_id"), records.drop("doc_id"))

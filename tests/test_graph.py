@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from paperlake.operators import graph as G
 from paperlake.operators import graph_query as Q
+from paperlake.operators import parse as P
 from paperlake.operators import traverse as W
 from paperlake.plans import workloads
 from paperlake.sources import io
+from paperlake.sources import testcorpus as TC
 
 PAPER = "paper_id string, title string, abstract string, authors array<string>, year int, arxiv_id string, doi string"
 CITE = "paper_id string, pos int, title string, authors array<string>, year int, doi string, arxiv_id string, ref_id string"
@@ -231,3 +233,14 @@ def test_ingestion_merges_what_a_model_found(spark):
             found = found.withColumn(c, F.lit(None).cast(read.entities.schema[c].dataType))
     x = workloads.ingest(pages(docs), *none, llm_entities=found, extracted=read)
     assert x.nodes.where("name = 'NovelNet' and node_type = 'Method'").count() == 1
+
+
+def test_papers_past_100000_have_ids_of_their_own(spark):
+    """Numbers that share an arXiv id in ``arxiv_of``; neither another paper nor a cited one without a paper has it."""
+    docs = spark.createDataFrame([(i, "t") for i in (3, 300003, 100001, 200001, 299998)], "doc_id long, text string")
+    ids = [r[0] for r in docs.where("doc_id % 3 = 0").select(TC.own_arxiv_of(F.col("doc_id"))).collect()]
+    assert len(set(ids)) == 3 and all(len(i) == 10 for i in ids)
+    others = docs.where("doc_id % 3 <> 0").selectExpr("doc_id + 100002 - doc_id % 3 + 1 as c").select(TC.own_arxiv_of(F.col("c")))
+    assert not set(ids) & {r[0] for r in others.collect()}
+    parsed = P.parse_papers(TC.pages(docs, 400000, TC.own_arxiv_of))
+    assert sorted(r[0] for r in parsed.where("arxiv_id is not null").select("arxiv_id").collect()) == sorted(ids)
