@@ -91,12 +91,22 @@ def evidence_grounded(evidence: Column, text: Column, least: int = 20) -> Column
     return F.coalesce((F.length(e) >= least) & F.lower(collapse(text)).contains(e), F.lit(False))
 
 
-def clean_name(c: Column) -> Column:
-    """Name without edge punctuation, leading article and trailing type noun; null if it can't be a name."""
+def bare_name(c: Column) -> Column:
+    """Name without edge punctuation, leading article and trailing type noun."""
     d = F.regexp_replace(F.regexp_replace(c, r"(?U)\s+", " "), vocab.NAME_EDGES, "")
-    d = F.regexp_replace(F.regexp_replace(d, vocab.NAME_ARTICLE, ""), vocab.NAME_NOUN, "")
+    return F.regexp_replace(F.regexp_replace(d, vocab.NAME_ARTICLE, ""), vocab.NAME_NOUN, "")
+
+
+def can_be_name(d: Column) -> Column:
+    """Whether what ``bare_name`` left can be a name."""
     bad = F.lower(d).isin(vocab.NO_NAMES) | d.rlike(vocab.NUMBER_NAME)
-    return F.when(F.length(d).between(*vocab.NAME_LENGTH) & ~bad, d)
+    return F.length(d).between(*vocab.NAME_LENGTH) & ~bad
+
+
+def clean_name(c: Column) -> Column:
+    """``bare_name``; null if it can't be a name."""
+    d = bare_name(c)
+    return F.when(can_be_name(d), d)
 
 
 def plausible_name(c: Column) -> Column:

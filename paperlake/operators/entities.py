@@ -101,12 +101,11 @@ def extract_entities(sents: DataFrame) -> DataFrame:
     s = F.col("sentence")
     d = sents.select("paper_id", "sec", "sent", "section", "sentence", words_of(s).alias("words")).where(has_word(F.col("words"), ANY_WORDS))
     d = d.select("paper_id", "sec", "sent", "section", "sentence", F.posexplode(candidates(s, F.col("section"), F.col("words"))).alias("rule", "c"))
-    d = d.select(
-        "paper_id", "sec", "sent", "rule", X.clean_name(F.col("c.name")).alias("name"), F.col("c.type").alias("type"),
-        F.coalesce(X.clean_name(F.col("section")), F.lit("Unknown")).alias("source_section"), X.collapse(s).alias("evidence"),
-    )
+    # the bare name comes out of a generator: a filter on it isn't moved below, where each of its uses would be computed anew
+    d = d.select("paper_id", "sec", "sent", "rule", "section", "sentence", F.col("c.type").alias("type"), F.explode(F.array(X.bare_name(F.col("c.name")))).alias("name"))
     named = F.col("type").isin("Claim", "Experiment") | X.plausible_name(F.col("name"))
-    d = d.where(F.col("name").isNotNull() & named).withColumn("role", X.paper_role(F.col("evidence"), F.col("type")))
+    d = d.where(F.col("name").isNotNull() & X.can_be_name(F.col("name")) & named)
+    d = d.withColumns({"source_section": F.coalesce(X.clean_name(F.col("section")), F.lit("Unknown")), "evidence": X.collapse(s)}).withColumn("role", X.paper_role(F.col("evidence"), F.col("type")))
     fields = ["sec", "sent", "rule", "name", "source_section", "evidence", "role"]
     first = d.groupBy("paper_id", "type", F.lower("name").alias("low")).agg(F.min(F.struct(*fields)).alias("f"))
     order = Window.partitionBy("paper_id").orderBy("f.sec", "f.sent", "f.rule")

@@ -223,3 +223,10 @@ def test_merge_and_split(spark):
     assert T.split_routed(routed, has_queue=False)[0].count() == 3
     with pytest.raises(ValueError):
         T.decide(F.lit(0.5), 0.5, 0.8)
+
+
+def test_names_are_cleaned_once(spark):
+    """No filter repeats the cleaning of a name for each of its uses."""
+    sents = spark.createDataFrame([("p", 0, "Abstract", 0, "We use the BERT model.")], "paper_id string, sec int, section string, sent int, sentence string")
+    plan = E.extract_entities(sents)._jdf.queryExecution().optimizedPlan().toString()
+    assert vocab.NAME_ARTICLE in plan and not [line for line in plan.splitlines() if " Filter " in f" {line.lstrip('+-: ')}" and vocab.NAME_ARTICLE in line]
