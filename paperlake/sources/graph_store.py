@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from paperlake.operators.graph import EDGE, NODE, apply_moves, merge_edge_rows, merge_nodes
 from paperlake.sources.io import EDGES, NODES
+from paperlake.sources.shared import distrust_file_sizes
 
 ROWS = {"nodes": f"{NODES}, seq long", "edges": f"{EDGES}, seq long", "moves": "stub_id string, real_id string, seq long"}
 KEYS = {"nodes": ["node_id"], "edges": ["source_id", "target_id"], "moves": ["stub_id"]}
@@ -43,6 +44,7 @@ class GraphStore:
 
     def __post_init__(self) -> None:
         """Opens the store, or makes an empty one with ``buckets`` buckets."""
+        distrust_file_sizes(self.spark)
         try:
             self.version()
         except AnalysisException as e:

@@ -94,3 +94,11 @@ def test_empty_store_and_empty_batch(spark, tmp_path):
     assert [x.count() for x in store.read()] == [0, 0]
     assert store.commit(0, nodes(spark), edges(spark))
     assert [x.count() for x in store.read()] == [0, 0]
+
+
+def test_file_size_does_not_make_a_broadcast(spark):
+    """A hundred thousand rows in a file of a few kB stay off the driver until they have been measured."""
+    one = written(spark.range(100_000).selectExpr("cast(id % 2 as string) as k", "repeat('x', 200) as v"), "small")
+    other = written(spark.range(1_000_000).selectExpr("cast(id as string) as k", "id"), "large")
+    plan = other.join(one, "k")._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
