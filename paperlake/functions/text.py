@@ -14,9 +14,15 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^(?U)\s+|(?U)\s+$", "")
 
 
+def stripped_lines(text: Column) -> Column:
+    """The lines of a text, each as ``strip`` leaves it; the pattern is only tried on lines that begin or end with white space."""
+    padded = lambda x: F.substring(x, 1, 1).rlike(r"(?U)\s") | F.substring(x, -1, 1).rlike(r"(?U)\s")
+    return F.transform(F.split(text, "\n"), lambda x: F.when(padded(x), strip(x)).otherwise(x))
+
+
 def collapse(c: Column) -> Column:
-    """White space runs become one space, none is left at the ends."""
-    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    """White space runs become one space, none is left at the ends. Single spaces, which are most, are no match."""
+    return F.trim(F.regexp_replace(c, r"(?U)\s{2,}|[^\S ]", " "))
 
 
 def blank_to_null(c: Column) -> Column:

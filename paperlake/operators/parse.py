@@ -20,12 +20,8 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def _stripped(text: Column) -> Column:
-    return F.transform(_lines(text), X.strip)
-
-
 def extract_title(text: Column) -> Column:
-    return F.get(F.filter(_stripped(text), lambda x: (F.length(x) > 10) & (F.length(x) < 300) & ~X.is_heading(x)), F.lit(0))
+    return F.get(F.filter(X.stripped_lines(text), lambda x: (F.length(x) > 10) & (F.length(x) < 300) & ~X.is_heading(x)), F.lit(0))
 
 
 def self_arxiv_id(first_page: Column) -> Column:
@@ -37,10 +33,10 @@ def self_doi(first_page: Column) -> Column:
 
 
 def _with_lines(texts: DataFrame) -> DataFrame:
-    """Lines, and the places of headings with one past the end behind them."""
-    d = texts.withColumn("lines", _lines(F.col("text"))).withColumn("bare", F.transform("lines", X.strip))
-    spots = F.filter(F.transform("bare", lambda x, i: F.when(X.is_heading(x), i)), lambda i: i.isNotNull())
-    return d.withColumn("spots", spots)
+    """Lines, which of them are headings, and the places of those."""
+    d = texts.withColumn("lines", _lines(F.col("text"))).withColumn("bare", X.stripped_lines(F.col("text")))
+    d = d.withColumn("heads", F.transform("bare", X.is_heading))
+    return d.withColumn("spots", F.filter(F.transform("heads", lambda x, i: F.when(x, i)), lambda i: i.isNotNull()))
 
 
 def _body(start: Column, end: Column) -> Column:
@@ -55,10 +51,11 @@ def parse_papers(pages: DataFrame) -> DataFrame:
     sections = F.transform("spots", lambda s, i: F.struct(i.alias("idx"), F.get("bare", s).alias("heading"), _body(s + 1, after(i)).alias("text")))
     first = F.array_min(F.filter("spots", lambda s: F.lower(F.get("bare", s)).startswith("abstract")))
     stop = F.coalesce(F.array_min(F.filter("spots", lambda s: s > F.col("abstract_at"))), total)
+    title = F.get(F.filter("bare", lambda x, i: (F.length(x) > 10) & (F.length(x) < 300) & ~F.get("heads", i)), F.lit(0))
     d = d.withColumn("abstract_at", first)
     return d.select(
         "paper_id",
-        extract_title(F.col("text")).alias("title"),
+        title.alias("title"),
         F.nullif(_body(F.col("abstract_at") + 1, stop), F.lit("")).alias("abstract"),
         sections.alias("sections"),
         self_arxiv_id(F.col("first_page")).alias("arxiv_id"),
@@ -86,9 +83,10 @@ def section_lines(texts: DataFrame) -> DataFrame:
 
 def parse_reference_lines(texts: DataFrame) -> DataFrame:
     """``paper_id, line_no, title, authors, year, doi, arxiv_id`` of lines behind the first references heading."""
-    d = texts.withColumn("bare", _stripped(F.col("text")))
+    d = texts.withColumn("bare", X.stripped_lines(F.col("text")))
     start = F.array_min(F.filter(F.transform("bare", lambda x, i: F.when(F.lower(x).rlike("^(?:references|bibliography)"), i)), lambda i: i.isNotNull()))
-    lines = d.withColumn("start", start).where("start is not null").select("paper_id", "start", F.posexplode("bare").alias("line_no", "line"))
+    # an outer generator and no filter on ``start``: either would have the lines worked out anew below it
+    lines = d.withColumn("start", start).select("paper_id", "start", F.posexplode_outer("bare").alias("line_no", "line"))
     c = F.col("line")
     lines = lines.where("line_no > start").where(F.length("line") >= 10).withColumn("year", X.year_of(c))
     authors = F.filter(F.transform(F.split(F.regexp_extract(c, r"^(.*?)\b(?:19|20)\d{2}\b", 1), r"\s+and\s+|,"), X.strip), lambda a: a != "")

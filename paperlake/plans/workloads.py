@@ -30,10 +30,10 @@ class Extracted:
 
 
 def extract(pages: DataFrame) -> Extracted:
-    """Everything that is read out of page text. What feeds several branches is written down once: papers, sentences, entities."""
+    """Everything that is read out of page text. What feeds several branches is written down once: papers, citations, sentences, entities."""
     parsed = written(P.parse_papers(pages), "parsed")
     refs = C.extract_references(parsed.select("paper_id", "text"))
-    citations = C.merge_duplicate_citations(C.normalize_citations(refs))
+    citations = written(C.merge_duplicate_citations(C.normalize_citations(refs)), "citations")
     sents = written(E.sentences(parsed), "sentences")
     entities = written(E.extract_entities(sents), "entities")
     return Extracted(parsed, P.sections(parsed), citations, sents, entities, R.extract_relations(sents, entities))
