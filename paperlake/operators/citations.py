@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,10 +68,12 @@ def parse_reference_entry(lines: DataFrame, col: str = "raw_text") -> DataFrame:
 def extract_references(texts: DataFrame) -> DataFrame:
     """Entries behind the first short line with the word references or bibliography; ``line_number`` from 0."""
     word = r"(?i)\breferences?\b|\bbibliography\b"
-    d = texts.select("paper_id", F.transform(F.split("text", "\n"), X.strip).alias("bare"))
+    d = texts.select("paper_id", X.stripped_lines(F.col("text")).alias("bare"))
     start = F.array_min(F.filter(F.transform("bare", lambda x, i: F.when(x.rlike(word) & (F.length(x) < 30), i)), lambda i: i.isNotNull()))
-    lines = d.withColumn("start", start).where("start is not null").select("paper_id", "start", F.posexplode("bare").alias("line_number", "raw_text"))
-    lines = lines.where("line_number > start and raw_text <> ''").where(~F.col("raw_text").rlike(r"(?i)^(?:\breferences?\b|\bbibliography\b)$"))
+    # an outer generator and no filter on ``start``: either would have all lines worked out anew below it
+    behind = F.posexplode_outer(F.slice("bare", F.col("start") + 2, F.size("bare"))).alias("nth", "raw_text")
+    lines = d.withColumn("start", start).select("paper_id", "start", behind).withColumn("line_number", F.col("start") + F.col("nth") + 1)
+    lines = lines.select("paper_id", "start", "line_number", "raw_text").where("raw_text <> ''").where(~F.col("raw_text").rlike(r"(?i)^(?:\breferences?\b|\bbibliography\b)$"))
     return parse_reference_entry(lines.drop("start"))
 
 
@@ -129,13 +130,12 @@ def _spans(text: str | None) -> list[tuple]:
     return sorted(found, key=lambda x: x[2])
 
 
-def _all_spans(texts: pd.Series) -> pd.Series:
-    return texts.map(_spans)
-
-
 def mention_spans(text: Column) -> Column:
-    """Offsets need a position for every match, which no built-in function gives."""
-    return F.pandas_udf(_all_spans, "array<struct<group:string,text:string,start:int,end:int>>")(text)
+    """Offsets need a position for every match, which no built-in function gives.
+
+    A plain function: its rows come a hundred at a time, where Arrow's batches hold ten thousand whole texts and their spans at once.
+    """
+    return F.udf(_spans, "array<struct<group:string,text:string,start:int,end:int>>", useArrow=False)(text)
 
 
 def find_mentions(texts: DataFrame, raw_refs: DataFrame | None = None) -> DataFrame:

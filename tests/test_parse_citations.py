@@ -148,3 +148,26 @@ def test_cited_numbers_are_no_years(spark):
     texts = P.full_text(TC.pages(docs, 2110))
     assert {r.year for r in C.extract_references(texts).select("year").distinct().collect()} == {2001}
     assert {r.year for r in P.parse_reference_lines(texts).select("year").distinct().collect()} == {2001}
+
+
+def test_lines_are_worked_out_once(spark):
+    """No filter below the generator repeats the look for the bibliography, and lines behind it keep their numbers."""
+    d = spark.createDataFrame([("a", " x \n\tReferences \n\n [1] Ann, 2001. \"One title\". \nno entry\n[2] Bob, 2002. \"Two titles\"."), ("b", "no list"), ("c", None)], "paper_id string, text string")
+    refs = C.extract_references(d)
+    assert [(r.paper_id, r.line_number, r.ref_id, r.title) for r in refs.orderBy("line_number").collect()] == [("a", 3, "1", "One title"), ("a", 5, "2", "Two titles")]
+    assert refs._jdf.queryExecution().optimizedPlan().toString().count("split(text") == 1
+
+
+def test_white_space(spark):
+    d = spark.createDataFrame([(" a  b\n",), ("a b",), ("　a \tb \n\n c\r",), ("",), (None,), (" ",)], "t string")
+    got = d.select(X.collapse(F.col("t")).alias("c"), X.stripped_lines(F.col("t")).alias("l")).collect()
+    assert [r.c for r in got] == ["a b", "a b", "a b c", "", None, ""]
+    assert [r.l for r in got] == [["a  b", ""], ["a b"], ["a \tb", "", "c"], [""], None, [""]]
+
+
+def test_mentions_need_no_arrow(spark):
+    """Arrow would gather ten thousand whole texts in a Python worker at once."""
+    m = C.find_mentions(spark.createDataFrame([("a", "See [1, 2] and (Smith, 2001)."), ("b", None)], "paper_id string, text string"))
+    assert sorted((r.ref_id or "", r.start, r.end) for r in m.collect()) == [("", 15, 28), ("1", 4, 10), ("2", 4, 10)]
+    plan = m._jdf.queryExecution().optimizedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
