@@ -25,7 +25,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlake.operators.graph import EDGE, NODE, apply_moves, merge_edge_rows, merge_nodes
+from paperlake.operators.graph import EDGE, NODE, apply_moves
 from paperlake.sources.io import EDGES, NODES
 from paperlake.sources.shared import distrust_file_sizes
 
@@ -83,17 +83,27 @@ class GraphStore:
 
     @staticmethod
     def merge(kind: str, rows: DataFrame) -> DataFrame:
-        """One row per node, edge or placeholder, with the number of the last commit that wrote it."""
+        """One row per node, edge or placeholder, with the number of the last commit that wrote it.
+
+        Each field and property by its last writer. A node's or edge's rows, one for each part that has it, come
+        together in one shuffle with all of their properties; a commit should have each node and edge once.
+        """
         if kind == "moves":
             return rows.groupBy("stub_id").agg(F.max_by("real_id", "seq").alias("real_id"), F.max("seq").alias("seq"))
         keys = ["node_id"] if kind == "nodes" else ["source_id", "edge_type", "target_id"]
-        one = merge_nodes(rows.where("false"), rows) if kind == "nodes" else merge_edge_rows(rows)
-        return one.join(rows.groupBy(*keys).agg(F.max("seq").alias("seq")), keys)
+        fields = [c for c in (NODE if kind == "nodes" else EDGE) if c not in (*keys, "properties")]
+        last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in fields]
+        entries = F.transform(F.map_entries("properties"), lambda e: F.struct(e.key.alias("k"), F.col("seq"), e.value.alias("v")))
+        got = rows.withColumn("p", entries).groupBy(*keys).agg(*last, F.array_sort(F.flatten(F.collect_list("p"))).alias("p"), F.max("seq").alias("seq"))
+        newest = F.filter("p", lambda x, i: F.coalesce(F.get("p", i + 1).k != x.k, F.lit(True)))
+        return got.withColumn("properties", F.map_from_entries(F.transform(newest, lambda x: F.struct(x.k, x.v)))).drop("p")
 
     def read(self, version: int | None = None) -> tuple[DataFrame, DataFrame]:
         """Nodes and edges of a version (the last one), with placeholders moved."""
         v = self.version() if version is None else version
         nodes, edges, moves = (self.merge(kind, self.rows(kind, v)) for kind in ("nodes", "edges", "moves"))
+        if not any(r["kind"] == "moves" for r in self._parts(v)):
+            return nodes.select(*NODE), edges.select(*EDGE)
         return apply_moves(nodes.select(*NODE), edges.select(*EDGE), moves.select("stub_id", "real_id"))
 
     def known_ends(self, nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -102,7 +112,9 @@ class GraphStore:
         new = nodes.select("node_id").distinct()
         other = ends.join(new, "node_id", "left_anti")
         touched = {r["b"] for r in other.select(self.bucket("nodes").alias("b")).distinct().collect()}
-        known = new.unionByName(self.rows("nodes", buckets=touched).select("node_id").join(other, "node_id", "left_semi").distinct()) if touched else new
+        if not touched:
+            return edges
+        known = new.unionByName(self.rows("nodes", buckets=touched).select("node_id").join(other, "node_id", "left_semi").distinct())
         for side in ("source_id", "target_id"):
             edges = edges.join(known.select(F.col("node_id").alias(side)), side, "left_semi")
         return edges
@@ -138,7 +150,8 @@ class GraphStore:
         return True
 
     def _write(self, kind: str, rows: DataFrame, part: str) -> None:
-        rows.withColumn("bucket", self.bucket(kind)).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{kind}/part={part}")
+        """A bucket of many rows is split over tasks, each of which writes a file of it."""
+        rows.withColumn("bucket", self.bucket(kind)).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.path}/{kind}/part={part}")
 
     def _buckets_of(self, kind: str, part: str) -> list[int]:
         try:

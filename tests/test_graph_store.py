@@ -102,3 +102,14 @@ def test_file_size_does_not_make_a_broadcast(spark):
     other = written(spark.range(1_000_000).selectExpr("cast(id as string) as k", "id"), "large")
     plan = other.join(one, "k")._jdf.queryExecution().sparkPlan().toString()
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
+def test_a_merge_is_one_shuffle_and_known_ends_need_no_join(spark, tmp_path):
+    rows = nodes(spark, ("p1", "a", {"x": "1", "y": "1"})).withColumn("seq", F.lit(1).cast("long"))
+    rows = rows.unionByName(nodes(spark, ("p1", None, {"x": "2", "z": None})).withColumn("seq", F.lit(2).cast("long")))
+    merged = GraphStore.merge("nodes", rows)
+    assert merged._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    (r,) = merged.collect()
+    assert (r["name"], r.properties, r.seq) == ("a", {"x": "2", "y": "1", "z": None}, 2)
+    n, e = nodes(spark, ("p1", "a", {}), ("p2", "b", {})), edges(spark, ("p1", "p2", None, {}))
+    assert "Join" not in GraphStore(spark, str(tmp_path)).known_ends(n, e)._jdf.queryExecution().optimizedPlan().toString()
