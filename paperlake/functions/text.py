@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -22,7 +23,7 @@ def stripped_lines(text: Column) -> Column:
 
 def collapse(c: Column) -> Column:
     """White space runs become one space, none is left at the ends. Single spaces, which are most, are no match."""
-    return F.trim(F.regexp_replace(c, r"(?U)\s{2,}|[^\S ]", " "))
+    return F.trim(F.regexp_replace(c, r"(?U)\s(?:\s+|(?<! ))", " "))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -43,6 +44,25 @@ def any_match(c: Column, patterns: list[str], flags: str = "(?i)") -> Column:
     return c.rlike(flags + "|".join(f"(?:{p})" for p in patterns))
 
 
+def one_of(words: list[str]) -> str:
+    """A pattern of fixed words that spells common beginnings once, so that few letters are tried at each place of a text."""
+    rest: dict[str, list[str]] = {}
+    for w in sorted(set(words)):
+        if w:
+            rest.setdefault(w[0], []).append(w[1:])
+    if not rest:
+        return ""
+    branches = "|".join(re.escape(c) + one_of(ws) for c, ws in rest.items())
+    if "" in words:
+        return f"(?:{branches})?"
+    return f"(?:{branches})" if len(rest) > 1 else branches
+
+
+def contains_any(c: Column, parts: list[str]) -> Column:
+    """Whether a text holds one of the parts, anywhere: plain searches, several times as fast as a pattern. ``c`` should be a plain column."""
+    return reduce(Column.__or__, [c.contains(p) for p in parts])
+
+
 def first_case(c: Column, cases: list[tuple[str, str]]) -> Column:
     """The label of the first pattern that matches."""
     return F.coalesce(*[F.when(c.rlike(p), F.lit(v)) for p, v in cases]) if cases else F.lit(None).cast("string")

@@ -69,7 +69,7 @@ def extract_references(texts: DataFrame) -> DataFrame:
     """Entries behind the first short line with the word references or bibliography; ``line_number`` from 0."""
     word = r"(?i)\breferences?\b|\bbibliography\b"
     d = texts.select("paper_id", X.stripped_lines(F.col("text")).alias("bare"))
-    start = F.array_min(F.filter(F.transform("bare", lambda x, i: F.when(x.rlike(word) & (F.length(x) < 30), i)), lambda i: i.isNotNull()))
+    start = F.array_min(F.filter(F.transform("bare", lambda x, i: F.when((F.length(x) < 30) & x.rlike(word), i)), lambda i: i.isNotNull()))
     # an outer generator and no filter on ``start``: either would have all lines worked out anew below it
     behind = F.posexplode_outer(F.slice("bare", F.col("start") + 2, F.size("bare"))).alias("nth", "raw_text")
     lines = d.withColumn("start", start).select("paper_id", "start", behind).withColumn("line_number", F.col("start") + F.col("nth") + 1)

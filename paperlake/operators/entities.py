@@ -12,7 +12,7 @@ from paperlake.functions import vocab
 
 
 def split_sentences(c: Column) -> Column:
-    return F.filter(F.split(X.collapse(c), r"(?<=[.!?])\s+"), lambda s: s != "")
+    return F.filter(F.split(X.collapse(c), r" (?<=[.!?] )"), lambda s: s != "")  # single spaces are all that is left of white space
 
 
 def sentences(parsed: DataFrame) -> DataFrame:
@@ -52,6 +52,8 @@ EXPERIMENT_WORDS = ["experiment", "experiments", "experimental", "evaluate", "ev
 TERMS = {"Method": vocab.METHODS, "Dataset": vocab.DATASETS, "Task": vocab.TASKS, "Metric": vocab.METRICS}
 CAPTURES = {"Method": vocab.METHOD_CAPTURES, "Dataset": vocab.DATASET_CAPTURES, "Task": vocab.TASK_CAPTURES, "Metric": vocab.METRIC_CAPTURES}
 ANY_WORDS = sorted({w for t in TERMS.values() for w in first_words(t)} | {w for ws in CAPTURE_WORDS.values() for w in ws} | {*CLAIM_WORDS, *EXPERIMENT_WORDS})
+#: Those words as ``words_of`` a sentence in lower case has them. Most sentences have none, and one pass over their letters tells.
+ANY_WORD = f"(?<![a-z0-9]){X.one_of(ANY_WORDS)}(?![a-z0-9])"
 
 
 def has_word(words: Column, wanted: list[str]) -> Column:
@@ -99,7 +101,7 @@ def candidates(c: Column, section: Column, words: Column | None = None) -> Colum
 def extract_entities(sents: DataFrame) -> DataFrame:
     """One row per (paper, type, lower name), from its first occurrence: name, type, section, evidence, role, order."""
     s = F.col("sentence")
-    d = sents.select("paper_id", "sec", "sent", "section", "sentence", words_of(s).alias("words")).where(has_word(F.col("words"), ANY_WORDS))
+    d = sents.where(F.lower(s).rlike(ANY_WORD)).withColumn("words", F.regexp_extract_all(F.lower(s), F.lit(ANY_WORD), F.lit(0)))
     d = d.select("paper_id", "sec", "sent", "section", "sentence", F.posexplode(candidates(s, F.col("section"), F.col("words"))).alias("rule", "c"))
     # the bare name comes out of a generator: a filter on it isn't moved below, where each of its uses would be computed anew
     d = d.select("paper_id", "sec", "sent", "rule", "section", "sentence", F.col("c.type").alias("type"), F.explode(F.array(X.bare_name(F.col("c.name")))).alias("name"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from paperlake.functions import text as X
 from paperlake.functions import vocab
 from paperlake.operators.ontology import valid_edges
+from paperlake.sources.shared import written
 
 
 WORD_GAPS = r"(?U)\W+"
@@ -103,9 +104,25 @@ def relation_candidates(found: DataFrame) -> DataFrame:
     return pairs.withColumn("relation", edge).where("relation is not null")
 
 
+#: What each alternative of the patterns of ``vocab.RELATIONS`` begins with.
+RELATION_STEMS = [
+    "improve", "outperform", "better than", "superior to", "surpass", "beat", "extend", "build", "incorporate", "introduce", "propose", "variant of", "variation of", "version of",
+    "derivative of", "compare", "vs", "versus", "against", "evaluate", "test", "train", "benchmark", "use", "applie", "achieve", "solve", "address", "design", "tackle", "target",
+    "dataset for", "standard for", "created for", "report", "obtain", "measured by", "show", "yield",
+]
+
+
+def may_relate(sents: DataFrame) -> DataFrame:
+    """Sentences that hold the beginning of a relation's pattern, inside a word or not: without it no two names of theirs are related."""
+    # lower case comes out of a generator: otherwise each of the searches would make it anew
+    low = sents.select("*", F.explode(F.array(F.lower("sentence"))).alias("low"))
+    return low.where(X.contains_any(F.col("low"), RELATION_STEMS)).drop("low")
+
+
 def extract_relations(sents: DataFrame, entities: DataFrame) -> DataFrame:
     """``paper_id, pos, source, source_type, relation, target, target_type, evidence``; the first of (source, relation, target) stays."""
-    c = relation_candidates(entities_in_sentences(sents, entities))
+    said = written(may_relate(sents), "said")  # read twice
+    c = relation_candidates(entities_in_sentences(said, entities))
     c = valid_edges(c.withColumns({"source_type": F.col("type_a"), "edge_type": F.col("relation"), "target_type": F.col("type_b")}))
     order = ["sec", "sent", "kind_a", "pos_a", "kind_b", "pos_b"]
     rest = [F.col("name_a").alias("source"), "source_type", F.col("name_b").alias("target"), "target_type", F.trim("sentence").alias("evidence")]

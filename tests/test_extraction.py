@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -230,3 +231,20 @@ def test_names_are_cleaned_once(spark):
     sents = spark.createDataFrame([("p", 0, "Abstract", 0, "We use the BERT model.")], "paper_id string, sec int, section string, sent int, sentence string")
     plan = E.extract_entities(sents)._jdf.queryExecution().optimizedPlan().toString()
     assert vocab.NAME_ARTICLE in plan and not [line for line in plan.splitlines() if " Filter " in f" {line.lstrip('+-: ')}" and vocab.NAME_ARTICLE in line]
+
+
+def test_sentences_without_a_word_of_a_rule_are_left_out_by_one_pattern(spark):
+    assert X.one_of(["use", "used", "show", "user"]) == "(?:show|use(?:d|r)?)"
+    texts = ["We SHOW it.", "showy art-house", "f1score", "an F1 score", "the proposed", "état-of-the-artà", "ünshow", "", "BERT", "bert2 ärt"]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = d.select(E.has_word(E.words_of(F.col("t")), E.ANY_WORDS).alias("by_words"), F.lower("t").rlike(E.ANY_WORD).alias("by_pattern")).collect()
+    assert [r.by_words for r in got] == [r.by_pattern for r in got] and {r.by_words for r in got} == {True, False}
+
+
+def test_every_relation_begins_with_a_stem(spark):
+    for pattern, _ in [c for cases in vocab.RELATIONS.values() for c in cases]:
+        for way in re.fullmatch(r"\\b\(\?:(.*)\)\\b", pattern).group(1).split("|"):
+            fixed = re.match(r"[a-z ]*", way).group()
+            assert any(fixed.removesuffix(fixed[-1] if way[len(fixed) :].startswith("?") else "").startswith(s) for s in R.RELATION_STEMS), way
+    s = spark.createDataFrame([("Foo OUTPERFORMS Bar",), ("Foobeats Bar",), ("the red ones",)], "sentence string")
+    assert sorted(r.sentence for r in R.may_relate(s).collect()) == ["Foo OUTPERFORMS Bar", "Foobeats Bar"]
