@@ -12,8 +12,9 @@ from paperlake.functions import vocab
 from paperlake.operators import entities as E
 from paperlake.operators.graph import paper_node_id
 from paperlake.operators.graph_query import cited_papers, citing_papers, entities_for_paper, entity_relations
-from paperlake.operators.traverse import expand_citations
+from paperlake.operators.traverse import Adjacency, expand_citations
 from paperlake.operators.vectors import batch_vector_search, similarity
+from paperlake.sources.shared import written
 
 PLACE = "struct<name:string,type:string,paper_id:string>"
 FACT = f"struct<subject:{PLACE},relation:string,object:{PLACE},evidence:string,source_paper_ids:array<string>>"
@@ -97,10 +98,10 @@ def vector_hits(routed: DataFrame, chunks: DataFrame, k: int = 5, node_type: str
     return hits.join(chunks.select("id", "paper_id", "section", "text", "node_name"), "id")
 
 
-def hybrid_retrieve(queries: DataFrame, nodes: DataFrame, edges: DataFrame, chunks: DataFrame, k: int = 5, force_mode: str | None = None) -> DataFrame:
+def hybrid_retrieve(queries: DataFrame, nodes: DataFrame, edges: DataFrame, chunks: DataFrame, k: int = 5, force_mode: str | None = None, hops: Adjacency | None = None) -> DataFrame:
     """One row per query (``query_id, query, paper_id, query_embedding``): facts, hits, paths, sorted source papers."""
     routed = route_queries(queries, force_mode)
-    paths = citation_paths(routed, nodes, edges)
+    paths = citation_paths(routed, nodes, edges, hops=hops)
     facts = query_entity_facts(routed, nodes, edges).unionByName(paper_facts(routed, nodes, edges)).unionByName(citation_path_facts(paths, nodes))
     f = facts.distinct().groupBy("query_id").agg(F.array_sort(F.collect_list("fact")).alias("facts"))
     h = vector_hits(routed, chunks, k).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "score", "paper_id", "section", "text", "node_name"))).alias("hits"))
@@ -121,8 +122,14 @@ MODES = {"graph": "graph", "vector": "vector", "hybrid": None}
 
 
 def retrieve_modes(queries: DataFrame, nodes: DataFrame, edges: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
-    """Every query in every mode, with context, as ``score_questions`` takes it (``id`` is the query's)."""
-    parts = [build_context(hybrid_retrieve(queries, nodes, edges, chunks, k, force)).withColumn("mode", F.lit(mode)) for mode, force in MODES.items()]
+    """Every query in every mode, with context, as ``score_questions`` takes it (``id`` is the query's).
+
+    The modes share the graph, which is written once, and the table of its hops, if any query walks.
+    """
+    queries, nodes, edges = written(queries, "queries"), written(nodes, "nodes"), written(edges, "edges")
+    walks = route_queries(queries).where("query_type = 'EVOLUTION' and paper_id is not null")
+    hops = None if walks.isEmpty() else Adjacency(edges, "both")
+    parts = [build_context(hybrid_retrieve(queries, nodes, edges, chunks, k, force, hops)).withColumn("mode", F.lit(mode)) for mode, force in MODES.items()]
     return reduce(DataFrame.unionByName, parts).withColumnRenamed("query_id", "id")
 
 

@@ -15,6 +15,7 @@ from paperlake.sources.shared import shared_dir, written
 
 #: Neighbours of a node that one slice holds, and salts by which hubs are looked up.
 HUB, SALTS = 100_000, 32
+WALK = "seed string, node string, paper_id string, title string, depth int, path array<string>, direction string"
 
 
 def _neighbours(edges: DataFrame, direction: str) -> DataFrame:
@@ -70,15 +71,18 @@ def citation_neighbors(edges: DataFrame, seeds: DataFrame, direction: str = "bot
     return seen.where("seed <> node")
 
 
-def expand_citations(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, direction: str = "both", max_depth: int = 2, max_papers: int = 50) -> DataFrame:
+def expand_citations(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, direction: str = "both", max_depth: int = 2, max_papers: int = 50, hops: Adjacency | None = None) -> DataFrame:
     """``seed, node, paper_id, title, depth, path, direction``: each paper once, at its shallowest place, at most ``max_papers`` a seed.
 
     A node's parents are taken in the order they were found, forward before
     backward, then by node id. Ranks are per seed and hop, so the cap cuts the
-    frontier each round.
+    frontier each round. ``hops`` is the table of ``edges`` in ``direction``, where several walks share it;
+    without any seed none is made.
     """
-    hops = Adjacency(edges, direction)
-    start = seeds.select(F.col("node_id").alias("seed"), F.col("node_id").alias("node")).distinct()
+    start = written(seeds.select(F.col("node_id").alias("seed"), F.col("node_id").alias("node")).distinct(), "seeds")
+    if start.isEmpty():
+        return edges.sparkSession.createDataFrame([], WALK)
+    hops = hops or Adjacency(edges, direction)
     frontier = start.select("seed", "node", F.array("node").alias("path"), F.lit(0).cast("long").alias("rank"))
     seen, found = start, None
     counts = start.select("seed", F.lit(0).cast("long").alias("n"))

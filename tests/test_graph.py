@@ -257,3 +257,14 @@ def test_equal_order_lines_meet_in_tasks_of_bounded_size(spark, monkeypatch):
     want = {(f"paper_{a}", f"paper_{b}") for a, b in lines if a != b}
     assert sorted((r.source_id, r.target_id) for r in edges.collect()) == sorted(want)
     assert sorted(r.node_id for r in nodes.collect()) == sorted({x for pair in want for x in pair})
+
+
+def test_a_walk_without_seeds_makes_no_table_of_hops(spark, monkeypatch):
+    n, e = TC.citation_graph(spark.createDataFrame([(1, 2), (2, 3)], "l_orderkey long, l_partkey long"))
+    seeds = n.select("node_id")
+    some = W.expand_citations(n, e, seeds)
+    shared = W.expand_citations(n, e, seeds, hops=W.Adjacency(e, "both"))
+    assert sorted(map(str, shared.collect())) == sorted(map(str, some.collect())) != []
+    monkeypatch.setattr(W, "Adjacency", None)  # calling it fails
+    none = W.expand_citations(n, e, seeds.where("false"))
+    assert none.count() == 0 and none.dtypes == some.dtypes
