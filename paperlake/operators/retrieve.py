@@ -37,7 +37,9 @@ def _paper(pid: Column, name: Column) -> Column:
 def query_entity_facts(routed: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Facts about entities that the query names: ``query_id, fact``."""
     q = routed.where("use_graph").select(F.col("query_id").alias("paper_id"), F.lit(0).alias("sec"), F.lit("Unknown").alias("section"), F.posexplode(E.split_sentences(F.col("query"))).alias("sent", "sentence"))
-    named = E.extract_entities(q).select(F.col("paper_id").alias("query_id"), "name", "type")
+    named = written(E.extract_entities(q).select(F.col("paper_id").alias("query_id"), "name", "type"), "named")
+    if named.isEmpty():  # the graph needn't be shuffled by its ends then
+        return named.select("query_id", F.lit(None).cast(FACT).alias("fact"))
     facts = entity_relations(nodes, edges, named).withColumnRenamed("key_name", "name").withColumnRenamed("key_type", "type")
     ids = F.array_sort(F.array_distinct(F.filter(F.array("subject.paper_id", "object.paper_id"), lambda x: X.blank_to_null(x).isNotNull())))
     return named.join(facts, ["name", "type"]).select("query_id", F.struct("subject", "relation", "object", "evidence", ids.alias("source_paper_ids")).cast(FACT).alias("fact"))
@@ -103,9 +105,9 @@ def hybrid_retrieve(queries: DataFrame, nodes: DataFrame, edges: DataFrame, chun
     routed = route_queries(queries, force_mode)
     paths = citation_paths(routed, nodes, edges, hops=hops)
     facts = query_entity_facts(routed, nodes, edges).unionByName(paper_facts(routed, nodes, edges)).unionByName(citation_path_facts(paths, nodes))
-    f = facts.distinct().groupBy("query_id").agg(F.array_sort(F.collect_list("fact")).alias("facts"))
-    h = vector_hits(routed, chunks, k).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "score", "paper_id", "section", "text", "node_name"))).alias("hits"))
-    p = paths.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("depth", "paper_id", "title", "path", "direction"))).alias("paths"))
+    f = facts.distinct().groupBy("query_id").agg(F.sort_array(F.collect_list("fact")).alias("facts"))
+    h = vector_hits(routed, chunks, k).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "score", "paper_id", "section", "text", "node_name"))).alias("hits"))
+    p = paths.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("depth", "paper_id", "title", "path", "direction"))).alias("paths"))
     d = routed.drop("query_embedding")
     for part in (f, h, p):
         d = d.join(part, "query_id", "left")
@@ -156,13 +158,15 @@ def build_context(retrieved: DataFrame) -> DataFrame:
         F.transform("hits", lambda h: bare(h.paper_id)),
         F.transform("paths", lambda p: F.struct(p.paper_id.alias("id"), p.title.alias("t"))),
     )
-    ids = F.array_sort(F.array_distinct(F.filter(F.transform(named, lambda x: x.id), lambda i: X.blank_to_null(i).isNotNull())))
-    titled = lambda i: F.get(F.filter("named", lambda x: (x.id == i) & X.blank_to_null(x.t).isNotNull()), F.lit(0)).t
-    d = retrieved.withColumn("named", named).withColumn("source_papers", F.transform(ids, lambda i: F.struct(i.alias("paper_id"), titled(i).alias("title"))))
+    # each paper's places stand together after sorting, the first with a title in front
+    places = F.transform(F.filter(named, lambda x: X.blank_to_null(x.id).isNotNull()), lambda x, i: F.struct(x.id.alias("id"), X.blank_to_null(x.t).isNull().alias("bare"), i.alias("pos"), x.t.alias("t")))
+    first = F.filter("places", lambda x, i: (i == 0) | (F.get("places", i - 1).id != x.id))
+    title = lambda x: F.when(~x.bare, x.t)
+    d = retrieved.withColumn("places", F.sort_array(places)).withColumn("source_papers", F.transform(first, lambda x: F.struct(x.id.alias("paper_id"), title(x).alias("title"))))
     block = lambda head, col, fn: F.when(F.size(col) > 0, F.concat_ws("\n", F.lit(head), F.array_join(F.transform(col, fn), "\n")))
     source = lambda s: F.concat(F.lit("- ["), s.paper_id, F.lit("] "), F.coalesce(X.blank_to_null(s.title), s.paper_id))
     text = F.concat_ws("\n\n", block("Graph facts:", "facts", line_of_fact), block("Text evidence:", "hits", line_of_hit), block("Citation paths:", "paths", line_of_path), block("Source papers:", "source_papers", source))
-    return d.drop("named").withColumn("context_text", text)
+    return d.drop("places").withColumn("context_text", text)
 
 
 NO_SOURCES = "No source papers were retrieved for this query."

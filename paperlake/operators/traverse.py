@@ -19,38 +19,43 @@ WALK = "seed string, node string, paper_id string, title string, depth int, path
 
 
 def _neighbours(edges: DataFrame, direction: str) -> DataFrame:
-    """``node, next, way``: 0 forward, 1 backward."""
-    c = edges.where("edge_type = 'CITES' and source_id <> target_id").select("source_id", "target_id").distinct()
-    forward = c.select(F.col("source_id").alias("node"), F.col("target_id").alias("next"), F.lit(0).alias("way"))
-    backward = c.select(F.col("target_id").alias("node"), F.col("source_id").alias("next"), F.lit(1).alias("way"))
-    return {"forward": forward, "backward": backward, "both": forward.unionByName(backward)}[direction]
+    """``node, next, way``: 0 forward, 1 backward; equal citations aren't brought together yet."""
+    c = edges.where("edge_type = 'CITES' and source_id <> target_id")
+    forward = F.struct(F.col("source_id").alias("node"), F.col("target_id").alias("next"), F.lit(0).alias("way"))
+    backward = F.struct(F.col("target_id").alias("node"), F.col("source_id").alias("next"), F.lit(1).alias("way"))
+    ways = {"forward": [forward], "backward": [backward], "both": [forward, backward]}[direction]
+    return c.select(F.explode(F.array(*ways)).alias("h")).select("h.*")
 
 
 class Adjacency:
-    """Neighbours written once, in buckets by ``node, slice``, so that a hop shuffles the frontier only.
+    """Neighbours written once, in buckets by ``node`` and, where there are hubs, ``slice``, so that a hop shuffles the frontier only.
 
     A node of over ``HUB`` neighbours is dealt over slices of about that many; its
     frontier rows are repeated for each. Hubs are few (one for each ``HUB`` edges) but
-    not broadcast: both sides meet them by node and one of ``SALTS`` salts.
+    not broadcast: both sides meet them by node and one of ``SALTS`` salts. ``edges`` are
+    read twice, for the hubs and for the table.
     """
 
     def __init__(self, edges: DataFrame, direction: str):
         spark = edges.sparkSession
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        hops = written(_neighbours(edges, direction), "hops")
-        parts = hops.groupBy("node", _salt("next")).agg(F.count("*").alias("n"))
-        hubs = parts.groupBy("node").agg(F.ceil(F.sum("n") / HUB).cast("int").alias("slices")).where("slices > 1")
+        hops = _neighbours(edges, direction)
+        hubs = hops.groupBy("node").agg(F.ceil(F.count("*") / HUB).cast("int").alias("slices")).where("slices > 1")
         self.hubs = written(hubs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), "hubs")
-        dealt = hops.withColumn("salt", _salt("next")).join(self.hubs, ["node", "salt"], "left")
-        dealt = dealt.select("node", F.coalesce(F.pmod(F.xxhash64("next"), F.col("slices")), F.lit(0)).cast("int").alias("slice"), "next", "way")
+        self.keys = ["node"] if self.hubs.isEmpty() else ["node", "slice"]
+        if "slice" in self.keys:
+            dealt = hops.withColumn("salt", _salt("next")).join(self.hubs, ["node", "salt"], "left")
+            hops = dealt.select("node", F.coalesce(F.pmod(F.xxhash64("next"), F.col("slices")), F.lit(0)).cast("int").alias("slice"), "next", "way")
         name = f"paperlake_hops_{uuid.uuid4().hex}"
         path = f"{shared_dir(spark)}/paperlake/{name}"
-        dealt.repartition(n, "node", "slice").write.bucketBy(n, "node", "slice").sortBy("node", "slice").option("path", path).saveAsTable(name)
+        hops.repartition(n, *self.keys).distinct().write.bucketBy(n, *self.keys).option("path", path).saveAsTable(name)
         self.hops = spark.table(name)
         spark.sql(f"DROP TABLE {name}")  # only its name in the catalogue: the files are external
 
     def step(self, frontier: DataFrame) -> DataFrame:
         """``frontier`` (``seed, node`` and more) with ``next, way`` of each hop."""
+        if "slice" not in self.keys:
+            return frontier.join(self.hops, "node")
         d = frontier.withColumn("salt", _salt("seed")).join(self.hubs, ["node", "salt"], "left")
         d = d.withColumn("slice", F.explode(F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1))).drop("salt", "slices")
         return d.join(self.hops, ["node", "slice"]).drop("slice")
@@ -87,14 +92,15 @@ def expand_citations(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, direc
     seen, found = start, None
     counts = start.select("seed", F.lit(0).cast("long").alias("n"))
     for depth in range(1, max(1, min(5, max_depth)) + 1):
-        step = hops.step(frontier).select("seed", F.col("next").alias("node"), "path", "rank", "way")
-        step = step.join(seen, ["seed", "node"], "left_anti")
-        best = step.groupBy("seed", "node").agg(F.min(F.struct("rank", "way", "path")).alias("b"))
-        order = Window.partitionBy("seed").orderBy("b.rank", "b.way", "node")
+        # a parent's rank tells its path, which is fetched for the nodes that are left
+        step = hops.step(frontier.select("seed", "node", "rank")).select("seed", F.col("next").alias("node"), (F.col("rank") * 2 + F.col("way")).alias("at"))
+        best = step.groupBy("seed", "node").agg(F.min("at").alias("at")).join(seen, ["seed", "node"], "left_anti")
+        order = Window.partitionBy("seed").orderBy("at", "node")
         ranked = best.withColumn("nth", F.row_number().over(order).cast("long")).join(counts, "seed").where(F.col("n") + F.col("nth") <= max_papers)
-        new = ranked.select(
-            "seed", "node", F.concat("b.path", F.array("node")).alias("path"), F.col("nth").alias("rank"), F.lit(depth).alias("depth"),
-            F.when(F.col("b.way") == 0, "forward").otherwise("backward").alias("direction"),
+        parents = frontier.select("seed", F.col("rank").alias("parent"), F.col("path").alias("to"))
+        new = ranked.withColumn("parent", F.floor(F.col("at") / 2)).join(parents, ["seed", "parent"]).select(
+            "seed", "node", F.concat("to", F.array("node")).alias("path"), F.col("nth").alias("rank"), F.lit(depth).alias("depth"),
+            F.when(F.col("at") % 2 == 0, "forward").otherwise("backward").alias("direction"),
         )
         new = written(new, "walk")
         found = new if found is None else found.unionByName(new)

@@ -443,9 +443,11 @@ def v11_rag_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ASKED = ["Who cites paper ", "How did the field evolve since paper ", "How does it compare to paper "]
 
 
-def _asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Questions on every twentieth paper of the order lines' graph, of three kinds by turns, with the vectors as chunks."""
+def _asked(spark: SparkSession, sf_dir: str, once: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Questions on every twentieth paper of the order lines' graph, of three kinds by turns, with the vectors as chunks; ``once`` writes the graph down."""
     nodes, edges = line_graph(spark, sf_dir)
+    if once:
+        nodes, edges = written(nodes, "nodes"), written(edges, "edges")
     points = _points(spark, sf_dir).withColumn("paper_id", say(F.col("id") % 400 * 20))
     k = F.col("paper_id").cast("long")
     asked = nodes.where(k % 20 == 0).join(points.select((F.col("id") % 20).alias("turn"), F.col("embedding").alias("query_embedding")).groupBy("turn").agg(F.min_by("query_embedding", F.xxhash64("query_embedding")).alias("query_embedding")), F.pmod(F.expr("cast(paper_id as long) div 20"), F.lit(20)) == F.col("turn"))
@@ -454,7 +456,8 @@ def _asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
 
 
 def _retrieved(spark: SparkSession, sf_dir: str, force_mode: str | None = None) -> DataFrame:
-    return H.hybrid_retrieve(*_asked(spark, sf_dir), force_mode=force_mode)
+    q, *rest = _asked(spark, sf_dir, once=force_mode != "vector")
+    return H.hybrid_retrieve(written(q, "queries"), *rest, force_mode=force_mode)
 
 
 _DEGREE = f"""WITH {_LINES}, p AS (SELECT a AS x FROM e UNION SELECT b FROM e), k AS (SELECT x, (x // 20) % 3 AS kind FROM p WHERE x % 20 = 0),
@@ -701,6 +704,7 @@ SELECT CAST(x AS VARCHAR) AS query_id, 'Paper ' || CAST(x AS VARCHAR) AS subject
 least(CAST(x AS VARCHAR), CAST(y AS VARCHAR)) || ',' || greatest(CAST(x AS VARCHAR), CAST(y AS VARCHAR)) AS sources FROM one WHERE r <= 20""")
 def h5_citation_path_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = line_graph(spark, sf_dir)
+    edges = written(edges, "edges")
     asked = _some_papers(nodes).select(F.col("paper_id").alias("query_id"), F.lit("How did the field evolve?").alias("query"), "paper_id")
     paths = H.citation_paths(H.route_queries(asked), nodes, edges, direction="forward", max_depth=1, max_papers=20)
     f = H.citation_path_facts(paths, nodes)

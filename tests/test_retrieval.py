@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 import uuid
 
 import numpy as np
@@ -14,6 +15,7 @@ from paperlake.operators import chunks as V
 from paperlake.operators import evaluate as N
 from paperlake.operators import retrieve as H
 from paperlake.operators import vectors as VX
+from paperlake.plans.more_queries import _retrieved
 
 PARSED = "paper_id string, title string, abstract string, sections array<struct<idx:int,heading:string,text:string>>"
 
@@ -177,3 +179,22 @@ def test_chunk_ids_keep_all_digits(spark):
     d = spark.range(100_002).select(F.lit("p").alias("paper_id"), F.col("id").alias("ord"))
     ids = V.chunk_ids(d).where("chunk_index in (7, 10000, 100001)").orderBy("chunk_index").collect()
     assert [r.chunk_id for r in ids] == ["p__chunk_00007", "p__chunk_10000", "p__chunk_100001"]
+
+
+def test_a_context_of_many_papers_takes_time_in_proportion(spark):
+    """Each source paper's title was looked for among all places; 8,000 facts took minutes."""
+    place = "struct('P' || x AS name, 'Paper' AS type, 'p' || x AS paper_id)"
+    facts = f"transform(sequence(1, 8000), x -> struct({place} AS subject, 'CITES' AS relation, {place.replace('x', '(x + 1)')} AS object, cast(null AS string) AS evidence, array('p' || x, 'q' || x) AS source_paper_ids))"
+    hits = "array(struct('p9' AS paper_id, 's' AS section, 't' AS text, cast(null AS string) AS node_name))"
+    paths = "array(struct(1 AS depth, 'q5' AS paper_id, 'Q' AS title, array('a', 'b') AS path, 'forward' AS direction))"
+    began = time.monotonic()
+    got = H.build_context(spark.sql(f"SELECT 1 AS query_id, {facts} AS facts, {hits} AS hits, {paths} AS paths")).first().source_papers
+    assert time.monotonic() - began < 30
+    titles = {s.paper_id: s.title for s in got}
+    assert len(got) == 16001 and [s.paper_id for s in got] == sorted(titles)
+    assert titles["p1"] == "P1" and titles["p8001"] == "P8001" and titles["q5"] == "Q" and titles["q6"] is None
+
+
+def test_questions_on_order_lines_read_them_once_for_the_graph(spark):
+    plan = _retrieved(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan
