@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperlake.functions import text as X
 from paperlake.operators import chunks as V
 from paperlake.operators import citations as C
 from paperlake.operators import enrich as M
@@ -94,7 +95,11 @@ def text_to_vectors(pages: DataFrame, dim: int = vectors.DIM, extracted: Extract
     """Embedded chunks of a corpus, windows where a paper has no structure."""
     x = extracted or extract(pages)
     auto, _ = T.split_routed(T.route(x.entities))
-    chunks = V.chunks_with_fallback(V.structured_chunks(x.parsed, auto), V.word_window_chunks(pages))
+    chunks = V.structured_chunks(x.parsed, auto)
+    # only papers without an abstract can lack structured chunks: the texts of the others needn't become windows
+    poor = written(x.parsed.where(X.blank_to_null(F.col("abstract")).isNull()).select(F.col("paper_id").alias("poor")), "poor")
+    if not poor.isEmpty():
+        chunks = V.chunks_with_fallback(chunks, V.word_window_chunks(pages.join(poor, F.col("paper_id").eqNullSafe(F.col("poor")), "left_semi")))
     return vectors.embed(V.chunk_ids(chunks), dim=dim)
 
 

@@ -80,6 +80,7 @@ class _Identity(StatefulProcessor):
 def identity_moves(found: DataFrame) -> DataFrame:
     """``stub_id, real_id`` from a stream of ``key, node_id, paper_id, is_stub``: each arrival meets its earlier or later counterpart in the key's state.
 
+    A stream to append to: each key passes through Python, which takes milliseconds. ``latest_moves`` gives the same moves without it.
     A key of which a paper with a smaller id turns up moves again. A key's state
     is one paper and one node, however often it is cited; a batch's rows of a key pass
     through one after the other.
@@ -88,14 +89,29 @@ def identity_moves(found: DataFrame) -> DataFrame:
     return found.groupBy("key").transformWithStateInPandas(_Identity(), MOVE, "append", "none")
 
 
+def latest_moves(found: DataFrame) -> DataFrame:
+    """The moves of ``identity_moves`` by a built-in aggregation, for a stream that updates.
+
+    A key's state is its first paper and its placeholder, each with the time of the batch that brought it;
+    a move is new if either came in this batch.
+    """
+    _stateful(found.sparkSession)
+    now = F.current_timestamp()  # of the micro-batch, the same if it is run again
+    d = found.withColumn("at", now)
+    real = F.min(F.when(~F.col("is_stub"), F.struct("paper_id", "node_id", "at")))
+    stub = F.when(F.col("is_stub"), F.col("node_id"))
+    got = d.groupBy("key").agg(real.alias("real"), F.max(stub).alias("stub_id"), F.min(F.when(F.col("is_stub"), F.col("at"))).alias("stub_at"))
+    return got.where((F.col("real.at") == now) | (F.col("stub_at") == now)).where("real is not null and stub_id is not null").select("stub_id", F.col("real.node_id").alias("real_id"))
+
+
 def resolve_stream(spark: SparkSession, out_dir: str, checkpoint: str) -> StreamingQuery:
-    """Identities of ingested batches go through ``identity_moves``; moves are committed to the stored graph, whose old parts aren't read."""
+    """Identities of ingested batches go through ``latest_moves``; moves are committed to the stored graph, whose old parts aren't read."""
     found = spark.readStream.schema(IDENTITY).parquet(f"{out_dir}/identities")
 
     def batch(df: DataFrame, number: int) -> None:
-        GraphStore(spark, f"{out_dir}/graph").commit(number, moves=df, writer="resolve")
+        GraphStore(spark, f"{out_dir}/graph").commit(number, moves=df, writer="moves")
 
-    return identity_moves(found).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return latest_moves(found).writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def current_graph(spark: SparkSession, out_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -167,4 +183,4 @@ def vote_stream(votes: DataFrame, threshold: int = THRESHOLD, forget_after_ms: i
     return grouped.transformWithStateInPandas(_Votes(threshold, forget_after_ms), RESOLUTION, "append", "none" if forget_after_ms is None else "processingTime")
 
 
-__all__ = ["current_chunks", "current_graph", "identity_moves", "ingest_stream", "replace_paper_vectors", "resolve_stream", "vote_stream"]
+__all__ = ["current_chunks", "current_graph", "identity_moves", "ingest_stream", "latest_moves", "replace_paper_vectors", "resolve_stream", "vote_stream"]

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from paperlake.operators import curation as U
 from paperlake.operators import enrich as M
 from paperlake.operators import jobs as J
-from paperlake.plans.workloads import corpus_to_graph
+from paperlake.plans.workloads import corpus_to_graph, text_to_vectors
 from paperlake.sources import io
+from paperlake.sources.graph_store import GraphStore
 from paperlake.sources.testcorpus import pages
 from paperlake.streaming import streams as S
 
@@ -125,6 +126,34 @@ def test_identities_meet_in_both_orders(spark, tmp_path):
     assert sorted(got) == [(0, "paper_doi_c", "paper_p3"), (1, "paper_doi_a", "paper_p5"), (1, "paper_doi_b", "paper_p2"), (2, "paper_doi_a", "paper_p4")]
 
 
+def test_moves_are_found_without_python_and_only_new_ones(spark, tmp_path):
+    """The batches of the test above through ``resolve_stream``; each key took milliseconds of a Python worker."""
+    batches = [
+        [("doi_a", "paper_doi_a", "doi_a", True), ("doi_b", "paper_p2", "p2", False), ("doi_c", "paper_doi_c", "doi_c", True), ("doi_c", "paper_p3", "p3", False)],
+        [("doi_a", "paper_p5", "p5", False), ("doi_b", "paper_doi_b", "doi_b", True), ("doi_c", "paper_doi_c", "doi_c", True)],
+        [("doi_a", "paper_p4", "p4", False), ("doi_b", "paper_p9", "p9", False), ("doi_d", "paper_doi_d", "doi_d", True)],
+    ]
+    seqs = []
+    for rows in batches:
+        spark.createDataFrame(rows, S.IDENTITY).coalesce(1).write.mode("append").parquet(str(tmp_path / "out/identities"))
+        q = S.resolve_stream(spark, str(tmp_path / "out"), str(tmp_path / "cp"))
+        q.awaitTermination(180)
+        assert q.exception() is None
+        assert [o["operatorName"] for o in q.lastProgress["stateOperators"]] == ["stateStoreSave"]
+        seqs.append(sorted((r.stub_id, r.real_id, r.seq) for r in GraphStore(spark, str(tmp_path / "out/graph")).rows("moves").collect()))
+    assert seqs[0] == [("paper_doi_c", "paper_p3", 1)]
+    assert seqs[1] == sorted([*seqs[0], ("paper_doi_a", "paper_p5", 2), ("paper_doi_b", "paper_p2", 2)])
+    assert seqs[2] == sorted([*seqs[1], ("paper_doi_a", "paper_p4", 3)])
+
+
+def test_only_papers_without_structure_become_windows(spark, tmp_path):
+    pages = spark.createDataFrame([("a", 1, "Title of the paper\nAbstract\nsome words"), ("b", 1, "no heading here at all"), ("c", 1, "Introduction\nbody"), (None, 1, "x y z")], "paper_id string, page_num int, text string")
+    got = text_to_vectors(pages, 8).orderBy("paper_id").collect()
+    assert [(r.paper_id, r.text, r.node_type) for r in got] == [(None, "x y z", None), ("a", "some words", "Paper"), ("a", "some words", "Section"), ("b", "no heading here at all", None), ("c", "body", "Section")]
+    rich = text_to_vectors(pages.where("paper_id = 'a'"), 8)
+    assert "page_num" not in rich._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_ingest_stream(spark, tmp_path):
     docs = spark.createDataFrame([(i, f"Text {i}.") for i in range(4)], "doc_id long, text string")
     pages(docs, 4).where("paper_id < '3'").write.parquet(str(tmp_path / "in"))
