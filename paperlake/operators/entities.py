@@ -52,8 +52,9 @@ EXPERIMENT_WORDS = ["experiment", "experiments", "experimental", "evaluate", "ev
 TERMS = {"Method": vocab.METHODS, "Dataset": vocab.DATASETS, "Task": vocab.TASKS, "Metric": vocab.METRICS}
 CAPTURES = {"Method": vocab.METHOD_CAPTURES, "Dataset": vocab.DATASET_CAPTURES, "Task": vocab.TASK_CAPTURES, "Metric": vocab.METRIC_CAPTURES}
 ANY_WORDS = sorted({w for t in TERMS.values() for w in first_words(t)} | {w for ws in CAPTURE_WORDS.values() for w in ws} | {*CLAIM_WORDS, *EXPERIMENT_WORDS})
-#: Those words as ``words_of`` a sentence in lower case has them. Most sentences have none, and one pass over their letters tells.
-ANY_WORD = f"(?<![a-z0-9]){X.one_of(ANY_WORDS)}(?![a-z0-9])"
+#: Those words as ``words_of`` a sentence in lower case has them (group 1). Most sentences have none, and one pass over their letters tells;
+#: what stands before a word is matched, too, since a look behind at each letter takes longer.
+ANY_WORD = f"(?:^|[^a-z0-9])({X.one_of(ANY_WORDS)})(?![a-z0-9])"
 
 
 def has_word(words: Column, wanted: list[str]) -> Column:
@@ -101,18 +102,18 @@ def candidates(c: Column, section: Column, words: Column | None = None) -> Colum
 def extract_entities(sents: DataFrame) -> DataFrame:
     """One row per (paper, type, lower name), from its first occurrence: name, type, section, evidence, role, order."""
     s = F.col("sentence")
-    d = sents.where(F.lower(s).rlike(ANY_WORD)).withColumn("words", F.regexp_extract_all(F.lower(s), F.lit(ANY_WORD), F.lit(0)))
+    d = sents.where(F.lower(s).rlike(ANY_WORD)).withColumn("words", F.regexp_extract_all(F.lower(s), F.lit(ANY_WORD), F.lit(1)))
     d = d.select("paper_id", "sec", "sent", "section", "sentence", F.posexplode(candidates(s, F.col("section"), F.col("words"))).alias("rule", "c"))
     # the bare name comes out of a generator: a filter on it isn't moved below, where each of its uses would be computed anew
     d = d.select("paper_id", "sec", "sent", "rule", "section", "sentence", F.col("c.type").alias("type"), F.explode(F.array(X.bare_name(F.col("c.name")))).alias("name"))
     named = F.col("type").isin("Claim", "Experiment") | X.plausible_name(F.col("name"))
     d = d.where(F.col("name").isNotNull() & X.can_be_name(F.col("name")) & named)
-    d = d.withColumns({"source_section": F.coalesce(X.clean_name(F.col("section")), F.lit("Unknown")), "evidence": X.collapse(s)}).withColumn("role", X.paper_role(F.col("evidence"), F.col("type")))
-    fields = ["sec", "sent", "rule", "name", "source_section", "evidence", "role"]
-    first = d.groupBy("paper_id", "type", F.lower("name").alias("low")).agg(F.min(F.struct(*fields)).alias("f"))
+    first = d.groupBy("paper_id", "type", F.lower("name").alias("low")).agg(F.min(F.struct("sec", "sent", "rule", "name", "section", "sentence")).alias("f"))
+    # what follows from the sentence is worked out for the entities that are left
+    first = first.withColumns({"source_section": F.coalesce(X.clean_name(F.col("f.section")), F.lit("Unknown")), "evidence": X.collapse(F.col("f.sentence"))})
     order = Window.partitionBy("paper_id").orderBy("f.sec", "f.sent", "f.rule")
     return first.withColumn("pos", F.row_number().over(order) - 1).select(
-        "paper_id", "pos", "f.name", "type", "f.source_section", "f.evidence", "f.role"
+        "paper_id", "pos", "f.name", "type", "source_section", "evidence", X.paper_role(F.col("evidence"), F.col("type")).alias("role")
     )
 
 
